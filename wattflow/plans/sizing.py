@@ -1,0 +1,29 @@
+"""Checked broadcasts.
+
+A side is broadcast only after its row count has been measured against a
+bound; past the bound the caller gets the DataFrame back unchanged and Spark
+plans a shuffle join.  The measured side is persisted first, so the count and
+the join read the same materialised rows instead of computing them twice.
+Persisted blocks lost with an executor are recomputed from lineage.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 2_000_000
+CONF_KEY = "wattflow.broadcast.maxRows"
+
+
+def max_broadcast_rows(df: DataFrame) -> int:
+    value = df.sparkSession.conf.get(CONF_KEY, None)
+    return int(value) if value else DEFAULT_MAX_ROWS
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    limit = max_rows if max_rows is not None else max_broadcast_rows(df)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.limit(limit + 1).count()
+    return F.broadcast(kept) if n <= limit else kept

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analytics this package rebuilds are batch only: no stream, watermark,
+late-data rule or streaming state exists in the source project, so nothing
+is defined here.  Every batch plan in ``wattflow.plans`` is a plain DataFrame
+transformation and can be applied inside ``foreachBatch`` unchanged.
+"""
