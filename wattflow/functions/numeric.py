@@ -51,6 +51,16 @@ def dec4(x, precision: int = 18) -> Column:
     return _c(x).try_cast(f"decimal({precision},4)")
 
 
+def mean4(total, count, scale: int = 0) -> Column:
+    """total / count as an exact decimal rounded once, half up, to 4 places.
+
+    The operands are narrowed first so Spark's decimal division keeps 13
+    fractional digits before the final rounding (no double rounding at 6).
+    """
+    q = F.try_divide(_c(total).cast(f"decimal(20,{scale})"), _c(count).cast("decimal(10,0)"))
+    return dec4(q)
+
+
 def null_flag(c) -> Column:
     """1 when present, 0 when null (H9)."""
     return _c(c).isNotNull().cast("int")

@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattflow.functions.numeric import dec4, null_flag
+from wattflow.functions.numeric import mean4, null_flag
 
 ORDER = ["to_dt", "from_dt", "kwh"]
 
 
 def exact_avg4(c: str, w) -> F.Column:
     """Windowed mean as an exact decimal, rounded once (half up) to 4 places."""
-    x = F.col(c).cast("decimal(28,2)")
-    return dec4(F.try_divide(F.sum(x).over(w), F.count(x).over(w)))
+    x = F.col(c)
+    return mean4(F.sum(x).over(w), F.count(x).over(w), 2)
 
 
 def account_window(order: list[str] | None = None):

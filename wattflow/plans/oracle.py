@@ -207,3 +207,73 @@ SELECT *,
        CASE WHEN county_fips IS NULL THEN 0 ELSE 1 END AS county_fips_flag,
        CASE WHEN rate_class IS NULL THEN 0 ELSE 1 END AS rate_class_flag
 FROM exp2""")
+
+
+# ---------------------------------------------------------------- path B
+CUTOFF = "DATE '2001-02-25'"
+
+
+def avg4_agg(x: str) -> str:
+    """Exact mean of an integer expression at 4 places, half up (x >= 0)."""
+    n = f"NULLIF(COUNT({x}), 0)"
+    q = f"(2 * SUM({x}) * 10000 + {n}) // (2 * {n})"
+    return f"CAST(CAST({q} AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(18,4)) AS DECIMAL(18,4))"
+
+
+frag("crows", ("m1", "w"), """
+SELECT m1.account_id, m1.zip, m1.from_dt, m1.to_dt, m1.kwh, m1.station_id, m1.station_dist,
+       NULLIF(COALESCE(SUM(TRY_CAST(w.tavg_raw AS DOUBLE)), 0), 0) AS tavg_interval_sum
+FROM m1 LEFT JOIN w ON w.station_id = m1.station_id AND w.obs_date BETWEEN m1.from_dt AND m1.to_dt
+GROUP BY m1.account_id, m1.zip, m1.from_dt, m1.to_dt, m1.kwh, m1.station_id, m1.station_dist""")
+
+frag("celig", ("crows",), f"""
+SELECT account_id, n_stations, n_rows, n_complete, n_prepared, reason IS NULL AS eligible, reason FROM (
+  SELECT *, CASE WHEN n_stations <> 1 THEN 'station_change'
+                 WHEN n_complete < 5 THEN 'insufficient_rows'
+                 WHEN n_prepared < 2 THEN 'no_test_rows' END AS reason
+  FROM (
+    SELECT account_id, count(DISTINCT station_id) AS n_stations, count(*) AS n_rows,
+           count(tavg_interval_sum) AS n_complete,
+           greatest(count(CASE WHEN tavg_interval_sum IS NOT NULL AND to_dt <= {CUTOFF} THEN 1 END) - 2, 0) AS n_prepared
+    FROM crows GROUP BY account_id) a) b""")
+
+frag("celig_rows", ("crows", "celig"), """
+SELECT r.* FROM crows r
+WHERE r.tavg_interval_sum IS NOT NULL
+  AND r.account_id IN (SELECT account_id FROM celig WHERE eligible)""")
+
+frag("cf_lag", ("celig_rows",), f"""
+SELECT account_id, from_dt, to_dt, kwh, station_id, tavg_interval_sum,
+       tavg_interval_sum * tavg_interval_sum AS tavg_interval_sum_sq,
+       CAST(year(to_dt) AS INTEGER) AS year, CAST(month(to_dt) AS INTEGER) AS month,
+       CAST(day(to_dt) AS INTEGER) AS day,
+       CAST(to_dt - first_value(to_dt) OVER (PARTITION BY account_id {WINDOW_ORDER}
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS INTEGER) AS days_passed,
+       lag(kwh, 1) OVER (PARTITION BY account_id {WINDOW_ORDER}) AS prev_pd_kwh,
+       lag(tavg_interval_sum, 1) OVER (PARTITION BY account_id {WINDOW_ORDER}) AS prev_pd_tavg_interval_sum,
+       lag(kwh, 2) OVER (PARTITION BY account_id {WINDOW_ORDER}) AS prev_prev_pd_kwh,
+       lag(tavg_interval_sum, 2) OVER (PARTITION BY account_id {WINDOW_ORDER}) AS prev_prev_pd_tavg_interval_sum,
+       row_number() OVER (PARTITION BY account_id {WINDOW_ORDER}) AS rn,
+       count(*) OVER (PARTITION BY account_id) AS n_all
+FROM celig_rows WHERE to_dt <= {CUTOFF}""")
+
+frag("cf_base", ("cf_lag",), """
+SELECT * EXCLUDE (rn, n_all), CAST(rn - 2 AS INTEGER) AS row_idx, CAST(n_all - 2 AS INTEGER) AS n_rows,
+       rn = n_all AS is_eval
+FROM cf_lag WHERE rn > 2""")
+
+frag("cfeat", ("cf_base",), f"""
+SELECT * EXCLUDE (m_avg), COALESCE(m_avg, avg_kwh) AS avg_kwh_for_cust_for_current_month FROM (
+  SELECT *,
+         {avg4("CASE WHEN NOT is_eval THEN kwh END", "(PARTITION BY account_id)", 0)} AS avg_kwh,
+         {avg4("CASE WHEN NOT is_eval THEN kwh END", "(PARTITION BY account_id, month)", 0)} AS m_avg
+  FROM cf_base) x""")
+
+frag("cfeat_all", ("cf_base", "celig_rows"), f"""
+SELECT f.*, a.avg_kwh, COALESCE(m.m_avg, a.avg_kwh) AS avg_kwh_for_cust_for_current_month
+FROM cf_base f
+JOIN (SELECT account_id, {avg4_agg("kwh")} AS avg_kwh FROM celig_rows GROUP BY account_id) a
+  ON a.account_id = f.account_id
+LEFT JOIN (SELECT account_id, CAST(month(to_dt) AS INTEGER) AS month, {avg4_agg("kwh")} AS m_avg
+           FROM celig_rows WHERE to_dt <= {CUTOFF} GROUP BY 1, 2) m
+  ON m.account_id = f.account_id AND m.month = f.month""")

@@ -15,6 +15,8 @@ from wattflow.functions.dates import date_to_ymd_int, ymd_to_iso
 from wattflow.functions.numeric import reading_skip
 from wattflow.operators import invoices as inv_ops
 from wattflow.operators import readings
+from wattflow.operators import accounts as acc
+from wattflow.plans import customers
 from wattflow.plans import matched
 from wattflow.plans import oracle as O
 from wattflow.sources.fixtures import domain
@@ -138,3 +140,111 @@ def q_matched_table(spark, sf):
 @query("customer_count", O.sql("SELECT count(DISTINCT account_id) AS n_accounts FROM matched2", "matched2"))
 def q_customer_count(spark, sf):
     return matched.matched_table_2(domain(spark, sf)).agg(F.countDistinct("account_id").alias("n_accounts"))
+
+
+# ------------------------------------------------------------------ path B
+
+
+@query("interval_temp_sum", O.sql("SELECT * FROM crows WHERE tavg_interval_sum IS NOT NULL", "crows"))
+def q_interval_temp_sum(spark, sf):
+    return acc.complete_rows(customers.customer_rows(domain(spark, sf)))
+
+
+@query("account_eligibility", O.sql("SELECT * FROM celig", "celig"))
+def q_account_eligibility(spark, sf):
+    return customers.eligibility(domain(spark, sf))
+
+
+@query("eligible_rows", O.sql("SELECT * FROM celig_rows", "celig_rows"))
+def q_eligible_rows(spark, sf):
+    d = domain(spark, sf)
+    rows = customers.customer_rows(d)
+    return acc.eligible_rows(rows, acc.eligibility(rows, customers.FIXTURE_CUTOFF))
+
+
+@query("ineligible_rows", O.sql("SELECT account_id, reason FROM celig WHERE NOT eligible", "celig"))
+def q_ineligible_rows(spark, sf):
+    d = domain(spark, sf)
+    rows = customers.customer_rows(d)
+    return acc.ineligible_accounts(rows, acc.eligibility(rows, customers.FIXTURE_CUTOFF))
+
+
+@query("account_features", O.sql("SELECT * FROM cfeat", "cfeat"))
+def q_account_features(spark, sf):
+    return customers.features(domain(spark, sf))
+
+
+@query("account_features_all_scope", O.sql("SELECT * FROM cfeat_all", "cfeat_all"))
+def q_account_features_all_scope(spark, sf):
+    return customers.features(domain(spark, sf), scope="all")
+
+
+HOLD_COLS = ["account_id", "from_dt", "to_dt", "kwh", "tavg_interval_sum", "month", "avg_kwh",
+             "avg_kwh_for_cust_for_current_month"]
+
+
+@query("holdout_last", O.sql(f"SELECT {', '.join(HOLD_COLS)} FROM cfeat WHERE is_eval", "cfeat"))
+def q_holdout_last(spark, sf):
+    return customers.features(domain(spark, sf)).where("is_eval").select(*HOLD_COLS)
+
+
+@query("training_rows", O.sql(f"SELECT {', '.join(HOLD_COLS)} FROM cfeat WHERE NOT is_eval", "cfeat"))
+def q_training_rows(spark, sf):
+    return customers.features(domain(spark, sf)).where("NOT is_eval").select(*HOLD_COLS)
+
+
+@query("split_80_20", O.sql("""
+SELECT account_id, from_dt, to_dt, kwh, row_idx, n_rows,
+       row_idx <= CAST(floor(n_rows * 0.8) AS INTEGER) AS is_train
+FROM cfeat""", "cfeat"))
+def q_split_80_20(spark, sf):
+    f = acc.train_test_split(customers.features(domain(spark, sf)))
+    return f.select("account_id", "from_dt", "to_dt", "kwh", "row_idx", "n_rows", "is_train")
+
+
+@query("walk_forward_folds", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh,
+       CAST(row_idx - CAST(floor(n_rows * 0.8) AS INTEGER) - 1 AS INTEGER) AS fold,
+       CAST(row_idx - 1 AS INTEGER) AS n_train, train_first_to_dt, train_last_to_dt
+FROM (SELECT *, first_value(to_dt) OVER (PARTITION BY account_id {O.WINDOW_ORDER}
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS train_first_to_dt,
+             lag(to_dt) OVER (PARTITION BY account_id {O.WINDOW_ORDER}) AS train_last_to_dt
+      FROM cfeat) x
+WHERE row_idx > CAST(floor(n_rows * 0.8) AS INTEGER)""", "cfeat"))
+def q_walk_forward_folds(spark, sf):
+    return acc.walk_forward_folds(customers.features(domain(spark, sf)))
+
+
+@query("account_extremes", O.sql("""
+SELECT account_id, max(kwh) AS max_kwh, min(kwh) AS min_kwh,
+       arg_max(tavg_interval_sum, {'v': kwh, 't': -(to_dt - DATE '1970-01-01'), 'f': -(from_dt - DATE '1970-01-01')}) AS tavg_interval_sum_at_max,
+       arg_min(tavg_interval_sum, {'v': kwh, 't': to_dt - DATE '1970-01-01', 'f': from_dt - DATE '1970-01-01'}) AS tavg_interval_sum_at_min
+FROM cfeat GROUP BY account_id""", "cfeat"))
+def q_account_extremes(spark, sf):
+    return acc.account_extremes(customers.features(domain(spark, sf)))
+
+
+@query("peaker_class", O.sql("""
+SELECT account_id, CASE WHEN hi > lo THEN 'summer peaker' WHEN hi < lo THEN 'winter peaker'
+                        ELSE 'pattern unclear' END AS peak_class
+FROM (SELECT account_id,
+             arg_max(tavg_interval_sum, {'v': kwh, 't': -(to_dt - DATE '1970-01-01'), 'f': -(from_dt - DATE '1970-01-01')}) AS hi,
+             arg_min(tavg_interval_sum, {'v': kwh, 't': to_dt - DATE '1970-01-01', 'f': from_dt - DATE '1970-01-01'}) AS lo
+      FROM cfeat GROUP BY account_id) x""", "cfeat"))
+def q_peaker_class(spark, sf):
+    return acc.peaker_class(customers.features(domain(spark, sf)))
+
+
+@query("macro_avg", O.sql("""
+SELECT CAST(avg(m) AS DECIMAL(18,4)) AS macro_avg_kwh
+FROM (SELECT account_id, avg(kwh) AS m FROM cfeat GROUP BY account_id) x""", "cfeat"))
+def q_macro_avg(spark, sf):
+    return acc.macro_average(customers.features(domain(spark, sf)))
+
+
+@query("overall_avg", O.sql(f"""
+SELECT {O.avg4_agg("CASE WHEN NOT is_eval THEN kwh END")} AS overall_avg_kwh_train,
+       {O.avg4_agg("kwh")} AS overall_avg_kwh_all
+FROM cfeat""", "cfeat"))
+def q_overall_avg(spark, sf):
+    return acc.overall_average(customers.features(domain(spark, sf)))
