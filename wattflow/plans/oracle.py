@@ -277,3 +277,86 @@ JOIN (SELECT account_id, {avg4_agg("kwh")} AS avg_kwh FROM celig_rows GROUP BY a
 LEFT JOIN (SELECT account_id, CAST(month(to_dt) AS INTEGER) AS month, {avg4_agg("kwh")} AS m_avg
            FROM celig_rows WHERE to_dt <= {CUTOFF} GROUP BY 1, 2) m
   ON m.account_id = f.account_id AND m.month = f.month""")
+
+
+# ---------------------------------------------------------------- quality, sampling, curves
+def ratio4(n: str, d: str) -> str:
+    """n / d at 4 places, half up, in integer arithmetic (n, d >= 0)."""
+    q = f"(2 * ({n}) * 10000 + ({d})) // (2 * NULLIF({d}, 0))"
+    return f"CAST(CAST({q} AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(18,4)) AS DECIMAL(10,4))"
+
+
+frag("clean1", ("matched1",), """
+SELECT * FROM matched1
+WHERE perc_missing <= 0.1 AND avg_kwh_day_over_invoice <= 100
+  AND daily_kwh_lag IS NOT NULL AND NOT isnan(CAST(daily_kwh_lag AS DOUBLE))""")
+
+frag("km_rows", ("matched2",), """
+SELECT * FROM matched2
+WHERE perc_missing_preferred <= 0.5 AND avg_kwh_day_over_invoice <= 100
+  AND daily_kwh_lag IS NOT NULL AND NOT isnan(CAST(daily_kwh_lag AS DOUBLE))""")
+
+
+def _pivot(src: str, entity: str, month: str, value: str) -> str:
+    cols = ", ".join(f"avg({value}) FILTER (WHERE {month} = {m}) AS m_{m}" for m in range(1, 13))
+    return f"SELECT {entity}, {cols} FROM {src} GROUP BY {entity}"
+
+
+def _shares(src: str, entity: str) -> str:
+    total = " + ".join(f"COALESCE(m_{m}, 0.0)" for m in range(1, 13))
+    cols = ", ".join(f"m_{m} / ({total}) AS m_{m}_pct" for m in range(1, 13))
+    return f"SELECT {entity}, {cols} FROM {src}"
+
+
+frag("lpts", (), """
+SELECT l_suppkey AS entity_id, CAST(month(l_shipdate) AS INTEGER) AS month, l_quantity AS value FROM lineitem""")
+frag("lpivot_all", ("lpts",), _pivot("lpts", "entity_id", "month", "value"))
+frag("lpivot", ("lpivot_all",), "SELECT * FROM lpivot_all WHERE " +
+     " AND ".join(f"m_{m} IS NOT NULL" for m in range(1, 13)))
+frag("lshares", ("lpivot",), _shares("lpivot", "entity_id"))
+frag("apivot", ("km_rows",), _pivot("km_rows", "account_id", "todt_month", "kwh"))
+frag("ashares", ("apivot",), _shares("apivot", "account_id"))
+frag("cents", ("lshares",), """
+SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS cluster, * EXCLUDE (h) FROM (
+  SELECT md5('42:' || CAST(entity_id AS VARCHAR)) AS h, * FROM lshares ORDER BY h LIMIT 4) x""")
+_dist = " + ".join(f"COALESCE((a.m_{m}_pct - c.m_{m}_pct) * (a.m_{m}_pct - c.m_{m}_pct), 0.0)" for m in range(1, 13))
+frag("alabels", ("ashares", "cents"), f"""
+SELECT account_id, arg_min(cluster, {{'d': distance, 'c': cluster}}) AS cluster, min(distance) AS distance FROM (
+  SELECT a.account_id, c.cluster, sqrt({_dist}) AS distance FROM ashares a CROSS JOIN cents c) x
+GROUP BY account_id""")
+
+
+# ---------------------------------------------------------------- evaluation
+def avg4_scaled(x: str, scale: int) -> str:
+    """Exact mean of a decimal expression with ``scale`` places, at 4 places, half up (x >= 0)."""
+    units = f"CAST(SUM({x}) * {10 ** scale} AS HUGEINT)"
+    n = f"NULLIF(COUNT({x}), 0)"
+    q = f"(2 * {units} * {10 ** (4 - scale)} + {n}) // (2 * {n})"
+    return f"CAST(CAST({q} AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(18,4)) AS DECIMAL(18,4))"
+
+
+_BEFORE = f"(PARTITION BY account_id {WINDOW_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_MONTH_BEFORE = f"(PARTITION BY account_id, month {WINDOW_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+frag("naive_wide", ("cfeat",), f"""
+SELECT * FROM (
+  SELECT account_id, from_dt, to_dt, kwh, row_idx, n_rows,
+         CAST(prev_pd_kwh AS DECIMAL(18,4)) AS previous,
+         {avg4("kwh", _BEFORE, 0)} AS expanding_mean,
+         COALESCE({avg4("kwh", _MONTH_BEFORE, 0)}, {avg4("kwh", _BEFORE, 0)}) AS same_month_mean
+  FROM cfeat) x
+WHERE row_idx > CAST(floor(n_rows * 0.8) AS INTEGER)""")
+
+frag("naive", ("naive_wide",), """
+SELECT account_id, from_dt, to_dt, kwh, 'previous' AS model, previous AS prediction FROM naive_wide
+UNION ALL SELECT account_id, from_dt, to_dt, kwh, 'expanding_mean', expanding_mean FROM naive_wide
+UNION ALL SELECT account_id, from_dt, to_dt, kwh, 'same_month_mean', same_month_mean FROM naive_wide""")
+
+frag("efr", ("naive",), """
+SELECT *, abs(error) AS abs_error, CAST(error * error AS DECIMAL(38,8)) AS sq_error FROM (
+  SELECT *, CAST(CAST(kwh AS DECIMAL(18,4)) - prediction AS DECIMAL(18,4)) AS error FROM naive) x""")
+
+_ERR_AGGS = f"""count(*) AS n, CAST(SUM(abs_error) AS DECIMAL(28,4)) AS ae, {avg4_scaled("abs_error", 4)} AS mae,
+       sqrt(CAST(SUM(sq_error) AS DOUBLE) / CAST(COUNT(sq_error) AS DOUBLE)) AS rmse"""
+
+frag("eacc", ("efr",), f"SELECT account_id, model, {_ERR_AGGS} FROM efr GROUP BY account_id, model")

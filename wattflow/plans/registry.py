@@ -16,7 +16,12 @@ from wattflow.functions.numeric import reading_skip
 from wattflow.operators import invoices as inv_ops
 from wattflow.operators import readings
 from wattflow.operators import accounts as acc
+from wattflow.operators import clusters as cl
+from wattflow.operators import evaluate as ev
+from wattflow.operators import quality as qa
+from wattflow.operators import sampling as smp
 from wattflow.plans import customers
+from wattflow.plans import load_curves as lc
 from wattflow.plans import matched
 from wattflow.plans import oracle as O
 from wattflow.sources.fixtures import domain
@@ -248,3 +253,220 @@ SELECT {O.avg4_agg("CASE WHEN NOT is_eval THEN kwh END")} AS overall_avg_kwh_tra
 FROM cfeat""", "cfeat"))
 def q_overall_avg(spark, sf):
     return acc.overall_average(customers.features(domain(spark, sf)))
+
+
+# ------------------------------------------------------------------ quality and distributions
+CLEAN_COLS = ["account_id", "from_dt", "to_dt", "kwh", "station_dist", "tavg_interval_avg", "todt_month",
+              "daily_kwh_lag", "daily_kwh_updating_avg", "month_avg_preceding_flag",
+              "month_avg_preceding", "avg_kwh_day_over_invoice", "invoice_num"]
+
+
+@query("quality_slices", O.sql(f"""
+SELECT slice, n_rows, {O.ratio4("n_rows", "n_total")} AS share FROM (
+  SELECT 'ge_half' AS slice, count(*) FILTER (WHERE perc_missing >= 0.5) AS n_rows, count(*) AS n_total FROM matched1
+  UNION ALL SELECT 'le_half', count(*) FILTER (WHERE perc_missing <= 0.5), count(*) FROM matched1
+  UNION ALL SELECT 'le_tenth', count(*) FILTER (WHERE perc_missing <= 0.1), count(*) FROM matched1) x""", "matched1"))
+def q_quality_slices(spark, sf):
+    return qa.slice_counts(matched.matched_table_1(domain(spark, sf)))
+
+
+@query("quality_ratios", O.sql(f"""
+SELECT n_total, {O.ratio4("h", "n_total")} AS share_le_half, {O.ratio4("t", "n_total")} AS share_le_tenth,
+       n_capped, any_missing_avg FROM (
+  SELECT count(*) AS n_total,
+         count(*) FILTER (WHERE perc_missing <= 0.5) AS h,
+         count(*) FILTER (WHERE perc_missing <= 0.1) AS t,
+         count(*) FILTER (WHERE perc_missing <= 0.1 AND avg_kwh_day_over_invoice <= 100) AS n_capped,
+         COALESCE(bool_or(CASE WHEN perc_missing <= 0.1 AND avg_kwh_day_over_invoice <= 100
+                               THEN tavg_interval_avg IS NULL OR isnan(tavg_interval_avg) END), false) AS any_missing_avg
+  FROM matched1) x""", "matched1"))
+def q_quality_ratios(spark, sf):
+    return qa.quality_summary(matched.matched_table_1(domain(spark, sf)))
+
+
+def clean_rows_1(d):
+    rows = qa.clean_rows(matched.matched_table_1(d))
+    return qa.select_present(rows, CLEAN_COLS + ["invoicenum", "dist"]).na.fill(0)
+
+
+@query("clean_rows", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, CAST(COALESCE(station_dist, 0) AS DECIMAL(4,2)) AS station_dist,
+       COALESCE(tavg_interval_avg, 0) AS tavg_interval_avg, COALESCE(todt_month, 0) AS todt_month,
+       CAST(COALESCE(daily_kwh_lag, 0) AS DECIMAL(6,2)) AS daily_kwh_lag,
+       CAST(COALESCE(daily_kwh_updating_avg, 0) AS DECIMAL(18,4)) AS daily_kwh_updating_avg,
+       COALESCE(month_avg_preceding_flag, 0) AS month_avg_preceding_flag,
+       CAST(COALESCE(month_avg_preceding, 0) AS DECIMAL(18,4)) AS month_avg_preceding,
+       CAST(COALESCE(avg_kwh_day_over_invoice, 0) AS DECIMAL(6,2)) AS avg_kwh_day_over_invoice,
+       COALESCE(invoice_num, 0) AS invoice_num
+FROM clean1""", "clean1"))
+def q_clean_rows(spark, sf):
+    return clean_rows_1(domain(spark, sf))
+
+
+@query("usage_histogram", O.sql("""
+SELECT CAST(floor(avg_kwh_day_over_invoice / 5) AS INTEGER) AS bin, count(*) AS n
+FROM matched1 WHERE avg_kwh_day_over_invoice IS NOT NULL GROUP BY 1""", "matched1"))
+def q_usage_histogram(spark, sf):
+    return qa.histogram(matched.matched_table_1(domain(spark, sf)), "avg_kwh_day_over_invoice", 5)
+
+
+@query("usage_temp_grid", O.sql("""
+SELECT CAST(floor(avg_kwh_day_over_invoice / 5) AS INTEGER) AS bin_x,
+       CAST(floor(tavg_interval_avg / 5) AS INTEGER) AS bin_y, count(*) AS n
+FROM matched1 WHERE avg_kwh_day_over_invoice IS NOT NULL AND tavg_interval_avg IS NOT NULL GROUP BY 1, 2""", "matched1"))
+def q_usage_temp_grid(spark, sf):
+    return qa.density_grid(matched.matched_table_1(domain(spark, sf)), "avg_kwh_day_over_invoice",
+                           "tavg_interval_avg", 5, 5)
+
+
+# ------------------------------------------------------------------ sampling and splits
+def _md5_bucket(seed, cols):
+    parts = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"CAST(('0x' || substr(md5('{seed}:' || {parts}), 1, 8)) AS BIGINT) % 1000"
+
+
+@query("hash_split", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh,
+       CASE WHEN {_md5_bucket(42, KEY)} < 666 THEN 'train' ELSE 'test' END AS split
+FROM clean1""", "clean1"))
+def q_hash_split(spark, sf):
+    rows = clean_rows_1(domain(spark, sf)).select(*KEY)
+    return smp.hash_split(rows, 42, KEY)
+
+
+SAMPLE_N = 100
+
+
+@query("sample_accounts", O.sql(f"""
+SELECT account_id FROM (SELECT DISTINCT account_id FROM crows) x
+ORDER BY md5('42:' || CAST(account_id AS VARCHAR)) LIMIT {SAMPLE_N}""", "crows"))
+def q_sample_accounts(spark, sf):
+    return smp.sample_ids(customers.customer_rows(domain(spark, sf)), SAMPLE_N, 42)
+
+
+@query("sample_eligible", O.sql(f"""
+SELECT account_id FROM celig WHERE eligible
+ORDER BY md5('42:' || CAST(account_id AS VARCHAR)) LIMIT {SAMPLE_N}""", "celig"))
+def q_sample_eligible(spark, sf):
+    return smp.sample_ids(customers.eligibility(domain(spark, sf)).where("eligible"), SAMPLE_N, 42)
+
+
+MERGE_COLS = ["account_id", "from_dt", "to_dt", "kwh", "tavg_interval_sum", "is_eval"]
+
+
+@query("merged_samples", O.sql(f"""
+SELECT DISTINCT {', '.join(MERGE_COLS)} FROM cfeat
+WHERE account_id IN (SELECT account_id FROM celig WHERE eligible ORDER BY md5('1:' || CAST(account_id AS VARCHAR)) LIMIT {SAMPLE_N})
+   OR account_id IN (SELECT account_id FROM celig WHERE eligible ORDER BY md5('2:' || CAST(account_id AS VARCHAR)) LIMIT {SAMPLE_N})""",
+                                "cfeat", "celig"))
+def q_merged_samples(spark, sf):
+    d = domain(spark, sf)
+    feats = customers.features(d).select(*MERGE_COLS)
+    elig = customers.eligibility(d).where("eligible")
+    a = feats.join(smp.sample_ids(elig, SAMPLE_N, 1), "account_id", "left_semi")
+    b = feats.join(smp.sample_ids(elig, SAMPLE_N, 2), "account_id", "left_semi")
+    return smp.merge_slices(a, b, KEY)
+
+
+# ------------------------------------------------------------------ load curves and clusters
+@query("load_pivot", O.sql("SELECT * FROM lpivot", "lpivot"))
+def q_load_pivot(spark, sf):
+    from wattflow.sources.fixtures import load_points
+    return cl.load_pivot(load_points(spark, sf), "entity_id")
+
+
+@query("load_shares", O.sql("SELECT * FROM lshares", "lshares"))
+def q_load_shares(spark, sf):
+    return lc.supplier_shares(spark, sf)
+
+
+@query("account_load_shares", O.sql("SELECT * FROM ashares", "ashares"))
+def q_account_load_shares(spark, sf):
+    return lc.account_shares(domain(spark, sf))
+
+
+@query("nearest_centroid", O.sql("SELECT * FROM alabels", "alabels"))
+def q_nearest_centroid(spark, sf):
+    return lc.account_labels(spark, domain(spark, sf), sf)
+
+
+@query("cluster_shares", O.sql(f"""
+SELECT cluster, n, {O.ratio4("n", "sum(n) OVER ()")} AS pct
+FROM (SELECT cluster, count(*) AS n FROM alabels GROUP BY cluster) x""", "alabels"))
+def q_cluster_shares(spark, sf):
+    return cl.cluster_shares(lc.account_labels(spark, domain(spark, sf), sf))
+
+
+@query("cluster_labels_joined", O.sql("""
+SELECT r.account_id, r.from_dt, r.to_dt, r.kwh, COALESCE(r.gender, '-1') AS gender,
+       COALESCE(r.rate_class, '-1') AS rate_class, COALESCE(r.county_fips, -1) AS county_fips,
+       COALESCE(l.cluster, -1) AS load_curve_cluster
+FROM km_rows r LEFT JOIN alabels l ON l.account_id = r.account_id""", "km_rows", "alabels"))
+def q_cluster_labels_joined(spark, sf):
+    d = domain(spark, sf)
+    rows = lc.clustering_rows(d).select(*KEY, "gender", "rate_class", "county_fips")
+    return cl.label_rows(rows, lc.account_labels(spark, d, sf), "account_id")
+
+
+@query("kmeans_k1", O.sql("""
+SELECT 1 AS k, CAST(SUM(""" + " + ".join(
+    f"(s.m_{m}_pct - mu.m_{m}_pct) * (s.m_{m}_pct - mu.m_{m}_pct)" for m in range(1, 13)) + """) AS DECIMAL(20,10)) AS cost
+FROM lshares s, (SELECT """ + ", ".join(f"avg(m_{m}_pct) AS m_{m}_pct" for m in range(1, 13)) + """ FROM lshares) mu""",
+                           "lshares"))
+def q_kmeans_k1(spark, sf):
+    cost = cl.kmeans_one_cost(lc.supplier_shares(spark, sf))
+    return cost.select(F.lit(1).alias("k"), F.col("cost").cast("decimal(20,10)").alias("cost"))
+
+
+@query("kmeans_sweep")
+def q_kmeans_sweep(spark, sf):
+    return cl.kmeans_sweep(spark, lc.supplier_shares(spark, sf))
+
+
+@query("kmeans_final")
+def q_kmeans_final(spark, sf):
+    return cl.kmeans_labels(lc.supplier_shares(spark, sf), "entity_id")
+
+
+# ------------------------------------------------------------------ evaluation over naive forecasts
+def _naive_errors(spark, sf):
+    return ev.error_frame(ev.naive_forecasts(customers.features(domain(spark, sf))))
+
+
+@query("naive_forecasts", O.sql("SELECT * FROM naive", "naive"))
+def q_naive_forecasts(spark, sf):
+    return ev.naive_forecasts(customers.features(domain(spark, sf)))
+
+
+@query("error_frame", O.sql("SELECT * FROM efr", "efr"))
+def q_error_frame(spark, sf):
+    return _naive_errors(spark, sf)
+
+
+@query("errors_by_account", O.sql("SELECT * FROM eacc", "eacc"))
+def q_errors_by_account(spark, sf):
+    return ev.errors_by_account(_naive_errors(spark, sf))
+
+
+@query("errors_grand", O.sql(f"""
+SELECT model, count(*) AS n_accounts, CAST(SUM(ae) AS DECIMAL(28,4)) AS ae, {O.avg4_scaled("mae", 4)} AS mae
+FROM eacc GROUP BY model""", "eacc"))
+def q_errors_grand(spark, sf):
+    return ev.errors_grand(_naive_errors(spark, sf))
+
+
+@query("errors_pooled", O.sql(f"""
+SELECT model, n, ae, mae,
+       CAST(CAST((2 * CAST(ae * 10000 AS HUGEINT) + s) // (2 * s) AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS rel_mae,
+       rmse
+FROM (SELECT model, {O._ERR_AGGS}, SUM(kwh) AS s FROM efr GROUP BY model) x""", "efr"))
+def q_errors_pooled(spark, sf):
+    return ev.errors_pooled(_naive_errors(spark, sf))
+
+
+@query("best_worst_model", O.sql("""
+SELECT account_id, arg_min(model, {'a': ae, 'm': model}) AS best_model,
+       arg_min(model, {'a': -ae, 'm': model}) AS worst_model
+FROM eacc GROUP BY account_id""", "eacc"))
+def q_best_worst_model(spark, sf):
+    return ev.best_worst_model(_naive_errors(spark, sf))
