@@ -360,3 +360,7 @@ _ERR_AGGS = f"""count(*) AS n, CAST(SUM(abs_error) AS DECIMAL(28,4)) AS ae, {avg
        sqrt(CAST(SUM(sq_error) AS DOUBLE) / CAST(COUNT(sq_error) AS DOUBLE)) AS rmse"""
 
 frag("eacc", ("efr",), f"SELECT account_id, model, {_ERR_AGGS} FROM efr GROUP BY account_id, model")
+
+
+# ---------------------------------------------------------------- encoders and one-regressor forecast
+frag("train_months", ("cfeat",), "SELECT DISTINCT month FROM cfeat WHERE NOT is_eval")

@@ -18,10 +18,12 @@ from wattflow.operators import readings
 from wattflow.operators import accounts as acc
 from wattflow.operators import clusters as cl
 from wattflow.operators import evaluate as ev
+from wattflow.operators import forecast as fc
 from wattflow.operators import quality as qa
 from wattflow.operators import sampling as smp
 from wattflow.plans import customers
 from wattflow.plans import load_curves as lc
+from wattflow.plans import models
 from wattflow.plans import matched
 from wattflow.plans import oracle as O
 from wattflow.sources.fixtures import domain
@@ -470,3 +472,100 @@ SELECT account_id, arg_min(model, {'a': ae, 'm': model}) AS best_model,
 FROM eacc GROUP BY account_id""", "eacc"))
 def q_best_worst_model(spark, sf):
     return ev.best_worst_model(_naive_errors(spark, sf))
+
+
+# ------------------------------------------------------------------ encoders and models
+_MONTHS = range(1, 13)
+
+
+@query("onehot_month", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, month,
+       {", ".join(f"CAST(CASE WHEN month = {m} AND {m} IN (SELECT month FROM train_months) THEN 1 ELSE 0 END AS DOUBLE) AS month_{m}" for m in _MONTHS)},
+       CAST(CASE WHEN month IN (SELECT month FROM train_months) THEN 0 ELSE 1 END AS DOUBLE) AS month_other
+FROM cfeat""", "cfeat", "train_months"))
+def q_onehot_month(spark, sf):
+    return models.onehot_month(customers.features(domain(spark, sf)))
+
+
+@query("interaction_month_temp", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, month, tavg_interval_sum,
+       {", ".join(f"CASE WHEN month = {m} AND {m} IN (SELECT month FROM train_months) THEN tavg_interval_sum ELSE 0.0 END AS month_{m}_x_tavg" for m in _MONTHS)},
+       CASE WHEN month IN (SELECT month FROM train_months) THEN 0.0 ELSE tavg_interval_sum END AS month_other_x_tavg
+FROM cfeat""", "cfeat", "train_months"))
+def q_interaction_month_temp(spark, sf):
+    return models.interaction_month_temp(customers.features(domain(spark, sf)))
+
+
+_W1_BEFORE = f"(PARTITION BY account_id {O.WINDOW_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query("walk_forward_ols1", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, fold, prediction,
+       CAST(abs(CAST(kwh AS DECIMAL(18,3)) - prediction) AS DECIMAL(18,3)) AS abs_error FROM (
+  SELECT account_id, from_dt, to_dt, kwh,
+         CAST(row_idx - CAST(floor(n_rows * 0.8) AS INTEGER) - 1 AS INTEGER) AS fold,
+         row_idx, n_rows,
+         CAST(CASE WHEN var_pop(tavg_interval_sum) OVER {_W1_BEFORE} > 1e-9
+                   THEN regr_intercept(kwh, tavg_interval_sum) OVER {_W1_BEFORE}
+                        + regr_slope(kwh, tavg_interval_sum) OVER {_W1_BEFORE} * tavg_interval_sum END
+              AS DECIMAL(18,3)) AS prediction
+  FROM cfeat) x
+WHERE row_idx > CAST(floor(n_rows * 0.8) AS INTEGER)""", "cfeat"))
+def q_walk_forward_ols1(spark, sf):
+    return fc.walk_forward_ols1(customers.features(domain(spark, sf)))
+
+
+@query("walk_forward_ols")
+def q_walk_forward_ols(spark, sf):
+    return fc.walk_forward_ols(customers.features(domain(spark, sf)))
+
+
+@query("walk_forward_rf")
+def q_walk_forward_rf(spark, sf):
+    return fc.walk_forward_forest(customers.features(domain(spark, sf)))
+
+
+@query("pooled_ols")
+def q_pooled_ols(spark, sf):
+    return models.pooled(customers.features(domain(spark, sf)), ["ols"])
+
+
+@query("pooled_rf")
+def q_pooled_rf(spark, sf):
+    return models.pooled(customers.features(domain(spark, sf)), ["rf"])
+
+
+@query("pooled_registry")
+def q_pooled_registry(spark, sf):
+    return models.pooled(customers.features(domain(spark, sf)), ["ols", "rf"])
+
+
+@query("pooled_errors")
+def q_pooled_errors(spark, sf):
+    preds = models.pooled(customers.features(domain(spark, sf)), ["ols", "rf"])
+    return ev.errors_pooled(ev.error_frame(preds.withColumn("prediction", F.col("prediction").cast("decimal(18,4)"))))
+
+
+@query("coefficients")
+def q_coefficients(spark, sf):
+    return models.coefficients(spark, customers.features(domain(spark, sf)))
+
+
+@query("temp_ablation")
+def q_temp_ablation(spark, sf):
+    return models.temp_ablation(customers.features(domain(spark, sf)))
+
+
+@query("notebook_forest_errors")
+def q_notebook_forest_errors(spark, sf):
+    return models.notebook_errors(domain(spark, sf))
+
+
+@query("rf_tree_compare")
+def q_rf_tree_compare(spark, sf):
+    return fc.tree_count_compare(models.notebook_split(domain(spark, sf)))
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    return fc.grid_search(spark, models.notebook_split(domain(spark, sf)))
