@@ -6,7 +6,7 @@
   test row.  Instead of one fit per account and fold, the normal equations of
   every prefix are window sums (``X'X``, ``X'y``, means) computed in one pass;
   each test row then needs one small solve, done in Arrow batches with numpy
-  (batched pseudo-inverse of the centred, scaled Gram matrix -- the
+  (batched pseudo-inverse of the centred Gram matrix -- the
   minimum-norm least-squares solution with intercept, as the reference's
   linear model gives for collinear dummies).
 * **Walk-forward, one regressor**: plain ``regr_slope`` / ``regr_intercept``
@@ -73,7 +73,15 @@ TEMPERATURE_COLUMNS = ["tavg_interval_sum"]
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage before several fits read the same rows (reliable checkpoint)."""
+    """Cut lineage before several fits read the same rows (reliable checkpoint).
+
+    Small inputs are spread over the cluster's task slots first so tree
+    training uses every core instead of the one or two partitions a small
+    aggregate ends up in.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
     return df.checkpoint(eager=True)
 
 
@@ -148,8 +156,13 @@ def _design(features: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, list[str
 
 
 def walk_forward_ols(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share: float = 0.8,
-                     rcond: float = 1e-10) -> DataFrame:
-    """Multi-regressor walk-forward OLS via prefix Gram sums and batched solves."""
+                     rcond: float = 1e-12) -> DataFrame:
+    """Multi-regressor walk-forward OLS via prefix Gram sums and batched solves.
+
+    Eigenvalues of the centred Gram matrix below ``rcond`` times the largest
+    are treated as zero: exact collinearity (dummies summing to one, months
+    absent from the prefix) shows up there as rounding noise far below it.
+    """
     df, cols = _design(features, spec)
     y = F.col(spec.label).cast("double")
     p = len(cols)
@@ -192,15 +205,13 @@ def walk_forward_ols(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share:
                 ybar = sy / n
                 gc = g - n[:, None, None] * mu[:, :, None] * mu[:, None, :]
                 bc = sxy - n[:, None] * mu * ybar[:, None]
-                d = np.sqrt(np.clip(np.einsum("bii->bi", gc), 0, None))
-                scale = np.where(d > 1e-12 * np.maximum(1.0, np.abs(mu).max(axis=1, keepdims=True)), d, 1.0)
-                gs = gc / (scale[:, :, None] * scale[:, None, :])
-                bs = bc / scale
-                ok = np.isfinite(gs).all(axis=(1, 2)) & (n > 0)
+                ok = np.isfinite(gc).all(axis=(1, 2)) & (n > 0)
                 beta = np.zeros((b, p))
                 if ok.any():
-                    inv = np.linalg.pinv(gs[ok], rcond=rcond, hermitian=True)
-                    beta[ok] = np.einsum("bij,bj->bi", inv, bs[ok]) / scale[ok]
+                    # minimum-norm solution of the centred normal equations, the
+                    # same solution least squares gives on the centred rows
+                    inv = np.linalg.pinv(gc[ok], rcond=rcond, hermitian=True)
+                    beta[ok] = np.einsum("bij,bj->bi", inv, bc[ok])
                 pred = ybar + ((xt - mu) * beta).sum(axis=1)
             pred = np.where(ok, pred, np.nan)
             yield pdf[["account_id", "from_dt", "to_dt", "kwh", "row_idx", "n_rows"]].assign(prediction=pred)
@@ -254,7 +265,7 @@ def _notebook_pipeline(trees: int, seed: int = 42) -> Pipeline:
 
 def notebook_forest(split_rows: DataFrame, trees: int = FOREST_TREES) -> DataFrame:
     """Forest on the train split, predictions on the test split (I5, I14 input)."""
-    data = _notebook_frame(split_rows)
+    data = _checkpointed(_notebook_frame(split_rows))
     model = _notebook_pipeline(trees).fit(data.where(F.col("split") == "train"))
     return model.transform(data.where(F.col("split") == "test")).select(
         *TEST_KEY, F.col(NOTEBOOK_TARGET).alias("actual"), "prediction")

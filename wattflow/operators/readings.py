@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from wattflow.functions.dates import day_sequence, inclusive_days, ymd_to_date
 from wattflow.functions.numeric import (READING_TYPE, fixed_ratio, is_missing,
                                         reading_skip, reading_zero, round_int)
-from wattflow.plans.sizing import broadcast_if_small
+from wattflow.plans.sizing import broadcast_if_small, cached
 
 DAILY_VALUES = ["n_rows", "n_missing", "sum_zero", "n_zero", "sum_skip", "n_skip"]
 PAIR_VALUES = ["n_rows_1", "n_missing_1", "sum_zero_1", "n_zero_1",
@@ -105,7 +105,7 @@ def interval_totals(intervals: DataFrame, calendar: DataFrame, keys: list[str],
 
 def station_totals(inv_station: DataFrame, weather: DataFrame) -> DataFrame:
     """Per invoice-with-station: all DAILY_VALUES over its interval (prefix form)."""
-    daily = daily_weather(weather)
+    daily = cached(daily_weather(weather))
     last_day = last_observed_day(daily)
     if last_day is None:
         return inv_station.select(*inv_station.columns, *[F.lit(0).alias(v) for v in DAILY_VALUES]).limit(0)
@@ -182,24 +182,34 @@ def pair_daily(pairs: DataFrame, daily: DataFrame) -> DataFrame:
         F.when(k == 0, n1).otherwise(F.lit(0)).alias("n_null_2"))
 
 
-def pair_totals(inv_pair: DataFrame, weather: DataFrame) -> DataFrame:
-    daily = daily_weather(weather)
+def pair_totals(inv_pair: DataFrame, weather: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Per invoice-with-pair: PAIR_VALUES over its interval (prefix form).
+
+    ``pairs`` lists the (station_id_1, station_id_2) combinations; pass the
+    station table's pairs (bounded by postal codes) so they need not be read
+    off the invoices.
+    """
+    daily = cached(daily_weather(weather))
     last_day = last_observed_day(daily)
-    pairs = inv_pair.select("station_id_1", "station_id_2").distinct()
+    if last_day is None:
+        return inv_pair.select(*inv_pair.columns, *[F.lit(0).alias(v) for v in PAIR_VALUES]).limit(0)
+    if pairs is None:
+        pairs = inv_pair.select("station_id_1", "station_id_2")
+    pairs = pairs.select("station_id_1", "station_id_2").distinct()
     joint = pair_daily(pairs, daily)
     cal = prefix_calendar(joint, ["station_id_1", "station_id_2"], PAIR_VALUES, last_day)
     return interval_totals(inv_pair, cal, ["station_id_1", "station_id_2"], PAIR_VALUES, last_day)
 
 
 def invoice_weather_two(inv_pair: DataFrame, weather: DataFrame,
-                        count_null_as_missing: bool = False) -> DataFrame:
+                        count_null_as_missing: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """One row per invoice with readings at both stations (S12 stats_frame_2, no attributes).
 
     ``count_null_as_missing`` takes the evident intent of the reference's
     ``WHEN NULL`` branch (never true in SQL): a station-1 day with no
     station-2 row counts as a missing station-2 reading with value 0 (T6).
     """
-    t = pair_totals(inv_pair, weather).where(F.col("n_rows_1") > 0)
+    t = pair_totals(inv_pair, weather, pairs).where(F.col("n_rows_1") > 0)
     if count_null_as_missing:
         t = (t.withColumn("n_missing_2", F.col("n_missing_2") + F.col("n_null_2"))
               .withColumn("n_zero_2", F.col("n_zero_2") + F.col("n_null_2")))

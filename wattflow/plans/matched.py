@@ -59,7 +59,8 @@ def invoice_weather_2(d: Domain, count_null_as_missing: bool = False,
     The reduction runs before the attribute join (SURVEY 4), so attribute rows
     never multiply readings.
     """
-    stats = readings.invoice_weather_two(invoices_paired(d), d.weather, count_null_as_missing)
+    stats = readings.invoice_weather_two(invoices_paired(d), d.weather, count_null_as_missing,
+                                         pairs=inv_ops.station_pairs(d.stations))
     attrs = inv_ops.account_attributes(d.accounts, literal_attributes)
     return stats.join(attrs, "account_id", "inner")
 

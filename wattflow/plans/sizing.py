@@ -1,20 +1,46 @@
-"""Checked broadcasts.
+"""Checked broadcasts and a bounded set of cached intermediates.
 
 A side is broadcast only after its row count has been measured against a
 bound; past the bound the caller gets the DataFrame back unchanged and Spark
 plans a shuffle join.  The measured side is persisted first, so the count and
 the join read the same materialised rows instead of computing them twice.
 Persisted blocks lost with an executor are recomputed from lineage.
+
+Cached intermediates are kept in a small LRU: when more than ``MAX_CACHED``
+are held, the oldest is unpersisted (a later use recomputes it), so a
+long-lived session running many queries does not accumulate cache.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 2_000_000
 CONF_KEY = "wattflow.broadcast.maxRows"
+MAX_CACHED = 24
+
+_cached: OrderedDict[int, DataFrame] = OrderedDict()
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Persist ``df`` (memory, spilling to disk) and track it in the LRU."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _cached[id(kept)] = kept
+    _cached.move_to_end(id(kept))
+    while len(_cached) > MAX_CACHED:
+        _, old = _cached.popitem(last=False)
+        old.unpersist(blocking=False)
+    return kept
+
+
+def release_all() -> None:
+    while _cached:
+        _, old = _cached.popitem(last=False)
+        old.unpersist(blocking=False)
 
 
 def max_broadcast_rows(df: DataFrame) -> int:
@@ -24,6 +50,6 @@ def max_broadcast_rows(df: DataFrame) -> int:
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     limit = max_rows if max_rows is not None else max_broadcast_rows(df)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = cached(df)
     n = kept.limit(limit + 1).count()
     return F.broadcast(kept) if n <= limit else kept

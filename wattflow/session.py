@@ -27,6 +27,9 @@ def get_session(master: str | None = None, app_name: str = "wattflow",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor, so give it the heap
+        conf.setdefault("spark.driver.memory", os.environ.get("WATTFLOW_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})

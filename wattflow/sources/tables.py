@@ -15,11 +15,28 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_scans: dict[tuple[int, str], DataFrame] = {}
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """The base scan of a path, built once per session.
+
+    A DataFrame is an immutable plan, so reusing it is safe; it saves the
+    footer/schema read Spark otherwise repeats for every new reader.
+    """
+    key = (id(spark._jsparkSession), path)
+    df = _scans.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _scans[key] = df
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: Iterable[str] | None = None,
                where: Column | str | None = None) -> DataFrame:
     """Scan one table; optional column list (A2) and predicate (A3)."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    df = _scan(spark, table_path(sf_dir, name))
     if where is not None:
         df = df.where(where)
     if columns is not None:
