@@ -14,14 +14,13 @@ ATTRIBUTE_COLUMNS = ["city", "state", "gender", "billing_address2", "utility_id"
 def invoice_distinct(accounts: DataFrame, invoices: DataFrame) -> DataFrame:
     """account_id, zip, from_dt, to_dt, kwh: distinct invoices of known accounts.
 
-    The rows are hash-partitioned by account before the distinct; the distinct
-    then needs no exchange of its own and every later account window reuses
-    the same partitioning when the weather lookups are broadcast.
+    The distinct combines map-side and then hashes on all five columns, so
+    one account with a large share of the invoices is still spread over many
+    tasks (hashing on the account alone would put it in one).
     """
     a = accounts.select("account_id", "account_key", "zip")
     return (a.join(invoices, "account_key", "inner")
             .select("account_id", "zip", "from_dt", "to_dt", "kwh")
-            .repartition("account_id")
             .distinct())
 
 
