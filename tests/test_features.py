@@ -67,3 +67,15 @@ def test_matched_table_one_row_per_invoice(spark):
     from wattflow.sources.fixtures import domain
     m = matched.matched_table_2(domain(spark, SMALL))
     assert m.count() == m.select("account_id", "from_dt", "to_dt", "kwh").distinct().count() > 0
+
+
+def test_chunked_windows_equal_plain(spark):
+    from conftest import SMALL
+    from wattflow.sources.fixtures import domain
+    base = matched.invoice_weather_1(domain(spark, SMALL)).cache()
+    plain = windows.expanding_features(windows.invoice_sequence(base))
+    for rows in (1, 2, 5):
+        ch = windows.chunked_feature_windows(base, chunk_rows=rows).select(*plain.columns)
+        assert plain.exceptAll(ch).count() == 0 and ch.exceptAll(plain).count() == 0
+    forced = windows.feature_windows(base, chunk_rows=2).select(*plain.columns)
+    assert forced.exceptAll(plain).count() == 0

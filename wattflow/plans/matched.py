@@ -29,7 +29,7 @@ def invoice_weather_1(d: Domain) -> DataFrame:
 
 def matched_table_1(d: Domain) -> DataFrame:
     """S10's table: one-station statistics, window features and the month flag."""
-    return windows.expanding_features(windows.invoice_sequence(invoice_weather_1(d)))
+    return windows.feature_windows(invoice_weather_1(d))
 
 
 def station_preference(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -73,5 +73,5 @@ def matched_table_2(d: Domain, **kw) -> DataFrame:
         "todt_month": F.month("to_dt"),
         "todt_day": F.dayofmonth("to_dt"),
     })
-    df = windows.expanding_features(windows.invoice_sequence(df))
+    df = windows.feature_windows(df)
     return windows.attribute_flags(df)
