@@ -62,3 +62,14 @@ def test_hash_split_is_deterministic(spark):
     a = smp.hash_split(df, 42, ["account_id"]).where("split = 'train'").count()
     b = smp.hash_split(df.repartition(7), 42, ["account_id"]).where("split = 'train'").count()
     assert a == b and 1200 < a < 1450
+
+
+def test_chunked_account_features_equal_plain(spark):
+    rows = _rows(4, 30) + _rows(6, 9, start_month=3) + [(6, D(2020, 5, 1), D(2020, 5, 28), 7, "1", 3.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cut = D(2030, 1, 1)
+    elig = acc.eligibility(df, cut)
+    plain = acc.account_features(df, elig, cut)
+    for r in (1, 3, 7):
+        ch = acc.account_features(df, elig, cut, chunk_rows=r).select(*plain.columns)
+        assert plain.exceptAll(ch).count() == 0 and ch.exceptAll(plain).count() == 0

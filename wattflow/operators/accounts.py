@@ -88,7 +88,39 @@ def ineligible_accounts(rows: DataFrame, elig: DataFrame) -> DataFrame:
     return ids.join(passed, "account_id", "left_anti").join(elig.select("account_id", "reason"), "account_id")
 
 
-def account_features(rows: DataFrame, elig: DataFrame, cutoff: dt.date, scope: str = "train") -> DataFrame:
+def _series(kept: DataFrame, chunk_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Lags, position, size and days since the first invoice per account.
+
+    Skew-checked like ``windows.feature_windows``: plain account windows when
+    every account fits in the chunk bound, the chunked scan otherwise.
+    Returns the frame and whether the chunked path was taken.
+    """
+    from wattflow.operators.prefix import chunked_scan, rows_per_chunk
+    from wattflow.plans.sizing import cached
+
+    limit = chunk_rows or rows_per_chunk(kept)
+    kept = cached(kept)
+    largest = kept.groupBy("account_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
+    tavg = "tavg_interval_sum"
+    if largest <= limit:
+        w = _ordered()
+        first = F.first("to_dt").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return kept.select(
+            "*", F.datediff("to_dt", first).alias("days_passed"),
+            F.lag("kwh", 1).over(w).alias("prev_pd_kwh"), F.lag(tavg, 1).over(w).alias("prev_pd_" + tavg),
+            F.lag("kwh", 2).over(w).alias("prev_prev_pd_kwh"), F.lag(tavg, 2).over(w).alias("prev_prev_pd_" + tavg),
+            F.row_number().over(w).alias("_rn"),
+            F.count(F.lit(1)).over(_whole("account_id")).alias("_n")), False
+    s = chunked_scan(kept, ["account_id"], "to_dt", ORDER, lags=["kwh", tavg], firsts=["to_dt"], chunk_rows=limit)
+    return s.select(
+        *kept.columns, F.datediff("to_dt", F.col("_first_to_dt")).alias("days_passed"),
+        F.col("_lag1_kwh").alias("prev_pd_kwh"), F.col(f"_lag1_{tavg}").alias("prev_pd_" + tavg),
+        F.col("_lag2_kwh").alias("prev_prev_pd_kwh"), F.col(f"_lag2_{tavg}").alias("prev_prev_pd_" + tavg),
+        "_rn", "_n"), True
+
+
+def account_features(rows: DataFrame, elig: DataFrame, cutoff: dt.date, scope: str = "train",
+                     chunk_rows: int | None = None) -> DataFrame:
     """Formatted per-account series: cutoff, date parts, lags, hold-out, averages.
 
     ``scope="train"`` computes the customer and same-month means over the
@@ -96,30 +128,31 @@ def account_features(rows: DataFrame, elig: DataFrame, cutoff: dt.date, scope: s
     older variant that averages over all complete rows (T15, D12).
     """
     base = eligible_rows(rows, elig)
-    kept = base.where(F.col("to_dt") <= F.lit(cutoff))
-    w = _ordered()
+    kept = base.where(F.col("to_dt") <= F.lit(cutoff)).select(
+        "account_id", "from_dt", "to_dt", "kwh", "station_id", "tavg_interval_sum")
+    series, chunked = _series(kept, chunk_rows)
     tavg = F.col("tavg_interval_sum")
-    x = kept.select(
+    x = series.select(
         "account_id", "from_dt", "to_dt", "kwh", "station_id", "tavg_interval_sum",
         square(tavg).alias("tavg_interval_sum_sq"),
         F.year("to_dt").alias("year"), F.month("to_dt").alias("month"),
-        F.dayofmonth("to_dt").alias("day"),
-        F.datediff("to_dt", F.first("to_dt").over(w.rowsBetween(Window.unboundedPreceding,
-                                                                   Window.unboundedFollowing))).alias("days_passed"),
-        F.lag("kwh", 1).over(w).alias("prev_pd_kwh"),
-        F.lag(tavg, 1).over(w).alias("prev_pd_tavg_interval_sum"),
-        F.lag("kwh", 2).over(w).alias("prev_prev_pd_kwh"),
-        F.lag(tavg, 2).over(w).alias("prev_prev_pd_tavg_interval_sum"),
-        F.row_number().over(w).alias("_rn"),
-        F.count(F.lit(1)).over(_whole("account_id")).alias("_n"))
+        F.dayofmonth("to_dt").alias("day"), "days_passed",
+        "prev_pd_kwh", "prev_pd_tavg_interval_sum", "prev_prev_pd_kwh", "prev_prev_pd_tavg_interval_sum",
+        "_rn", "_n")
     x = x.where(F.col("_rn") > LAG_ROWS).select(
         "*", (F.col("_rn") - LAG_ROWS).cast("int").alias("row_idx"),
         (F.col("_n") - LAG_ROWS).cast("int").alias("n_rows"),
         (F.col("_rn") == F.col("_n")).alias("is_eval")).drop("_rn", "_n")
     if scope == "train":
         train_kwh = F.when(~F.col("is_eval"), F.col("kwh"))
-        avg_kwh = exact_mean4(train_kwh, _whole("account_id"))
-        month_avg = exact_mean4(train_kwh, _whole("account_id", "month"))
+        if not chunked:
+            avg_kwh = exact_mean4(train_kwh, _whole("account_id"))
+            month_avg = exact_mean4(train_kwh, _whole("account_id", "month"))
+        else:  # grouped means joined back: partial aggregation keeps a large account spread
+            acc_mean = x.groupBy("account_id").agg(mean4(F.sum(train_kwh), F.count(train_kwh)).alias("avg_kwh"))
+            mon_mean = x.groupBy("account_id", "month").agg(mean4(F.sum(train_kwh), F.count(train_kwh)).alias("_m"))
+            x = x.join(acc_mean, "account_id").join(mon_mean, ["account_id", "month"], "left")
+            avg_kwh, month_avg = F.col("avg_kwh"), F.col("_m")
     elif scope == "all":
         all_mean = (base.groupBy("account_id")
                     .agg(mean4(F.sum("kwh"), F.count("kwh")).alias("avg_kwh")))
