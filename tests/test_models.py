@@ -87,3 +87,17 @@ def test_feature_names_match_coefficients(spark):
     table = fc.coefficient_table(spark, df, spec).collect()
     names = [r.feature for r in table]
     assert names[0] == "intercept" and len(names) == 1 + 1 + 13 + 13
+
+
+def test_walk_forward_ols_chunked_path_matches(spark):
+    df = _features(spark)
+    spec = mf.FeatureSpec(numeric=["tavg_interval_sum", "days_passed"], categorical=["month"])
+    plain = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols(df, spec).collect()}
+    spark.conf.set("wattflow.window.rowsPerChunk", "2")
+    try:
+        chunked = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols(df, spec).collect()}
+    finally:
+        spark.conf.unset("wattflow.window.rowsPerChunk")
+    assert plain.keys() == chunked.keys()
+    for k in plain:
+        assert chunked[k] == pytest.approx(plain[k], rel=1e-7, abs=1e-6)

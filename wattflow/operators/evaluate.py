@@ -26,12 +26,19 @@ def naive_forecasts(features: DataFrame, share: float = 0.8) -> DataFrame:
     Every baseline uses only rows before the test row (prefix windows), so no
     target leaks.  Long format: key, model, prediction (decimal, 4 places).
     """
-    before = Window.partitionBy("account_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    month_before = Window.partitionBy("account_id", "month").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    exp = mean4(F.sum("kwh").over(before), F.count("kwh").over(before))
-    mon = mean4(F.sum("kwh").over(month_before), F.count("kwh").over(month_before))
+    from wattflow.operators.prefix import prefix_sums
+
+    n_kwh = F.col("kwh").isNotNull().cast("long")
+    x = prefix_sums(features, ["account_id"], "to_dt", ORDER, {"kwh": F.col("kwh"), "n": n_kwh})
+    x = prefix_sums(x, ["account_id", "month"], "to_dt", ORDER, {"m_kwh": F.col("kwh"), "m_n": n_kwh})
+
+    def mean(total, count):
+        return mean4(F.col(total), F.when(F.col(count) > 0, F.col(count)))
+
+    exp = mean("_before_kwh", "_before_n")
+    mon = mean("_before_m_kwh", "_before_m_n")
     init = F.floor(F.col("n_rows") * F.lit(share)).cast("int")
-    wide = (features.select(*TEST_KEY, "row_idx", init.alias("_init"),
+    wide = (x.select(*TEST_KEY, "row_idx", init.alias("_init"),
                             F.col("prev_pd_kwh").cast("decimal(18,4)").alias(PREVIOUS),
                             exp.alias(EXPANDING), F.coalesce(mon, exp).alias(SAME_MONTH))
             .where(F.col("row_idx") > F.col("_init")))

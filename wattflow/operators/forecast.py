@@ -166,15 +166,21 @@ def walk_forward_ols(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share:
     df, cols = _design(features, spec)
     y = F.col(spec.label).cast("double")
     p = len(cols)
-    before = Window.partitionBy("account_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    from wattflow.operators.prefix import prefix_sums
+
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    stats = df.select(
+    sums = {"n": F.lit(1).cast("long"), "y": y}
+    sums.update({f"x{i}": F.col(c) for i, c in enumerate(cols)})
+    sums.update({f"xx{i}_{j}": F.col(cols[i]) * F.col(cols[j]) for i, j in pairs})
+    sums.update({f"xy{i}": F.col(c) * y for i, c in enumerate(cols)})
+    pre = prefix_sums(df.select(*TEST_KEY, "row_idx", "n_rows", *cols), ["account_id"], "to_dt", ORDER, sums)
+    stats = pre.select(
         *TEST_KEY, "row_idx", "n_rows",
-        F.count(F.lit(1)).over(before).cast("double").alias("_n"),
-        F.array(*[F.sum(F.col(c)).over(before) for c in cols]).alias("_sx"),
-        F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])).over(before) for i, j in pairs]).alias("_sxx"),
-        F.array(*[F.sum(F.col(c) * y).over(before) for c in cols]).alias("_sxy"),
-        F.sum(y).over(before).alias("_sy"),
+        F.col("_before_n").cast("double").alias("_n"),
+        F.array(*[F.col(f"_before_x{i}") for i in range(p)]).alias("_sx"),
+        F.array(*[F.col(f"_before_xx{i}_{j}") for i, j in pairs]).alias("_sxx"),
+        F.array(*[F.col(f"_before_xy{i}") for i in range(p)]).alias("_sxy"),
+        F.col("_before_y").alias("_sy"),
         F.array(*[F.col(c) for c in cols]).alias("_xt"))
     tests = stats.where(_test_rows(stats, share))
     out_schema = T.StructType([

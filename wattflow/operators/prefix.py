@@ -92,3 +92,23 @@ def chunked_scan(df: DataFrame, keys: list[str], date_col: str, order: list[str]
           .otherwise(F.col(f"_p2_{c}")).alias(f"_lag2_{c}") for c in lags],
         *[F.col(f"_first_{c}") for c in firsts])
     return out
+
+
+def prefix_sums(df: DataFrame, keys: list[str], date_col: str, order: list[str],
+                sums: dict[str, Column], chunk_rows: int | None = None) -> DataFrame:
+    """``df`` plus ``_before_<name>``: the sum over the key's earlier rows (0 if none).
+
+    Skew-checked: the input is cached and its largest key counted; keys within
+    the bound use a plain window, larger ones the chunked scan.
+    """
+    from wattflow.plans.sizing import cached
+
+    limit = chunk_rows or rows_per_chunk(df)
+    kept = cached(df)
+    largest = kept.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    if largest <= limit:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return kept.select("*", *[F.coalesce(F.sum(e).over(before), F.lit(0)).alias(f"_before_{k}")
+                                  for k, e in sums.items()])
+    s = chunked_scan(kept, keys, date_col, order, sums=sums, chunk_rows=limit)
+    return s.select(*kept.columns, *[f"_before_{k}" for k in sums])
