@@ -73,3 +73,17 @@ def test_chunked_account_features_equal_plain(spark):
     for r in (1, 3, 7):
         ch = acc.account_features(df, elig, cut, chunk_rows=r).select(*plain.columns)
         assert plain.exceptAll(ch).count() == 0 and ch.exceptAll(plain).count() == 0
+
+
+def test_folds_chunked_equal_plain(spark):
+    rows = _rows(4, 30)
+    df = spark.createDataFrame(rows, SCHEMA)
+    cut = D(2030, 1, 1)
+    f = acc.account_features(df, acc.eligibility(df, cut), cut)
+    plain = acc.walk_forward_folds(f).collect()
+    spark.conf.set("wattflow.window.rowsPerChunk", "3")
+    try:
+        chunked = acc.walk_forward_folds(f).collect()
+    finally:
+        spark.conf.unset("wattflow.window.rowsPerChunk")
+    assert sorted(plain) == sorted(chunked) and len(plain) == 6

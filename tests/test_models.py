@@ -101,3 +101,12 @@ def test_walk_forward_ols_chunked_path_matches(spark):
     assert plain.keys() == chunked.keys()
     for k in plain:
         assert chunked[k] == pytest.approx(plain[k], rel=1e-7, abs=1e-6)
+
+
+def test_walk_forward_ols1_chunked_path_matches(spark):
+    df = _features(spark, n_accounts=3, n=15)
+    plain = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols1(df).collect()}
+    chunked = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols1(df, chunk_rows=2).collect()}
+    assert plain.keys() == chunked.keys() and len(plain) > 0
+    for k in plain:
+        assert plain[k] is not None and abs(float(plain[k]) - float(chunked[k])) <= 0.002

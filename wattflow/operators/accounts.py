@@ -178,14 +178,16 @@ def walk_forward_folds(features: DataFrame, share: float = TRAIN_SHARE) -> DataF
 
     Fold i of an account trains on its first init + i rows and tests the next;
     the training rows are described by count and date range, never listed.
+    The ordered scan is skew-checked (``operators.prefix``).
     """
+    from wattflow.operators.prefix import ordered_scan
+
     init = F.floor(F.col("n_rows") * F.lit(share)).cast("int")
-    w = _ordered()
-    return (features
-            .select("account_id", "from_dt", "to_dt", "kwh", "row_idx", "n_rows",
-                    F.first("to_dt").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("train_first_to_dt"),
-                    F.lag("to_dt", 1).over(w).alias("train_last_to_dt"),
-                    init.alias("_init"))
+    scan = ordered_scan(features.select("account_id", "from_dt", "to_dt", "kwh", "row_idx", "n_rows"),
+                        ["account_id"], "to_dt", ORDER, lags=["to_dt"], firsts=["to_dt"])
+    return (scan.select("account_id", "from_dt", "to_dt", "kwh", "row_idx",
+                        F.col("_first_to_dt").alias("train_first_to_dt"),
+                        F.col("_lag1_to_dt").alias("train_last_to_dt"), init.alias("_init"))
             .where(F.col("row_idx") > F.col("_init"))
             .select("account_id", "from_dt", "to_dt", "kwh",
                     (F.col("row_idx") - F.col("_init") - 1).cast("int").alias("fold"),

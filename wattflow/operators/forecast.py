@@ -124,21 +124,42 @@ def _fold(share: float) -> F.Column:
 
 
 def walk_forward_ols1(features: DataFrame, x: str = "tavg_interval_sum", y: str = "kwh",
-                      share: float = 0.8, min_var: float = 1e-9) -> DataFrame:
+                      share: float = 0.8, min_var: float = 1e-9, chunk_rows: int | None = None) -> DataFrame:
     """One-regressor walk-forward forecast from prefix regression aggregates.
 
     The slope and intercept of all rows before the test row come from window
-    aggregates; a prefix whose regressor barely varies gives no prediction.
+    aggregates (``regr_slope`` / ``regr_intercept``); a prefix whose regressor
+    barely varies gives no prediction.  When an account exceeds the chunk
+    bound, the same line comes from chunked prefix sums of n, x, y, xx, xy.
     """
-    before = Window.partitionBy("account_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    slope = F.regr_slope(F.col(y), F.col(x)).over(before)
-    icpt = F.regr_intercept(F.col(y), F.col(x)).over(before)
-    var = F.var_pop(F.col(x)).over(before)
-    pred = F.when(var > min_var, icpt + slope * F.col(x)).cast("decimal(18,3)")
-    x = (features.select(*TEST_KEY, "row_idx", "n_rows", pred.alias("prediction"))
-         .where(_test_rows(features, share)))
-    return x.select(*TEST_KEY, _fold(share).alias("fold"), "prediction",
-                    F.abs(F.col("kwh").cast("decimal(18,3)") - F.col("prediction")).cast("decimal(18,3)").alias("abs_error"))
+    from wattflow.operators.prefix import chunked_scan, largest_key, rows_per_chunk
+    from wattflow.plans.sizing import cached
+
+    limit = chunk_rows or rows_per_chunk(features)
+    kept = cached(features.select(*TEST_KEY, "row_idx", "n_rows", x, y) if y not in TEST_KEY
+                  else features.select(*TEST_KEY, "row_idx", "n_rows", x))
+    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    if largest_key(kept, ["account_id"]) <= limit:
+        before = Window.partitionBy("account_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+        slope = F.regr_slope(F.col(y), F.col(x)).over(before)
+        icpt = F.regr_intercept(F.col(y), F.col(x)).over(before)
+        var = F.var_pop(F.col(x)).over(before)
+        base = kept
+    else:
+        ok = xc.isNotNull() & yc.isNotNull()
+        sums = {"n": F.when(ok, F.lit(1.0)), "sx": F.when(ok, xc), "sy": F.when(ok, yc),
+                "sxx": F.when(ok, xc * xc), "sxy": F.when(ok, xc * yc)}
+        base = chunked_scan(kept, ["account_id"], "to_dt", ORDER, sums=sums, chunk_rows=limit)
+        n, sx, sy = F.col("_before_n"), F.col("_before_sx"), F.col("_before_sy")
+        sxx, sxy = F.col("_before_sxx"), F.col("_before_sxy")
+        var = F.when(n > 0, sxx / n - (sx / n) * (sx / n))
+        slope = F.when(n > 0, (n * sxy - sx * sy) / (n * sxx - sx * sx))
+        icpt = F.when(n > 0, (sy - slope * sx) / n)
+    pred = F.when(var > min_var, icpt + slope * xc).cast("decimal(18,3)")
+    out = (base.select(*TEST_KEY, "row_idx", "n_rows", pred.alias("prediction"))
+           .where(_test_rows(base, share)))
+    return out.select(*TEST_KEY, _fold(share).alias("fold"), "prediction",
+                      F.abs(F.col("kwh").cast("decimal(18,3)") - F.col("prediction")).cast("decimal(18,3)").alias("abs_error"))
 
 
 def _design(features: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, list[str]]:

@@ -112,3 +112,31 @@ def prefix_sums(df: DataFrame, keys: list[str], date_col: str, order: list[str],
                                   for k, e in sums.items()])
     s = chunked_scan(kept, keys, date_col, order, sums=sums, chunk_rows=limit)
     return s.select(*kept.columns, *[f"_before_{k}" for k in sums])
+
+
+def largest_key(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest key (map-side partial count, one-row result)."""
+    return df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"] or 0
+
+
+def ordered_scan(df: DataFrame, keys: list[str], date_col: str, order: list[str],
+                 sums: dict[str, Column] | None = None, lags: list[str] | None = None,
+                 firsts: list[str] | None = None, chunk_rows: int | None = None) -> DataFrame:
+    """``chunked_scan``'s columns, by plain windows when every key is within the bound."""
+    from wattflow.plans.sizing import cached
+
+    sums, lags, firsts = sums or {}, lags or [], firsts or []
+    limit = chunk_rows or rows_per_chunk(df)
+    kept = cached(df)
+    if largest_key(kept, keys) > limit:
+        return chunked_scan(kept, keys, date_col, order, sums, lags, firsts, limit)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return kept.select(
+        "*", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"),
+        F.row_number().over(w).alias("_rn"),
+        *[F.coalesce(F.sum(e).over(before), F.lit(0)).alias(f"_before_{k}") for k, e in sums.items()],
+        *[F.lag(c, 1).over(w).alias(f"_lag1_{c}") for c in lags],
+        *[F.lag(c, 2).over(w).alias(f"_lag2_{c}") for c in lags],
+        *[F.first(c).over(whole).alias(f"_first_{c}") for c in firsts])
