@@ -38,6 +38,7 @@ FOREST_TREES = 150
 FOREST_GRID = [150, 200]
 CV_FOLDS = 5
 FOREST_MAX_DEPTH = 10  # the reference grows unlimited trees; Spark stops at 30 (T28)
+FOREST_MEMORY_MB = 32  # split statistics per task and pass; bounded so many tasks fit one heap
 
 
 def linear(label: str = "kwh") -> LinearRegression:
@@ -50,7 +51,7 @@ def forest(label: str = "kwh", trees: int = FOREST_TREES, seed: int = 42) -> Ran
     """Random forest on all features per split, bootstrap rows."""
     return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
                                  featureSubsetStrategy="all", maxDepth=FOREST_MAX_DEPTH,
-                                 minInstancesPerNode=1, seed=seed)
+                                 minInstancesPerNode=1, seed=seed, maxMemoryInMB=FOREST_MEMORY_MB)
 
 
 def algorithm_registry(label: str = "kwh") -> dict:
@@ -79,6 +80,9 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     training uses every core instead of the one or two partitions a small
     aggregate ends up in.
     """
+    from wattflow.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
         df = df.repartition(slots)
