@@ -569,3 +569,17 @@ def q_rf_tree_compare(spark, sf):
 @query("grid_search")
 def q_grid_search(spark, sf):
     return fc.grid_search(spark, models.notebook_split(domain(spark, sf)))
+
+
+# ------------------------------------------------------------------ preview
+PREVIEW_N = 5
+
+
+@query("preview_rows", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, avg_kwh_day_over_invoice, perc_missing FROM matched1
+ORDER BY account_id, to_dt, from_dt, kwh LIMIT {PREVIEW_N}""", "matched1"))
+def q_preview_rows(spark, sf):
+    """First rows of the feature table in publish order: an ordered top-n (F8)."""
+    m = matched.matched_table_1(domain(spark, sf))
+    return (m.select("account_id", "from_dt", "to_dt", "kwh", "avg_kwh_day_over_invoice", "perc_missing")
+            .orderBy("account_id", "to_dt", "from_dt", "kwh").limit(PREVIEW_N))
