@@ -15,9 +15,9 @@ LOWER = UPPER.lower()
 # A word of the licence and decontamination operators (after ASCII lower-casing).
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NON_WORD_PATTERN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# A key is hot when it holds at least 1 / HOT_KEYS of all rows, so at most HOT_KEYS keys are.
+# The most frequent keys of a join, and over how many parts the rows of each are dealt.
 HOT_KEYS = 1024
-SPREAD = 997
+SPREAD = 64
 
 
 def ascii_lower(c: Column) -> Column:
@@ -68,28 +68,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return cut_to(df, name)[0]
 
 
-def attach(rows: DataFrame, table: DataFrame, key: str, count: str, total: int,
+def attach(rows: DataFrame, table: DataFrame, key: str, count: str,
            spread_by: list[str]) -> DataFrame:
-    """Left-join ``table`` (one row per key, its row count in ``count``) onto ``rows``.
+    """Left-join ``table`` (one row per key, how many ``rows`` have it in ``count``) onto ``rows``.
 
-    Keys with at least ``total / HOT_KEYS`` rows (at most HOT_KEYS of them, as
-    the counts add up to ``total``) are joined by broadcast; their rows are then
-    dealt out by ``spread_by`` in the shuffle join that serves all other keys,
-    so no task receives a hot key.  Rows with a null key match nothing.
+    The HOT_KEYS most frequent keys (the list of keys alone is broadcast, so its
+    size is bounded; any key with over 1 / HOT_KEYS of the rows is among them)
+    are dealt out over SPREAD parts by ``spread_by``, and their table row is
+    repeated for each part.  No task receives a hot key whole.  A null key
+    matches nothing.
     """
     values = [c for c in table.columns if c not in (key, count)]
-    bound = max(2, -(-int(total) // HOT_KEYS))
-    hot = table.filter(F.col(count) >= bound).select(
-        F.col(key), F.struct(*values).alias("_hot"))
-    cold = table.filter(F.col(count) < bound).select(
-        F.col(key), F.lit(0).alias("_spread"), F.struct(*values).alias("_cold"))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_spread", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(),
-                          1 + F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int"))
+    hot = F.broadcast(table.filter((F.col(count) > SPREAD) & F.col(key).isNotNull())
+                      .orderBy(F.col(count).desc(), key).limit(HOT_KEYS)
+                      .select(key, F.lit(True).alias("_hot")))
+    dealt = rows.join(hot, key, "left").withColumn(
+        "_part", F.when(F.col("_hot") | F.col(key).isNull(),
+                        1 + F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int"))
         .otherwise(F.lit(0)))
-    joined = salted.join(cold, [key, "_spread"], "left")
-    got = F.coalesce("_hot", "_cold")
-    return joined.select(*rows.columns, *[got[v].alias(v) for v in values])
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(F.array(F.lit(0)))
+    repeated = (table.filter(F.col(key).isNotNull()).join(hot, key, "left")
+                .select(key, *values, F.explode(parts).alias("_part")))
+    return dealt.join(repeated, [key, "_part"], "left").select(*rows.columns, *values)
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -99,14 +99,15 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Components of an undirected graph of long ids: (node, component = smallest node).
+    """Components of an undirected graph: (node, component = smallest node).
 
     Alternates large-star and small-star steps (each hangs the neighbours of a
     node under its smallest one) until the edge set stops changing, which takes
     few rounds even on long chains.  Every round is joins and partial
     aggregates over the edges, is written to the shared folder, and hubs of any
     degree are spread (see ``attach``).  Nodes are those of the edges; self
-    loops and null ends are ignored; repeated edges count once.
+    loops and null ends are ignored; repeated edges count once.  Ids may be of
+    any type that has an order.
     """
     spark = edges.sparkSession
     e = (edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -117,12 +118,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = (both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
                .select("u", F.least("u", "m").alias("m"), "n"))
-        large = (attach(both, low, "u", "n", 2 * state[0], ["v"]).filter("v > u")
+        large = (attach(both, low, "u", "n", ["v"]).filter("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         large, large_folder = cut_to(large, "cc")
-        n_large = large.count()
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = (attach(large, down, "u", "n", n_large, ["v"]).filter("v <> m")
+        small = (attach(large, down, "u", "n", ["v"]).filter("v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         new, new_folder = cut_to(small, "cc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattflow.llm import chat, topk
+from wattflow.llm import chat, license_scan, secret_scan, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,27 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.filter(F.col("id") % 50 == 0), rows, k=5)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+# Fixed rules: host, path, verdict.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -29,10 +50,102 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_license_scan": op4_license_scan,
+    "op5_url_filter": op5_url_filter,
     "op9_chat_format": op9_chat_format,
 }
 
+# Words of the licence operator and its templates, for SQL.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
+         r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TEMPLATES = ", ".join(
+    f"({t}, '{x.label}', {str(x.base).lower()}, {len(x.words.split()) - license_scan.K + 1}, {q}, "
+    f"'{' '.join(x.words.split()[q:q + license_scan.K])}')"
+    for t, x in enumerate(license_scan.TEMPLATES) for q in range(len(x.words.split()) - license_scan.K + 1))
+
+
+def _secret_matches(number: int, rule: secret_scan.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return (f"SELECT r, '{rule.kind}' AS kind, {number} AS n, {str(rule.base).lower()} AS base, {rule.least} AS least, "
+            f"regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {rule.group}) AS gs, "
+            f"regexp_split_to_array(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}')")
+
+
+_SECRETS = " UNION ALL ".join(_secret_matches(n, r) for n, r in enumerate(secret_scan.RULES))
+
 ORACLE = {
+    "op2_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_SECRETS}),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (SELECT r, kind, n, base, gs[i] AS g, least, length(ms[i]) AS size,
+    list_sum([length(p) FOR p IN ps[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS start FROM i),
+f AS (SELECT r, kind, n, base, CAST(start AS BIGINT) AS start,
+    kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS span FROM s WHERE length(g) >= least),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, n) FILTER (base) AS based,
+    string_agg(span, ',' ORDER BY start, n) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
+    "op4_license_scan": f"""
+WITH t(template, label, base, grams, q, gram) AS (VALUES {_TEMPLATES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT r, w, unnest(range(len(w) - {license_scan.K - 1})) AS p FROM d),
+g AS (SELECT r, p, array_to_string(w[p + 1:p + {license_scan.K}], ' ') AS gram FROM p),
+v AS (SELECT r, template, label, base, grams, p - q AS diagonal, bit_or(1 << q) AS votes
+  FROM g JOIN t USING (gram) GROUP BY ALL),
+a AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal)
+    > {license_scan.MAX_SHIFT} THEN 1 ELSE 0 END AS far FROM v),
+b AS (SELECT *, sum(far) OVER (PARTITION BY r, template ORDER BY diagonal) AS span,
+    base AND bit_count(votes) = grams AS exact FROM a),
+c AS (SELECT r, template, label, base, span, count(*) FILTER (exact) AS n_base, min(diagonal) FILTER (exact) AS first,
+    max(diagonal) FILTER (exact) AS last, bit_count(bit_or(votes)) / CAST(any_value(grams) AS DOUBLE) AS cover
+  FROM b GROUP BY ALL),
+e AS (SELECT *, CASE WHEN base THEN n_base > 0 ELSE cover >= {license_scan.MIN_COVER} END AS ok FROM c),
+h AS (SELECT r, sum(n_base) AS n_base, min(first) AS first_word, max(last) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (n_base > 0))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (ok))), ',') AS labels,
+    max(cover) FILTER (ok) AS score FROM e GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN h USING (r)""",
+    "op5_url_filter": r"""
+WITH RECURSIVE rules(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+  ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+raw AS (SELECT row_number() OVER () AS r, page_id, url, strpos(url, '://') > 0 AS ok,
+    regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script.*?</script>', '', 'g') AS html FROM pages),
+tags AS (SELECT url, ok, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)[^>]*>')) AS tag FROM raw WHERE ok),
+links AS (SELECT url, replace(CASE
+    WHEN regexp_matches(tag, '(?is)^<link.*rel\s*=\s*["'']?canonical')
+      THEN regexp_extract(tag, '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh')
+      THEN regexp_extract(tag, '(?is)content\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>]+)', 1)
+    ELSE '' END, '&amp;', '&') AS dest FROM tags),
+x AS (SELECT url AS a, CASE WHEN strpos(dest, '://') > 0 THEN dest
+    WHEN starts_with(dest, '//') THEN split_part(url, '://', 1) || ':' || dest
+    WHEN starts_with(dest, '/') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*') || dest
+    ELSE regexp_extract(url, '(?s)^.*?://[^/?#]*') ||
+      regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') || dest END AS b
+  FROM links WHERE dest <> ''),
+urls AS (SELECT url AS u FROM raw WHERE ok UNION SELECT b FROM x),
+parts AS (SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(u, '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1) AS query FROM urls),
+node AS (SELECT u, host, path, host || path || query AS k FROM parts),
+fit AS (SELECT u, h || p AS rule, verdict,
+    row_number() OVER (PARTITION BY u ORDER BY length(h) + length(p) DESC, verdict) AS pick
+  FROM node JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+own AS (SELECT u, host, path, k, rule, verdict FROM node LEFT JOIN (SELECT * FROM fit WHERE pick = 1) USING (u)),
+e AS (SELECT DISTINCT m.k AS a, n.k AS b FROM x JOIN node m ON m.u = x.a JOIN node n ON n.u = x.b WHERE m.k <> n.k),
+und AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, a FROM und UNION SELECT reach.a, und.b FROM reach JOIN und ON reach.b = und.a),
+cls AS (SELECT reach.a AS k, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked
+  FROM reach JOIN own ON own.k = reach.b GROUP BY reach.a)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+  coalesce(verdict, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' END, 'allow') AS verdict
+FROM raw LEFT JOIN own ON own.u = raw.url LEFT JOIN cls USING (k)""",
     "op1_exact_topk": """
 WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS q
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
