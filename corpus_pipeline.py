@@ -1,13 +1,64 @@
-"""Training-data pipeline over ``documents``: stages of the operators in wattflow.llm."""
+"""Training-data pipeline over ``documents``: each stage calls one operator of wattflow.llm.
+
+run(spark, sf_dir) applies the stages in order; every stage's result is written
+to the folder that the cluster shares and reread as the next one's input.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wattflow.llm import bpe, decontaminate, secret_scan, simhash, toxicity
+from wattflow.llm.common import cut
+from wattflow.llm.queries import RANKS, public_tokenizers
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from the labelled ones of ``docs`` that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of the smallest id."""
+    return simhash.first_of_each_group(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by passages of ``benchmark`` go."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark and n_chars follows; other documents stay as they are."""
+    return (secret_scan.masked(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+            .select(*docs.columns))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decodes): token ids, and whether they decode to the text."""
+    ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
+                      bpe.encode_ids(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("ids"))
+    decoded = bpe.decode_ids(F.col("ids"), RANKS, public_tokenizers.PATTERN)
+    return (ids.select("doc_id", "text", "ids", decoded.alias("bytes"))
+            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                    (F.col("bytes") == F.col("text").cast("binary")).alias("decodes")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("byte_bpe", encode),
+]
+# a trained model, XXH64 fingerprints and BPE are beyond SQL: tested against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
