@@ -38,12 +38,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decodes): token ids, and whether they decode to the text."""
-    ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                      bpe.encode_ids(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("ids"))
-    decoded = bpe.decode_ids(F.col("ids"), RANKS, public_tokenizers.PATTERN)
-    return (ids.select("doc_id", "text", "ids", decoded.alias("bytes"))
-            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                    (F.col("bytes") == F.col("text").cast("binary")).alias("decodes")))
+    return bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
 
 
 STAGES = [

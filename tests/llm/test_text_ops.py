@@ -228,3 +228,12 @@ def test_near_duplicates_on_the_small_table(spark):
 
 def test_registered_query_columns(spark):
     assert queries.op8_simhash(spark, SMALL).columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def test_encoded_documents(spark):
+    df, rows = docs(spark)
+    plain = bpe.Tree(RANKS, public_tokenizers.PATTERN).plain
+    got = bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(str((r.doc_id, r.ids)) for r in got) == sorted(
+        str((i, plain.encode_ordinary(t or ""))) for i, t, *_ in rows)
+    assert all(r.decodes and r.n_tokens == len(r.ids) for r in got)

@@ -116,25 +116,34 @@ def tree(path: str, pattern: str) -> Tree:
     return Tree(path, pattern)
 
 
-def encode_ids(text: Column, path: str, pattern: str) -> Column:
-    """array<int> of token ids; a null text is empty."""
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = tree(path, pattern)
-        for texts in batches:
-            yield pd.Series([bpe.encode(t or "").astype(np.int32) for t in texts], dtype=object)
-    return encode.asNondeterministic()(text)
+def _slices(pdf: pd.DataFrame, text_col: str, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of about ``most`` characters together."""
+    sizes = np.cumsum([len(t or "") for t in pdf[text_col]]) // most
+    for _, part in pdf.groupby(sizes, sort=False):
+        yield part
 
 
-def decode_ids(ids: Column, path: str, pattern: str) -> Column:
-    """The bytes of token ids; null ids decode to nothing."""
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decodes): the token ids of every text, and whether they decode to it.
+
+    A null text is empty; null ids and repeated rows are kept; an empty table gives no rows.
+    """
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tree(path, pattern)
-        for rows in batches:
-            yield pd.Series([bpe.decode(np.asarray(r if r is not None else [], np.uint32)) for r in rows],
-                            dtype=object)
-    return decode.asNondeterministic()(ids)
+        for pdf in batches:
+            for part in _slices(pdf, "text"):
+                texts = [t or "" for t in part["text"]]
+                ids = [bpe.encode(t) for t in texts]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].array, "n_tokens": [len(i) for i in ids],
+                    "ids": [i.astype(np.int32) for i in ids],
+                    "decodes": [bpe.decode(i) == t.encode() for i, t in zip(ids, texts)]})
+
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(docs.dtypes)[id_col]
+    return (rows.mapInPandas(encode, "doc_id string, n_tokens long, ids array<int>, decodes boolean")
+            .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,9 +13,11 @@ text is scored whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ MAX_FEATURES = 4000
 PENALTY = 0.3
 STEPS = 400
 # Words whose evidence a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -102,64 +104,91 @@ def features(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in STEMS if len(word) > n]]
 
 
-def _bag(text: str) -> list[frozenset[str]]:
-    low = fold(text)
-    return [s for s in (frozenset(_WORD.findall(part)) for part in _SENTENCE.split(low)) if s]
+class _Bags:
+    """Documents as bags of sentences, sentences as sets of word numbers, in flat arrays."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.words, self.sentence_size, self.doc_size, self.labels = array("i"), array("i"), array("i"), []
+        self._met: set[int] = set()
+
+    def add(self, text: str, label: int) -> None:
+        """A text most of whose sentences were met before is a copy and adds nothing."""
+        low = fold(text)
+        bag = [s for s in (sorted(set(_WORD.findall(part))) for part in _SENTENCE.split(low)) if s]
+        marks = [crc32("\n".join(s).encode()) for s in bag]
+        if bag and 2 * sum(m in self._met for m in marks) > len(marks):
+            return
+        self._met.update(marks)
+        for sentence in bag:
+            self.words.extend(self.number.setdefault(w, len(self.number)) for w in sentence)
+            self.sentence_size.append(len(sentence))
+        self.doc_size.append(len(bag))
+        self.labels.append(label)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers, the sentence of each, the document of each sentence, the labels."""
+        sizes, docs = np.frombuffer(self.sentence_size, np.int32), np.frombuffer(self.doc_size, np.int32)
+        return (np.frombuffer(self.words, np.int32), np.repeat(np.arange(len(sizes)), sizes),
+                np.repeat(np.arange(len(docs)), docs), np.array(self.labels, np.int64))
 
 
 def fit(rows: Iterator[tuple[str, int]], weight: dict[int, float], chars: int) -> Model:
     """Train on (text, label) rows; ``weight`` undoes the sample's share of each label.
 
-    Reading stops beyond ``chars`` characters.  A text most of whose sentences
-    were met before is a copy and adds nothing.
+    Reading stops beyond ``chars`` characters, and copies count once.
     """
-    met: set[int] = set()
-    bags: list[list[frozenset[str]]] = []
-    labels: list[int] = []
-    counts = {0: Counter(), 1: Counter()}
+    bags = _Bags()
     for text, label in rows:
         if chars <= 0:
             break
         chars -= len(text)
-        bag = _bag(text)
-        marks = [hash(s) for s in bag]
-        if bag and 2 * sum(m in met for m in marks) > len(marks):
-            continue
-        met.update(marks)
-        bags.append(bag)
-        labels.append(label)
-        counts[label].update({f for w in set().union(*bag) for f in features(w)} if bag else ())
-    n = {y: labels.count(y) for y in (0, 1)}
+        bags.add(text, label)
+    n = {y: bags.labels.count(y) for y in (0, 1)}
     if not n[1]:
         return Model()
     prior = n[1] * weight[1] / (n[1] * weight[1] + n[0] * weight[0])
     if not n[0]:
         return Model(leak=min(prior, 0.99))
-    ratio = {}
-    for f, a in counts[1].items():
-        b = counts[0].get(f, 0)
-        if a >= MIN_DOCS and a * n[0] > b * n[1]:
-            r = _likelihood_ratio(a, n[1], b, n[0])
-            if r >= MIN_RATIO:
-                ratio[f] = r
-    names = sorted(ratio, key=lambda f: (-ratio[f], f))[:MAX_FEATURES]
-    if not names:
+    words, s_of_word, d_of_sentence, labels = bags.flat()
+    d_of_word = d_of_sentence[s_of_word]
+    # each word once in each document
+    pairs = np.unique(d_of_word.astype(np.int64) * len(bags.number) + words)
+    doc, word = pairs // len(bags.number), pairs % len(bags.number)
+    toxic = labels[doc] == 1
+    spelled = np.array(list(bags.number), dtype=object)
+    index = _chosen_features(spelled, doc, word, toxic, n)
+    if not index:
         return Model(leak=min(prior, 0.25))
-    index = {f: i for i, f in enumerate(names)}
-    # sentences with evidence as rows of a sparse count matrix
-    s_doc, entry_s, entry_f = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            found = [index[f] for w in words for f in features(w) if f in index]
-            if found:
-                entry_s += [len(s_doc)] * len(found)
-                entry_f += found
-                s_doc.append(d)
-    s_doc, entry_s, entry_f = (np.array(x, np.int64) for x in (s_doc, entry_s, entry_f))
-    y = np.array(labels, float)
-    doc_weight = np.where(y == 1, weight[1], weight[0])
-    doc_weight *= len(y) / doc_weight.sum()
-    return _train(names, s_doc, entry_s, entry_f, y, doc_weight)
+    # the entries of a sparse matrix: sentences with evidence x features
+    of_word = {w: [index[f] for f in features(spelled[w]) if f in index] for w in np.unique(word).tolist()}
+    of_word = {w: fs for w, fs in of_word.items() if fs}
+    hit = np.isin(words, np.array(list(of_word), np.int32))
+    sentences, row = np.unique(s_of_word[hit], return_inverse=True)
+    found = [of_word[w] for w in words[hit].tolist()]
+    entry_s = np.repeat(row, [len(fs) for fs in found])
+    entry_f = np.array([f for fs in found for f in fs], np.int64)
+    doc_weight = np.where(labels == 1, weight[1], weight[0])
+    doc_weight *= len(labels) / doc_weight.sum()
+    return _train(list(index), d_of_sentence[sentences], entry_s, entry_f, labels.astype(float), doc_weight)
+
+
+def _chosen_features(spelled, doc, word, toxic, n) -> dict[str, int]:
+    """The features that speak for toxicity, strongest first, numbered."""
+    def in_docs(of_label: np.ndarray, known: dict[str, int] | None) -> dict[str, int]:
+        counts: Counter = Counter()
+        edges = np.flatnonzero(np.diff(doc[of_label], prepend=-1, append=-1))
+        for part in np.split(word[of_label], edges[1:-1]):
+            fs = {f for w in part.tolist() for f in features(spelled[w])}
+            counts.update(fs if known is None else [f for f in fs if f in known])
+        return counts
+
+    toxic_docs = {f: a for f, a in in_docs(toxic, None).items() if a >= MIN_DOCS}
+    clean_docs = in_docs(~toxic, toxic_docs)
+    ratio = {f: _likelihood_ratio(a, n[1], clean_docs.get(f, 0), n[0]) for f, a in toxic_docs.items()
+             if a * n[0] > clean_docs.get(f, 0) * n[1]}
+    names = sorted((f for f, r in ratio.items() if r >= MIN_RATIO), key=lambda f: (-ratio[f], f))
+    return {f: i for i, f in enumerate(names[:MAX_FEATURES])}
 
 
 def _likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
