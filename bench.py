@@ -3,9 +3,10 @@
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_QUERIES (comma list to override the headline set).
 Each query is forced end to end with the no-op sink (every row computed,
-nothing collected).  Times are wall seconds per query in one session.  JVM
-class loading and JIT warm-up are paid once, untimed, by running the
-flagship query on the smallest scale factor first.
+nothing collected).  Times are wall seconds per query in one session, from
+building the plan on; the cache is cleared before each, so no query reads what
+another one left.  JVM class loading and JIT warm-up are paid once, untimed, by
+running the flagship query on the smallest scale factor first.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ HEADLINE = [
     "matched_table_1",        # full one-station feature table
     "account_features",       # customer path
     "walk_forward_ols1",      # prefix regression forecast
-    "walk_forward_ols",       # prefix Gram + batched solves
+    "walk_forward_ols",       # exact prefix sums + small solves
     "errors_pooled",          # naive-forecast error tables
     "load_shares",            # pivot of the largest table
     "nearest_centroid",       # account curves to seeded centroids
     "pooled_ols",             # pyspark.ml pipeline fit + predict
+    "pooled_rf",              # pooled forest
+    "walk_forward_rf",        # one forest per calendar year
 ]
 
 
@@ -49,6 +52,7 @@ def main() -> None:
         QUERIES["invoice_weather_1"](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
+        spark.catalog.clearCache()
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)

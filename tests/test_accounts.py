@@ -33,7 +33,7 @@ def test_eligibility_reasons(spark):
 def test_features_cutoff_lags_holdout(spark):
     rows = _rows(4, 8) + [(4, D(2021, 3, 1), D(2021, 3, 28), 999, "1", 5.0)]  # late row
     df = spark.createDataFrame(rows, SCHEMA)
-    f = acc.account_features(df, acc.eligibility(df, CUT), CUT).orderBy("row_idx").collect()
+    f = acc.account_features(df, CUT).orderBy("row_idx").collect()
     assert len(f) == 6 and all(r.to_dt <= CUT for r in f)
     assert [r.is_eval for r in f] == [False] * 5 + [True]
     assert f[0].prev_pd_kwh == 101 and f[0].prev_prev_pd_kwh == 100
@@ -45,7 +45,7 @@ def test_features_cutoff_lags_holdout(spark):
 def test_new_month_in_holdout_falls_back(spark):
     rows = _rows(5, 7)  # months 1..7; after the lag drop months 3..7, month 7 only in the last row
     df = spark.createDataFrame(rows, SCHEMA)
-    f = acc.account_features(df, acc.eligibility(df, CUT), CUT)
+    f = acc.account_features(df, CUT)
     last = f.where("is_eval").collect()[0]
     assert last.avg_kwh_for_cust_for_current_month == last.avg_kwh
 
@@ -68,10 +68,10 @@ def test_chunked_account_features_equal_plain(spark):
     rows = _rows(4, 30) + _rows(6, 9, start_month=3) + [(6, D(2020, 5, 1), D(2020, 5, 28), 7, "1", 3.0)]
     df = spark.createDataFrame(rows, SCHEMA)
     cut = D(2030, 1, 1)
-    elig = acc.eligibility(df, cut)
-    plain = acc.account_features(df, elig, cut)
-    for r in (1, 3, 7):
-        ch = acc.account_features(df, elig, cut, chunk_rows=r).select(*plain.columns)
+    for scope, r in (("train", 2), ("train", 256), ("all", 5)):
+        plain = acc.account_features(df, cut, scope)
+        ch = acc.account_features(df, cut, scope, chunked=True, chunks=r)
+        assert ch.columns == plain.columns
         assert plain.exceptAll(ch).count() == 0 and ch.exceptAll(plain).count() == 0
 
 
@@ -79,11 +79,7 @@ def test_folds_chunked_equal_plain(spark):
     rows = _rows(4, 30)
     df = spark.createDataFrame(rows, SCHEMA)
     cut = D(2030, 1, 1)
-    f = acc.account_features(df, acc.eligibility(df, cut), cut)
+    f = acc.account_features(df, cut)
     plain = acc.walk_forward_folds(f).collect()
-    spark.conf.set("wattflow.window.rowsPerChunk", "3")
-    try:
-        chunked = acc.walk_forward_folds(f).collect()
-    finally:
-        spark.conf.unset("wattflow.window.rowsPerChunk")
+    chunked = acc.walk_forward_folds(f, chunked=True, chunks=7).collect()
     assert sorted(plain) == sorted(chunked) and len(plain) == 6

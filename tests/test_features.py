@@ -74,8 +74,25 @@ def test_chunked_windows_equal_plain(spark):
     from wattflow.sources.fixtures import domain
     base = matched.invoice_weather_1(domain(spark, SMALL)).cache()
     plain = windows.expanding_features(windows.invoice_sequence(base))
-    for rows in (1, 2, 5):
-        ch = windows.chunked_feature_windows(base, chunk_rows=rows).select(*plain.columns)
+    for chunks in (2, 5, 64):
+        ch = windows.chunked_feature_windows(base, chunks=chunks).select(*plain.columns)
         assert plain.exceptAll(ch).count() == 0 and ch.exceptAll(plain).count() == 0
-    forced = windows.feature_windows(base, chunk_rows=2).select(*plain.columns)
-    assert forced.exceptAll(plain).count() == 0
+
+
+def test_known_attributes_beat_missing_ones(spark):
+    schema = ("account_id long, account_key long, zip int, city string, state string, gender string, "
+              "billing_address2 string, utility_id int, account_type string, county_fips int, rate_class string")
+    rows = [(1, 1, 7, "a", "s", None, None, 1, "R", 10, "R2"), (1, 1, 7, "a", "s", "F", None, 1, "R", 10, "R1")]
+    assert inv_ops.account_attributes(spark.createDataFrame(rows, schema)).collect()[0].gender == "F"
+
+
+def test_zero_use_empty_tables_and_large_counts(spark):
+    from wattflow.functions.numeric import fixed_ratio, mean4
+    from wattflow.operators import clusters as cl
+    df = spark.createDataFrame([(1, *[0.0] * 12), (2, *[2.0] * 12)], ["e"] + cl.MONTH_COLS)
+    got = cl.load_shares(df, "e").collect()
+    assert [r.e for r in got] == [2] and abs(got[0].m_1_pct - 1 / 12) < 1e-12
+    r = spark.range(1).select(fixed_ratio(F.lit(1), F.lit(0), 5, 4).alias("a"),
+                              mean4(F.lit(6 * 10 ** 10), F.lit(2 * 10 ** 10)).alias("b")).first()
+    assert r.a is None and r.b == 3
+    assert qa.slice_counts(spark.createDataFrame([], "perc_missing decimal(5,4)")).where("share IS NOT NULL").count() == 0

@@ -93,20 +93,114 @@ def test_walk_forward_ols_chunked_path_matches(spark):
     df = _features(spark)
     spec = mf.FeatureSpec(numeric=["tavg_interval_sum", "days_passed"], categorical=["month"])
     plain = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols(df, spec).collect()}
-    spark.conf.set("wattflow.window.rowsPerChunk", "2")
-    try:
-        chunked = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols(df, spec).collect()}
-    finally:
-        spark.conf.unset("wattflow.window.rowsPerChunk")
-    assert plain.keys() == chunked.keys()
-    for k in plain:
-        assert chunked[k] == pytest.approx(plain[k], rel=1e-7, abs=1e-6)
+    chunked = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols(df, spec, chunked=True).collect()}
+    assert plain == chunked  # the sums are exact, so not even the last bit differs
 
 
 def test_walk_forward_ols1_chunked_path_matches(spark):
     df = _features(spark, n_accounts=3, n=15)
     plain = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols1(df).collect()}
-    chunked = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols1(df, chunk_rows=2).collect()}
-    assert plain.keys() == chunked.keys() and len(plain) > 0
-    for k in plain:
-        assert plain[k] is not None and abs(float(plain[k]) - float(chunked[k])) <= 0.002
+    chunked = {(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols1(df, chunked=True).collect()}
+    assert plain == chunked and len(plain) > 0 and None not in plain.values()
+
+
+def test_near_constant_and_constant_regressors(spark):
+    rows = []
+    for a, step in enumerate([0.001, 0.0, 0.25]):
+        rows += [(a, D(2020, 1, i + 1), D(2020, 1, i + 1), 100 + 7 * i % 13, 98765.432 + step * (i % 3), i + 1, 20)
+                 for i in range(20)]
+    df = spark.createDataFrame(rows, "account_id long, from_dt date, to_dt date, kwh int, tavg_interval_sum double, "
+                                     "row_idx int, n_rows int")
+    both = [{(r.account_id, r.to_dt): r.prediction for r in fc.walk_forward_ols1(df, chunked=c).collect()}
+            for c in (False, True)]
+    assert both[0] == both[1]
+    assert all((p is None) == (a == 1) for (a, _), p in both[0].items())
+
+
+def test_walk_forward_ols_equals_lstsq_on_the_fixture(spark):
+    """Same rule as documented: scaled singular values cut at SINGULAR, smallest norm in original units."""
+    from conftest import SMALL
+    from wattflow.plans import customers
+    from wattflow.sources.fixtures import domain
+    f = customers.features(domain(spark, SMALL)).checkpoint()
+    got = {(r.account_id, r.from_dt, r.to_dt, r.kwh): r.prediction for r in fc.walk_forward_ols(f).collect()}
+    nums, checked = fc.WALK_SPEC.numeric, 0
+    for _, g in f.toPandas().sort_values(["to_dt", "from_dt", "kwh"]).groupby("account_id"):
+        g = g.reset_index(drop=True)
+        x = np.column_stack([g[nums].to_numpy(float)] + [(g.month == m).to_numpy(float) for m in range(1, 13)])
+        y = g.kwh.to_numpy(float)
+        for i in range(int(len(g) * 0.8), len(g)):
+            xc, yc = x[:i] - x[:i].mean(0), y[:i] - y[:i].mean()
+            scale = np.linalg.norm(xc, axis=0)
+            live = scale > 1e-9
+            u, s, vt = np.linalg.svd(xc[:, live] / scale[live], full_matrices=False)
+            keep = s > fc.SINGULAR * s[0] if len(s) else s > 0
+            beta = (vt[keep].T @ ((u[:, keep].T @ yc) / s[keep])) / scale[live]
+            if live.any():  # take out what lies in the null space of the kept directions
+                null = np.linalg.svd(vt[keep] * scale[live])[2][keep.sum():].T
+                beta = beta - null @ (null.T @ beta)
+            want = y[:i].mean() + (x[i] - x[:i].mean(0))[live] @ beta
+            assert got[tuple(g.loc[i, ["account_id", "from_dt", "to_dt", "kwh"]])] == pytest.approx(want, rel=1e-6, abs=1e-5)
+            checked += 1
+    assert checked == len(got) > 100
+
+
+def test_forest_does_not_depend_on_partitions_or_later_rows(spark):
+    df = _features(spark, n_accounts=6, n=15)
+    spec = mf.FeatureSpec(numeric=["tavg_interval_sum", "days_passed"])
+    runs = [{(r.account_id, r.to_dt): r.prediction for r in
+             fc.walk_forward_forest(d, spec, trees=5, depth=4, period="quarter").collect()}
+            for d in (df.repartition(2), df.repartition(8))]
+    assert runs[0] == runs[1] and len(runs[0]) == 18  # no test row is left out
+    # changing what is dated after a period's start does not move its predictions
+    first = min(t for _, t in runs[0])
+    later = df.withColumn("kwh", F.when(F.col("to_dt") > F.lit(first), F.col("kwh") + 5000).otherwise(F.col("kwh")))
+    moved = {(r.account_id, r.to_dt): r.prediction for r in
+             fc.walk_forward_forest(later, spec, trees=5, depth=4, period="quarter").collect()}
+    assert all(moved[k] == v for k, v in runs[0].items() if k[1] == first)
+
+
+def test_account_effects_equal_least_squares(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for a in range(4):
+        for i in range(14):
+            t = float(rng.integers(300, 900)) if a != 3 else 500.0
+            p, q = float(rng.integers(0, 400)), float(rng.integers(0, 50))
+            rows.append((a, D(2020, 1, i + 1), D(2020, 1, i + 1), int(a * 100 + (2 + a) * t + .5 * p - q + rng.integers(0, 60)),
+                         t, p, q, i == 13))
+    df = spark.createDataFrame(rows, "account_id long, from_dt date, to_dt date, kwh int, tavg_interval_sum double, "
+                                     "p double, q double, is_eval boolean")
+    got = {r.account_id: r.prediction for r in fc.account_effects(df, ["p", "q"]).collect()}
+    x = np.array([[r[0] == a for a in range(4)] + [(r[0] == a) * r[4] for a in range(3)] + [r[5], r[6]] for r in rows], float)
+    train = np.array([not r[7] for r in rows])
+    beta = np.linalg.lstsq(x[train], np.array([r[3] for r in rows], float)[train], rcond=None)[0]
+    want = {rows[i][0]: x[i] @ beta for i in np.flatnonzero(~train)}
+    assert got.keys() == want.keys() and all(got[a] == pytest.approx(want[a], rel=1e-6) for a in want)
+
+
+def test_pooled_ols_with_categories_and_interaction_equals_numpy(spark):
+    df = _features(spark, n_accounts=5, n=24)
+    spec = mf.FeatureSpec(numeric=["tavg_interval_sum"], categorical=["month"],
+                          interactions=[("month", "tavg_interval_sum", mf.CATEGORICAL, mf.NUMERICAL)])
+    got = {r.account_id: r.prediction for r in fc.pooled_forecast(df, spec, {"ols": fc.linear()}).collect()}
+    g = df.toPandas()
+    month = np.stack([(g.month == m).to_numpy(float) for m in range(1, 13)], axis=1)
+    t = g.tavg_interval_sum.to_numpy(float)[:, None]
+    x = np.hstack([np.ones_like(t), t, month, month * t])
+    train = ~g.is_eval.to_numpy()
+    beta = np.linalg.lstsq(x[train], g.kwh.to_numpy(float)[train], rcond=None)[0]
+    for i in np.flatnonzero(~train):
+        assert got[g.account_id[i]] == pytest.approx(x[i] @ beta, rel=1e-5)  # an iterative solver on collinear columns
+
+
+def test_truncated_errors_and_shuffle(spark):
+    from decimal import Decimal
+
+    from wattflow.operators import evaluate as ev
+    from wattflow.operators import sampling as smp
+    df = spark.createDataFrame([(1, 10, Decimal("7.9000"))], "account_id long, kwh int, prediction decimal(18,4)")
+    assert ev.error_frame(df, truncate=True).first().error == 3
+    ids = spark.range(50).withColumnRenamed("id", "account_id")
+    a, b = ([r.account_id for r in smp.shuffle_rows(d, 1, ["account_id"]).collect()] for d in (ids, ids.repartition(5)))
+    assert a == b != sorted(a) and sorted(a) == list(range(50))

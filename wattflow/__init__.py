@@ -3,8 +3,8 @@
 Invoices are joined to daily weather by nearest station and date interval,
 reduced to one feature row per invoice, extended with per-account window
 features, and fed to pyspark.ml forecasts, error tables and load-curve
-clustering.  Everything is a lazy DataFrame plan; actions happen only at the
-sink, in a few bounded size checks, and inside pyspark.ml fits.
+clustering.  Feature plans are lazy; actions happen at the sink, for bounded samples and
+centroids, and inside model fits.
 """
 
 __all__ = ["session"]

@@ -27,11 +27,6 @@ def date_to_ymd_int(d) -> Column:
     return F.date_format(_c(d), "yyyyMMdd").cast("int")
 
 
-def day_span(from_dt, to_dt) -> Column:
-    """Exclusive day difference ``to - from`` (H3)."""
-    return F.datediff(_c(to_dt), _c(from_dt))
-
-
 def inclusive_days(from_dt, to_dt) -> Column:
     """Days in [from, to], both ends counted (H3 + 1)."""
     return F.datediff(_c(to_dt), _c(from_dt)) + 1

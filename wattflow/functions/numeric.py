@@ -41,8 +41,8 @@ def round_int(x) -> Column:
 
 
 def fixed_ratio(num, den, precision: int, scale: int) -> Column:
-    """num / den in decimal(precision, scale), null on overflow (H4, T5)."""
-    q = _c(num).cast("decimal(18,0)") / _c(den).cast("decimal(18,0)")
+    """num / den in decimal(precision, scale), null on overflow or a zero denominator (H4, T5)."""
+    q = F.try_divide(_c(num).cast("decimal(18,0)"), _c(den).cast("decimal(18,0)"))
     return q.try_cast(f"decimal({precision},{scale})")
 
 
@@ -54,10 +54,10 @@ def dec4(x, precision: int = 18) -> Column:
 def mean4(total, count, scale: int = 0) -> Column:
     """total / count as an exact decimal rounded once, half up, to 4 places.
 
-    The operands are narrowed first so Spark's decimal division keeps 13
-    fractional digits before the final rounding (no double rounding at 6).
+    Totals of up to 20 digits and any long count fit; Spark's decimal division
+    then keeps at least 13 fractional digits before the final rounding.
     """
-    q = F.try_divide(_c(total).cast(f"decimal(20,{scale})"), _c(count).cast("decimal(10,0)"))
+    q = F.try_divide(_c(total).cast(f"decimal(20,{scale})"), _c(count).cast("decimal(20,0)"))
     return dec4(q)
 
 
@@ -75,12 +75,6 @@ def sum_cols(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def euclidean(values: list[Column], centre: list[Column]) -> Column:
-    """Distance with absent coordinates contributing 0."""
-    terms = [F.coalesce(F.pow(v - c, 2), F.lit(0.0)) for v, c in zip(values, centre)]
-    return F.sqrt(sum_cols(terms))
-
-
 def argmin_label(values: list[Column], labels: list) -> Column:
     """Label of the smallest value, ties to the smallest label."""
     pairs = [F.struct(v.alias("d"), F.lit(lab).alias("label")) for v, lab in zip(values, labels)]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattflow.functions.numeric import dec4, mean4, square
+from wattflow.operators.prefix import CHUNKS, ordered_scan
 from wattflow.operators.windows import ORDER
 
 # Fixed values from the reference: the cutoff after which temperature data
@@ -22,6 +23,11 @@ MIN_ROWS = 5
 LAG_ROWS = 2
 TRAIN_SHARE = 0.8
 
+# Columns of the account features before the averages.
+FEATURE_ORDER = ["account_id", "from_dt", "to_dt", "kwh", "station_id", "tavg_interval_sum", "tavg_interval_sum_sq",
+                 "year", "month", "day", "days_passed", "prev_pd_kwh", "prev_pd_tavg_interval_sum",
+                 "prev_prev_pd_kwh", "prev_prev_pd_tavg_interval_sum", "row_idx", "n_rows", "is_eval"]
+
 # Eligibility reasons.
 REASON_STATION = "station_change"
 REASON_SHORT = "insufficient_rows"
@@ -37,10 +43,6 @@ def _whole(*keys: str):
     return Window.partitionBy(*keys)
 
 
-def _ordered():
-    return Window.partitionBy("account_id").orderBy(*ORDER)
-
-
 def exact_mean4(x, w) -> F.Column:
     """Windowed mean of an integer column as an exact decimal at 4 places."""
     return mean4(F.sum(x).over(w), F.count(x).over(w))
@@ -88,83 +90,77 @@ def ineligible_accounts(rows: DataFrame, elig: DataFrame) -> DataFrame:
     return ids.join(passed, "account_id", "left_anti").join(elig.select("account_id", "reason"), "account_id")
 
 
-def _series(kept: DataFrame, chunk_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Lags, position, size and days since the first invoice per account.
-
-    Skew-checked like ``windows.feature_windows``: plain account windows when
-    every account fits in the chunk bound, the chunked scan otherwise.
-    Returns the frame and whether the chunked path was taken.
-    """
-    from wattflow.operators.prefix import chunked_scan, rows_per_chunk
-    from wattflow.plans.sizing import cached
-
-    limit = chunk_rows or rows_per_chunk(kept)
-    kept = cached(kept)
-    largest = kept.groupBy("account_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
+def _series(kept: DataFrame, chunked: bool, chunks: int = CHUNKS) -> DataFrame:
+    """Lags, position, size and days since the first invoice per account."""
     tavg = "tavg_interval_sum"
-    if largest <= limit:
-        w = _ordered()
-        first = F.first("to_dt").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return kept.select(
-            "*", F.datediff("to_dt", first).alias("days_passed"),
-            F.lag("kwh", 1).over(w).alias("prev_pd_kwh"), F.lag(tavg, 1).over(w).alias("prev_pd_" + tavg),
-            F.lag("kwh", 2).over(w).alias("prev_prev_pd_kwh"), F.lag(tavg, 2).over(w).alias("prev_prev_pd_" + tavg),
-            F.row_number().over(w).alias("_rn"),
-            F.count(F.lit(1)).over(_whole("account_id")).alias("_n")), False
-    s = chunked_scan(kept, ["account_id"], "to_dt", ORDER, lags=["kwh", tavg], firsts=["to_dt"], chunk_rows=limit)
+    s = ordered_scan(kept, ["account_id"], "to_dt", ORDER, lags=["kwh", tavg], firsts=["to_dt"],
+                     chunked=chunked, chunks=chunks)
     return s.select(
         *kept.columns, F.datediff("to_dt", F.col("_first_to_dt")).alias("days_passed"),
         F.col("_lag1_kwh").alias("prev_pd_kwh"), F.col(f"_lag1_{tavg}").alias("prev_pd_" + tavg),
         F.col("_lag2_kwh").alias("prev_prev_pd_kwh"), F.col(f"_lag2_{tavg}").alias("prev_prev_pd_" + tavg),
-        "_rn", "_n"), True
+        "_rn", "_n")
+
 
+def _eligible_in_place(rows: DataFrame, cutoff: dt.date) -> DataFrame:
+    """``eligible_rows`` by windows over the account: the rows are read once, and the
+    series windows that follow reuse the same exchange."""
+    whole = _whole("account_id")
+    complete = F.col("tavg_interval_sum").isNotNull()
+    before = complete & (F.col("to_dt") <= F.lit(cutoff))
+    one_station = F.min("station_id").over(whole) == F.max("station_id").over(whole)
+    ok = (one_station & (F.count_if(complete).over(whole) >= MIN_ROWS)
+          & (F.count_if(before).over(whole) - LAG_ROWS >= 2))
+    return complete_rows(rows.withColumn("_ok", F.coalesce(ok, F.lit(False))).where("_ok").drop("_ok"))
 
-def account_features(rows: DataFrame, elig: DataFrame, cutoff: dt.date, scope: str = "train",
-                     chunk_rows: int | None = None) -> DataFrame:
+
+def account_features(rows: DataFrame, cutoff: dt.date, scope: str = "train", chunked: bool = False,
+                     chunks: int = CHUNKS) -> DataFrame:
     """Formatted per-account series: cutoff, date parts, lags, hold-out, averages.
 
     ``scope="train"`` computes the customer and same-month means over the
     training rows only (all but the last); ``scope="all"`` reproduces the
     older variant that averages over all complete rows (T15, D12).
+    ``chunked`` is for the few accounts above the row bound: their rows are
+    never brought together, and their per-account values are broadcast.
     """
-    base = eligible_rows(rows, elig)
-    kept = base.where(F.col("to_dt") <= F.lit(cutoff)).select(
-        "account_id", "from_dt", "to_dt", "kwh", "station_id", "tavg_interval_sum")
-    series, chunked = _series(kept, chunk_rows)
+    if scope not in ("train", "all"):
+        raise ValueError(f"scope must be 'train' or 'all', not {scope!r}")
+    base = (eligible_rows(rows, F.broadcast(eligibility(rows, cutoff))) if chunked
+            else _eligible_in_place(rows, cutoff))
     tavg = F.col("tavg_interval_sum")
-    x = series.select(
+    kwh = F.col("kwh")
+
+    if not chunked and scope == "all":
+        base = base.withColumn("avg_kwh", exact_mean4(kwh, _whole("account_id")))
+    kept = base.where(F.col("to_dt") <= F.lit(cutoff)).select(
+        "account_id", "from_dt", "to_dt", "kwh", "station_id", "tavg_interval_sum",
+        *[c for c in base.columns if c == "avg_kwh"])
+    kept = kept.withColumn("month", F.month("to_dt"))
+    if not chunked and scope == "all":
+        kept = kept.withColumn("_m", exact_mean4(kwh, _whole("account_id", "month")))
+    series = _series(kept, chunked, chunks)
+    x = series.where(F.col("_rn") > LAG_ROWS).select(
         "account_id", "from_dt", "to_dt", "kwh", "station_id", "tavg_interval_sum",
         square(tavg).alias("tavg_interval_sum_sq"),
-        F.year("to_dt").alias("year"), F.month("to_dt").alias("month"),
-        F.dayofmonth("to_dt").alias("day"), "days_passed",
+        F.year("to_dt").alias("year"), "month", F.dayofmonth("to_dt").alias("day"), "days_passed",
         "prev_pd_kwh", "prev_pd_tavg_interval_sum", "prev_prev_pd_kwh", "prev_prev_pd_tavg_interval_sum",
-        "_rn", "_n")
-    x = x.where(F.col("_rn") > LAG_ROWS).select(
-        "*", (F.col("_rn") - LAG_ROWS).cast("int").alias("row_idx"),
+        (F.col("_rn") - LAG_ROWS).cast("int").alias("row_idx"),
         (F.col("_n") - LAG_ROWS).cast("int").alias("n_rows"),
-        (F.col("_rn") == F.col("_n")).alias("is_eval")).drop("_rn", "_n")
-    if scope == "train":
-        train_kwh = F.when(~F.col("is_eval"), F.col("kwh"))
-        if not chunked:
-            avg_kwh = exact_mean4(train_kwh, _whole("account_id"))
-            month_avg = exact_mean4(train_kwh, _whole("account_id", "month"))
-        else:  # grouped means joined back: partial aggregation keeps a large account spread
-            acc_mean = x.groupBy("account_id").agg(mean4(F.sum(train_kwh), F.count(train_kwh)).alias("avg_kwh"))
-            mon_mean = x.groupBy("account_id", "month").agg(mean4(F.sum(train_kwh), F.count(train_kwh)).alias("_m"))
-            x = x.join(acc_mean, "account_id").join(mon_mean, ["account_id", "month"], "left")
-            avg_kwh, month_avg = F.col("avg_kwh"), F.col("_m")
-    elif scope == "all":
-        all_mean = (base.groupBy("account_id")
-                    .agg(mean4(F.sum("kwh"), F.count("kwh")).alias("avg_kwh")))
-        month_means = (kept.groupBy("account_id", F.month("to_dt").alias("month"))
-                       .agg(mean4(F.sum("kwh"), F.count("kwh")).alias("_m")))
-        x = x.join(all_mean, "account_id").join(month_means, ["account_id", "month"], "left")
-        avg_kwh, month_avg = F.col("avg_kwh"), F.col("_m")
-    else:
-        raise ValueError(f"scope must be 'train' or 'all', not {scope!r}")
-    return (x.withColumn("avg_kwh", avg_kwh)
-            .withColumn("avg_kwh_for_cust_for_current_month", F.coalesce(month_avg, F.col("avg_kwh")))
-            .drop(*[c for c in ("_m",) if c in x.columns]))
+        (F.col("_rn") == F.col("_n")).alias("is_eval"), *[c for c in kept.columns if c in ("avg_kwh", "_m")])
+    train_kwh = F.when(~F.col("is_eval"), kwh)
+    if chunked:  # grouped means joined back by broadcast
+        of_account, of_month, value = (x, x, train_kwh) if scope == "train" else (base, kept, kwh)
+        acc_mean = of_account.groupBy("account_id").agg(mean4(F.sum(value), F.count(value)).alias("avg_kwh"))
+        mon_mean = of_month.groupBy("account_id", "month").agg(mean4(F.sum(value), F.count(value)).alias("_m"))
+        x = (x.join(F.broadcast(acc_mean), "account_id")
+             .join(F.broadcast(mon_mean), ["account_id", "month"], "left"))
+    elif scope == "train":
+        x = x.select("*", exact_mean4(train_kwh, _whole("account_id")).alias("avg_kwh"),
+                     exact_mean4(train_kwh, _whole("account_id", "month")).alias("_m"))
+    columns = [c for c in x.columns if c not in ("avg_kwh", "_m")]
+    return x.select(*sorted(columns, key=FEATURE_ORDER.index), "avg_kwh",
+                    F.coalesce("_m", "avg_kwh").alias("avg_kwh_for_cust_for_current_month"))
 
 
 def train_test_split(features: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
@@ -173,18 +169,16 @@ def train_test_split(features: DataFrame, share: float = TRAIN_SHARE) -> DataFra
     return features.withColumn("is_train", F.col("row_idx") <= init)
 
 
-def walk_forward_folds(features: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
+def walk_forward_folds(features: DataFrame, share: float = TRAIN_SHARE, chunked: bool = False,
+                       chunks: int = CHUNKS) -> DataFrame:
     """One row per walk-forward test row with its training prefix summarised.
 
     Fold i of an account trains on its first init + i rows and tests the next;
     the training rows are described by count and date range, never listed.
-    The ordered scan is skew-checked (``operators.prefix``).
     """
-    from wattflow.operators.prefix import ordered_scan
-
     init = F.floor(F.col("n_rows") * F.lit(share)).cast("int")
     scan = ordered_scan(features.select("account_id", "from_dt", "to_dt", "kwh", "row_idx", "n_rows"),
-                        ["account_id"], "to_dt", ORDER, lags=["to_dt"], firsts=["to_dt"])
+                        ["account_id"], "to_dt", ORDER, lags=["to_dt"], firsts=["to_dt"], chunked=chunked, chunks=chunks)
     return (scan.select("account_id", "from_dt", "to_dt", "kwh", "row_idx",
                         F.col("_first_to_dt").alias("train_first_to_dt"),
                         F.col("_lag1_to_dt").alias("train_last_to_dt"), init.alias("_init"))

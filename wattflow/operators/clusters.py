@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from wattflow.functions.numeric import argmin_label, fixed_ratio, sum_cols
 from wattflow.operators.sampling import hash_key
+from wattflow.session import ensure_checkpoint_dir, fit_partitions
 
 MONTHS = list(range(1, 13))
 MONTH_COLS = [f"m_{m}" for m in MONTHS]
@@ -41,9 +42,13 @@ def load_pivot(points: DataFrame, entity: str, month: str = "month", value: str
 
 
 def load_shares(pivot: DataFrame, entity: str) -> DataFrame:
-    """Each month's share of the curve's total over the months present."""
+    """Each month's share of the curve's total over the months present.
+
+    An entity whose total is 0 has no curve and is dropped.
+    """
     total = sum_cols([F.coalesce(F.col(c), F.lit(0.0)) for c in MONTH_COLS])
-    return pivot.select(entity, *[(F.col(c) / total).alias(s) for c, s in zip(MONTH_COLS, SHARE_COLS)])
+    return (pivot.withColumn("_total", total).where(F.col("_total") != 0)
+            .select(entity, *[F.try_divide(F.col(c), F.col("_total")).alias(s) for c, s in zip(MONTH_COLS, SHARE_COLS)]))
 
 
 def seed_centroids(shares: DataFrame, entity: str, k: int, seed: int) -> list[list[float]]:
@@ -102,27 +107,31 @@ def best_kmeans(shares: DataFrame, k: int, n_init: int = KMEANS_N_INIT, seed: in
     """Best of ``n_init`` seeded fits by training cost.
 
     The restarts are independent, so they are submitted as concurrent Spark
-    jobs over one cached copy of the curves; ties in cost keep the lower seed.
+    jobs over one written copy of the curves; ties in cost keep the lower seed.
     """
-    data = _assemble(shares).select("features").cache()
+    data = _assemble(shares).select("features")
 
     def fit(i):
         km = KMeans(k=k, maxIter=KMEANS_MAX_ITER, tol=KMEANS_TOL, seed=seed + i, featuresCol="features")
         model = km.fit(data)
         return model.summary.trainingCost, i, model
 
-    try:
-        with ThreadPoolExecutor(max_workers=min(n_init, 8)) as pool:
-            fits = list(pool.map(fit, range(n_init)))
-        cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
-        return model, cost
-    finally:
-        data.unpersist()
+    with ThreadPoolExecutor(max_workers=min(n_init, 8)) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
+    return model, cost
+
+
+def written_once(shares: DataFrame, entity: str) -> DataFrame:
+    """The curves in a fixed order of rows and partitions, computed once for all fits."""
+    ensure_checkpoint_dir(shares.sparkSession)
+    return shares.repartition(fit_partitions(shares.sparkSession), entity).sortWithinPartitions(entity).checkpoint(eager=True)
 
 
-def kmeans_sweep(spark: SparkSession, shares: DataFrame, k_max: int = KMEANS_K_MAX,
+def kmeans_sweep(spark: SparkSession, shares: DataFrame, entity: str, k_max: int = KMEANS_K_MAX,
                  n_init: int = KMEANS_N_INIT, seed: int = 42) -> DataFrame:
     """Cost and score (minus cost) for k = 1..k_max."""
+    shares = written_once(shares, entity)
     out = [(1, float(kmeans_one_cost(shares).first()["cost"] or 0.0))]
     for k in range(2, k_max + 1):
         out.append((k, float(best_kmeans(shares, k, n_init, seed)[1])))
@@ -133,6 +142,7 @@ def kmeans_sweep(spark: SparkSession, shares: DataFrame, k_max: int = KMEANS_K_M
 def kmeans_labels(shares: DataFrame, entity: str, k: int = KMEANS_K_FINAL,
                   n_init: int = KMEANS_N_INIT, seed: int = 42) -> DataFrame:
     """Final K-means labels per curve."""
+    shares = written_once(shares, entity)
     model, _ = best_kmeans(shares, k, n_init, seed)
     return (model.transform(_assemble(shares))
             .select(entity, F.col("prediction").cast("int").alias("cluster")))

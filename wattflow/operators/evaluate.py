@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattflow.functions.numeric import dec4, mean4
+from wattflow.operators.prefix import chunked_scan, ordered_scan, with_chunks
 from wattflow.operators.windows import ORDER
 
 # Names of the naive forecasts.
@@ -20,17 +21,22 @@ SAME_MONTH = "same_month_mean"
 TEST_KEY = ["account_id", "from_dt", "to_dt", "kwh"]
 
 
-def naive_forecasts(features: DataFrame, share: float = 0.8) -> DataFrame:
+def naive_forecasts(features: DataFrame, share: float = 0.8, chunked: bool = False) -> DataFrame:
     """Previous value, expanding mean and same-month mean on the walk-forward test rows.
 
     Every baseline uses only rows before the test row (prefix windows), so no
     target leaks.  Long format: key, model, prediction (decimal, 4 places).
     """
-    from wattflow.operators.prefix import prefix_sums
-
     n_kwh = F.col("kwh").isNotNull().cast("long")
-    x = prefix_sums(features, ["account_id"], "to_dt", ORDER, {"kwh": F.col("kwh"), "n": n_kwh})
-    x = prefix_sums(x, ["account_id", "month"], "to_dt", ORDER, {"m_kwh": F.col("kwh"), "m_n": n_kwh})
+    of_account = {"kwh": F.col("kwh"), "n": n_kwh}
+    of_month = {"m_kwh": F.col("kwh"), "m_n": n_kwh}
+    if chunked:
+        base = with_chunks(features, ["account_id"], "to_dt")
+        x = chunked_scan(base, ["account_id"], ORDER, of_account).drop("_n", "_rn")
+        x = chunked_scan(x, ["account_id", "month"], ORDER, of_month, base=base)
+    else:
+        x = ordered_scan(features, ["account_id"], "to_dt", ORDER, of_account).drop("_n", "_rn")
+        x = ordered_scan(x, ["account_id", "month"], "to_dt", ORDER, of_month)
 
     def mean(total, count):
         return mean4(F.col(total), F.when(F.col(count) > 0, F.col(count)))

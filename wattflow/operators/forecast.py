@@ -3,17 +3,21 @@
 * **Pooled**: one ``pyspark.ml`` pipeline is fitted on every account's
   training rows and predicts every account's held-out last row (I8).
 * **Walk-forward, linear**: fold i of an account trains on its rows before the
-  test row.  Instead of one fit per account and fold, the normal equations of
-  every prefix are window sums (``X'X``, ``X'y``, means) computed in one pass;
-  each test row then needs one small solve, done in Arrow batches with numpy
-  (batched pseudo-inverse of the centred Gram matrix -- the
-  minimum-norm least-squares solution with intercept, as the reference's
-  linear model gives for collinear dummies).
-* **Walk-forward, one regressor**: plain ``regr_slope`` / ``regr_intercept``
-  window aggregates, so it has an exact SQL oracle.
-* **Walk-forward, forest**: one pooled forest per fold index (all accounts'
-  rows before their fold-i test row).  This replaces the reference's forest
-  per account and fold, which does not distribute.
+  test row.  The normal equations of every prefix are window sums, exact as
+  integers and decimals; each test row then needs one small solve, done in
+  Arrow batches with numpy (minimum-norm least squares with intercept, as the
+  reference's linear model gives for collinear dummies).
+* **Walk-forward, one regressor**: the same exact sums and one division, so it
+  has an exact SQL oracle.
+* **Walk-forward, forest**: one pooled forest per calendar period, trained on
+  all rows dated before it.  This replaces the reference's forest per account
+  and fold, which does not distribute; the number of fits is the calendar's.
+* **Account effects**: an intercept and a temperature slope for every account
+  are partialled out by grouped sums, so accounts are never indexed on the driver.
+
+Rows that several fits read are laid out by a hash of their key into a fixed
+number of sorted partitions and written to the checkpoint folder, so a forest
+does not depend on the size of the cluster.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from pyspark.sql import types as T
 
 from wattflow.operators.ml_features import (FeatureSpec, feature_names, feature_stages,
                                             with_numeric_inputs)
+from wattflow.functions.numeric import READING_TYPE
+from wattflow.operators.prefix import ordered_scan
+from wattflow.session import ensure_checkpoint_dir, fit_partitions
 from wattflow.operators.windows import ORDER
 
 TEST_KEY = ["account_id", "from_dt", "to_dt", "kwh"]
@@ -37,26 +44,29 @@ TEST_KEY = ["account_id", "from_dt", "to_dt", "kwh"]
 FOREST_TREES = 150
 FOREST_GRID = [150, 200]
 CV_FOLDS = 5
-FOREST_MAX_DEPTH = 10  # the reference grows unlimited trees; Spark stops at 30 (T28)
-FOREST_MEMORY_MB = 32  # split statistics per task and pass; bounded so many tasks fit one heap
+FOREST_MAX_DEPTH = 10  # default of a parameter; the reference grows full trees, Spark goes to 30 (T28)
+FOREST_BINS = 32  # default of a parameter: split candidates per feature
+FOREST_MEMORY_MB = 64  # split statistics per task and pass; bounded so many tasks fit one heap
 
 
 def linear(label: str = "kwh") -> LinearRegression:
     """Ordinary least squares with intercept (I4)."""
     return LinearRegression(featuresCol="features", labelCol=label, regParam=0.0,
-                            elasticNetParam=0.0, fitIntercept=True, standardization=False)
+                            elasticNetParam=0.0, fitIntercept=True, standardization=True,
+                            maxIter=500, tol=1e-12)  # collinear dummies are solved iteratively
 
 
-def forest(label: str = "kwh", trees: int = FOREST_TREES, seed: int = 42) -> RandomForestRegressor:
+def forest(label: str = "kwh", trees: int = FOREST_TREES, seed: int = 42, depth: int = FOREST_MAX_DEPTH,
+           bins: int = FOREST_BINS) -> RandomForestRegressor:
     """Random forest on all features per split, bootstrap rows."""
     return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
-                                 featureSubsetStrategy="all", maxDepth=FOREST_MAX_DEPTH,
+                                 featureSubsetStrategy="all", maxDepth=depth, maxBins=bins,
                                  minInstancesPerNode=1, seed=seed, maxMemoryInMB=FOREST_MEMORY_MB)
 
 
-def algorithm_registry(label: str = "kwh") -> dict:
-    """Name -> estimator (I6, I7).  Boosting and a single tree are available, unused by default."""
-    return {"ols": linear(label), "rf": forest(label),
+def algorithm_registry(label: str = "kwh", trees: int = FOREST_TREES) -> dict:
+    """Name -> estimator."""
+    return {"ols": linear(label), "rf": forest(label, trees),
             "gbt": GBTRegressor(featuresCol="features", labelCol=label, seed=42),
             "tree": DecisionTreeRegressor(featuresCol="features", labelCol=label, seed=42)}
 
@@ -73,20 +83,11 @@ WALK_SPEC = FeatureSpec(numeric=["tavg_interval_sum", "prev_pd_kwh", "prev_prev_
 TEMPERATURE_COLUMNS = ["tavg_interval_sum"]
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage before several fits read the same rows (reliable checkpoint).
-
-    Small inputs are spread over the cluster's task slots first so tree
-    training uses every core instead of the one or two partitions a small
-    aggregate ends up in.
-    """
-    from wattflow.session import ensure_checkpoint_dir
-
+def _laid_out(df: DataFrame) -> DataFrame:
+    """``df`` by hash of its key in a fixed number of sorted partitions, cut from its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
-    return df.checkpoint(eager=True)
+    return (df.repartition(fit_partitions(df.sparkSession), *TEST_KEY).sortWithinPartitions(*TEST_KEY, *sorted(set(df.columns) - set(TEST_KEY)))
+            .checkpoint(eager=True))
 
 
 def pooled_forecast(features: DataFrame, spec: FeatureSpec, estimators: dict) -> DataFrame:
@@ -94,7 +95,7 @@ def pooled_forecast(features: DataFrame, spec: FeatureSpec, estimators: dict) ->
 
     Long result: key, model, prediction.
     """
-    data = _checkpointed(with_numeric_inputs(features, spec))
+    data = _laid_out(with_numeric_inputs(features, spec))
     train = data.where(~F.col("is_eval"))
     test = data.where(F.col("is_eval"))
     out = None
@@ -127,150 +128,237 @@ def _fold(share: float) -> F.Column:
     return (F.col("row_idx") - F.floor(F.col("n_rows") * F.lit(share)).cast("int") - 1).cast("int")
 
 
+def _before(features: DataFrame, sums: dict, chunked: bool) -> DataFrame:
+    return ordered_scan(features, ["account_id"], "to_dt", ORDER, sums=sums, chunked=chunked).drop("_n", "_rn")
+
+
 def walk_forward_ols1(features: DataFrame, x: str = "tavg_interval_sum", y: str = "kwh",
-                      share: float = 0.8, min_var: float = 1e-9, chunk_rows: int | None = None) -> DataFrame:
-    """One-regressor walk-forward forecast from prefix regression aggregates.
+                      share: float = 0.8, min_var: float = 1e-9, chunked: bool = False) -> DataFrame:
+    """One-regressor walk-forward forecast from exact prefix sums of n, x, y, xx, xy.
 
-    The slope and intercept of all rows before the test row come from window
-    aggregates (``regr_slope`` / ``regr_intercept``); a prefix whose regressor
-    barely varies gives no prediction.  When an account exceeds the chunk
-    bound, the same line comes from chunked prefix sums of n, x, y, xx, xy.
+    The regressor is taken as a decimal with 3 places (as readings are), so the
+    determinant ``n * sxx - sx * sx`` has no cancellation and every size gives
+    the same line.  A prefix whose regressor barely varies gives no prediction.
     """
-    from wattflow.operators.prefix import chunked_scan, largest_key, rows_per_chunk
-    from wattflow.plans.sizing import cached
-
-    limit = chunk_rows or rows_per_chunk(features)
-    kept = cached(features.select(*TEST_KEY, "row_idx", "n_rows", x, y) if y not in TEST_KEY
-                  else features.select(*TEST_KEY, "row_idx", "n_rows", x))
-    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
-    if largest_key(kept, ["account_id"]) <= limit:
-        before = Window.partitionBy("account_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-        slope = F.regr_slope(F.col(y), F.col(x)).over(before)
-        icpt = F.regr_intercept(F.col(y), F.col(x)).over(before)
-        var = F.var_pop(F.col(x)).over(before)
-        base = kept
-    else:
-        ok = xc.isNotNull() & yc.isNotNull()
-        sums = {"n": F.when(ok, F.lit(1.0)), "sx": F.when(ok, xc), "sy": F.when(ok, yc),
-                "sxx": F.when(ok, xc * xc), "sxy": F.when(ok, xc * yc)}
-        base = chunked_scan(kept, ["account_id"], "to_dt", ORDER, sums=sums, chunk_rows=limit)
-        n, sx, sy = F.col("_before_n"), F.col("_before_sx"), F.col("_before_sy")
-        sxx, sxy = F.col("_before_sxx"), F.col("_before_sxy")
-        var = F.when(n > 0, sxx / n - (sx / n) * (sx / n))
-        slope = F.when(n > 0, (n * sxy - sx * sy) / (n * sxx - sx * sx))
-        icpt = F.when(n > 0, (sy - slope * sx) / n)
-    pred = F.when(var > min_var, icpt + slope * xc).cast("decimal(18,3)")
-    out = (base.select(*TEST_KEY, "row_idx", "n_rows", pred.alias("prediction"))
+    xd, yd = F.col(x).cast(READING_TYPE), F.col(y).cast("decimal(18,0)")
+    ok = xd.isNotNull() & yd.isNotNull()
+    wide = lambda e: F.when(ok, e.cast("decimal(28,6)"))
+    sums = {"n": F.when(ok, F.lit(1).cast("decimal(12,0)")), "sx": wide(xd), "sy": wide(yd),
+            "sxx": wide(xd * xd), "sxy": wide(xd * yd)}
+    base = _before(features.select(*dict.fromkeys([*TEST_KEY, "row_idx", "n_rows", x, y])), sums, chunked)
+    n, sx, sy, sxx, sxy = (F.col(f"_before_{k}").cast("decimal(19,3)" if k in ("sx", "sy", "n") else "decimal(25,6)")
+                           for k in ("n", "sx", "sy", "sxx", "sxy"))
+    exact = lambda a, b: (a * b).cast("decimal(38,6)")
+    det = exact(n, sxx) - exact(sx, sx)
+    slope = (exact(n, sxy) - exact(sx, sy)).cast("double") / F.when(det > 0, det.cast("double"))
+    away = (exact(n, xd) - sx.cast("decimal(38,6)")).cast("double")  # n times the distance from the mean
+    n_d = n.cast("double")
+    pred = F.when((n > 0) & (det.cast("double") > min_var * n_d * n_d), (sy.cast("double") + slope * away) / n_d)
+    out = (base.select(*TEST_KEY, "row_idx", "n_rows", pred.cast("decimal(18,3)").alias("prediction"))
            .where(_test_rows(base, share)))
     return out.select(*TEST_KEY, _fold(share).alias("fold"), "prediction",
                       F.abs(F.col("kwh").cast("decimal(18,3)") - F.col("prediction")).cast("decimal(18,3)").alias("abs_error"))
 
 
-def _design(features: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, list[str]]:
-    """Numeric inputs plus 0/1 month dummies (all twelve; absent months are zero columns)."""
-    cols = list(spec.numeric)
-    df = features.withColumns({c: F.col(c).cast("double") for c in cols})
-    for cat in spec.categorical:
-        if cat != "month":
-            raise ValueError("walk-forward dummies are built for the month category")
-        for m in range(1, 13):
-            name = f"_month_{m}"
-            df = df.withColumn(name, (F.col("month") == m).cast("double"))
-            cols.append(name)
-    return df, cols
+SINGULAR = 1e-5  # directions with less than this share of the largest singular value count as collinear
+MONTHS = range(1, 13)
 
 
 def walk_forward_ols(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share: float = 0.8,
-                     rcond: float = 1e-12) -> DataFrame:
-    """Multi-regressor walk-forward OLS via prefix Gram sums and batched solves.
-
-    Eigenvalues of the centred Gram matrix below ``rcond`` times the largest
-    are treated as zero: exact collinearity (dummies summing to one, months
-    absent from the prefix) shows up there as rounding noise far below it.
+                     singular: float = SINGULAR, chunked: bool = False) -> DataFrame:
+    """Multi-regressor walk-forward least squares via prefix sums and small solves.
+
+    The numeric inputs are taken as decimals with 3 places and all sums are
+    exact; month dummies need no products of their own (two different months
+    never meet, a square is the dummy itself).  Rule for collinear inputs:
+    the centred regressors, each scaled to length one, are cut at singular
+    values below ``singular`` times the largest; of the solutions left, the one
+    of smallest norm in the original units is taken.  A fold with a null input
+    before the test row gives no prediction.
     """
-    df, cols = _design(features, spec)
-    y = F.col(spec.label).cast("double")
-    p = len(cols)
-    from wattflow.operators.prefix import prefix_sums
-
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = {"n": F.lit(1).cast("long"), "y": y}
-    sums.update({f"x{i}": F.col(c) for i, c in enumerate(cols)})
-    sums.update({f"xx{i}_{j}": F.col(cols[i]) * F.col(cols[j]) for i, j in pairs})
-    sums.update({f"xy{i}": F.col(c) * y for i, c in enumerate(cols)})
-    pre = prefix_sums(df.select(*TEST_KEY, "row_idx", "n_rows", *cols), ["account_id"], "to_dt", ORDER, sums)
-    stats = pre.select(
-        *TEST_KEY, "row_idx", "n_rows",
-        F.col("_before_n").cast("double").alias("_n"),
-        F.array(*[F.col(f"_before_x{i}") for i in range(p)]).alias("_sx"),
-        F.array(*[F.col(f"_before_xx{i}_{j}") for i, j in pairs]).alias("_sxx"),
-        F.array(*[F.col(f"_before_xy{i}") for i in range(p)]).alias("_sxy"),
-        F.col("_before_y").alias("_sy"),
-        F.array(*[F.col(c) for c in cols]).alias("_xt"))
-    tests = stats.where(_test_rows(stats, share))
+    nums, months = list(spec.numeric), "month" in spec.categorical
+    if set(spec.categorical) - {"month"}:
+        raise ValueError("walk-forward dummies are built for the month category")
+    num = [F.col(c).cast(READING_TYPE) for c in nums]
+    y = F.col(spec.label).cast("decimal(18,0)")
+    known = F.lit(True)
+    for c in num:
+        known = known & c.isNotNull()
+    q, pairs = len(nums), [(i, j) for i in range(len(nums)) for j in range(i, len(nums))]
+    of_month = [F.when(F.col("month") == m, F.lit(1)).otherwise(F.lit(0)) for m in MONTHS] if months else []
+    long = lambda e: F.coalesce(e.cast("decimal(28,6)"), F.lit(0))
+    sums = {"n": F.lit(1), "bad": (~known).cast("int"), "y": long(y)}
+    sums |= {f"x{i}": long(c) for i, c in enumerate(num)}
+    sums |= {f"xy{i}": long(c * y) for i, c in enumerate(num)}
+    sums |= {f"xx{i}_{j}": long(num[i] * num[j]) for i, j in pairs}
+    for k, m in enumerate(of_month):
+        sums |= {f"m{k}": m, f"my{k}": F.when(m == 1, long(y)).otherwise(F.lit(0))}
+        sums |= {f"mx{k}_{i}": F.when(m == 1, long(c)).otherwise(F.lit(0)) for i, c in enumerate(num)}
+    keep = list(dict.fromkeys([*TEST_KEY, "row_idx", "n_rows", *nums, *(["month"] if months else []), spec.label]))
+    pre = _before(features.select(*keep), sums, chunked)
+    names = list(sums)
+    # six decimals are exact as integers; as text they reach Python whole
+    total = lambda k: (F.col(f"_before_{k}").cast("decimal(38,6)") * 1).cast("string")
+    tests = pre.where(_test_rows(pre, share)).select(
+        *TEST_KEY, "row_idx", "n_rows", F.array(*[total(k) for k in names]).alias("_sums"),
+        F.array(*[F.col(c).cast("double") for c in nums], *[m.cast("double") for m in of_month]).alias("_x"))
     out_schema = T.StructType([
         T.StructField("account_id", T.LongType()), T.StructField("from_dt", T.DateType()),
         T.StructField("to_dt", T.DateType()), T.StructField("kwh", T.IntegerType()),
         T.StructField("row_idx", T.IntegerType()), T.StructField("n_rows", T.IntegerType()),
         T.StructField("prediction", T.DoubleType())])
+    at, n_months = {k: i for i, k in enumerate(names)}, len(of_month)
 
     def solve(batches):
-        import numpy as np
-        iu = np.array([i for i, _ in pairs])
-        ju = np.array([j for _, j in pairs])
         for pdf in batches:
-            if pdf.empty:
-                continue
-            n = pdf["_n"].to_numpy(dtype=float)
-            sx = np.stack(pdf["_sx"].to_numpy()).astype(float)
-            sxx = np.stack(pdf["_sxx"].to_numpy()).astype(float)
-            sxy = np.stack(pdf["_sxy"].to_numpy()).astype(float)
-            sy = pdf["_sy"].to_numpy(dtype=float)
-            xt = np.stack(pdf["_xt"].to_numpy()).astype(float)
-            b = len(n)
-            g = np.zeros((b, p, p))
-            g[:, iu, ju] = sxx
-            g[:, ju, iu] = sxx
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mu = sx / n[:, None]
-                ybar = sy / n
-                gc = g - n[:, None, None] * mu[:, :, None] * mu[:, None, :]
-                bc = sxy - n[:, None] * mu * ybar[:, None]
-                ok = np.isfinite(gc).all(axis=(1, 2)) & (n > 0)
-                beta = np.zeros((b, p))
-                if ok.any():
-                    # minimum-norm solution of the centred normal equations, the
-                    # same solution least squares gives on the centred rows
-                    inv = np.linalg.pinv(gc[ok], rcond=rcond, hermitian=True)
-                    beta[ok] = np.einsum("bij,bj->bi", inv, bc[ok])
-                pred = ybar + ((xt - mu) * beta).sum(axis=1)
-            pred = np.where(ok, pred, np.nan)
-            yield pdf[["account_id", "from_dt", "to_dt", "kwh", "row_idx", "n_rows"]].assign(prediction=pred)
+            preds = [_solve_prefix(s, x, at, q, n_months, pairs, singular)
+                     for s, x in zip(pdf["_sums"], pdf["_x"])]
+            yield pdf[[*TEST_KEY, "row_idx", "n_rows"]].assign(prediction=preds)
 
     solved = tests.mapInPandas(solve, out_schema)
     return solved.select(*TEST_KEY, _fold(share).alias("fold"), F.lit("ols").alias("model"),
                          F.when(~F.isnan("prediction"), F.col("prediction")).alias("prediction"))
 
 
+def _solve_prefix(sums, x, at, q, n_months, pairs, singular) -> float:
+    """Prediction at ``x`` from the exact sums (texts) of the rows before it."""
+    import numpy as np
+
+    unit = 10 ** 6
+    s = [int(v.replace(".", "")) for v in sums]  # in millionths
+    n = s[at["n"]] // unit
+    x = np.array([np.nan if v is None else v for v in x], float)
+    if n == 0 or s[at["bad"]] or not np.isfinite(x).all():
+        return float("nan")
+    p = q + n_months
+    first = [s[at[f"x{i}"]] for i in range(q)] + [s[at[f"m{k}"]] for k in range(n_months)]
+    with_y = [s[at[f"xy{i}"]] for i in range(q)] + [s[at[f"my{k}"]] for k in range(n_months)]
+    gram = [[0] * p for _ in range(p)]
+    for i, j in pairs:
+        gram[i][j] = gram[j][i] = s[at[f"xx{i}_{j}"]]
+    for k in range(n_months):
+        gram[q + k][q + k] = s[at[f"m{k}"]]
+        for i in range(q):
+            gram[i][q + k] = gram[q + k][i] = s[at[f"mx{k}_{i}"]]
+    sy = s[at["y"]]
+    # n * centred sums, rounded to a double only here
+    c = np.array([[(n * gram[i][j] * unit - first[i] * first[j]) / unit ** 2 for j in range(p)] for i in range(p)])
+    b = np.array([(n * with_y[i] * unit - first[i] * sy) / unit ** 2 for i in range(p)])
+    mean, y_mean = np.array([v / unit / n for v in first]), sy / unit / n
+    scale = np.sqrt(np.diag(c))
+    moves = scale > 0
+    if not moves.any():
+        return float(y_mean)
+    d = scale[moves]
+    values, vectors = np.linalg.eigh(c[np.ix_(moves, moves)] / np.outer(d, d))
+    real = values > singular ** 2 * values[-1]
+    beta = (vectors[:, real] @ ((vectors[:, real].T @ (b[moves] / d)) / values[real])) / d
+    if (~real).any():  # smallest norm in the original units
+        free, _ = np.linalg.qr(vectors[:, ~real] / d[:, None])
+        beta = beta - free @ (free.T @ beta)
+    return float(y_mean + (x - mean)[moves] @ beta)
+
+
+PERIODS = {"year": "yyyy", "quarter": "yyyy-'Q'q", "month": "yyyy-MM"}
+
+
 def walk_forward_forest(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share: float = 0.8,
-                        trees: int = FOREST_TREES) -> DataFrame:
-    """Walk-forward forest with one pooled fit per fold index (I9, forest variant)."""
-    data = _checkpointed(with_numeric_inputs(features, spec).withColumn(
-        "_init", F.floor(F.col("n_rows") * F.lit(share)).cast("int")))
-    n_folds = data.agg(F.max(F.col("n_rows") - F.col("_init")).alias("f")).first()["f"] or 0
+                        trees: int = FOREST_TREES, period: str = "year", depth: int = FOREST_MAX_DEPTH,
+                        bins: int = FOREST_BINS) -> DataFrame:
+    """Walk-forward forest with one pooled fit per calendar period (I9, forest variant).
+
+    The test rows are those of the per-account folds.  A test row is predicted
+    by the forest of its period, which was trained on the rows of all accounts
+    that are dated before the period starts.  Rows of a period that has none
+    before it get a null prediction, so no test row is left out.
+    """
+    if period not in PERIODS:
+        raise ValueError(f"period must be one of {sorted(PERIODS)}")
+    data = _laid_out(with_numeric_inputs(features, spec)
+                     .withColumn("_period", F.date_trunc(period, "to_dt").cast("date"))
+                     .withColumn("_fold", _fold(share)))
+    tests = data.where(_test_rows(data, share))
+    starts = sorted(r[0] for r in tests.select("_period").distinct().collect())  # as many as the calendar has
+    known = {r[0]: r[1] for r in data.groupBy("_period").agg(F.count(F.lit(1))).collect()}
     out = None
-    for f in range(n_folds):
-        train = data.where(F.col("row_idx") <= F.col("_init") + f)
-        test = data.where(F.col("row_idx") == F.col("_init") + f + 1)
-        model = Pipeline(stages=feature_stages(spec) + [forest(spec.label, trees)]).fit(train)
-        p = model.transform(test).select(*TEST_KEY, F.lit(f).alias("fold"), F.lit("rf").alias("model"),
-                                         "prediction")
+    for start in starts:
+        test = tests.where(F.col("_period") == F.lit(start))
+        if sum(n for at, n in known.items() if at < start):
+            train = data.where(F.col("to_dt") < F.lit(start))
+            model = Pipeline(stages=feature_stages(spec) + [forest(spec.label, trees, depth=depth, bins=bins)]).fit(train)
+            test = model.transform(test)
+        else:
+            test = test.withColumn("prediction", F.lit(None).cast("double"))
+        p = test.select(*TEST_KEY, F.col("_fold").alias("fold"), F.lit("rf").alias("model"), "prediction")
         out = p if out is None else out.unionByName(p)
     if out is None:
         raise ValueError("no walk-forward test rows")
     return out
 
 
+ACCOUNT_EFFECT_INPUTS = ["prev_pd_kwh", "prev_prev_pd_kwh", "days_passed", "tavg_interval_sum_sq",
+                         "avg_kwh_for_cust_for_current_month"]
+
+
+def account_effects(features: DataFrame, inputs: list[str] = ACCOUNT_EFFECT_INPUTS, t: str = "tavg_interval_sum",
+                    label: str = "kwh", singular: float = 1e-7) -> DataFrame:
+    """Least squares with every account as a category and account x temperature (the wider pooled setup).
+
+    The per-account intercepts and slopes are partialled out: with grouped sums,
+    each input and the target are replaced by their residuals on (1, t) of the
+    account, whose pooled normal equations (one row of p * p numbers) give the
+    common coefficients; each account's own two follow from its sums.  An
+    account whose t never varies in training has only an intercept.  Accounts
+    without training rows are not predicted.
+    """
+    import numpy as np
+
+    cols = [*inputs, label]
+    rows = _laid_out(features.select(*TEST_KEY, "is_eval", F.col(t).cast("double").alias("_t"),
+                                     *[F.col(c).cast("double").alias(f"_{c}") for c in cols]))
+    train = rows.where(~F.col("is_eval")).na.drop()
+    means = train.groupBy("account_id").agg(
+        F.avg("_t").alias("_mt"), *[F.avg(f"_{c}").alias(f"_m_{c}") for c in cols])
+    # deviations from the account's means first, so the sums do not cancel
+    dev = train.join(means, "account_id").select(
+        "account_id", (F.col("_t") - F.col("_mt")).alias("_dt"),
+        *[(F.col(f"_{c}") - F.col(f"_m_{c}")).alias(f"_d_{c}") for c in cols])
+    slopes = dev.groupBy("account_id").agg(
+        F.sum(F.col("_dt") * F.col("_dt")).alias("_tt"),
+        *[F.sum(F.col("_dt") * F.col(f"_d_{c}")).alias(f"_t_{c}") for c in cols])
+    slopes = slopes.select("account_id", *[F.when(F.col("_tt") > 1e-9, F.col(f"_t_{c}") / F.col("_tt"))
+                                           .otherwise(F.lit(0.0)).alias(f"_b_{c}") for c in cols])
+    res = dev.join(slopes, "account_id").select(
+        *[(F.col(f"_d_{c}") - F.col(f"_b_{c}") * F.col("_dt")).alias(c) for c in cols])
+    p = len(inputs)
+    got = res.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}")
+                    for i in range(p + 1) for j in range(i, p + 1)]).first()
+    g = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p + 1)] for i in range(p + 1)])
+    scale = np.sqrt(np.where(np.diag(g)[:p] > 0, np.diag(g)[:p], 1.0))
+    beta = np.linalg.pinv(g[:p, :p] / np.outer(scale, scale), rcond=singular, hermitian=True) @ (g[:p, p] / scale) / scale
+    own = means.join(slopes, "account_id")
+    common = lambda of: sum((F.col(of(c)) * F.lit(float(v)) for c, v in zip(inputs, beta)), F.lit(0.0))
+    slope = F.col(f"_b_{label}") - common(lambda c: f"_b_{c}")
+    at_mean = F.col(f"_m_{label}") - common(lambda c: f"_m_{c}")
+    return (rows.where("is_eval").join(own, "account_id")
+            .select(*TEST_KEY, F.lit("account_effects").alias("model"),
+                    (at_mean + slope * (F.col("_t") - F.col("_mt")) + common(lambda c: f"_{c}")).alias("prediction")))
+
+
+def pooled_ols1(features: DataFrame, x: str = "tavg_interval_sum", y: str = "kwh") -> DataFrame:
+    """Intercept and slope of one pooled regressor over all training rows, one row."""
+    train = features.where(~F.col("is_eval"))
+    return train.agg(F.regr_intercept(F.col(y), F.col(x)).alias("intercept"), F.regr_slope(F.col(y), F.col(x)).alias("slope"))
+
+
+def pooled_ols1_forecast(features: DataFrame, x: str = "tavg_interval_sum") -> DataFrame:
+    """``pooled_ols1`` applied to every held-out row (the line is one row, so it is broadcast)."""
+    line = F.broadcast(pooled_ols1(features, x))
+    return (features.where("is_eval").join(line, F.lit(True))
+            .select(*TEST_KEY, F.lit("ols1").alias("model"),
+                    (F.col("intercept") + F.col("slope") * F.col(x)).cast("decimal(18,3)").alias("prediction")))
+
+
 def walk_forward_errors(preds: DataFrame, name: str) -> DataFrame:
     """Walk-forward predictions -> long forecasts with the variant name."""
     return preds.select(*TEST_KEY, F.lit(name).alias("model"), F.col("prediction").cast("decimal(18,4)").alias("prediction"))
@@ -296,7 +384,10 @@ def _notebook_pipeline(trees: int, seed: int = 42) -> Pipeline:
 
 def notebook_forest(split_rows: DataFrame, trees: int = FOREST_TREES) -> DataFrame:
     """Forest on the train split, predictions on the test split (I5, I14 input)."""
-    data = _checkpointed(_notebook_frame(split_rows))
+    return _fit_notebook(_laid_out(_notebook_frame(split_rows)), trees)
+
+
+def _fit_notebook(data: DataFrame, trees: int) -> DataFrame:
     model = _notebook_pipeline(trees).fit(data.where(F.col("split") == "train"))
     return model.transform(data.where(F.col("split") == "test")).select(
         *TEST_KEY, F.col(NOTEBOOK_TARGET).alias("actual"), "prediction")
@@ -304,12 +395,12 @@ def notebook_forest(split_rows: DataFrame, trees: int = FOREST_TREES) -> DataFra
 
 def tree_count_compare(split_rows: DataFrame, counts: list[int] = FOREST_GRID) -> DataFrame:
     """Test MAE, MAE relative to mean use, and RMSE for each forest size."""
-    out = None
+    data, out = _laid_out(_notebook_frame(split_rows)), None
     for n in counts:
-        p = notebook_forest(split_rows, n)
+        p = _fit_notebook(data, n)
         err = F.col("actual") - F.col("prediction")
         r = p.agg(F.lit(n).alias("num_trees"), F.avg(F.abs(err)).alias("mae"),
-                  (F.avg(F.abs(err)) / F.avg("actual")).alias("rel_mae"),
+                  F.try_divide(F.avg(F.abs(err)), F.avg("actual")).alias("rel_mae"),
                   F.sqrt(F.avg(err * err)).alias("rmse"))
         out = r if out is None else out.unionByName(r)
     return out
@@ -318,7 +409,7 @@ def tree_count_compare(split_rows: DataFrame, counts: list[int] = FOREST_GRID) -
 def grid_search(spark: SparkSession, split_rows: DataFrame, counts: list[int] = FOREST_GRID,
                 folds: int = CV_FOLDS, seed: int = 30) -> DataFrame:
     """k-fold cross-validated R^2 for each forest size on the train split."""
-    data = _checkpointed(_notebook_frame(split_rows).where(F.col("split") == "train"))
+    data = _laid_out(_notebook_frame(split_rows).where(F.col("split") == "train"))
     pipe = _notebook_pipeline(counts[0], seed)
     rf = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(rf.numTrees, counts).build()

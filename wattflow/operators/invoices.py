@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattflow.plans.sizing import broadcast_if_small
+from wattflow.functions.numeric import sum_cols
 
 ATTRIBUTE_COLUMNS = ["city", "state", "gender", "billing_address2", "utility_id",
                      "account_type", "county_fips", "rate_class"]
@@ -39,21 +39,21 @@ def station_pairs(stations: DataFrame) -> DataFrame:
 def with_nearest_station(inv: DataFrame, stations: DataFrame) -> DataFrame:
     """Invoices with their zip's nearest station.
 
-    The station table has one row per postal code and rank; it is broadcast
-    after its size is counted.
+    The station table has one row per postal code and rank; Spark broadcasts it
+    when its size in bytes is below the session's threshold.
     """
-    return inv.join(broadcast_if_small(stations_of_rank(stations, 1)), "zip", "inner")
+    return inv.join(stations_of_rank(stations, 1), "zip", "inner")
 
 
 def with_station_pair(inv: DataFrame, stations: DataFrame) -> DataFrame:
-    return inv.join(broadcast_if_small(station_pairs(stations)), "zip", "inner")
+    return inv.join(station_pairs(stations), "zip", "inner")
 
 
 def account_attributes(accounts: DataFrame, literal: bool = False) -> DataFrame:
     """Customer attributes with the city upper-cased.
 
-    Default: one row per account (the smallest attribute row), so joining it
-    never multiplies invoices.  ``literal=True`` keeps every row, as the
+    Default: one row per account, the one with the fewest missing attributes and
+    of those the smallest, so joining it never multiplies invoices.  ``literal=True`` keeps every row, as the
     reference's non-distinct attribute table does (T7).
     """
     cols = [F.upper("city").alias("city"), "state", "gender", "billing_address2",
@@ -61,5 +61,7 @@ def account_attributes(accounts: DataFrame, literal: bool = False) -> DataFrame:
     a = accounts.select("account_id", *cols)
     if literal:
         return a
-    picked = a.groupBy("account_id").agg(F.min(F.struct(*ATTRIBUTE_COLUMNS)).alias("_a"))
+    missing = sum_cols([F.col(c).isNull().cast("int") for c in ATTRIBUTE_COLUMNS])
+    picked = a.groupBy("account_id").agg(
+        F.min(F.struct(missing.alias("_missing"), *ATTRIBUTE_COLUMNS)).alias("_a"))
     return picked.select("account_id", *[F.col("_a." + c).alias(c) for c in ATTRIBUTE_COLUMNS])

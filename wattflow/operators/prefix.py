@@ -1,18 +1,19 @@
 """Ordered per-key scans that stay spread when one key holds most rows.
 
-A plain ``Window.partitionBy(key)`` puts each key in one task, so a key with a
-third of all rows runs a third of the work serially.  ``chunked_scan`` splits
-each key's ordered rows into date chunks sized from a per-key count (a cheap
-map-side aggregate), runs the window inside (key, chunk) groups, and stitches
-chunks together with a small per-chunk summary:
+A plain ``Window.partitionBy(key)`` puts each key in one task.  ``chunked_scan``
+cuts each key's ordered rows at quantiles of its dates (equal shares of rows,
+whatever the dates), runs the window inside (key, chunk) groups, and stitches
+the chunks together with a small per-chunk summary:
 
 * running position and exclusive running sums = chunk offset + local value,
 * lag 1 / lag 2 across a chunk edge = the previous chunks' last rows,
 * first value of the key = first row of its first chunk.
 
-Rows sharing a date always share a chunk, so tie order inside a chunk is the
-same as in a plain window.  A key with at most ``rows_per_chunk`` rows is a
-single chunk, and then every result equals the plain window's.
+It is meant for the few keys above a row bound (``plans.by_size``): their
+quantiles and summaries (at most CHUNKS rows a key) are broadcast, so their
+rows are never brought together by key.  Rows sharing a date share a chunk, so
+tie order inside a chunk is the same as in a plain window.  Sums are exact as
+long as their expressions are integers or decimals.
 """
 
 from __future__ import annotations
@@ -20,120 +21,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_CHUNK = 1_000_000
-CONF_KEY = "wattflow.window.rowsPerChunk"
+CHUNKS = 256
 
 
-def rows_per_chunk(df: DataFrame) -> int:
-    v = df.sparkSession.conf.get(CONF_KEY, None)
-    return int(v) if v else DEFAULT_ROWS_PER_CHUNK
+def with_chunks(df: DataFrame, keys: list[str], date_col: str, chunks: int = CHUNKS) -> DataFrame:
+    """``df`` plus ``_chunk``: how many of the key's date quantiles lie before the row."""
+    day = F.unix_date(date_col)
+    fractions = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(day, fractions, F.lit(10 * chunks)))
+                                 .alias("_cuts"))
+    return (df.join(F.broadcast(cuts), keys)
+            .withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < day))).drop("_cuts"))
 
 
-def chunked_scan(df: DataFrame, keys: list[str], date_col: str, order: list[str],
-                 sums: dict[str, Column] | None = None, lags: list[str] | None = None,
-                 firsts: list[str] | None = None, chunk_rows: int | None = None) -> DataFrame:
-    """Add ordered-scan columns to ``df``:
+def _summary(base: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
+             lags: list[str], firsts: list[str]) -> DataFrame:
+    """Per (key, chunk): what the chunks after it need to know of those before."""
+    part = keys + ["_chunk"]
+    up = Window.partitionBy(*part).orderBy(*order)
+    x = base.select(*part, *[F.col(c).alias(f"_l_{c}") for c in lags], *[F.col(c).alias(f"_f_{c}") for c in firsts],
+                    *[e.alias(f"_s_{k}") for k, e in sums.items()],
+                    F.row_number().over(up).alias("_up"), F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("_cn"))
+    last = F.col("_cn") - F.col("_up") + 1
+    s = x.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("_cn"),
+        *[F.sum(f"_s_{k}").alias(f"_cs_{k}") for k in sums],
+        *[F.max(F.when(last == 1, F.col(f"_l_{c}"))).alias(f"_t1_{c}") for c in lags],
+        *[F.max(F.when(last == 2, F.col(f"_l_{c}"))).alias(f"_t2_{c}") for c in lags],
+        *[F.max(F.when(F.col("_up") == 1, F.col(f"_f_{c}"))).alias(f"_f_{c}") for c in firsts])
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    two = F.lag("_cn", 1).over(w) >= 2
+    return s.select(
+        *part, F.sum("_cn").over(whole).alias("_n"), F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_on"),
+        *[F.sum(f"_cs_{k}").over(before).alias(f"_os_{k}") for k in sums],
+        *[F.lag(f"_t1_{c}", 1).over(w).alias(f"_p1_{c}") for c in lags],
+        *[F.when(two, F.lag(f"_t2_{c}", 1).over(w)).otherwise(F.lag(f"_t1_{c}", 2).over(w)).alias(f"_p2_{c}")
+          for c in lags],
+        *[F.first(f"_f_{c}").over(whole).alias(f"_first_{c}") for c in firsts])
+
+
+def chunked_scan(x: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
+                 lags: list[str] | None = None, firsts: list[str] | None = None,
+                 base: DataFrame | None = None) -> DataFrame:
+    """Add ordered-scan columns to ``x``, which has ``_chunk`` (``with_chunks`` on ``keys`` or fewer of them):
 
     ``_rn`` position in key (1-based), ``_n`` rows in key, for each sum name
     ``_before_<name>`` (sum over earlier rows of the key, 0 if none), for each
     lag column ``_lag1_<c>`` / ``_lag2_<c>``, for each first column
-    ``_first_<c>``.  ``order`` must start with ``date_col``.
+    ``_first_<c>``.  ``base`` may name an earlier form of ``x`` that has all the
+    summary needs, so that columns added since are not computed twice.
     """
-    sums = sums or {}
-    lags = lags or []
-    firsts = firsts or []
-    c_rows = chunk_rows or rows_per_chunk(df)
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(date_col).alias("_d0"),
-                                  F.max(date_col).alias("_d1"))
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(c_rows)))
-    span = F.greatest(F.lit(1), F.ceil((F.datediff("_d1", "_d0") + 1) / n_chunks)).cast("int")
-    stats = stats.select(*keys, "_n", "_d0", span.alias("_span"))
-    x = (df.join(stats, keys, "inner")
-         .withColumn("_chunk", F.floor(F.datediff(F.col(date_col), F.col("_d0")) / F.col("_span")).cast("int"))
-         .drop("_d0", "_span"))
+    sums, lags, firsts = sums or {}, lags or [], firsts or []
     part = keys + ["_chunk"]
     w = Window.partitionBy(*part).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
-    x = x.select("*",
-                 F.row_number().over(w).alias("_lrn"),
-                 F.count(F.lit(1)).over(whole).alias("_lcn"),
-                 *[F.sum(e).over(before).alias(f"_lb_{k}") for k, e in sums.items()],
-                 *[F.lag(c, 1).over(w).alias(f"_ll1_{c}") for c in lags],
-                 *[F.lag(c, 2).over(w).alias(f"_ll2_{c}") for c in lags])
-    last = F.col("_lcn") - F.col("_lrn") + 1
-    summary = x.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("_cn"),
-        *[F.sum(e).alias(f"_cs_{k}") for k, e in sums.items()],
-        *[F.max(F.when(last == 1, F.col(c))).alias(f"_t1_{c}") for c in lags],
-        *[F.max(F.when(last == 2, F.col(c))).alias(f"_t2_{c}") for c in lags],
-        *[F.max(F.when(F.col("_lrn") == 1, F.col(c))).alias(f"_f_{c}") for c in firsts])
-    sw = Window.partitionBy(*keys).orderBy("_chunk")
-    sb = sw.rowsBetween(Window.unboundedPreceding, -1)
-    sa = sw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    prev_two = F.lag("_cn", 1).over(sw) >= 2
-    offsets = summary.select(
-        *part,
-        F.coalesce(F.sum("_cn").over(sb), F.lit(0)).alias("_on"),
-        *[F.sum(f"_cs_{k}").over(sb).alias(f"_os_{k}") for k in sums],
-        *[F.lag(f"_t1_{c}", 1).over(sw).alias(f"_p1_{c}") for c in lags],
-        *[F.when(prev_two, F.lag(f"_t2_{c}", 1).over(sw)).otherwise(F.lag(f"_t1_{c}", 2).over(sw)).alias(f"_p2_{c}")
-          for c in lags],
-        *[F.first(f"_f_{c}").over(sa).alias(f"_first_{c}") for c in firsts])
-    y = x.join(offsets, part, "inner")
+    local = x.select(
+        "*", F.row_number().over(w).alias("_lrn"),
+        *[F.sum(e).over(before).alias(f"_lb_{k}") for k, e in sums.items()],
+        *[F.lag(c, 1).over(w).alias(f"_ll1_{c}") for c in lags],
+        *[F.lag(c, 2).over(w).alias(f"_ll2_{c}") for c in lags])
+    y = local.join(F.broadcast(_summary(x if base is None else base, keys, order, sums, lags, firsts)), part)
     lrn = F.col("_lrn")
-    out = y.select(
-        *df.columns, "_n",
-        (F.col("_on") + lrn).cast("int").alias("_rn"),
+    return y.select(
+        *x.columns, "_n", (F.col("_on") + lrn).cast("int").alias("_rn"),
         *[(F.coalesce(F.col(f"_os_{k}"), F.lit(0)) + F.coalesce(F.col(f"_lb_{k}"), F.lit(0))).alias(f"_before_{k}")
           for k in sums],
         *[F.when(lrn >= 2, F.col(f"_ll1_{c}")).otherwise(F.col(f"_p1_{c}")).alias(f"_lag1_{c}") for c in lags],
         *[F.when(lrn >= 3, F.col(f"_ll2_{c}")).when(lrn == 2, F.col(f"_p1_{c}"))
           .otherwise(F.col(f"_p2_{c}")).alias(f"_lag2_{c}") for c in lags],
         *[F.col(f"_first_{c}") for c in firsts])
-    return out
-
-
-def prefix_sums(df: DataFrame, keys: list[str], date_col: str, order: list[str],
-                sums: dict[str, Column], chunk_rows: int | None = None) -> DataFrame:
-    """``df`` plus ``_before_<name>``: the sum over the key's earlier rows (0 if none).
-
-    Skew-checked: the input is cached and its largest key counted; keys within
-    the bound use a plain window, larger ones the chunked scan.
-    """
-    from wattflow.plans.sizing import cached
-
-    limit = chunk_rows or rows_per_chunk(df)
-    kept = cached(df)
-    largest = kept.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    if largest <= limit:
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return kept.select("*", *[F.coalesce(F.sum(e).over(before), F.lit(0)).alias(f"_before_{k}")
-                                  for k, e in sums.items()])
-    s = chunked_scan(kept, keys, date_col, order, sums=sums, chunk_rows=limit)
-    return s.select(*kept.columns, *[f"_before_{k}" for k in sums])
-
-
-def largest_key(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key (map-side partial count, one-row result)."""
-    return df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"] or 0
 
 
 def ordered_scan(df: DataFrame, keys: list[str], date_col: str, order: list[str],
                  sums: dict[str, Column] | None = None, lags: list[str] | None = None,
-                 firsts: list[str] | None = None, chunk_rows: int | None = None) -> DataFrame:
-    """``chunked_scan``'s columns, by plain windows when every key is within the bound."""
-    from wattflow.plans.sizing import cached
-
+                 firsts: list[str] | None = None, chunked: bool = False, chunks: int = CHUNKS) -> DataFrame:
+    """``chunked_scan``'s columns, by plain windows or by chunks."""
     sums, lags, firsts = sums or {}, lags or [], firsts or []
-    limit = chunk_rows or rows_per_chunk(df)
-    kept = cached(df)
-    if largest_key(kept, keys) > limit:
-        return chunked_scan(kept, keys, date_col, order, sums, lags, firsts, limit)
+    if chunked:
+        return chunked_scan(with_chunks(df, keys, date_col, chunks), keys, order, sums, lags, firsts).drop("_chunk")
     w = Window.partitionBy(*keys).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return kept.select(
+    return df.select(
         "*", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"),
         F.row_number().over(w).alias("_rn"),
         *[F.coalesce(F.sum(e).over(before), F.lit(0)).alias(f"_before_{k}") for k, e in sums.items()],

@@ -19,13 +19,12 @@ path) and an interval sum of exactly 0 becomes null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattflow.functions.dates import day_sequence, inclusive_days, ymd_to_date
 from wattflow.functions.numeric import (READING_TYPE, fixed_ratio, is_missing,
                                         reading_skip, reading_zero, round_int)
-from wattflow.plans.sizing import broadcast_if_small, cached
 
 DAILY_VALUES = ["n_rows", "n_missing", "sum_zero", "n_zero", "sum_skip", "n_skip"]
 PAIR_VALUES = ["n_rows_1", "n_missing_1", "sum_zero_1", "n_zero_1",
@@ -61,20 +60,24 @@ def daily_weather(weather: DataFrame) -> DataFrame:
         F.count(reading_skip("tavg_raw")).alias("n_skip"))
 
 
-def last_observed_day(daily: DataFrame):
-    """The latest weather day (one-row aggregate, a bounded driver read)."""
-    return daily.agg(F.max("obs_date").alias("d")).first()["d"]
+def last_observed_day(weather: DataFrame) -> Column:
+    """The latest weather day, as a scalar subquery of the plan (null without weather)."""
+    return parse_weather(weather).agg(F.max("obs_date")).scalar()
 
 
-def prefix_calendar(daily: DataFrame, keys: list[str], values: list[str], last_day) -> DataFrame:
-    """Running totals of ``values`` per key on every day from its first day to ``last_day``."""
-    first = daily.groupBy(*keys).agg(F.min("obs_date").alias("_first"))
-    days = first.select(*keys, F.explode(day_sequence(F.col("_first"), F.lit(last_day))).alias("obs_date"))
-    filled = days.join(daily.select(*keys, "obs_date", *values), keys + ["obs_date"], "left")
-    w = (Window.partitionBy(*keys).orderBy("obs_date")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return filled.select(*keys, "obs_date",
-                         *[F.sum(F.coalesce(F.col(v), F.lit(0))).over(w).alias(v) for v in values])
+def prefix_calendar(daily: DataFrame, keys: list[str], values: list[str], last_day: Column) -> DataFrame:
+    """Running totals of ``values`` per key on every day from its first day to ``last_day``.
+
+    One window over the observed days; a day without a reading repeats the
+    totals of the day before it.
+    """
+    w = Window.partitionBy(*keys).orderBy("obs_date")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    observed = daily.select(
+        *keys, "obs_date", F.date_sub(F.lead("obs_date").over(w), 1).alias("_until"),
+        *[F.sum(F.coalesce(F.col(v), F.lit(0))).over(so_far).alias(v) for v in values])
+    return (observed.withColumn("_until", F.coalesce("_until", last_day))
+            .select(*keys, F.explode(day_sequence("obs_date", "_until")).alias("obs_date"), *values))
 
 
 def interval_totals(intervals: DataFrame, calendar: DataFrame, keys: list[str],
@@ -83,16 +86,13 @@ def interval_totals(intervals: DataFrame, calendar: DataFrame, keys: list[str],
     """Totals of ``values`` over [from, to] for every interval row, by two lookups.
 
     Days past the last weather day are clamped to it; days before a key's
-    first day have no calendar row and count 0.  The calendar is broadcast
-    only when its counted size is under the configured bound.
+    first day have no calendar row and count 0.
     """
-    last = F.lit(last_day)
     x = (intervals
-         .withColumn("_hi", F.least(F.col(to_col), last))
-         .withColumn("_lo", F.least(F.date_sub(F.col(from_col), 1), last)))
-    cal = broadcast_if_small(calendar)
-    hi = cal.select(*keys, F.col("obs_date").alias("_hi"), *[F.col(v).alias("_h_" + v) for v in values])
-    lo = cal.select(*keys, F.col("obs_date").alias("_lo"), *[F.col(v).alias("_l_" + v) for v in values])
+         .withColumn("_hi", F.least(F.col(to_col), last_day))
+         .withColumn("_lo", F.least(F.date_sub(F.col(from_col), 1), last_day)))
+    hi = calendar.select(*keys, F.col("obs_date").alias("_hi"), *[F.col(v).alias("_h_" + v) for v in values])
+    lo = calendar.select(*keys, F.col("obs_date").alias("_lo"), *[F.col(v).alias("_l_" + v) for v in values])
     x = x.join(hi, keys + ["_hi"], "left").join(lo, keys + ["_lo"], "left")
     totals = [(F.coalesce(F.col("_h_" + v), F.lit(0)) - F.coalesce(F.col("_l_" + v), F.lit(0))).alias(v)
               for v in values]
@@ -105,11 +105,8 @@ def interval_totals(intervals: DataFrame, calendar: DataFrame, keys: list[str],
 
 def station_totals(inv_station: DataFrame, weather: DataFrame) -> DataFrame:
     """Per invoice-with-station: all DAILY_VALUES over its interval (prefix form)."""
-    daily = cached(daily_weather(weather))
-    last_day = last_observed_day(daily)
-    if last_day is None:
-        return inv_station.select(*inv_station.columns, *[F.lit(0).alias(v) for v in DAILY_VALUES]).limit(0)
-    cal = prefix_calendar(daily, ["station_id"], DAILY_VALUES, last_day)
+    last_day = last_observed_day(weather)
+    cal = prefix_calendar(daily_weather(weather), ["station_id"], DAILY_VALUES, last_day)
     return interval_totals(inv_station, cal, ["station_id"], DAILY_VALUES, last_day)
 
 
@@ -165,7 +162,7 @@ def pair_daily(pairs: DataFrame, daily: DataFrame) -> DataFrame:
                       *[F.col(c).alias(c + "_1") for c in ("n_rows", "n_missing", "sum_zero", "n_zero")])
     d2 = daily.select(F.col("station_id").alias("station_id_2"), "obs_date",
                       *[F.col(c).alias(c + "_2") for c in ("n_rows", "n_missing", "sum_zero", "n_zero")])
-    j = (broadcast_if_small(pairs).join(d1, "station_id_1")
+    j = (pairs.join(d1, "station_id_1")
          .join(d2, ["station_id_2", "obs_date"], "left"))
     k = F.coalesce(F.col("n_rows_2"), F.lit(0))
     mult = F.greatest(k, F.lit(1))
@@ -189,10 +186,8 @@ def pair_totals(inv_pair: DataFrame, weather: DataFrame, pairs: DataFrame | None
     station table's pairs (bounded by postal codes) so they need not be read
     off the invoices.
     """
-    daily = cached(daily_weather(weather))
-    last_day = last_observed_day(daily)
-    if last_day is None:
-        return inv_pair.select(*inv_pair.columns, *[F.lit(0).alias(v) for v in PAIR_VALUES]).limit(0)
+    daily = daily_weather(weather)
+    last_day = last_observed_day(weather)
     if pairs is None:
         pairs = inv_pair.select("station_id_1", "station_id_2")
     pairs = pairs.select("station_id_1", "station_id_2").distinct()
@@ -233,7 +228,7 @@ def invoice_days(inv: DataFrame) -> DataFrame:
 def readings_by_day(inv_station: DataFrame, weather: DataFrame) -> DataFrame:
     """Per-day readings by day expansion + equi-join on (station, day)."""
     w = parse_weather(weather).select("station_id", "obs_date", "tavg_raw")
-    return invoice_days(inv_station).join(broadcast_if_small(w), ["station_id", "obs_date"], "inner")
+    return invoice_days(inv_station).join(w, ["station_id", "obs_date"], "inner")
 
 
 def _bin(d) -> F.Column:
@@ -264,7 +259,7 @@ def readings_two_stations(inv_pair: DataFrame, weather: DataFrame, literal: bool
     w1 = w.select(F.col("station_id").alias("station_id_1"), "obs_date", F.col("tavg_raw").alias("tavg_raw_1"))
     w2 = w.select(F.col("station_id").alias("station_id_2"), "obs_date", F.col("tavg_raw").alias("tavg_raw_2"))
     days = invoice_days(inv_pair)
-    first = days.join(broadcast_if_small(w1), ["station_id_1", "obs_date"], "inner")
+    first = days.join(w1, ["station_id_1", "obs_date"], "inner")
     if not literal:
         return first.join(w2, ["station_id_2", "obs_date"], "left")
     second = (days.join(w2, ["station_id_2", "obs_date"], "inner")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattflow.functions.numeric import mean4, null_flag
+from wattflow.operators.prefix import CHUNKS, chunked_scan, with_chunks
 
 ORDER = ["to_dt", "from_dt", "kwh"]
 
@@ -60,53 +61,37 @@ def attribute_flags(df: DataFrame, columns=("gender", "billing_address2", "count
 
 
 def feature_windows(df: DataFrame, daily_col: str = "avg_kwh_day_over_invoice",
-                    chunk_rows: int | None = None) -> DataFrame:
-    """All window features (E1-E8), skew-checked.
-
-    The input is cached (it feeds every window) and its largest account is
-    counted.  When every account fits in ``chunk_rows`` rows, the plain
-    windows run (one exchange by account); otherwise the chunked scan of
-    ``operators.prefix`` splits large accounts into date chunks so no single
-    task holds one account's whole series.  Both give the same values.
-    """
-    from wattflow.operators.prefix import rows_per_chunk
-    from wattflow.plans.sizing import cached
-
-    limit = chunk_rows or rows_per_chunk(df)
-    kept = cached(df)
-    largest = kept.groupBy("account_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    if largest <= limit:
-        return expanding_features(invoice_sequence(kept, daily_col), daily_col)
-    return chunked_feature_windows(kept, daily_col, limit)
+                    chunked: bool = False) -> DataFrame:
+    """All window features (E1-E8): plain windows by account, or chunks for accounts of any size."""
+    if chunked:
+        return chunked_feature_windows(df, daily_col)
+    return expanding_features(invoice_sequence(df, daily_col), daily_col)
 
 
 def chunked_feature_windows(df: DataFrame, daily_col: str = "avg_kwh_day_over_invoice",
-                            chunk_rows: int | None = None) -> DataFrame:
-    """``invoice_sequence`` + ``expanding_features`` through chunked scans."""
-    from wattflow.operators.prefix import chunked_scan
-    from wattflow.plans.sizing import cached
-
+                            chunks: int = CHUNKS) -> DataFrame:
+    """``invoice_sequence`` + ``expanding_features`` through chunked scans that share their chunks."""
     def present(c):
         return F.col(c).isNotNull().cast("long")
 
-    a = chunked_scan(df, ["account_id"], "to_dt", ORDER,
+    def mean_before(c, scale):
+        n = F.col(f"_before_{c}_n")
+        return mean4(F.col(f"_before_{c}"), F.when(n > 0, n), scale)
+
+    x = with_chunks(df, ["account_id"], "to_dt", chunks)
+    a = chunked_scan(x, ["account_id"], ORDER,
                      sums={"kwh": F.col("kwh"), "kwh_n": present("kwh"),
                            "daily": F.col(daily_col), "daily_n": present(daily_col)},
-                     lags=["kwh", daily_col], firsts=["from_dt"], chunk_rows=chunk_rows)
-    a = a.select(*df.columns,
+                     lags=["kwh", daily_col], firsts=["from_dt"])
+    a = a.select(*x.columns,
                  F.col("_rn").alias("invoice_num"),
                  F.col("_lag1_kwh").alias("kwh_lag"), F.col("_lag2_kwh").alias("kwh_lag_2"),
                  F.col(f"_lag1_{daily_col}").alias("daily_kwh_lag"), F.col(f"_lag2_{daily_col}").alias("daily_kwh_lag_2"),
-                 mean4(F.col("_before_kwh"), F.when(F.col("_before_kwh_n") > 0, F.col("_before_kwh_n")), 2)
-                 .alias("kwh_updating_avg"),
-                 mean4(F.col("_before_daily"), F.when(F.col("_before_daily_n") > 0, F.col("_before_daily_n")), 2)
-                 .alias("daily_kwh_updating_avg"),
+                 mean_before("kwh", 2).alias("kwh_updating_avg"),
+                 mean_before("daily", 2).alias("daily_kwh_updating_avg"),
                  F.col("_first_from_dt").alias("first_date"),
                  F.datediff("to_dt", F.col("_first_from_dt")).alias("days_passed"))
-    a = cached(a)
-    m = chunked_scan(a, ["account_id", "todt_month"], "to_dt", ORDER,
-                     sums={"daily": F.col(daily_col), "daily_n": present(daily_col)}, chunk_rows=chunk_rows)
-    out = m.select(*a.columns,
-                   mean4(F.col("_before_daily"), F.when(F.col("_before_daily_n") > 0, F.col("_before_daily_n")), 2)
-                   .alias("month_avg_preceding"))
+    m = chunked_scan(a, ["account_id", "todt_month"], ORDER,
+                     sums={"daily": F.col(daily_col), "daily_n": present(daily_col)}, base=x)
+    out = m.select(*[c for c in a.columns if c != "_chunk"], mean_before("daily", 2).alias("month_avg_preceding"))
     return out.withColumn("month_avg_preceding_flag", null_flag("month_avg_preceding"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from wattflow.operators import accounts as acc
 from wattflow.operators import readings
 from wattflow.plans import matched
+from wattflow.plans.by_size import by_size, written
 from wattflow.sources.fixtures import Domain
 
 # Fixed value: the fixture's stand-in for the reference cutoff (FIXTURES.md part 2).
@@ -24,6 +26,16 @@ def eligibility(d: Domain, cutoff: dt.date = FIXTURE_CUTOFF) -> DataFrame:
     return acc.eligibility(customer_rows(d), cutoff)
 
 
-def features(d: Domain, cutoff: dt.date = FIXTURE_CUTOFF, scope: str = "train") -> DataFrame:
-    rows = customer_rows(d)
-    return acc.account_features(rows, acc.eligibility(rows, cutoff), cutoff, scope)
+def features(d: Domain, cutoff: dt.date = FIXTURE_CUTOFF, scope: str = "train",
+             bound: int | None = None) -> DataFrame:
+    return from_features(d, None, cutoff, scope, bound)
+
+
+def from_features(d: Domain, step: Callable[..., DataFrame] | None, cutoff: dt.date = FIXTURE_CUTOFF,
+                  scope: str = "train", bound: int | None = None) -> DataFrame:
+    """``step(features, chunked=...)`` for accounts of any size (``plans.by_size``)."""
+    def build(part: Domain, chunked: bool) -> DataFrame:
+        rows = written(customer_rows(part), chunked)
+        f = written(acc.account_features(rows, cutoff, scope, chunked), chunked)
+        return f if step is None else step(f, chunked=chunked)
+    return by_size(d, build, bound)

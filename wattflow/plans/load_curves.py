@@ -24,13 +24,29 @@ def clustering_rows(d: Domain) -> DataFrame:
     return qa.clean_rows(matched.matched_table_2(d), share_col="perc_missing_preferred", max_share=qa.HALF)
 
 
-def account_shares(d: Domain) -> DataFrame:
-    """Per-account monthly kWh curves (months with no invoice stay null), as shares."""
+def account_shares(d: Domain, complete_only: bool = False) -> DataFrame:
+    """Per-account monthly kWh curves as shares; months with no invoice stay null, or drop the account."""
     rows = clustering_rows(d).select("account_id", F.col("todt_month").alias("month"), F.col("kwh").alias("value"))
-    return cl.load_shares(cl.load_pivot(rows, "account_id", complete_only=False), "account_id")
+    return cl.load_shares(cl.load_pivot(rows, "account_id", complete_only=complete_only), "account_id")
 
 
-def account_labels(spark, d: Domain, sf_dir: str, k: int = cl.KMEANS_K_FINAL) -> DataFrame:
+def account_labels(spark, d: Domain, sf_dir: str, k: int = cl.KMEANS_K_FINAL, complete_only: bool = False) -> DataFrame:
     """Nearest of k seeded centroids for every account curve."""
     centroids = cl.seed_centroids(supplier_shares(spark, sf_dir), "entity_id", k, SEED)
-    return cl.nearest_centroid(account_shares(d), "account_id", centroids)
+    return cl.nearest_centroid(account_shares(d, complete_only), "account_id", centroids)
+
+
+def labelled_rows(d: Domain, labels: DataFrame) -> DataFrame:
+    """Every clustering row with its account's label, -1 for accounts without a complete curve."""
+    rows = clustering_rows(d).select("account_id", "from_dt", "to_dt", "kwh", "gender", "rate_class", "county_fips")
+    return cl.label_rows(rows, labels, "account_id")
+
+
+def kmeans_chain(spark, d: Domain, k: int = cl.KMEANS_K_FINAL, n_init: int = cl.KMEANS_N_INIT) -> DataFrame:
+    """Centroids fitted on the complete curves, nearest centroid for each, label on every row."""
+    curves = cl.written_once(account_shares(d, complete_only=True), "account_id")
+    if curves.isEmpty():
+        return labelled_rows(d, curves.select("account_id", F.lit(0).alias("cluster")))
+    fitted = cl.kmeans_centroids(spark, curves, k, n_init).orderBy("cluster").collect()  # k rows
+    centroids = [[r[c] for c in cl.SHARE_COLS] for r in fitted]
+    return labelled_rows(d, cl.nearest_centroid(curves, "account_id", centroids))

@@ -10,6 +10,7 @@ from wattflow.functions.numeric import fixed_ratio, round_int
 from wattflow.operators import invoices as inv_ops
 from wattflow.operators import readings
 from wattflow.operators import windows
+from wattflow.plans.by_size import by_size, written
 from wattflow.sources.fixtures import Domain
 
 
@@ -27,9 +28,10 @@ def invoice_weather_1(d: Domain) -> DataFrame:
     return readings.invoice_weather_one(invoices_nearest(d), d.weather)
 
 
-def matched_table_1(d: Domain) -> DataFrame:
+def matched_table_1(d: Domain, bound: int | None = None) -> DataFrame:
     """S10's table: one-station statistics, window features and the month flag."""
-    return windows.feature_windows(invoice_weather_1(d))
+    return by_size(d, lambda part, chunked: windows.feature_windows(
+        written(invoice_weather_1(part), chunked), chunked=chunked), bound)
 
 
 def station_preference(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -65,13 +67,17 @@ def invoice_weather_2(d: Domain, count_null_as_missing: bool = False,
     return stats.join(attrs, "account_id", "inner")
 
 
-def matched_table_2(d: Domain, **kw) -> DataFrame:
+def matched_table_2(d: Domain, bound: int | None = None, **kw) -> DataFrame:
     """S12's table: two stations, preference, daily kWh, window features, flags."""
+    return by_size(d, lambda part, chunked: _matched_two(part, chunked, **kw), bound)
+
+
+def _matched_two(d: Domain, chunked: bool, **kw) -> DataFrame:
     df = station_preference(invoice_weather_2(d, **kw))
     df = df.withColumns({
         "avg_kwh_day_over_invoice": fixed_ratio(F.col("kwh"), inclusive_days("from_dt", "to_dt"), 6, 2),
         "todt_month": F.month("to_dt"),
         "todt_day": F.dayofmonth("to_dt"),
     })
-    df = windows.feature_windows(df)
+    df = windows.feature_windows(written(df, chunked), chunked=chunked)
     return windows.attribute_flags(df)

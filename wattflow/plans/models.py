@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,18 +36,54 @@ def interaction_month_temp(features: DataFrame) -> DataFrame:
                             KEY + ["month", "tavg_interval_sum"])
 
 
-def pooled(features: DataFrame, names: list[str]) -> DataFrame:
-    reg = fc.algorithm_registry()
+def pooled(features: DataFrame, names: list[str], trees: int = fc.FOREST_TREES) -> DataFrame:
+    reg = fc.algorithm_registry(trees=trees)
     return fc.pooled_forecast(features, fc.POOLED_SPEC, {n: reg[n] for n in names})
 
 
+def _ablation_errors(with_t: DataFrame, without: DataFrame) -> DataFrame:
+    """Grand error table of two variants over the rows that both predict (I16)."""
+    a = fc.walk_forward_errors(with_t, "with_temperature").where(F.col("prediction").isNotNull())
+    b = fc.walk_forward_errors(without, "without_temperature").where(F.col("prediction").isNotNull())
+    both = a.join(b.select(*KEY), KEY, "left_semi").unionByName(b.join(a.select(*KEY), KEY, "left_semi"))
+    return ev.errors_grand(ev.error_frame(both)).withColumnRenamed("model", "variant")
+
+
 def temp_ablation(features: DataFrame) -> DataFrame:
     """Walk-forward linear forecasts with and without temperature, grand error table (I16)."""
-    with_t = fc.walk_forward_errors(fc.walk_forward_ols(features, fc.WALK_SPEC), "with_temperature")
-    without = fc.walk_forward_errors(
-        fc.walk_forward_ols(features, fc.WALK_SPEC.without(fc.TEMPERATURE_COLUMNS)), "without_temperature")
-    both = ev.error_frame(with_t.unionByName(without).where(F.col("prediction").isNotNull()))
-    return ev.errors_grand(both).withColumnRenamed("model", "variant")
+    return _ablation_errors(fc.walk_forward_ols(features, fc.WALK_SPEC),
+                            fc.walk_forward_ols(features, fc.WALK_SPEC.without(fc.TEMPERATURE_COLUMNS)))
+
+
+def temp_ablation_rf(features: DataFrame, trees: int = fc.FOREST_TREES) -> DataFrame:
+    """The same with the forest, as the reference compares it (I16)."""
+    return _ablation_errors(fc.walk_forward_forest(features, fc.WALK_SPEC, trees=trees),
+                            fc.walk_forward_forest(features, fc.WALK_SPEC.without(fc.TEMPERATURE_COLUMNS), trees=trees))
+
+
+def model_errors(preds: DataFrame) -> DataFrame:
+    """Error frame of any model's long forecasts."""
+    return ev.error_frame(preds.withColumn("prediction", F.col("prediction").cast("decimal(18,4)")))
+
+
+PAIR_SPEC = mf.FeatureSpec(numeric=[], interactions=[
+    ("month", "station_id", mf.CATEGORICAL, mf.CATEGORICAL),
+    ("tavg_interval_sum", "days_passed", mf.NUMERICAL, mf.NUMERICAL)])
+
+
+def interaction_pairs(features: DataFrame) -> DataFrame:
+    """Category x category and number x number interactions (I2): the one category pair of
+    a row (null for a level unseen in training), its value, and the product."""
+    model = mf.fit_encoder(features.where(~F.col("is_eval")), PAIR_SPEC)
+    months, stations = (mf.fitted_levels(model, c) for c in ("month", "station_id"))
+    names = [f"{m}:{s}" for m in [*months, None] for s in [*stations, None]]
+    names = F.array(*[F.lit(None if "None" in n else n) for n in names])
+    pair = vector_to_array(F.col("month_x_station_id"))
+    rows = model.transform(features.withColumn("days_passed", F.col("days_passed").cast("double")))
+    one = F.array_position(pair, F.lit(1.0)).cast("int")
+    return rows.select(*KEY, F.element_at(names, one).alias("month_station"),
+                       F.aggregate(pair, F.lit(0.0), lambda a, x: a + x).alias("pair_value"),
+                       vector_to_array(F.col("tavg_interval_sum_x_days_passed"))[0].alias("tavg_x_days"))
 
 
 def notebook_split(d: Domain, seed: int = 42) -> DataFrame:

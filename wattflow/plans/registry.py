@@ -1,11 +1,13 @@
 """Query registry: name -> (spark builder, DuckDB oracle text).
 
 Every builder takes ``(spark, sf_dir)``, derives the domain tables from the
-driver's parquet files and returns a lazy DataFrame over the whole tables.
+driver's parquet files and returns a DataFrame over the whole tables.  Feature
+plans are lazy; fits, seeds, samples and the publish run jobs when built.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,10 @@ from wattflow.plans import load_curves as lc
 from wattflow.plans import models
 from wattflow.plans import matched
 from wattflow.plans import oracle as O
+from wattflow.session import ensure_checkpoint_dir
 from wattflow.sources.fixtures import domain
+from wattflow.sources.sinks import publish_ordered
+from wattflow.sources.tables import read_catalog_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -111,6 +116,8 @@ def q_station_preferred(spark, sf):
     return matched.station_preference(matched.invoice_weather_2(domain(spark, sf)))
 
 
+SMALL_BOUND = 3  # of the *_chunked queries, so that most accounts count as large
+
 SEQ_COLS = ["invoice_num", "kwh_lag", "kwh_lag_2", "daily_kwh_lag", "daily_kwh_lag_2", "avg_kwh_day_over_invoice"]
 EXP_COLS = ["kwh_updating_avg", "daily_kwh_updating_avg"]
 FIRST_COLS = ["first_date", "days_passed"]
@@ -118,6 +125,28 @@ MONTH_COLS = ["todt_month", "month_avg_preceding", "month_avg_preceding_flag"]
 FLAG_COLS = ["month_avg_preceding_flag", "gender_flag", "billing_address2_flag", "county_fips_flag", "rate_class_flag"]
 
 
+@query("matched_table_1_chunked", O.sql("SELECT * FROM matched1", "matched1"))
+def q_matched_table_1_chunked(spark, sf):
+    """The plan of accounts above the row bound, for every account of more than SMALL_BOUND invoices."""
+    return matched.matched_table_1(domain(spark, sf), bound=SMALL_BOUND)
+
+
+@query("view_read", O.sql("SELECT account_id, to_dt, kwh FROM inv WHERE kwh > 1000", "inv"))
+def q_view_read(spark, sf):
+    """Columns and a predicate through a registered view (A4)."""
+    d = domain(spark, sf)
+    inv_ops.invoice_distinct(d.accounts, d.invoices).createOrReplaceTempView("wattflow_invoices")
+    return read_catalog_table(spark, "wattflow_invoices", ["account_id", "to_dt", "kwh"], F.col("kwh") > 1000)
+
+
+@query("published_table", O.sql("SELECT * FROM matched1", "matched1"))
+def q_published_table(spark, sf):
+    """The ordered publish (A6), read back from the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    publish_ordered(matched.matched_table_1(domain(spark, sf)), path, ["account_id", "to_dt"])
+    return spark.read.parquet(path)
+
+
 def _cols_query(name: str, cols: list[str], src: str, builder):
     text = O.sql(f"SELECT {', '.join(KEY + cols)} FROM {src}", src)
 
@@ -181,6 +210,11 @@ def q_account_features(spark, sf):
     return customers.features(domain(spark, sf))
 
 
+@query("account_features_chunked", O.sql("SELECT * FROM cfeat", "cfeat"))
+def q_account_features_chunked(spark, sf):
+    return customers.features(domain(spark, sf), bound=SMALL_BOUND)
+
+
 @query("account_features_all_scope", O.sql("SELECT * FROM cfeat_all", "cfeat_all"))
 def q_account_features_all_scope(spark, sf):
     return customers.features(domain(spark, sf), scope="all")
@@ -219,7 +253,7 @@ FROM (SELECT *, first_value(to_dt) OVER (PARTITION BY account_id {O.WINDOW_ORDER
       FROM cfeat) x
 WHERE row_idx > CAST(floor(n_rows * 0.8) AS INTEGER)""", "cfeat"))
 def q_walk_forward_folds(spark, sf):
-    return acc.walk_forward_folds(customers.features(domain(spark, sf)))
+    return customers.from_features(domain(spark, sf), acc.walk_forward_folds)
 
 
 @query("account_extremes", O.sql("""
@@ -410,6 +444,24 @@ def q_cluster_labels_joined(spark, sf):
     return cl.label_rows(rows, lc.account_labels(spark, d, sf), "account_id")
 
 
+@query("cluster_labels_complete", O.sql("""
+SELECT r.account_id, r.from_dt, r.to_dt, r.kwh, COALESCE(r.gender, '-1') AS gender,
+       COALESCE(r.rate_class, '-1') AS rate_class, COALESCE(r.county_fips, -1) AS county_fips,
+       COALESCE(l.cluster, -1) AS load_curve_cluster
+FROM km_rows r LEFT JOIN (SELECT * FROM alabels WHERE account_id IN (
+  SELECT account_id FROM km_rows GROUP BY account_id HAVING count(DISTINCT todt_month) = 12)) l
+  ON l.account_id = r.account_id""", "km_rows", "alabels"))
+def q_cluster_labels_complete(spark, sf):
+    """Labels of complete curves only: rows of other accounts get -1."""
+    d = domain(spark, sf)
+    return lc.labelled_rows(d, lc.account_labels(spark, d, sf, complete_only=True))
+
+
+@query("kmeans_chain")
+def q_kmeans_chain(spark, sf):
+    return lc.kmeans_chain(spark, domain(spark, sf))
+
+
 @query("kmeans_k1", O.sql("""
 SELECT 1 AS k, CAST(SUM(""" + " + ".join(
     f"(s.m_{m}_pct - mu.m_{m}_pct) * (s.m_{m}_pct - mu.m_{m}_pct)" for m in range(1, 13)) + """) AS DECIMAL(20,10)) AS cost
@@ -422,7 +474,7 @@ def q_kmeans_k1(spark, sf):
 
 @query("kmeans_sweep")
 def q_kmeans_sweep(spark, sf):
-    return cl.kmeans_sweep(spark, lc.supplier_shares(spark, sf))
+    return cl.kmeans_sweep(spark, lc.supplier_shares(spark, sf), "entity_id")
 
 
 @query("kmeans_final")
@@ -431,13 +483,29 @@ def q_kmeans_final(spark, sf):
 
 
 # ------------------------------------------------------------------ evaluation over naive forecasts
+def _naive(spark, sf, bound=None):
+    return customers.from_features(domain(spark, sf), ev.naive_forecasts, bound=bound)
+
+
+@query("naive_forecasts_chunked", O.sql("SELECT * FROM naive", "naive"))
+def q_naive_forecasts_chunked(spark, sf):
+    return _naive(spark, sf, SMALL_BOUND)
+
+
+@query("naive_wide", O.sql("""
+SELECT account_id, from_dt, to_dt, kwh, previous AS predicted_previous, expanding_mean AS predicted_expanding_mean,
+       same_month_mean AS predicted_same_month_mean FROM naive_wide""", "naive_wide"))
+def q_naive_wide(spark, sf):
+    return ev.pivot_predictions(_naive(spark, sf), [ev.PREVIOUS, ev.EXPANDING, ev.SAME_MONTH])
+
+
 def _naive_errors(spark, sf):
-    return ev.error_frame(ev.naive_forecasts(customers.features(domain(spark, sf))))
+    return ev.error_frame(_naive(spark, sf))
 
 
 @query("naive_forecasts", O.sql("SELECT * FROM naive", "naive"))
 def q_naive_forecasts(spark, sf):
-    return ev.naive_forecasts(customers.features(domain(spark, sf)))
+    return _naive(spark, sf)
 
 
 @query("error_frame", O.sql("SELECT * FROM efr", "efr"))
@@ -512,12 +580,52 @@ SELECT account_id, from_dt, to_dt, kwh, fold, prediction,
   FROM cfeat) x
 WHERE row_idx > CAST(floor(n_rows * 0.8) AS INTEGER)""", "cfeat"))
 def q_walk_forward_ols1(spark, sf):
-    return fc.walk_forward_ols1(customers.features(domain(spark, sf)))
+    return customers.from_features(domain(spark, sf), fc.walk_forward_ols1)
+
+
+@query("walk_forward_ols1_chunked", ORACLE["walk_forward_ols1"])
+def q_walk_forward_ols1_chunked(spark, sf):
+    return customers.from_features(domain(spark, sf), fc.walk_forward_ols1, bound=SMALL_BOUND)
+
+
+@query("walk_forward_folds_chunked", ORACLE["walk_forward_folds"])
+def q_walk_forward_folds_chunked(spark, sf):
+    return customers.from_features(domain(spark, sf), acc.walk_forward_folds, bound=SMALL_BOUND)
+
+
+def _ols1_errors(spark, sf):
+    preds = customers.from_features(domain(spark, sf), fc.walk_forward_ols1)
+    return models.model_errors(preds.select(*KEY, F.lit("ols1").alias("model"), "prediction"))
+
+
+_OLS1_EFR = f"""
+SELECT *, abs(error) AS abs_error, CAST(error * error AS DECIMAL(38,8)) AS sq_error FROM (
+  SELECT account_id, kwh, 'ols1' AS model, prediction,
+         CAST(CAST(kwh AS DECIMAL(18,4)) - CAST(prediction AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS error
+  FROM ({ORACLE["walk_forward_ols1"]}) p) x"""
+
+
+@query("walk_forward_errors_by_account", f"SELECT account_id, model, {O._ERR_AGGS} FROM ({_OLS1_EFR}) e GROUP BY account_id, model")
+def q_walk_forward_errors_by_account(spark, sf):
+    return ev.errors_by_account(_ols1_errors(spark, sf))
+
+
+@query("walk_forward_errors_grand", f"""
+SELECT model, count(*) AS n_accounts, CAST(SUM(ae) AS DECIMAL(28,4)) AS ae, {O.avg4_scaled("mae", 4)} AS mae
+FROM (SELECT account_id, model, {O._ERR_AGGS} FROM ({_OLS1_EFR}) e GROUP BY account_id, model) a GROUP BY model""")
+def q_walk_forward_errors_grand(spark, sf):
+    return ev.errors_grand(_ols1_errors(spark, sf))
+
+
+@query("walk_forward_ols_errors")
+def q_walk_forward_ols_errors(spark, sf):
+    preds = customers.from_features(domain(spark, sf), fc.walk_forward_ols)
+    return ev.errors_by_account(models.model_errors(preds.select(*KEY, "model", "prediction")))
 
 
 @query("walk_forward_ols")
 def q_walk_forward_ols(spark, sf):
-    return fc.walk_forward_ols(customers.features(domain(spark, sf)))
+    return customers.from_features(domain(spark, sf), fc.walk_forward_ols)
 
 
 @query("walk_forward_rf")
@@ -546,6 +654,48 @@ def q_pooled_errors(spark, sf):
     return ev.errors_pooled(ev.error_frame(preds.withColumn("prediction", F.col("prediction").cast("decimal(18,4)"))))
 
 
+@query("pooled_gbt_tree")
+def q_pooled_gbt_tree(spark, sf):
+    return models.pooled(customers.features(domain(spark, sf)), ["gbt", "tree"])
+
+
+_LINE = "SELECT regr_intercept(kwh, tavg_interval_sum) AS i, regr_slope(kwh, tavg_interval_sum) AS s FROM cfeat WHERE NOT is_eval"
+
+
+@query("pooled_ols1", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, 'ols1' AS model, CAST(i + s * tavg_interval_sum AS DECIMAL(18,3)) AS prediction
+FROM cfeat, ({_LINE}) l WHERE is_eval""", "cfeat"))
+def q_pooled_ols1(spark, sf):
+    return fc.pooled_ols1_forecast(customers.features(domain(spark, sf)))
+
+
+@query("coefficients_ols1", O.sql(f"""
+SELECT CAST(i AS DECIMAL(18,6)) AS intercept, CAST(s AS DECIMAL(18,6)) AS slope FROM ({_LINE}) l""", "cfeat"))
+def q_coefficients_ols1(spark, sf):
+    line = fc.pooled_ols1(customers.features(domain(spark, sf)))
+    return line.select(*[F.col(c).cast("decimal(18,6)").alias(c) for c in ("intercept", "slope")])
+
+
+@query("interaction_pairs", O.sql("""
+SELECT account_id, from_dt, to_dt, kwh,
+       CASE WHEN seen THEN CAST(month AS VARCHAR) || ':' || station_id END AS month_station,
+       1.0::DOUBLE AS pair_value, CAST(tavg_interval_sum * days_passed AS DOUBLE) AS tavg_x_days
+FROM (SELECT *, month IN (SELECT month FROM train_months)
+        AND station_id IN (SELECT station_id FROM cfeat WHERE NOT is_eval) AS seen FROM cfeat) x""", "cfeat", "train_months"))
+def q_interaction_pairs(spark, sf):
+    return models.interaction_pairs(customers.features(domain(spark, sf)))
+
+
+@query("account_effects")
+def q_account_effects(spark, sf):
+    return fc.account_effects(customers.features(domain(spark, sf)))
+
+
+@query("temp_ablation_rf")
+def q_temp_ablation_rf(spark, sf):
+    return models.temp_ablation_rf(customers.features(domain(spark, sf)))
+
+
 @query("coefficients")
 def q_coefficients(spark, sf):
     return models.coefficients(spark, customers.features(domain(spark, sf)))

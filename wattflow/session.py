@@ -15,6 +15,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -29,7 +30,7 @@ def get_session(master: str | None = None, app_name: str = "wattflow",
     conf = dict(BASE_CONF)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor, so give it the heap
-        conf.setdefault("spark.driver.memory", os.environ.get("WATTFLOW_DRIVER_MEMORY", "16g"))
+        conf.setdefault("spark.driver.memory", os.environ.get("WATTFLOW_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
@@ -40,11 +41,20 @@ def get_session(master: str | None = None, app_name: str = "wattflow",
     return spark
 
 
+FIT_PARTITIONS_KEY = "wattflow.fit.partitions"
+
+
+def fit_partitions(spark: SparkSession) -> int:
+    """Partitions of the rows that a model fit reads: a setting of the model like its seed
+    (8 unless set; size it to the data), never taken from the cluster."""
+    return int(spark.conf.get(FIT_PARTITIONS_KEY, "8"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when nothing is configured (local tests) a scratch folder is made.
+    is, and has to be set.  Only in local mode a scratch folder is made without it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="wattflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local

@@ -13,16 +13,7 @@ def publish_ordered(df: DataFrame, path: str, order_cols: list[str],
     that are ordered inside and across each other, without funnelling the
     table through one task as a global ``orderBy().coalesce(1)`` would.
     """
-    parts = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    (df.repartitionByRange(parts, *order_cols)
+    parts = [num_partitions] if num_partitions else []  # else as many as adaptive execution needs
+    (df.repartitionByRange(*parts, *order_cols)
        .sortWithinPartitions(*order_cols)
        .write.mode("overwrite").format(fmt).save(path))
-
-
-def publish_table(df: DataFrame, table: str, order_cols: list[str],
-                  num_partitions: int | None = None) -> None:
-    """Catalog variant of ``publish_ordered``."""
-    parts = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    (df.repartitionByRange(parts, *order_cols)
-       .sortWithinPartitions(*order_cols)
-       .write.mode("overwrite").saveAsTable(table))
