@@ -19,7 +19,8 @@ def test_entry_runs(spark):
 def test_oracle_texts_bind():
     from conftest import SMALL
     con = duckdb.connect()
-    for t in ["region", "nation", "customer", "supplier", "orders", "lineitem"]:
+    for t in ["region", "nation", "customer", "supplier", "orders", "lineitem",
+              "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     for name, text in E.oracle_sql().items():
         con.execute(f"DESCRIBE {text}")

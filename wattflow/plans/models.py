@@ -76,7 +76,8 @@ def interaction_pairs(features: DataFrame) -> DataFrame:
     a row (null for a level unseen in training), its value, and the product."""
     model = mf.fit_encoder(features.where(~F.col("is_eval")), PAIR_SPEC)
     months, stations = (mf.fitted_levels(model, c) for c in ("month", "station_id"))
-    names = [f"{m}:{s}" for m in [*months, None] for s in [*stations, None]]
+    # the indexer and the encoder each keep a slot for levels they have not seen
+    names = [f"{m}:{s}" for m in [*months, None, None] for s in [*stations, None, None]]
     names = F.array(*[F.lit(None if "None" in n else n) for n in names])
     pair = vector_to_array(F.col("month_x_station_id"))
     rows = model.transform(features.withColumn("days_passed", F.col("days_passed").cast("double")))
