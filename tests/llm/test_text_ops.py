@@ -72,6 +72,16 @@ def test_decontamination_against_brute_force(spark, part_words):
     assert decontaminate.report(df.limit(0), bench).count() == 0
 
 
+def test_repeated_test_items_are_sent_once(spark):
+    """A part's size is bounded by the distinct items, however often one is repeated."""
+    bench = spark.createDataFrame([(1, "A b c"), (2, "d e")] * 50 + [(3, "a b c")], "item_id long, text string")
+    sent = decontaminate.stretches(bench, "item_id", "text", 13).collect()
+    assert sorted((r.item, r.words) for r in sent) == [(1, ["a", "b", "c"]), (2, ["d", "e"]), (3, ["a", "b", "c"])]
+    df = spark.createDataFrame([(1, "x a b c", "", "")], DOCS)
+    [got] = decontaminate.report(df, bench, part_words=4).collect()
+    assert (got.n_words, got.n_hit, got.n_items) == (4, 3, 2)
+
+
 def test_long_texts_and_stretches_agree(monkeypatch):
     monkeypatch.setattr(decontaminate, "TEXT_STRETCH", 7)
     w = decontaminate.Windows([(1, [f"a{i}" for i in range(30)]), (2, ["b", "c"])], 13)

@@ -43,7 +43,8 @@ def words_of(text: str | None) -> list[bytes]:
 def stretches(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """(item, words): overlapping stretches of the items' words, so that every window lies in one.
 
-    Items of fewer words are one stretch; items without words and null ids or texts give none.
+    Items of fewer words are one stretch; items without words and null ids or texts give none,
+    and what repeats in an item (or in repeated items) is one stretch.
     """
     words = F.filter(F.split(ascii_lower(whole_text(F.col(text_col))), NON_WORD_PATTERN), lambda w: w != "")
     n = F.size("w")
@@ -51,7 +52,7 @@ def stretches(benchmark: DataFrame, item_col: str, text_col: str, window: int) -
     return (benchmark.select(F.col(item_col).cast("long").alias("item"), words.alias("w"))
             .filter(F.col("item").isNotNull() & (n > 0))
             .select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, STRETCH + window - 1)))
-                    .alias("words")))
+                    .alias("words")).distinct())
 
 
 class Windows:
@@ -125,14 +126,16 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
          item_text: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """(row, found): every row of ``docs`` as a struct, with HITS as the struct ``found``.
 
-    A null text has no words.  The words of the test set are counted first; they
-    are broadcast in ``ceil(words / part_words)`` parts, and beyond one part the
-    rows are written to the shared folder between two scans.
+    A null text has no words.  The words of the test set are counted first, each
+    repeated item once; they are broadcast in ``ceil(words / part_words)`` parts,
+    and beyond one part the rows are written to the shared folder between two scans.
     """
     spark = docs.sparkSession
     items = stretches(benchmark, item_col, item_text, window)
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = max(1, -(-total // part_words))
+    if parts > 1:
+        items = cut(items, "test-items")  # each part reads them again
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("found", F.lit(None).cast(f"struct<{HITS}>"))
     for part in range(parts):
