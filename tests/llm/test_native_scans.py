@@ -155,6 +155,23 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(df.limit(0), RULES).count() == 0
 
 
+def test_every_alias_tag_of_a_page_counts(spark):
+    link, meta = '<link rel="canonical" href="{0}">'.format, '<meta http-equiv=refresh content="5; url={0}">'.format
+    pages = [
+        (1, "http://a.com/1", link("http://z.com/1") + "\n" + link("http://evil.net/1"), ""),
+        (2, "http://a.com/2", meta("/x") + "<p>" + meta("http://evil.net/2"), ""),
+        (3, "http://a.com/3", meta("/y") + link("/1"), ""),  # blocked through page 1's second link
+        (4, "http://a.com/4", link("http://evil.net/4") + link("/u") + link("http://o.org/fr/4"), ""),
+        (5, "http://z.com/1", None, ""), (6, "http://a.com/x", "", ""), (7, "http://a.com/u", "", ""),
+        (8, "http://a.com/8", link("/9"), ""),
+    ]
+    df = spark.createDataFrame(pages, PAGES)
+    edges = {(r.a[3:], r.b[3:]) for r in url_filter.page_links(df).collect()}
+    assert len(edges) == 10 and {("a.com/1", "z.com/1"), ("a.com/1", "evil.net/1"), ("a.com/4", "o.org/fr/4")} <= edges
+    v = {r.page_id: r.verdict for r in url_filter.judge(df, RULES).collect()}
+    assert v == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 300])
 def test_components_of_chains_and_stars(spark, n):
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(n)] + [(5000, 5000), (None, 3)]

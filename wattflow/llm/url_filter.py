@@ -53,7 +53,7 @@ def rule_match(host: Column, path: Column, rules: Rules, what: str) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): alias keys of a page and of the address its HTML redirects or points to.
+    """(a, b): alias keys of a page and of every address its HTML redirects or points to.
 
     Comments and scripts are skipped, ``&amp;`` is undone, and addresses relative
     to the page are resolved.  The HTML is only parsed where one of the two tags may be.
@@ -61,9 +61,9 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     u, text = F.col("u"), F.regexp_replace(F.col("h"), _HIDDEN, "")
     links = (pages.select(F.col(url).alias("u"), F.col(html).alias("h"))
              .filter(F.col("h").rlike(r"(?i)canonical|http-equiv") & (F.instr(u, "://") > 0))
-             .select("u", F.explode(F.array(F.regexp_extract(text, _CANONICAL, 1),
-                                            F.regexp_extract(text, _REFRESH, 1))).alias("to"))
-             .filter("to <> ''").withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&"))))
+             .select("u", F.explode(F.concat(F.regexp_extract_all(text, F.lit(_CANONICAL), F.lit(1)),
+                                             F.regexp_extract_all(text, F.lit(_REFRESH), F.lit(1)))).alias("to"))
+             .withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&"))))
     scheme, to = F.substring_index("u", "://", 1), F.col("to")
     base = F.concat(scheme, F.lit("://"), host_of(u))
     full = (F.when(F.instr(to, "://") > 0, to)
