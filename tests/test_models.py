@@ -160,6 +160,20 @@ def test_forest_does_not_depend_on_partitions_or_later_rows(spark):
     assert all(moved[k] == v for k, v in runs[0].items() if k[1] == first)
 
 
+def test_forest_builders_grow_deep_trees(spark):
+    """Each split of y = 3 ** x takes off the largest value, so 25 values need a depth of up to 24."""
+    from pyspark.ml.feature import VectorAssembler
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.range(25).select(F.col("id").cast("double").alias("x"), F.pow(F.lit(3.0), F.col("id")).alias("kwh")))
+    deepest = lambda est: max(t.depth for t in est.fit(rows).trees)
+    assert deepest(fc.algorithm_registry(trees=3)["rf"]) > 10
+    assert deepest(fc.algorithm_registry(trees=3, depth=2)["rf"]) == 2
+    for built in (fc.forest(), fc.algorithm_registry()["rf"], fc._notebook_pipeline(150).getStages()[-1]):
+        assert (built.getMaxDepth(), built.getNumTrees()) == (30, 150)
+    small = fc._notebook_pipeline(9, 1, 4, 16).getStages()[-1]
+    assert (small.getNumTrees(), small.getSeed(), small.getMaxDepth(), small.getMaxBins()) == (9, 1, 4, 16)
+
+
 def test_account_effects_equal_least_squares(spark):
     rng = np.random.default_rng(4)
     rows = []

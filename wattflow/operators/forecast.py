@@ -44,7 +44,7 @@ TEST_KEY = ["account_id", "from_dt", "to_dt", "kwh"]
 FOREST_TREES = 150
 FOREST_GRID = [150, 200]
 CV_FOLDS = 5
-FOREST_MAX_DEPTH = 10  # default of a parameter; the reference grows full trees, Spark goes to 30 (T28)
+FOREST_MAX_DEPTH = 30  # default of a parameter; the reference grows full trees, Spark goes to 30 (T28)
 FOREST_BINS = 32  # default of a parameter: split candidates per feature
 FOREST_MEMORY_MB = 64  # split statistics per task and pass; bounded so many tasks fit one heap
 
@@ -64,9 +64,10 @@ def forest(label: str = "kwh", trees: int = FOREST_TREES, seed: int = 42, depth:
                                  minInstancesPerNode=1, seed=seed, maxMemoryInMB=FOREST_MEMORY_MB)
 
 
-def algorithm_registry(label: str = "kwh", trees: int = FOREST_TREES) -> dict:
+def algorithm_registry(label: str = "kwh", trees: int = FOREST_TREES, depth: int = FOREST_MAX_DEPTH,
+                       bins: int = FOREST_BINS) -> dict:
     """Name -> estimator."""
-    return {"ols": linear(label), "rf": forest(label, trees),
+    return {"ols": linear(label), "rf": forest(label, trees, depth=depth, bins=bins),
             "gbt": GBTRegressor(featuresCol="features", labelCol=label, seed=42),
             "tree": DecisionTreeRegressor(featuresCol="features", labelCol=label, seed=42)}
 
@@ -376,28 +377,30 @@ def _notebook_frame(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("double") for c in NOTEBOOK_INPUTS + [NOTEBOOK_TARGET]})
 
 
-def _notebook_pipeline(trees: int, seed: int = 42) -> Pipeline:
+def _notebook_pipeline(trees: int, seed: int = 42, depth: int = FOREST_MAX_DEPTH, bins: int = FOREST_BINS) -> Pipeline:
     from pyspark.ml.feature import VectorAssembler
     return Pipeline(stages=[VectorAssembler(inputCols=NOTEBOOK_INPUTS, outputCol="features"),
-                            forest(NOTEBOOK_TARGET, trees, seed)])
+                            forest(NOTEBOOK_TARGET, trees, seed, depth, bins)])
 
 
-def notebook_forest(split_rows: DataFrame, trees: int = FOREST_TREES) -> DataFrame:
+def notebook_forest(split_rows: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_MAX_DEPTH,
+                    bins: int = FOREST_BINS) -> DataFrame:
     """Forest on the train split, predictions on the test split (I5, I14 input)."""
-    return _fit_notebook(_laid_out(_notebook_frame(split_rows)), trees)
+    return _fit_notebook(_laid_out(_notebook_frame(split_rows)), trees, depth, bins)
 
 
-def _fit_notebook(data: DataFrame, trees: int) -> DataFrame:
-    model = _notebook_pipeline(trees).fit(data.where(F.col("split") == "train"))
+def _fit_notebook(data: DataFrame, trees: int, depth: int, bins: int) -> DataFrame:
+    model = _notebook_pipeline(trees, depth=depth, bins=bins).fit(data.where(F.col("split") == "train"))
     return model.transform(data.where(F.col("split") == "test")).select(
         *TEST_KEY, F.col(NOTEBOOK_TARGET).alias("actual"), "prediction")
 
 
-def tree_count_compare(split_rows: DataFrame, counts: list[int] = FOREST_GRID) -> DataFrame:
+def tree_count_compare(split_rows: DataFrame, counts: list[int] = FOREST_GRID, depth: int = FOREST_MAX_DEPTH,
+                       bins: int = FOREST_BINS) -> DataFrame:
     """Test MAE, MAE relative to mean use, and RMSE for each forest size."""
     data, out = _laid_out(_notebook_frame(split_rows)), None
     for n in counts:
-        p = _fit_notebook(data, n)
+        p = _fit_notebook(data, n, depth, bins)
         err = F.col("actual") - F.col("prediction")
         r = p.agg(F.lit(n).alias("num_trees"), F.avg(F.abs(err)).alias("mae"),
                   F.try_divide(F.avg(F.abs(err)), F.avg("actual")).alias("rel_mae"),
@@ -407,10 +410,11 @@ def tree_count_compare(split_rows: DataFrame, counts: list[int] = FOREST_GRID) -
 
 
 def grid_search(spark: SparkSession, split_rows: DataFrame, counts: list[int] = FOREST_GRID,
-                folds: int = CV_FOLDS, seed: int = 30) -> DataFrame:
+                folds: int = CV_FOLDS, seed: int = 30, depth: int = FOREST_MAX_DEPTH,
+                bins: int = FOREST_BINS) -> DataFrame:
     """k-fold cross-validated R^2 for each forest size on the train split."""
     data = _laid_out(_notebook_frame(split_rows).where(F.col("split") == "train"))
-    pipe = _notebook_pipeline(counts[0], seed)
+    pipe = _notebook_pipeline(counts[0], seed, depth, bins)
     rf = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(rf.numTrees, counts).build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=seed, parallelism=2,

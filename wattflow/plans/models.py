@@ -36,8 +36,9 @@ def interaction_month_temp(features: DataFrame) -> DataFrame:
                             KEY + ["month", "tavg_interval_sum"])
 
 
-def pooled(features: DataFrame, names: list[str], trees: int = fc.FOREST_TREES) -> DataFrame:
-    reg = fc.algorithm_registry(trees=trees)
+def pooled(features: DataFrame, names: list[str], trees: int = fc.FOREST_TREES, depth: int = fc.FOREST_MAX_DEPTH,
+           bins: int = fc.FOREST_BINS) -> DataFrame:
+    reg = fc.algorithm_registry(trees=trees, depth=depth, bins=bins)
     return fc.pooled_forecast(features, fc.POOLED_SPEC, {n: reg[n] for n in names})
 
 
@@ -55,10 +56,11 @@ def temp_ablation(features: DataFrame) -> DataFrame:
                             fc.walk_forward_ols(features, fc.WALK_SPEC.without(fc.TEMPERATURE_COLUMNS)))
 
 
-def temp_ablation_rf(features: DataFrame, trees: int = fc.FOREST_TREES) -> DataFrame:
+def temp_ablation_rf(features: DataFrame, trees: int = fc.FOREST_TREES, depth: int = fc.FOREST_MAX_DEPTH,
+                     bins: int = fc.FOREST_BINS) -> DataFrame:
     """The same with the forest, as the reference compares it (I16)."""
-    return _ablation_errors(fc.walk_forward_forest(features, fc.WALK_SPEC, trees=trees),
-                            fc.walk_forward_forest(features, fc.WALK_SPEC.without(fc.TEMPERATURE_COLUMNS), trees=trees))
+    return _ablation_errors(*[fc.walk_forward_forest(features, spec, trees=trees, depth=depth, bins=bins)
+                              for spec in (fc.WALK_SPEC, fc.WALK_SPEC.without(fc.TEMPERATURE_COLUMNS))])
 
 
 def model_errors(preds: DataFrame) -> DataFrame:
@@ -94,9 +96,9 @@ def notebook_split(d: Domain, seed: int = 42) -> DataFrame:
     return smp.hash_split(rows, seed, KEY)
 
 
-def notebook_errors(d: Domain) -> DataFrame:
+def notebook_errors(d: Domain, depth: int = fc.FOREST_MAX_DEPTH, bins: int = fc.FOREST_BINS) -> DataFrame:
     """Error frame of the notebook's forest on the test split."""
-    p = fc.notebook_forest(notebook_split(d))
+    p = fc.notebook_forest(notebook_split(d), depth=depth, bins=bins)
     err = F.col("actual") - F.col("prediction")
     return p.select("*", err.alias("error"), F.abs(err).alias("abs_error"), (err * err).alias("sq_error"))
 
