@@ -39,7 +39,7 @@ HEADLINE = [
     "nearest_centroid",       # account curves to seeded centroids
     "pooled_ols",             # pyspark.ml pipeline fit + predict
     "pooled_rf",              # pooled forest
-    "walk_forward_rf",        # one forest per calendar year
+    "walk_forward_rf",        # one forest per calendar month
 ]
 
 

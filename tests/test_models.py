@@ -160,6 +160,15 @@ def test_forest_does_not_depend_on_partitions_or_later_rows(spark):
     assert all(moved[k] == v for k, v in runs[0].items() if k[1] == first)
 
 
+def test_forest_ablation_predicts_within_the_first_year_and_counts_the_rest(spark):
+    from wattflow.plans import models
+    # test rows in October to December of the first year, and one in its first month
+    df = _features(spark, n_accounts=2, n=12).unionByName(_features(spark, n_accounts=1, n=1).withColumn("account_id", F.lit(99)))
+    got = {r.variant: r for r in models.temp_ablation_rf(df, trees=2, depth=3).collect()}
+    assert set(got) == {"with_temperature", "without_temperature"}
+    assert all((r.n_accounts, r.n_unpredicted) == (2, 1) and r.ae is not None for r in got.values())
+
+
 def test_forest_builders_grow_deep_trees(spark):
     """Each split of y = 3 ** x takes off the largest value, so 25 values need a depth of up to 24."""
     from pyspark.ml.feature import VectorAssembler

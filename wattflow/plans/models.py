@@ -43,11 +43,19 @@ def pooled(features: DataFrame, names: list[str], trees: int = fc.FOREST_TREES,
 
 
 def _ablation_errors(with_t: DataFrame, without: DataFrame) -> DataFrame:
-    """Grand error table of two variants over the rows that both predict (I16)."""
-    a = fc.walk_forward_errors(with_t, "with_temperature").where(F.col("prediction").isNotNull())
-    b = fc.walk_forward_errors(without, "without_temperature").where(F.col("prediction").isNotNull())
+    """Grand error table of two variants over the rows that both predict (I16).
+
+    ``n_unpredicted`` are the variant's test rows without a prediction.
+    """
+    a = fc.walk_forward_errors(with_t, "with_temperature")
+    b = fc.walk_forward_errors(without, "without_temperature")
+    tests = a.unionByName(b).groupBy("model").agg(F.count_if(F.col("prediction").isNull()).alias("n_unpredicted"))
+    a, b = (x.where(F.col("prediction").isNotNull()) for x in (a, b))
     both = a.join(b.select(*KEY), KEY, "left_semi").unionByName(b.join(a.select(*KEY), KEY, "left_semi"))
-    return ev.errors_grand(ev.error_frame(both)).withColumnRenamed("model", "variant")
+    grand = ev.errors_grand(ev.error_frame(both))
+    return (tests.join(grand, "model", "left")
+            .select(F.col("model").alias("variant"), F.coalesce("n_accounts", F.lit(0).cast("long")).alias("n_accounts"),
+                    "ae", "mae", "n_unpredicted"))
 
 
 def temp_ablation(features: DataFrame) -> DataFrame:
