@@ -72,6 +72,26 @@ def test_decontamination_against_brute_force(spark, part_words):
     assert decontaminate.report(df.limit(0), bench).count() == 0
 
 
+def test_test_items_without_id_mark_words(spark, tmp_path):
+    import duckdb
+
+    import corpus_pipeline
+    df = spark.createDataFrame([(1, "x a b c", "", ""), (2, "a b c d e", "", ""), (3, "q r", "", ""), (4, "d e", "", "")], DOCS)
+    bench = spark.createDataFrame([(None, "a b c"), (None, "b c"), (7, "d e")], "item_id long, text string")
+    for name, table in (("documents", df), ("benchmark", bench)):
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(con.execute(queries.ORACLE["op6_decontaminate"]).fetchall())
+    got = sorted(tuple(r) for r in queries.op6_decontaminate(spark, str(tmp_path)).collect())
+    assert got == want and [r[2:4] for r in got] == [(3, 1), (5, 2), (0, 0), (2, 1)]
+    parts = decontaminate.report(df, bench, part_words=2, null_ids=True).collect()
+    assert sorted(tuple(r) for r in parts) == want
+    left = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()
+    assert [r.doc_id for r in left] == [3]
+
+
 def test_repeated_test_items_are_sent_once(spark):
     """A part's size is bounded by the distinct items, however often one is repeated."""
     bench = spark.createDataFrame([(1, "A b c"), (2, "d e")] * 50 + [(3, "a b c")], "item_id long, text string")

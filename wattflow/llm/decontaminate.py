@@ -32,7 +32,7 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
               for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-HITS = "n_words: long, hits: array<struct<first: int, end: int>>, items: array<long>"
+HITS = "n_words: long, hits: array<struct<first: int, end: int>>, items: array<long>, unnamed: boolean"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,17 +40,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def stretches(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+def stretches(benchmark: DataFrame, item_col: str, text_col: str, window: int, null_ids: bool = False) -> DataFrame:
     """(item, words): overlapping stretches of the items' words, so that every window lies in one.
 
-    Items of fewer words are one stretch; items without words and null ids or texts give none,
-    and what repeats in an item (or in repeated items) is one stretch.
+    Items of fewer words are one stretch; items without words and null texts give none, nor do
+    null ids unless ``null_ids``; what repeats in an item (or in repeated items) is one stretch.
     """
     words = F.filter(F.split(ascii_lower(whole_text(F.col(text_col))), NON_WORD_PATTERN), lambda w: w != "")
     n = F.size("w")
     starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)), F.lit(STRETCH))
     return (benchmark.select(F.col(item_col).cast("long").alias("item"), words.alias("w"))
-            .filter(F.col("item").isNotNull() & (n > 0))
+            .filter((F.lit(null_ids) | F.col("item").isNotNull()) & (n > 0))
             .select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, STRETCH + window - 1)))
                     .alias("words")).distinct())
 
@@ -58,10 +58,10 @@ def stretches(benchmark: DataFrame, item_col: str, text_col: str, window: int) -
 class Windows:
     """Lookup of the windows of some item stretches; sent to the executors by broadcast."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]], window: int):
+    def __init__(self, rows: list[tuple[int | None, list[str]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple, set[int]] = {}
+        found: dict[tuple, set[int | None]] = {}
         for item, words in rows:
             ids = tuple(self.ids.setdefault(w.encode(), len(self.ids) + 1) for w in words)
             for s in range(max(1, len(ids) - window + 1)):
@@ -73,10 +73,10 @@ class Windows:
             by_length.setdefault(len(w), []).append(w)
         self.hashes = {n: np.unique(_rolling_many(np.array(ws, np.uint64))) for n, ws in by_length.items()}
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int | None]]:
         """Merged [first, end) spans of words in occurring windows, and the items they are of."""
         spans: list[tuple[int, int]] = []
-        items: set[int] = set()
+        items: set[int | None] = set()
         for at in range(0, max(len(words), 1), TEXT_STRETCH):
             part = words[at:at + TEXT_STRETCH + self.window - 1]
             get = self.ids.get
@@ -123,15 +123,17 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+         item_text: str = "text", window: int = WINDOW, part_words: int = PART_WORDS,
+         null_ids: bool = False) -> DataFrame:
     """(row, found): every row of ``docs`` as a struct, with HITS as the struct ``found``.
 
-    A null text has no words.  The words of the test set are counted first, each
+    A null text has no words.  With ``null_ids`` test items of a null id are looked for
+    like the others and set ``unnamed``; else they are left out.  The words of the test set are counted first, each
     repeated item once; they are broadcast in ``ceil(words / part_words)`` parts,
     and beyond one part the rows are written to the shared folder between two scans.
     """
     spark = docs.sparkSession
-    items = stretches(benchmark, item_col, item_text, window)
+    items = stretches(benchmark, item_col, item_text, window, null_ids)
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = max(1, -(-total // part_words))
     if parts > 1:
@@ -162,8 +164,9 @@ def _scan(sent):
                     spans = merge(spans + [(h["first"], h["end"]) for h in hits])
                 if of is not None:
                     items |= {int(x) for x in of}
-                out.append((len(words), [{"first": a, "end": b} for a, b in spans], sorted(items)))
-            yield pd.DataFrame(out, columns=["n_words", "hits", "items"])
+                unnamed = None in items or bool(of is not None and before["unnamed"].iat[i])
+                out.append((len(words), [{"first": a, "end": b} for a, b in spans], sorted(items - {None}), unnamed))
+            yield pd.DataFrame(out, columns=["n_words", "hits", "items", "unnamed"])
     # so that the optimizer evaluates it once, wherever its result is used
     return scan.asNondeterministic()
 
@@ -183,13 +186,14 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     Null ids and repeated rows are kept, columns beyond id and text are ignored,
     a null text has no words, an empty table gives no rows and an empty
-    benchmark no hits.
+    benchmark no hits.  With ``null_ids`` the test items of a null id mark words
+    too and count as one more item, which has no name for the digest.
     """
     found = F.col("found")
     names = F.array_sort(F.transform(found["items"], lambda x: x.cast("string")))
     return (find(docs.select(id_col, text_col), benchmark, text_col, **options)
             .select(F.col("row")[id_col].alias("doc_id"), found["n_words"].alias("n_words"),
-                    n_hit(found).alias("n_hit"), F.size(found["items"]).cast("long").alias("n_items"),
+                    n_hit(found).alias("n_hit"), (F.size(found["items"]) + found["unnamed"].cast("int")).cast("long").alias("n_items"),
                     F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
                     contaminated(found).alias("contaminated")))
 
