@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from wattflow.llm import (bpe, chat, decontaminate, license_scan, secret_scan, simhash, token_files, topk,
-                          toxicity, url_filter)
+from wattflow.llm import (bpe, chat, decontaminate, lexical, license_scan, secret_scan, sharding, simhash, spelling,
+                          token_files, topk, toxicity, url_filter)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_secret_scan": op2_secret_scan,
@@ -87,6 +99,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
+    "op11_sharding": op11_sharding,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 # Words of the licence operator and its templates, for SQL.
@@ -217,4 +232,45 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(body + CASE WHEN before = role THEN 11 ELSE head + 12 + 10 + 10 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, s GROUP BY term),
+g AS (SELECT r, term, f.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * s.n) // s.l))) AS gain
+  FROM p JOIN f USING (term) JOIN d USING (r), s),
+x AS (SELECT item_id, r, CAST(sum(gain) AS BIGINT) AS score FROM g JOIN i USING (term) GROUP BY item_id, r),
+y AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+    AS INTEGER) AS rank FROM x JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 50""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(n))),
+d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+u AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k, count(*) AS n FROM d GROUP BY r, doc_id, run),
+x AS (SELECT run, n, hex(encode(k)) AS h FROM u),
+y AS (SELECT run, n, [CAST((strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1
+    AS BIGINT) FOR i IN range(length(h) // 2)] AS bytes FROM x),
+z AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM y, tab),
+m AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2)
+    ELSE run END AS word, n FROM z),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+c AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near FROM c a JOIN c b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT c.word, v.word FROM c JOIN v ON v.word = c.rest UNION SELECT v.word, c.word FROM c JOIN v ON v.word = c.rest),
+b AS (SELECT e.word, near, v.n AS near_n, count(*) OVER (PARTITION BY e.word) AS n_near,
+    row_number() OVER (PARTITION BY e.word ORDER BY v.n DESC, near) AS pick FROM e JOIN v ON v.word = e.near),
+f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN (SELECT * FROM b WHERE pick = 1) USING (word)),
+t(word, root, on_) AS (SELECT word, word, form FROM f UNION ALL
+  SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.on_)
+SELECT word, n, n_near, form, form_n, root FROM f JOIN (SELECT word, root FROM t WHERE on_ IS NULL) USING (word)""",
 }
