@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helpers import D
 from wattflow.operators import clusters as cl
 from wattflow.operators import forecast as fc
+from wattflow.operators import least_squares as ls
 from wattflow.operators import ml_features as mf
 
 
@@ -60,7 +61,7 @@ def test_exact_line_has_zero_error(spark):
 def test_pooled_ols_predicts_exact_line(spark):
     df = _features(spark, n_accounts=4, n=10).withColumn("kwh", (2 * F.col("tavg_interval_sum") + 9).cast("int"))
     spec = mf.FeatureSpec(numeric=["tavg_interval_sum"])
-    preds = fc.pooled_forecast(df, spec, {"ols": fc.linear()}).collect()
+    preds = fc.pooled_forecast(df, spec, {"ols": fc.LeastSquares()}).collect()
     assert len(preds) == 4 and all(abs(r.prediction - r.kwh) < 1e-6 for r in preds)
 
 
@@ -84,9 +85,10 @@ def test_feature_names_match_coefficients(spark):
     df = _features(spark, n_accounts=3, n=12)
     spec = mf.FeatureSpec(numeric=["tavg_interval_sum"], categorical=["month"],
                           interactions=[("month", "tavg_interval_sum"), ("month", "tavg_interval_sum")])
-    table = fc.coefficient_table(spark, df, spec).collect()
-    names = [r.feature for r in table]
-    assert names[0] == "intercept" and len(names) == 1 + 1 + 13 + 13
+    names = [r.feature for r in fc.coefficient_table(df, spec).collect()]
+    # all but the accounts' last month is met in training, and so is that by others: eleven levels
+    assert names[:3] == ["intercept", "tavg_interval_sum", "month=1"] and len(names) == 1 + 1 + 11 + 11
+    assert names[-1] == "month=9*tavg_interval_sum"
 
 
 def test_walk_forward_ols_chunked_path_matches(spark):
@@ -134,7 +136,7 @@ def test_walk_forward_ols_equals_lstsq_on_the_fixture(spark):
             scale = np.linalg.norm(xc, axis=0)
             live = scale > 1e-9
             u, s, vt = np.linalg.svd(xc[:, live] / scale[live], full_matrices=False)
-            keep = s > fc.SINGULAR * s[0] if len(s) else s > 0
+            keep = s > ls.SINGULAR * s[0] if len(s) else s > 0
             beta = (vt[keep].T @ ((u[:, keep].T @ yc) / s[keep])) / scale[live]
             if live.any():  # take out what lies in the null space of the kept directions
                 null = np.linalg.svd(vt[keep] * scale[live])[2][keep.sum():].T
@@ -145,42 +147,113 @@ def test_walk_forward_ols_equals_lstsq_on_the_fixture(spark):
     assert checked == len(got) > 100
 
 
-def test_forest_does_not_depend_on_partitions_or_later_rows(spark):
+def test_walk_forward_forest_is_fitted_on_the_accounts_earlier_rows(spark):
     df = _features(spark, n_accounts=6, n=15)
     spec = mf.FeatureSpec(numeric=["tavg_interval_sum", "days_passed"])
-    runs = [{(r.account_id, r.to_dt): r.prediction for r in
-             fc.walk_forward_forest(d, spec, trees=5, depth=4, period="quarter").collect()}
+    runs = [{(r.account_id, r.fold): r.prediction for r in fc.walk_forward_forest(d, spec, trees=5).collect()}
             for d in (df.repartition(2), df.repartition(8))]
     assert runs[0] == runs[1] and len(runs[0]) == 18  # no test row is left out
-    # changing what is dated after a period's start does not move its predictions
-    first = min(t for _, t in runs[0])
-    later = df.withColumn("kwh", F.when(F.col("to_dt") > F.lit(first), F.col("kwh") + 5000).otherwise(F.col("kwh")))
-    moved = {(r.account_id, r.to_dt): r.prediction for r in
-             fc.walk_forward_forest(later, spec, trees=5, depth=4, period="quarter").collect()}
-    assert all(moved[k] == v for k, v in runs[0].items() if k[1] == first)
+    # what comes later, or belongs to others, moves nothing
+    later = df.withColumn("kwh", F.when((F.col("account_id") != 2) | (F.col("row_idx") > 13), F.col("kwh") + 5000).otherwise(F.col("kwh")))
+    moved = {(r.account_id, r.fold): r.prediction for r in fc.walk_forward_forest(later, spec, trees=5).collect()}
+    assert all(moved[2, f] == pytest.approx(runs[0][2, f]) for f in (0, 1)) and moved[2, 2] != runs[0][2, 2]
+    # one tree without depth predicts the kwh of an equal earlier row of the only month
+    same = _features(spark, n_accounts=1, n=5).withColumn("tavg_interval_sum", F.when(F.col("row_idx") == 5, 1259.0).otherwise(F.col("tavg_interval_sum")))
+    assert len(fc.walk_forward_forest(same, mf.FeatureSpec(numeric=["tavg_interval_sum"], categorical=["month"]), trees=2).collect()) == 1
 
 
-def test_forest_ablation_predicts_within_the_first_year_and_counts_the_rest(spark):
+def test_forest_ablation_counts_rows_without_a_prediction(spark):
     from wattflow.plans import models
-    # test rows in October to December of the first year, and one in its first month
     df = _features(spark, n_accounts=2, n=12).unionByName(_features(spark, n_accounts=1, n=1).withColumn("account_id", F.lit(99)))
-    got = {r.variant: r for r in models.temp_ablation_rf(df, trees=2, depth=3).collect()}
+    got = {r.variant: r for r in models.temp_ablation_rf(df, trees=2).collect()}
     assert set(got) == {"with_temperature", "without_temperature"}
     assert all((r.n_accounts, r.n_unpredicted) == (2, 1) and r.ae is not None for r in got.values())
 
 
-def test_forest_builders_grow_deep_trees(spark):
-    """Each split of y = 3 ** x takes off the largest value, so 25 values need a depth of up to 24."""
-    from pyspark.ml.feature import VectorAssembler
-    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(
-        spark.range(25).select(F.col("id").cast("double").alias("x"), F.pow(F.lit(3.0), F.col("id")).alias("kwh")))
-    deepest = lambda est: max(t.depth for t in est.fit(rows).trees)
-    assert deepest(fc.algorithm_registry(trees=3)["rf"]) > 10
-    assert deepest(fc.algorithm_registry(trees=3, depth=2)["rf"]) == 2
-    for built in (fc.forest(), fc.algorithm_registry()["rf"], fc._notebook_pipeline(150).getStages()[-1]):
-        assert (built.getMaxDepth(), built.getNumTrees()) == (30, 150)
-    small = fc._notebook_pipeline(9, 1, 4, 16).getStages()[-1]
-    assert (small.getNumTrees(), small.getSeed(), small.getMaxDepth(), small.getMaxBins()) == (9, 1, 4, 16)
+def test_ablation_from_one_scan_equals_two_fits(spark):
+    df = _features(spark, n_accounts=4, n=14)
+    both = fc.walk_forward_ols(df, fc.WALK_SPEC, variants={"all": [], "none": fc.TEMPERATURE_COLUMNS, "less": ["days_passed", "tavg_interval_sum"]})
+    have = {(r.model, r.account_id, r.fold): r.prediction for r in both.collect()}
+    for name, left_out in (("all", []), ("none", fc.TEMPERATURE_COLUMNS), ("less", ["days_passed", "tavg_interval_sum"])):
+        alone = fc.walk_forward_ols(df, fc.WALK_SPEC.without(left_out)).collect()
+        assert alone and all(have[name, r.account_id, r.fold] == pytest.approx(r.prediction, rel=1e-9) for r in alone)
+    assert len(have) == 3 * len(alone)
+
+
+def test_pooled_forest_and_registry(spark):
+    df = _features(spark, n_accounts=8, n=12)
+    spec = mf.FeatureSpec(numeric=["tavg_interval_sum"], categorical=["month"])
+    runs = [{(r.model, r.account_id): r.prediction for r in fc.pooled_forecast(
+        d, spec, {n: e for n, e in fc.algorithm_registry(trees=20).items() if n in ("ols", "rf")}).collect()}
+        for d in (df.repartition(2), df.repartition(9))]
+    assert runs[0] == pytest.approx(runs[1], rel=1e-12) and len(runs[0]) == 16
+    last = {r.account_id: r.kwh for r in df.where("is_eval").collect()}
+    assert all(abs(runs[0]["rf", a] - k) < 300 for a, k in last.items())
+
+
+def _split_rows(spark, n=300):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(n):
+        x = [float(v) for v in rng.integers(0, 30, 8)]
+        rows.append((i, D(2020, 1 + i % 12, 1), D(2020, 1 + i % 12, 28), i, *x, round(float(2 * x[1] + x[4] + rng.normal()), 2), "train" if i % 3 else "test"))
+    schema = "account_id long, from_dt date, to_dt date, kwh int, " + ", ".join(f"{c} double" for c in fc.NOTEBOOK_INPUTS)
+    return spark.createDataFrame(rows, schema + f", {fc.NOTEBOOK_TARGET} double, split string")
+
+
+def test_tree_counts_and_grid_search_share_their_trees(spark):
+    rows = _split_rows(spark)
+    both = {r.num_trees: r for r in fc.tree_count_compare(rows, [5, 20]).collect()}
+    for n in (5, 20):
+        alone = fc.tree_count_compare(rows, [n]).first()
+        assert (both[n].mae, both[n].rmse) == pytest.approx((alone.mae, alone.rmse), rel=1e-9)
+    assert both[20].mae < 6
+    grid = {r.num_trees: r for r in fc.grid_search(rows, [5, 20], folds=3).collect()}
+    assert sum(r.best for r in grid.values()) == 1 and all(0.7 < r.cv_r2 < 1 for r in grid.values())
+    assert grid[20].best == (grid[20].cv_r2 > grid[5].cv_r2)
+
+
+def test_cross_validated_line_equals_refits(spark):
+    rows = _split_rows(spark)
+    got = {r.fold: float(r.r2) for r in fc.cross_validated_line(rows, fc.NOTEBOOK_INPUTS[1], fc.NOTEBOOK_TARGET).collect()}
+    g = rows.withColumn("fold", fc.fold_of(5, 30)).toPandas()
+    assert sorted(got) == list(range(5))
+    for f, r2 in got.items():
+        rest, own = g[g.fold != f], g[g.fold == f]
+        b, a = np.polyfit(rest[fc.NOTEBOOK_INPUTS[1]], rest[fc.NOTEBOOK_TARGET], 1)
+        y = own[fc.NOTEBOOK_TARGET]
+        assert r2 == pytest.approx(1 - ((y - a - b * own[fc.NOTEBOOK_INPUTS[1]]) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-6)
+
+
+def test_kmeans_equals_plain_lloyd(spark):
+    rng = np.random.default_rng(9)
+    curves = rng.dirichlet(np.ones(12) * 3, 60)
+    df = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(curves)], ["entity_id"] + cl.SHARE_COLS)
+    points = cl.curve_points(df, "entity_id")
+    sets, cost = cl.fit_sets(points, [1, 2, 3], n_init=4)
+    p = np.floor(curves * cl.UNIT + 0.5).astype(np.int64)
+    starts = cl.seed_sets(points, 3, 4, 42)
+    assert len({tuple(map(tuple, c)) for c in starts.values()}) > 1  # starts differ
+    for (k, s), centres in sets.items():
+        c = np.array(starts[s][:k])
+        for _ in range(300):
+            label = ((p[:, None] - c) ** 2).sum(2).argmin(1)
+            new = np.array([[(2 * int(v) + n) // (2 * n) for v in p[label == i].sum(0)] if (n := int((label == i).sum())) else c[i]
+                            for i in range(k)])
+            moved, c = ((new - c) ** 2).sum(1).max(), new
+            if moved <= 10 ** 8:
+                break
+        assert centres == c.tolist() and cost[k, s] == int(((p[:, None] - c) ** 2).sum(2).min(1).sum())
+    again = cl.fit_sets(cl.curve_points(df.repartition(7), "entity_id"), [1, 2, 3], n_init=4)
+    assert again == (sets, cost)
+
+
+def test_kmeans_of_few_or_equal_curves(spark):
+    one = [0.1] * 10 + [0.0, 0.0]
+    df = spark.createDataFrame([(i, *one) for i in range(3)], ["entity_id"] + cl.SHARE_COLS)
+    assert {r.cluster for r in cl.kmeans_labels(df, "entity_id", k=4, n_init=2).collect()} == {0}
+    assert [float(r.cost) for r in cl.kmeans_sweep(spark, df, "entity_id", 3, 2).collect()] == [0, 0, 0]
+    assert cl.kmeans_labels(df.limit(0), "entity_id").collect() == [] and cl.kmeans_sweep(spark, df.limit(0), "entity_id").collect() == []
 
 
 def test_account_effects_equal_least_squares(spark):
@@ -206,7 +279,7 @@ def test_pooled_ols_with_categories_and_interaction_equals_numpy(spark):
     df = _features(spark, n_accounts=5, n=24)
     spec = mf.FeatureSpec(numeric=["tavg_interval_sum"], categorical=["month"],
                           interactions=[("month", "tavg_interval_sum", mf.CATEGORICAL, mf.NUMERICAL)])
-    got = {r.account_id: r.prediction for r in fc.pooled_forecast(df, spec, {"ols": fc.linear()}).collect()}
+    got = {r.account_id: r.prediction for r in fc.pooled_forecast(df, spec, {"ols": fc.LeastSquares()}).collect()}
     g = df.toPandas()
     month = np.stack([(g.month == m).to_numpy(float) for m in range(1, 13)], axis=1)
     t = g.tavg_interval_sum.to_numpy(float)[:, None]
@@ -214,7 +287,7 @@ def test_pooled_ols_with_categories_and_interaction_equals_numpy(spark):
     train = ~g.is_eval.to_numpy()
     beta = np.linalg.lstsq(x[train], g.kwh.to_numpy(float)[train], rcond=None)[0]
     for i in np.flatnonzero(~train):
-        assert got[g.account_id[i]] == pytest.approx(x[i] @ beta, rel=1e-5)  # an iterative solver on collinear columns
+        assert got[g.account_id[i]] == pytest.approx(x[i] @ beta, rel=1e-8)
 
 
 def test_truncated_errors_and_shuffle(spark):

@@ -2,24 +2,30 @@
 
 A load curve is an entity's mean value per calendar month, normalised to
 shares of the twelve-month total.  Pivots run as one aggregation with partial
-(map-side) combining; K-means is ``pyspark.ml``; assigning curves to known
-centroids is a projection with the k centroids inlined as literals (k is a
-parameter, so the inlined constants are bounded and no join is needed).
+(map-side) combining; assigning curves to known centroids is a projection with
+the k centroids inlined as literals (k is a parameter, so the inlined constants
+are bounded and no join is needed).
+
+K-means fits all its sets of centres (every k, every start) together: one scan
+of the curves is one iteration of every set that still moves.  Curves are
+integers (units of 1e-8), sums and costs are exact and centres are rounded to
+the unit, so a fit does not depend on partitions and SQL gives the same one.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattflow.functions.numeric import argmin_label, fixed_ratio, sum_cols
 from wattflow.operators.sampling import hash_key
-from wattflow.session import ensure_checkpoint_dir, fit_partitions
+from wattflow.session import ensure_checkpoint_dir
 
 MONTHS = list(range(1, 13))
 MONTH_COLS = [f"m_{m}" for m in MONTHS]
@@ -31,6 +37,7 @@ KMEANS_TOL = 1e-4
 KMEANS_N_INIT = 10
 KMEANS_K_MAX = 5
 KMEANS_K_FINAL = 4
+UNIT = 10 ** 8  # of a curve's shares, in K-means
 
 
 def load_pivot(points: DataFrame, entity: str, month: str = "month", value: str = "value",
@@ -90,10 +97,6 @@ def label_rows(rows: DataFrame, labels: DataFrame, key: str, label_col: str = "l
     return rows.join(lab, key, "left").na.fill(-1).na.fill("-1")
 
 
-def _assemble(shares: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=SHARE_COLS, outputCol="features").transform(shares)
-
-
 def kmeans_one_cost(shares: DataFrame) -> DataFrame:
     """k=1 K-means cost: squared distance to the mean curve (Spark's KMeans refuses k=1)."""
     mu = shares.agg(*[F.avg(c).alias(c) for c in SHARE_COLS]).first()  # 12 numbers
@@ -103,56 +106,154 @@ def kmeans_one_cost(shares: DataFrame) -> DataFrame:
     return shares.agg(F.coalesce(F.sum(sq), F.lit(0.0)).alias("cost"))
 
 
-def best_kmeans(shares: DataFrame, k: int, n_init: int = KMEANS_N_INIT, seed: int = 42):
-    """Best of ``n_init`` seeded fits by training cost.
+Sets = dict[tuple[int, int], list[list[int]]]  # centres of every (k, start)
 
-    The restarts are independent, so they are submitted as concurrent Spark
-    jobs over one written copy of the curves; ties in cost keep the lower seed.
-    """
-    data = _assemble(shares).select("features")
 
-    def fit(i):
-        km = KMeans(k=k, maxIter=KMEANS_MAX_ITER, tol=KMEANS_TOL, seed=seed + i, featuresCol="features")
-        model = km.fit(data)
-        return model.summary.trainingCost, i, model
+def curve_points(shares: DataFrame, entity: str) -> DataFrame:
+    """(entity, p) of the complete curves, in units, written once for all scans of a fit."""
+    ensure_checkpoint_dir(shares.sparkSession)
+    return (shares.na.drop(subset=SHARE_COLS)
+            .select(F.col(entity).alias("entity"), F.array(*[F.round(F.col(c) * UNIT).cast("long") for c in SHARE_COLS]).alias("p"))
+            .checkpoint(eager=True))
+
 
-    with ThreadPoolExecutor(max_workers=min(n_init, 8)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
-    return model, cost
+def _distances(points: np.ndarray, centres: list[list[int]]) -> np.ndarray:
+    """Squared distances, curves x centres, exact in 64 bits."""
+    return np.stack([((points - np.array(c, np.int64)) ** 2).sum(1) for c in centres], axis=1)
 
 
-def written_once(shares: DataFrame, entity: str) -> DataFrame:
-    """The curves in a fixed order of rows and partitions, computed once for all fits."""
-    ensure_checkpoint_dir(shares.sparkSession)
-    return shares.repartition(fit_partitions(shares.sparkSession), entity).sortWithinPartitions(entity).checkpoint(eager=True)
+def _hashed(seed: int, start: int, step: int) -> F.Column:
+    """32 bits of a curve's md5 for one draw."""
+    return F.conv(F.substring(hash_key(seed, F.lit(start), F.lit(step), "entity"), 1, 8), 16, 10).cast("long")
+
+
+def seed_sets(points: DataFrame, k: int, n_init: int, seed: int) -> dict[int, list[list[int]]]:
+    """Per start the first k centres, drawn as k-means++ does by hashes of the curves.
+
+    A curve is drawn with chances in proportion to its squared distance from
+    the centres so far: the smallest -ln(u) / distance wins, u from the hash,
+    ties by entity.  The first draw, and one when every curve is a centre
+    already, takes the smallest hash.  One scan for a draw of all starts.
+    """
+    chosen: dict[int, list[list[int]]] = {s: [] for s in range(n_init)}
+    entity = points.schema["entity"].dataType.simpleString()
+    for step in range(k):
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                p, h = np.stack(pdf["p"].to_list()), np.stack(pdf["h"].to_list())
+                names, out = pdf["entity"].to_numpy(), []
+                for s, centres in chosen.items():
+                    race = np.full(len(p), np.inf)
+                    if centres:
+                        d = _distances(p, centres).min(1)
+                        race[d > 0] = -np.log((h[d > 0, s] + 0.5) / 2 ** 32) / d[d > 0]
+                    i = np.lexsort((names, h[:, s], race) if np.isinf(race).all() else (names, race))[0]
+                    out.append((s, race[i], int(h[i, s]) if np.isinf(race[i]) else 0, names[i], p[i]))
+                yield pd.DataFrame(out, columns=["start", "race", "h", "entity", "p"])
+        hashes = F.array(*[_hashed(seed, s, step) for s in range(n_init)]).alias("h")
+        best = (points.select("entity", "p", hashes)
+                .mapInPandas(draw, f"start int, race double, h long, entity {entity}, p array<long>")
+                .groupBy("start").agg(F.min_by("p", F.struct("race", "h", "entity")).alias("p")))
+        for r in best.collect():  # one row a start
+            chosen[r.start].append(list(r.p))
+    return chosen
+
+
+def _scan(points: DataFrame, sets: Sets, cost: bool) -> list:
+    """One scan for all sets: per (k, start, cluster) the number of curves and their sums, or their cost."""
+    names = list(sets)
+    sums = [f"s{m}" for m in MONTHS]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            p, out = np.stack(pdf["p"].to_list()) if len(pdf) else np.zeros((0, 12), np.int64), []
+            for i, name in enumerate(names):
+                d = _distances(p, sets[name])
+                label = d.argmin(1)  # ties to the smaller cluster
+                for c in np.unique(label):
+                    mine = label == c
+                    least = d[mine, c] if cost else np.zeros(1, np.int64)
+                    # in two parts, as the sum may pass 64 bits
+                    out.append((i, int(c), int(mine.sum()), int((least >> 32).sum()), int((least & 0xFFFFFFFF).sum()),
+                                *p[mine].sum(0).tolist()))
+            yield pd.DataFrame(out, columns=["set", "cluster", "n", "high", "low", *sums])
+    fields = ", ".join(f"{c} long" for c in ["n", "high", "low", *sums])
+    rows = points.select("p").mapInPandas(partial, f"set int, cluster int, {fields}").groupBy("set", "cluster").agg(
+        *[F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in ["n", "high", "low", *sums]]).collect()
+    return [(names[r["set"]], r["cluster"], int(r["n"]), [int(r[c]) for c in sums], (int(r["high"]) << 32) + int(r["low"]))
+            for r in rows]
+
+
+def fit_sets(points: DataFrame, ks: list[int], n_init: int = KMEANS_N_INIT, seed: int = 42,
+             max_iter: int = KMEANS_MAX_ITER, tol: float = KMEANS_TOL) -> tuple[Sets, dict[tuple[int, int], int]]:
+    """Centres and cost (squared units) of every (k, start).
+
+    A set stops on its own when none of its centres moves by more than ``tol``
+    or after ``max_iter`` iterations.  A centre without curves stays where it is.
+    The driver holds the centres alone.
+    """
+    starts = seed_sets(points, max(ks), n_init, seed)
+    if not starts[0]:
+        return {}, {}
+    sets: Sets = {(k, s): [list(c) for c in centres[:k]] for k in ks for s, centres in starts.items()}
+    moving = set(sets)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        shift = dict.fromkeys(moving, 0)
+        for name, c, n, total, _ in _scan(points, {s: sets[s] for s in moving}, cost=False):
+            centre = [(2 * v + n) // (2 * n) for v in total]
+            shift[name] = max(shift[name], sum((a - b) ** 2 for a, b in zip(centre, sets[name][c])))
+            sets[name][c] = centre
+        moving = {name for name in moving if shift[name] > round(tol * UNIT) ** 2}
+    cost = dict.fromkeys(sets, 0)
+    for name, _, _, _, part in _scan(points, sets, cost=True):
+        cost[name] += part
+    return sets, cost
+
+
+def _best_start(cost: dict[tuple[int, int], int], k: int) -> tuple[int, int]:
+    return min((name for name in cost if name[0] == k), key=lambda name: (cost[name], name[1]))
 
 
 def kmeans_sweep(spark: SparkSession, shares: DataFrame, entity: str, k_max: int = KMEANS_K_MAX,
                  n_init: int = KMEANS_N_INIT, seed: int = 42) -> DataFrame:
-    """Cost and score (minus cost) for k = 1..k_max."""
-    shares = written_once(shares, entity)
-    out = [(1, float(kmeans_one_cost(shares).first()["cost"] or 0.0))]
-    for k in range(2, k_max + 1):
-        out.append((k, float(best_kmeans(shares, k, n_init, seed)[1])))
-    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("cost", T.DoubleType())])
-    return spark.createDataFrame(out, schema).withColumn("score", -F.col("cost"))
+    """Cost and score (minus cost) of the best start for k = 1..k_max (I19); no rows without curves."""
+    _, cost = fit_sets(curve_points(shares, entity), list(range(1, k_max + 1)), n_init, seed)
+    rows = [(k, (Decimal(cost[_best_start(cost, k)]) / UNIT ** 2).quantize(Decimal("1e-10"), ROUND_HALF_UP))
+            for k in range(1, k_max + 1) if cost]
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("cost", T.DecimalType(20, 10))])
+    return spark.createDataFrame(rows, schema).withColumn("score", (-F.col("cost")).cast("decimal(20,10)"))
+
+
+def best_centres(points: DataFrame, k: int = KMEANS_K_FINAL, n_init: int = KMEANS_N_INIT, seed: int = 42) -> list[list[int]]:
+    """The k centres of the best start, in units; none without curves."""
+    sets, cost = fit_sets(points, [k], n_init, seed)
+    return sets[_best_start(cost, k)] if cost else []
+
+
+def label_points(points: DataFrame, entity: str, centres: list[list[int]]) -> DataFrame:
+    """(entity, cluster): the nearest centre of every curve, ties to the smaller number."""
+    if not centres:
+        return points.limit(0).select(F.col("entity").alias(entity), F.lit(0).alias("cluster"))
+    square = lambda a, b: (a - b) * (a - b)
+    far = [sum_cols([square(F.col("p")[i], F.lit(v)) for i, v in enumerate(c)]) for c in centres]
+    return points.select(F.col("entity").alias(entity), argmin_label(far, list(range(len(centres)))).cast("int").alias("cluster"))
 
 
 def kmeans_labels(shares: DataFrame, entity: str, k: int = KMEANS_K_FINAL,
                   n_init: int = KMEANS_N_INIT, seed: int = 42) -> DataFrame:
     """Final K-means labels per curve."""
-    shares = written_once(shares, entity)
-    model, _ = best_kmeans(shares, k, n_init, seed)
-    return (model.transform(_assemble(shares))
-            .select(entity, F.col("prediction").cast("int").alias("cluster")))
+    points = curve_points(shares, entity)
+    return label_points(points, entity, best_centres(points, k, n_init, seed))
 
 
-def kmeans_centroids(spark: SparkSession, shares: DataFrame, k: int = KMEANS_K_FINAL,
+def kmeans_centroids(spark: SparkSession, shares: DataFrame, entity: str, k: int = KMEANS_K_FINAL,
                      n_init: int = KMEANS_N_INIT, seed: int = 42) -> DataFrame:
-    """Centroids of the final fit, one row per cluster."""
-    model, _ = best_kmeans(shares, k, n_init, seed)
-    rows = [(i, *[float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+    """Centroids of the final fit as shares, one row per cluster."""
+    rows = [(i, *[v / UNIT for v in c]) for i, c in enumerate(best_centres(curve_points(shares, entity), k, n_init, seed))]
     schema = T.StructType([T.StructField("cluster", T.IntegerType())]
                           + [T.StructField(c, T.DoubleType()) for c in SHARE_COLS])
     return spark.createDataFrame(rows, schema)

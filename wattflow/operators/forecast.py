@@ -9,32 +9,33 @@
   reference's linear model gives for collinear dummies).
 * **Walk-forward, one regressor**: the same exact sums and one division, so it
   has an exact SQL oracle.
-* **Walk-forward, forest**: one pooled forest per calendar period, trained on
-  all rows dated before it.  This replaces the reference's forest per account
-  and fold, which does not distribute; the number of fits is the calendar's.
+* **Forests**: full trees with exact splits (``operators.trees``), pooled over
+  all accounts or, walk-forward, one forest per account and fold.
 * **Account effects**: an intercept and a temperature slope for every account
   are partialled out by grouped sums, so accounts are never indexed on the driver.
 
-Rows that several fits read are laid out by a hash of their key into a fixed
-number of sorted partitions and written to the checkpoint folder, so a forest
-does not depend on the size of the cluster.
+Rows that several ``pyspark.ml`` fits read are laid out by a hash of their key
+into sorted partitions, as many as the rows ask for, and written to the
+checkpoint folder, so a fit does not depend on the size of the cluster.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattflow.operators.ml_features import (FeatureSpec, feature_names, feature_stages,
-                                            with_numeric_inputs)
+from wattflow.operators import least_squares as ls
+from wattflow.operators.ml_features import FeatureSpec, feature_stages, with_numeric_inputs
 from wattflow.functions.numeric import READING_TYPE
 from wattflow.operators.prefix import ordered_scan
+from wattflow.operators.sampling import hash_bucket
+from wattflow.operators.trees import forest_predictions
 from wattflow.session import ensure_checkpoint_dir, fit_partitions
 from wattflow.operators.windows import ORDER
 
@@ -44,30 +45,25 @@ TEST_KEY = ["account_id", "from_dt", "to_dt", "kwh"]
 FOREST_TREES = 150
 FOREST_GRID = [150, 200]
 CV_FOLDS = 5
-FOREST_MAX_DEPTH = 30  # default of a parameter; the reference grows full trees, Spark goes to 30 (T28)
-FOREST_BINS = 32  # default of a parameter: split candidates per feature
-FOREST_MEMORY_MB = 64  # split statistics per task and pass; bounded so many tasks fit one heap
 
 
-def linear(label: str = "kwh") -> LinearRegression:
-    """Ordinary least squares with intercept (I4)."""
-    return LinearRegression(featuresCol="features", labelCol=label, regParam=0.0,
-                            elasticNetParam=0.0, fitIntercept=True, standardization=True,
-                            maxIter=500, tol=1e-12)  # collinear dummies are solved iteratively
+@dataclass(frozen=True)
+class LeastSquares:
+    """Ordinary least squares with intercept (I4), see ``operators.least_squares``."""
+    singular: float = ls.SINGULAR
 
 
-def forest(label: str = "kwh", trees: int = FOREST_TREES, seed: int = 42, depth: int = FOREST_MAX_DEPTH,
-           bins: int = FOREST_BINS) -> RandomForestRegressor:
-    """Random forest on all features per split, bootstrap rows."""
-    return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
-                                 featureSubsetStrategy="all", maxDepth=depth, maxBins=bins,
-                                 minInstancesPerNode=1, seed=seed, maxMemoryInMB=FOREST_MEMORY_MB)
+@dataclass(frozen=True)
+class Forest:
+    """Random forest on all features per split, bootstrap rows, full trees unless ``max_depth`` is set."""
+    trees: int = FOREST_TREES
+    max_depth: int | None = None
+    seed: int = 42
 
 
-def algorithm_registry(label: str = "kwh", trees: int = FOREST_TREES, depth: int = FOREST_MAX_DEPTH,
-                       bins: int = FOREST_BINS) -> dict:
+def algorithm_registry(label: str = "kwh", trees: int = FOREST_TREES, max_depth: int | None = None) -> dict:
     """Name -> estimator."""
-    return {"ols": linear(label), "rf": forest(label, trees, depth=depth, bins=bins),
+    return {"ols": LeastSquares(), "rf": Forest(trees, max_depth),
             "gbt": GBTRegressor(featuresCol="features", labelCol=label, seed=42),
             "tree": DecisionTreeRegressor(featuresCol="features", labelCol=label, seed=42)}
 
@@ -84,11 +80,17 @@ WALK_SPEC = FeatureSpec(numeric=["tavg_interval_sum", "prev_pd_kwh", "prev_prev_
 TEMPERATURE_COLUMNS = ["tavg_interval_sum"]
 
 
-def _laid_out(df: DataFrame) -> DataFrame:
-    """``df`` by hash of its key in a fixed number of sorted partitions, cut from its lineage."""
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return (df.repartition(fit_partitions(df.sparkSession), *TEST_KEY).sortWithinPartitions(*TEST_KEY, *sorted(set(df.columns) - set(TEST_KEY)))
-            .checkpoint(eager=True))
+    return df.checkpoint(eager=True)
+
+
+def _laid_out(df: DataFrame) -> DataFrame:
+    """``df`` by hash of its key in sorted partitions, as many as its rows ask for, cut from its lineage."""
+    df = _written(df)
+    return _written(df.repartition(fit_partitions(df.count()), *TEST_KEY)
+                    .sortWithinPartitions(*TEST_KEY, *sorted(set(df.columns) - set(TEST_KEY))))
 
 
 def pooled_forecast(features: DataFrame, spec: FeatureSpec, estimators: dict) -> DataFrame:
@@ -96,29 +98,38 @@ def pooled_forecast(features: DataFrame, spec: FeatureSpec, estimators: dict) ->
 
     Long result: key, model, prediction.
     """
-    data = _laid_out(with_numeric_inputs(features, spec))
-    train = data.where(~F.col("is_eval"))
-    test = data.where(F.col("is_eval"))
+    rows = _written(features)
+    split = lambda data: (data.where(~F.col("is_eval")), data.where(F.col("is_eval")))
     out = None
     for name, est in estimators.items():
-        model = Pipeline(stages=feature_stages(spec) + [est]).fit(train)
-        p = model.transform(test).select(*TEST_KEY, F.lit(name).alias("model"), F.col("prediction"))
+        if isinstance(est, LeastSquares):
+            train, test = split(rows)
+            p = test.withColumn("prediction", ls.fit(train, spec, est.singular).prediction())
+        elif isinstance(est, Forest):
+            p = _pooled_forest(*split(with_numeric_inputs(rows, spec)), spec, est)
+        else:
+            train, test = split(_laid_out(with_numeric_inputs(rows, spec)))
+            p = Pipeline(stages=feature_stages(spec) + [est]).fit(train).transform(test)
+        p = p.select(*TEST_KEY, F.lit(name).alias("model"), "prediction")
         out = p if out is None else out.unionByName(p)
     return out
 
 
-def coefficient_table(spark: SparkSession, features: DataFrame, spec: FeatureSpec = POOLED_SPEC) -> DataFrame:
-    """Pooled linear coefficients with readable names from feature metadata."""
-    data = with_numeric_inputs(features, spec).where(~F.col("is_eval"))
-    model = Pipeline(stages=feature_stages(spec) + [linear(spec.label)]).fit(data)
-    names = feature_names(model.transform(data.limit(1)))
-    lr = model.stages[-1]
-    coefs = [float(v) for v in lr.coefficients.toArray()]
-    if len(names) != len(coefs):
-        raise ValueError(f"{len(names)} feature names for {len(coefs)} coefficients")
-    rows = [("intercept", float(lr.intercept))] + list(zip(names, coefs))
-    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("coefficient", T.DoubleType())])
-    return spark.createDataFrame(rows, schema)
+def _pooled_forest(train: DataFrame, test: DataFrame, spec: FeatureSpec, est: Forest) -> DataFrame:
+    """One forest over the training rows, applied to the test rows."""
+    encoder = Pipeline(stages=feature_stages(spec)).fit(train)
+    inputs = lambda rows: encoder.transform(rows).select(
+        F.lit(0).alias("grp"), F.xxhash64(*TEST_KEY).alias("rid"), vector_to_array("features").alias("fx"),
+        F.col(spec.label).alias("y"), *TEST_KEY)
+    return forest_predictions(inputs(train).drop(*(set(TEST_KEY) - {"y"})), inputs(test), TEST_KEY, est.trees, est.seed,
+                              max_depth=est.max_depth)
+
+
+def coefficient_table(features: DataFrame, spec: FeatureSpec = POOLED_SPEC) -> DataFrame:
+    """Pooled linear coefficients by name (I15): feature, coefficient."""
+    model = ls.fit(features.where(~F.col("is_eval")), spec)
+    rows = [("intercept", model.intercept), *[(s.name, float(v)) for s, v in zip(model.slots, model.coefficients)]]
+    return features.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
 
 def _test_rows(features: DataFrame, share: float) -> F.Column:
@@ -161,34 +172,34 @@ def walk_forward_ols1(features: DataFrame, x: str = "tavg_interval_sum", y: str
                       F.abs(F.col("kwh").cast("decimal(18,3)") - F.col("prediction")).cast("decimal(18,3)").alias("abs_error"))
 
 
-SINGULAR = 1e-5  # directions with less than this share of the largest singular value count as collinear
 MONTHS = range(1, 13)
 
 
 def walk_forward_ols(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share: float = 0.8,
-                     singular: float = SINGULAR, chunked: bool = False) -> DataFrame:
+                     singular: float = ls.SINGULAR, chunked: bool = False,
+                     variants: dict[str, list[str]] | None = None) -> DataFrame:
     """Multi-regressor walk-forward least squares via prefix sums and small solves.
 
     The numeric inputs are taken as decimals with 3 places and all sums are
     exact; month dummies need no products of their own (two different months
-    never meet, a square is the dummy itself).  Rule for collinear inputs:
-    the centred regressors, each scaled to length one, are cut at singular
-    values below ``singular`` times the largest; of the solutions left, the one
-    of smallest norm in the original units is taken.  A fold with a null input
-    before the test row gives no prediction.
+    never meet, a square is the dummy itself).  Rule for collinear inputs: see
+    ``operators.least_squares``.  A fold with a null input before the test row
+    gives no prediction.
+
+    ``variants`` names models that leave out some numeric inputs (I16).  All are
+    answered by the one scan: a variant's normal equations are rows and columns
+    of the same sums.  Without it there is one model, "ols", of all inputs.
     """
     nums, months = list(spec.numeric), "month" in spec.categorical
     if set(spec.categorical) - {"month"}:
         raise ValueError("walk-forward dummies are built for the month category")
     num = [F.col(c).cast(READING_TYPE) for c in nums]
     y = F.col(spec.label).cast("decimal(18,0)")
-    known = F.lit(True)
-    for c in num:
-        known = known & c.isNotNull()
     q, pairs = len(nums), [(i, j) for i in range(len(nums)) for j in range(i, len(nums))]
     of_month = [F.when(F.col("month") == m, F.lit(1)).otherwise(F.lit(0)) for m in MONTHS] if months else []
     long = lambda e: F.coalesce(e.cast("decimal(28,6)"), F.lit(0))
-    sums = {"n": F.lit(1), "bad": (~known).cast("int"), "y": long(y)}
+    sums = {"n": F.lit(1), "y": long(y)}
+    sums |= {f"bad{i}": c.isNull().cast("int") for i, c in enumerate(num)}
     sums |= {f"x{i}": long(c) for i, c in enumerate(num)}
     sums |= {f"xy{i}": long(c * y) for i, c in enumerate(num)}
     sums |= {f"xx{i}_{j}": long(num[i] * num[j]) for i, j in pairs}
@@ -197,105 +208,90 @@ def walk_forward_ols(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share:
         sums |= {f"mx{k}_{i}": F.when(m == 1, long(c)).otherwise(F.lit(0)) for i, c in enumerate(num)}
     keep = list(dict.fromkeys([*TEST_KEY, "row_idx", "n_rows", *nums, *(["month"] if months else []), spec.label]))
     pre = _before(features.select(*keep), sums, chunked)
-    names = list(sums)
-    # six decimals are exact as integers; as text they reach Python whole
-    total = lambda k: (F.col(f"_before_{k}").cast("decimal(38,6)") * 1).cast("string")
+    # centred in the JVM, in decimals; n times every centred sum leaves as a double
+    total = lambda k: F.col(f"_before_{k}").cast("decimal(27,6)")
+    n = F.col("_before_n").cast("decimal(10,0)")
+    p = q + len(of_month)
+    first = [total(f"x{i}") for i in range(q)] + [total(f"m{k}") for k in range(len(of_month))]
+    with_y = [total(f"xy{i}") for i in range(q)] + [total(f"my{k}") for k in range(len(of_month))]
+
+    def product(i: int, j: int) -> F.Column:
+        if j < q:
+            return total(f"xx{i}_{j}")
+        if i < q:
+            return total(f"mx{j - q}_{i}")
+        return total(f"m{i - q}") if i == j else F.lit(0).cast("decimal(27,6)")
+    away = lambda both, a, b: ((n * both).cast("decimal(38,6)") - (a * b).cast("decimal(38,6)")).cast("double")
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
     tests = pre.where(_test_rows(pre, share)).select(
-        *TEST_KEY, "row_idx", "n_rows", F.array(*[total(k) for k in names]).alias("_sums"),
+        *TEST_KEY, "row_idx", "n_rows", n.cast("double").alias("_n"), total("y").cast("double").alias("_y"),
+        F.array(*[F.col(f"_before_bad{i}").cast("double") for i in range(q)]).alias("_bad"),
+        F.array(*[s.cast("double") for s in first]).alias("_first"),
+        F.array(*[away(with_y[i], first[i], total("y")) for i in range(p)]).alias("_b"),
+        F.array(*[away(product(i, j), first[i], first[j]) for i, j in upper]).alias("_c"),
         F.array(*[F.col(c).cast("double") for c in nums], *[m.cast("double") for m in of_month]).alias("_x"))
-    out_schema = T.StructType([
-        T.StructField("account_id", T.LongType()), T.StructField("from_dt", T.DateType()),
-        T.StructField("to_dt", T.DateType()), T.StructField("kwh", T.IntegerType()),
-        T.StructField("row_idx", T.IntegerType()), T.StructField("n_rows", T.IntegerType()),
-        T.StructField("prediction", T.DoubleType())])
-    at, n_months = {k: i for i, k in enumerate(names)}, len(of_month)
+    chosen = {name: [i for i in range(p) if i >= q or nums[i] not in left_out]
+              for name, left_out in (variants or {"ols": []}).items()}
+    names = list(chosen)
+    out_schema = T.StructType([*[features.schema[c] for c in [*TEST_KEY, "row_idx", "n_rows"]],
+                               *[T.StructField(f"p{i}", T.DoubleType()) for i in range(len(names))]])
 
     def solve(batches):
+        import numpy as np
         for pdf in batches:
-            preds = [_solve_prefix(s, x, at, q, n_months, pairs, singular)
-                     for s, x in zip(pdf["_sums"], pdf["_x"])]
-            yield pdf[[*TEST_KEY, "row_idx", "n_rows"]].assign(prediction=preds)
+            if not len(pdf):
+                continue
+            wide = lambda c: np.array([[np.nan if v is None else v for v in r] for r in pdf[c]], float).reshape(len(pdf), -1)
+            x, first_, b, bad = wide("_x"), wide("_first"), wide("_b"), wide("_bad")
+            c = np.zeros((len(pdf), p, p))
+            i, j = np.array(upper).T
+            c[:, i, j] = c[:, j, i] = wide("_c")
+            n_ = pdf["_n"].to_numpy(float)
+            out = pdf[[*TEST_KEY, "row_idx", "n_rows"]].copy()
+            for v, name in enumerate(names):
+                some = np.array(chosen[name], int)
+                numeric = [k for k in some if k < q]
+                ok = (n_ > 0) & (bad[:, numeric] == 0).all(1) & np.isfinite(x[:, some]).all(1)
+                pred = np.full(len(pdf), np.nan)
+                if ok.any():
+                    beta = ls.solve_many(c[ok][:, some][:, :, some], b[ok][:, some], singular)
+                    apart = x[ok][:, some] - first_[ok][:, some] / n_[ok, None]
+                    pred[ok] = pdf["_y"].to_numpy(float)[ok] / n_[ok] + (apart * beta).sum(1)
+                out[f"p{v}"] = pred
+            yield out
 
     solved = tests.mapInPandas(solve, out_schema)
-    return solved.select(*TEST_KEY, _fold(share).alias("fold"), F.lit("ols").alias("model"),
-                         F.when(~F.isnan("prediction"), F.col("prediction")).alias("prediction"))
-
-
-def _solve_prefix(sums, x, at, q, n_months, pairs, singular) -> float:
-    """Prediction at ``x`` from the exact sums (texts) of the rows before it."""
-    import numpy as np
-
-    unit = 10 ** 6
-    s = [int(v.replace(".", "")) for v in sums]  # in millionths
-    n = s[at["n"]] // unit
-    x = np.array([np.nan if v is None else v for v in x], float)
-    if n == 0 or s[at["bad"]] or not np.isfinite(x).all():
-        return float("nan")
-    p = q + n_months
-    first = [s[at[f"x{i}"]] for i in range(q)] + [s[at[f"m{k}"]] for k in range(n_months)]
-    with_y = [s[at[f"xy{i}"]] for i in range(q)] + [s[at[f"my{k}"]] for k in range(n_months)]
-    gram = [[0] * p for _ in range(p)]
-    for i, j in pairs:
-        gram[i][j] = gram[j][i] = s[at[f"xx{i}_{j}"]]
-    for k in range(n_months):
-        gram[q + k][q + k] = s[at[f"m{k}"]]
-        for i in range(q):
-            gram[i][q + k] = gram[q + k][i] = s[at[f"mx{k}_{i}"]]
-    sy = s[at["y"]]
-    # n * centred sums, rounded to a double only here
-    c = np.array([[(n * gram[i][j] * unit - first[i] * first[j]) / unit ** 2 for j in range(p)] for i in range(p)])
-    b = np.array([(n * with_y[i] * unit - first[i] * sy) / unit ** 2 for i in range(p)])
-    mean, y_mean = np.array([v / unit / n for v in first]), sy / unit / n
-    scale = np.sqrt(np.diag(c))
-    moves = scale > 0
-    if not moves.any():
-        return float(y_mean)
-    d = scale[moves]
-    values, vectors = np.linalg.eigh(c[np.ix_(moves, moves)] / np.outer(d, d))
-    real = values > singular ** 2 * values[-1]
-    beta = (vectors[:, real] @ ((vectors[:, real].T @ (b[moves] / d)) / values[real])) / d
-    if (~real).any():  # smallest norm in the original units
-        free, _ = np.linalg.qr(vectors[:, ~real] / d[:, None])
-        beta = beta - free @ (free.T @ beta)
-    return float(y_mean + (x - mean)[moves] @ beta)
-
-
-PERIODS = {"year": "yyyy", "quarter": "yyyy-'Q'q", "month": "yyyy-MM"}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.col(f"p{i}").alias("prediction"))
+                               for i, name in enumerate(names)])).alias("v")
+    return solved.select(*TEST_KEY, _fold(share).alias("fold"), each).select(
+        *TEST_KEY, "fold", "v.model", F.when(~F.isnan("v.prediction"), F.col("v.prediction")).alias("prediction"))
 
 
 def walk_forward_forest(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share: float = 0.8,
-                        trees: int = FOREST_TREES, period: str = "month", depth: int = FOREST_MAX_DEPTH,
-                        bins: int = FOREST_BINS) -> DataFrame:
-    """Walk-forward forest with one pooled fit per calendar period (I9, forest variant).
-
-    The test rows are those of the per-account folds.  A test row is predicted
-    by the forest of its period, which was trained on the rows of all accounts
-    that are dated before the period starts; the shorter the period, the nearer
-    to the reference's fit for every test row.  Rows of a period that has none
-    before it get a null prediction, so no test row is left out.
+                        trees: int = FOREST_TREES, max_depth: int | None = None, seed: int = 42) -> DataFrame:
+    """Walk-forward forest: for every account and fold one forest on the account's rows before the test row.
+
+    A test row that has none before it, or a null input, gets a null
+    prediction, so no test row is left out.  As every fold is fitted anew, the
+    work grows with the square of an account's rows; folds are dealt to tasks
+    one by one, and those of very many rows are split further.
     """
-    if period not in PERIODS:
-        raise ValueError(f"period must be one of {sorted(PERIODS)}")
-    data = _laid_out(with_numeric_inputs(features, spec)
-                     .withColumn("_period", F.date_trunc(period, "to_dt").cast("date"))
-                     .withColumn("_fold", _fold(share)))
-    tests = data.where(_test_rows(data, share))
-    starts = sorted(r[0] for r in tests.select("_period").distinct().collect())  # as many as the calendar has
-    known = {r[0]: r[1] for r in data.groupBy("_period").agg(F.count(F.lit(1))).collect()}
-    out = None
-    for start in starts:
-        test = tests.where(F.col("_period") == F.lit(start))
-        if sum(n for at, n in known.items() if at < start):
-            train = data.where(F.col("to_dt") < F.lit(start))
-            model = Pipeline(stages=feature_stages(spec) + [forest(spec.label, trees, depth=depth, bins=bins)]).fit(train)
-            test = model.transform(test)
-        else:
-            test = test.withColumn("prediction", F.lit(None).cast("double"))
-        p = test.select(*TEST_KEY, F.col("_fold").alias("fold"), F.lit("rf").alias("model"), "prediction")
-        out = p if out is None else out.unionByName(p)
-    if out is None:
-        raise ValueError("no walk-forward test rows")
-    return out
+    if set(spec.categorical) - {"month"} or spec.interactions:
+        raise ValueError("walk-forward inputs are numbers and the month category")
+    months = [(F.col("month") == m).cast("double") for m in MONTHS] if spec.categorical else []
+    init = F.floor(F.col("n_rows") * F.lit(share)).cast("int")
+    rows = features.select(
+        *TEST_KEY, F.array(*[F.col(c).cast("double") for c in spec.numeric], *months).alias("fx"),
+        F.col(spec.label).alias("y"), F.col("row_idx").cast("int").alias("_at"), init.alias("_init"), F.col("n_rows").cast("int").alias("_n"))
+    first = F.greatest(F.col("_at") - F.col("_init"), F.lit(0))
+    later = F.when(first < F.col("_n") - F.col("_init"), F.sequence(first, F.col("_n") - F.col("_init") - 1))
+    group = F.concat_ws(":", "account_id", "fold").alias("grp")
+    train = rows.withColumn("fold", F.explode(later)).select(group, F.xxhash64(*TEST_KEY, "fold").alias("rid"), "fx", "y")
+    tests = rows.filter(F.col("_at") > F.col("_init")).withColumn("fold", F.col("_at") - F.col("_init") - 1)
+    keep = [*TEST_KEY, "fold"]
+    got = forest_predictions(train, tests.select(group, "fx", *keep), keep, trees, seed, max_depth=max_depth)
+    return (tests.select(*keep).join(got.drop("n_trees"), keep, "left")
+            .select(*TEST_KEY, "fold", F.lit("rf").alias("model"), "prediction"))
 
 
 ACCOUNT_EFFECT_INPUTS = ["prev_pd_kwh", "prev_prev_pd_kwh", "days_passed", "tavg_interval_sum_sq",
@@ -316,7 +312,7 @@ def account_effects(features: DataFrame, inputs: list[str] = ACCOUNT_EFFECT_INPU
     import numpy as np
 
     cols = [*inputs, label]
-    rows = _laid_out(features.select(*TEST_KEY, "is_eval", F.col(t).cast("double").alias("_t"),
+    rows = _written(features.select(*TEST_KEY, "is_eval", F.col(t).cast("double").alias("_t"),
                                      *[F.col(c).cast("double").alias(f"_{c}") for c in cols]))
     train = rows.where(~F.col("is_eval")).na.drop()
     means = train.groupBy("account_id").agg(
@@ -374,55 +370,90 @@ NOTEBOOK_INPUTS = ["station_dist", "tavg_interval_avg", "todt_month", "daily_kwh
 NOTEBOOK_TARGET = "avg_kwh_day_over_invoice"
 
 
-def _notebook_frame(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({c: F.col(c).cast("double") for c in NOTEBOOK_INPUTS + [NOTEBOOK_TARGET]})
+CENTS = 100  # the notebook's target has two decimals
+
 
+def _notebook_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(*TEST_KEY, "split", F.array(*[F.col(c).cast("double") for c in NOTEBOOK_INPUTS]).alias("fx"),
+                       (F.col(NOTEBOOK_TARGET) * CENTS).cast("long").alias("y"), F.xxhash64(*TEST_KEY).alias("rid"),
+                       F.col(NOTEBOOK_TARGET).cast("double").alias("actual"))
 
-def _notebook_pipeline(trees: int, seed: int = 42, depth: int = FOREST_MAX_DEPTH, bins: int = FOREST_BINS) -> Pipeline:
-    from pyspark.ml.feature import VectorAssembler
-    return Pipeline(stages=[VectorAssembler(inputCols=NOTEBOOK_INPUTS, outputCol="features"),
-                            forest(NOTEBOOK_TARGET, trees, seed, depth, bins)])
 
+def notebook_forests(split_rows: DataFrame, counts: list[int], max_depth: int | None = None, seed: int = 42) -> DataFrame:
+    """Forests on the train split, predictions on the test split: key, actual, n_trees, prediction (I5, I14 input).
 
-def notebook_forest(split_rows: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_MAX_DEPTH,
-                    bins: int = FOREST_BINS) -> DataFrame:
-    """Forest on the train split, predictions on the test split (I5, I14 input)."""
-    return _fit_notebook(_laid_out(_notebook_frame(split_rows)), trees, depth, bins)
+    One forest of the largest count is grown; a smaller one is its first trees.
+    """
+    rows = _notebook_rows(split_rows).withColumn("grp", F.lit(0))
+    keep = [*TEST_KEY, "actual"]
+    got = forest_predictions(rows.where("split = 'train'"), rows.where("split = 'test'"), keep, counts, seed, max_depth=max_depth)
+    return got.withColumn("prediction", F.col("prediction") / CENTS)
 
 
-def _fit_notebook(data: DataFrame, trees: int, depth: int, bins: int) -> DataFrame:
-    model = _notebook_pipeline(trees, depth=depth, bins=bins).fit(data.where(F.col("split") == "train"))
-    return model.transform(data.where(F.col("split") == "test")).select(
-        *TEST_KEY, F.col(NOTEBOOK_TARGET).alias("actual"), "prediction")
+def notebook_forest(split_rows: DataFrame, trees: int = FOREST_TREES, max_depth: int | None = None) -> DataFrame:
+    return notebook_forests(split_rows, [trees], max_depth).drop("n_trees")
 
 
-def tree_count_compare(split_rows: DataFrame, counts: list[int] = FOREST_GRID, depth: int = FOREST_MAX_DEPTH,
-                       bins: int = FOREST_BINS) -> DataFrame:
+def tree_count_compare(split_rows: DataFrame, counts: list[int] = FOREST_GRID, max_depth: int | None = None) -> DataFrame:
     """Test MAE, MAE relative to mean use, and RMSE for each forest size."""
-    data, out = _laid_out(_notebook_frame(split_rows)), None
-    for n in counts:
-        p = _fit_notebook(data, n, depth, bins)
-        err = F.col("actual") - F.col("prediction")
-        r = p.agg(F.lit(n).alias("num_trees"), F.avg(F.abs(err)).alias("mae"),
-                  F.try_divide(F.avg(F.abs(err)), F.avg("actual")).alias("rel_mae"),
-                  F.sqrt(F.avg(err * err)).alias("rmse"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    err = F.col("actual") - F.col("prediction")
+    return notebook_forests(split_rows, counts, max_depth).groupBy(F.col("n_trees").alias("num_trees")).agg(
+        F.avg(F.abs(err)).alias("mae"), F.try_divide(F.avg(F.abs(err)), F.avg("actual")).alias("rel_mae"),
+        F.sqrt(F.avg(err * err)).alias("rmse"))
+
+
+def fold_of(folds: int, seed: int) -> F.Column:
+    """The fold of a row by the md5 of its key, the same in SQL."""
+    return hash_bucket(seed, TEST_KEY, folds)
 
 
-def grid_search(spark: SparkSession, split_rows: DataFrame, counts: list[int] = FOREST_GRID,
-                folds: int = CV_FOLDS, seed: int = 30, depth: int = FOREST_MAX_DEPTH,
-                bins: int = FOREST_BINS) -> DataFrame:
-    """k-fold cross-validated R^2 for each forest size on the train split."""
-    data = _laid_out(_notebook_frame(split_rows).where(F.col("split") == "train"))
-    pipe = _notebook_pipeline(counts[0], seed, depth, bins)
-    rf = pipe.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(rf.numTrees, counts).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=seed, parallelism=2,
-                        evaluator=RegressionEvaluator(labelCol=NOTEBOOK_TARGET, metricName="r2"))
-    model = cv.fit(data)
-    best = max(range(len(counts)), key=lambda i: model.avgMetrics[i])
-    rows = [(int(n), float(m), i == best) for i, (n, m) in enumerate(zip(counts, model.avgMetrics))]
-    schema = T.StructType([T.StructField("num_trees", T.IntegerType()), T.StructField("cv_r2", T.DoubleType()),
-                           T.StructField("best", T.BooleanType())])
-    return spark.createDataFrame(rows, schema)
+def grid_search(split_rows: DataFrame, counts: list[int] = FOREST_GRID, folds: int = CV_FOLDS, seed: int = 30,
+                max_depth: int | None = None) -> DataFrame:
+    """k-fold cross-validated R^2 for each forest size on the train split (I17): num_trees, cv_r2, best.
+
+    One forest per fold, grown without the fold's rows, answers for all sizes.
+    """
+    rows = _notebook_rows(split_rows.where("split = 'train'")).withColumn("fold", fold_of(folds, seed))
+    others = F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold"))
+    train = rows.withColumn("grp", F.explode(others)).withColumn("rid", F.xxhash64("rid", "grp"))
+    keep = [*TEST_KEY, "fold", "actual"]
+    got = forest_predictions(train, rows.withColumn("grp", F.col("fold")), keep, counts, seed, max_depth=max_depth)
+    return _cv_table(got.withColumns({"prediction": F.col("prediction") / CENTS, "num_trees": F.col("n_trees")}), "num_trees")
+
+
+def _cv_table(predictions: DataFrame, variant: str) -> DataFrame:
+    """Mean over folds of R^2 (1 - squared error / squared deviation from the fold's mean), and the best variant."""
+    err = F.col("actual") - F.col("prediction")
+    each = predictions.groupBy(variant, "fold").agg(
+        (1 - F.try_divide(F.sum(err * err), F.var_pop("actual") * F.count(F.lit(1)))).alias("r2"))
+    mean = each.groupBy(variant).agg(F.avg("r2").alias("cv_r2"))
+    top = mean.agg(F.max_by(variant, F.struct("cv_r2", -F.col(variant))).alias("_top"))
+    return mean.join(F.broadcast(top)).select(variant, "cv_r2", (F.col(variant) == F.col("_top")).alias("best"))
+
+
+def cross_validated_line(rows: DataFrame, x: str, y: str, folds: int = CV_FOLDS, seed: int = 30) -> DataFrame:
+    """(fold, r2) of a line fitted without the fold, from one scan.
+
+    A fold's model needs the sums of all rows minus the fold's own, and its
+    squared error is a polynomial of its own sums; nothing is fitted twice.
+    A fold whose target, or the rest's regressor, does not vary has null.
+    """
+    xd, yd = F.col(x).cast("decimal(18,8)"), F.col(y).cast("decimal(18,8)")
+    known = rows.select(fold_of(folds, seed).alias("fold"), xd.alias("x"), yd.alias("y")).na.drop()
+    wide = lambda e: F.sum(e.cast("decimal(28,12)"))
+    own = known.groupBy("fold").agg(F.count(F.lit(1)).cast("decimal(12,0)").alias("n"), wide(F.col("x")).alias("sx"),
+                                    wide(F.col("y")).alias("sy"), wide(F.col("x") * F.col("x")).alias("sxx"),
+                                    wide(F.col("x") * F.col("y")).alias("sxy"), wide(F.col("y") * F.col("y")).alias("syy"))
+    names = ["n", "sx", "sy", "sxx", "sxy", "syy"]
+    total = own.agg(*[F.sum(c).alias(f"t_{c}") for c in names])
+    d = lambda e: e.cast("double")
+    rest = {c: d(F.col(f"t_{c}") - F.col(c)) for c in names}
+    mx, my = rest["sx"] / rest["n"], rest["sy"] / rest["n"]
+    slope = (rest["sxy"] - rest["sx"] * my) / F.nullif(rest["sxx"] - rest["sx"] * mx, F.lit(0.0))
+    # sums of the fold around the rest's means, so that little cancels
+    n, sx, sy, sxx, sxy, syy = (d(F.col(c)) for c in names)
+    both = own.join(F.broadcast(total)).select("fold", n.alias("n"), slope.alias("b"), (sx - n * mx).alias("cx"), (sy - n * my).alias("cy"),
+                                               (sxx - 2 * mx * sx + n * mx * mx).alias("cxx"), (syy - 2 * my * sy + n * my * my).alias("cyy"),
+                                               (sxy - mx * sy - my * sx + n * mx * my).alias("cxy"), (syy - sy * sy / n).alias("sst"))
+    sse = F.col("cyy") - 2 * F.col("b") * F.col("cxy") + F.col("b") * F.col("b") * F.col("cxx")
+    return both.select("fold", (1 - sse / F.nullif("sst", F.lit(0.0))).cast("decimal(18,6)").alias("r2"))

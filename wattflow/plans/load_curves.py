@@ -42,11 +42,6 @@ def labelled_rows(d: Domain, labels: DataFrame) -> DataFrame:
     return cl.label_rows(rows, labels, "account_id")
 
 
-def kmeans_chain(spark, d: Domain, k: int = cl.KMEANS_K_FINAL, n_init: int = cl.KMEANS_N_INIT) -> DataFrame:
-    """Centroids fitted on the complete curves, nearest centroid for each, label on every row."""
-    curves = cl.written_once(account_shares(d, complete_only=True), "account_id")
-    if curves.isEmpty():
-        return labelled_rows(d, curves.select("account_id", F.lit(0).alias("cluster")))
-    fitted = cl.kmeans_centroids(spark, curves, k, n_init).orderBy("cluster").collect()  # k rows
-    centroids = [[r[c] for c in cl.SHARE_COLS] for r in fitted]
-    return labelled_rows(d, cl.nearest_centroid(curves, "account_id", centroids))
+def kmeans_chain(d: Domain, k: int = cl.KMEANS_K_FINAL, n_init: int = cl.KMEANS_N_INIT) -> DataFrame:
+    """Centres fitted on the complete curves, nearest centre for each, label on every row."""
+    return labelled_rows(d, cl.kmeans_labels(account_shares(d, complete_only=True), "account_id", k, n_init))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattflow.operators import evaluate as ev
@@ -36,9 +36,8 @@ def interaction_month_temp(features: DataFrame) -> DataFrame:
                             KEY + ["month", "tavg_interval_sum"])
 
 
-def pooled(features: DataFrame, names: list[str], trees: int = fc.FOREST_TREES, depth: int = fc.FOREST_MAX_DEPTH,
-           bins: int = fc.FOREST_BINS) -> DataFrame:
-    reg = fc.algorithm_registry(trees=trees, depth=depth, bins=bins)
+def pooled(features: DataFrame, names: list[str], trees: int = fc.FOREST_TREES, max_depth: int | None = None) -> DataFrame:
+    reg = fc.algorithm_registry(trees=trees, max_depth=max_depth)
     return fc.pooled_forecast(features, fc.POOLED_SPEC, {n: reg[n] for n in names})
 
 
@@ -47,8 +46,8 @@ def _ablation_errors(with_t: DataFrame, without: DataFrame) -> DataFrame:
 
     ``n_unpredicted`` are the variant's test rows without a prediction.
     """
-    a = fc.walk_forward_errors(with_t, "with_temperature")
-    b = fc.walk_forward_errors(without, "without_temperature")
+    a = fc.walk_forward_errors(with_t, WITH)
+    b = fc.walk_forward_errors(without, WITHOUT)
     tests = a.unionByName(b).groupBy("model").agg(F.count_if(F.col("prediction").isNull()).alias("n_unpredicted"))
     a, b = (x.where(F.col("prediction").isNotNull()) for x in (a, b))
     both = a.join(b.select(*KEY), KEY, "left_semi").unionByName(b.join(a.select(*KEY), KEY, "left_semi"))
@@ -58,16 +57,19 @@ def _ablation_errors(with_t: DataFrame, without: DataFrame) -> DataFrame:
                     "ae", "mae", "n_unpredicted"))
 
 
+WITH, WITHOUT = "with_temperature", "without_temperature"
+
+
 def temp_ablation(features: DataFrame) -> DataFrame:
-    """Walk-forward linear forecasts with and without temperature, grand error table (I16)."""
-    return _ablation_errors(fc.walk_forward_ols(features, fc.WALK_SPEC),
-                            fc.walk_forward_ols(features, fc.WALK_SPEC.without(fc.TEMPERATURE_COLUMNS)))
+    """Walk-forward linear forecasts with and without temperature, from one scan; grand error table (I16)."""
+    both = fc.walk_forward_ols(features, fc.WALK_SPEC, variants={WITH: [], WITHOUT: fc.TEMPERATURE_COLUMNS})
+    both = fc._written(both)
+    return _ablation_errors(*[both.where(F.col("model") == m) for m in (WITH, WITHOUT)])
 
 
-def temp_ablation_rf(features: DataFrame, trees: int = fc.FOREST_TREES, depth: int = fc.FOREST_MAX_DEPTH,
-                     bins: int = fc.FOREST_BINS) -> DataFrame:
+def temp_ablation_rf(features: DataFrame, trees: int = fc.FOREST_TREES, max_depth: int | None = None) -> DataFrame:
     """The same with the forest, as the reference compares it (I16)."""
-    return _ablation_errors(*[fc.walk_forward_forest(features, spec, trees=trees, depth=depth, bins=bins)
+    return _ablation_errors(*[fc.walk_forward_forest(features, spec, trees=trees, max_depth=max_depth)
                               for spec in (fc.WALK_SPEC, fc.WALK_SPEC.without(fc.TEMPERATURE_COLUMNS))])
 
 
@@ -104,12 +106,8 @@ def notebook_split(d: Domain, seed: int = 42) -> DataFrame:
     return smp.hash_split(rows, seed, KEY)
 
 
-def notebook_errors(d: Domain, depth: int = fc.FOREST_MAX_DEPTH, bins: int = fc.FOREST_BINS) -> DataFrame:
+def notebook_errors(d: Domain, max_depth: int | None = None) -> DataFrame:
     """Error frame of the notebook's forest on the test split."""
-    p = fc.notebook_forest(notebook_split(d), depth=depth, bins=bins)
+    p = fc.notebook_forest(notebook_split(d), max_depth=max_depth)
     err = F.col("actual") - F.col("prediction")
     return p.select("*", err.alias("error"), F.abs(err).alias("abs_error"), (err * err).alias("sq_error"))
-
-
-def coefficients(spark: SparkSession, features: DataFrame) -> DataFrame:
-    return fc.coefficient_table(spark, features)

@@ -364,3 +364,94 @@ frag("eacc", ("efr",), f"SELECT account_id, model, {_ERR_AGGS} FROM efr GROUP BY
 
 # ---------------------------------------------------------------- encoders and one-regressor forecast
 frag("train_months", ("cfeat",), "SELECT DISTINCT month FROM cfeat WHERE NOT is_eval")
+
+
+# ---------------------------------------------------------------- K-means, all sets of centres at once
+def kmeans(src: str, entity: str, ks: list[int], n_init: int, select: str, complete: str = "TRUE") -> str:
+    """``select`` over pts(e, p), best(k, start, cost) and final(k, start, c, p), after ``src``'s fragments."""
+    point = ", ".join(f"CAST(round(m_{m}_pct * 100000000) AS BIGINT)" for m in range(1, 13))
+    gap = lambda a, b: " + ".join(f"({a}[{m}] - {b}[{m}]) * ({a}[{m}] - {b}[{m}])" for m in range(1, 13))
+    h = "CAST(('0x' || substr(md5('42:' || start || ':{j}:' || CAST(e AS VARCHAR)), 1, 8)) AS BIGINT)"
+    seeds = [f"""s0 AS (SELECT start, 0 AS j, arg_min(p, {{'h': {h.format(j=0)}, 'e': e}}) AS p
+  FROM pts, (SELECT CAST(range AS VARCHAR) AS start FROM range({n_init})) GROUP BY start)"""]
+    for j in range(1, max(ks)):
+        before = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(j))
+        seeds.append(f"""s{j} AS (SELECT start, {j} AS j, COALESCE(arg_min(p, {{'r': -ln((h + 0.5) / 4294967296) / d, 'e': e}})
+    FILTER (WHERE d > 0), arg_min(p, {{'h': h, 'e': e}})) AS p FROM (
+  SELECT start, e, any_value(x.p) AS p, {h.format(j=j)} AS h, min({gap("x.p", "s.p")}) AS d
+  FROM pts x, ({before}) s GROUP BY start, e) y GROUP BY start)""")
+    every = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(max(ks)))
+    mean = ", ".join(f"CAST((2 * sum(pt[{m}]) + count(*)) // (2 * count(*)) AS BIGINT)" for m in range(1, 13))
+    return sql("", src).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+pts AS (SELECT {entity} AS e, [{point}] AS p FROM {src} WHERE {complete}),
+{", ".join(seeds)},
+lloyd(it, k, start, c, p, shift) AS (
+  SELECT 0, k, start, j, p, CAST(1000000000000000000 AS HUGEINT) FROM ({every}) s, (VALUES {", ".join(f"({k})" for k in ks)}) ks(k) WHERE j < k
+  UNION ALL
+  SELECT it + 1, k, start, c, n, CAST({gap("n", "p")} AS HUGEINT) FROM (
+    SELECT l.it, l.k, l.start, l.c, l.p, COALESCE(a.n, l.p) AS n
+    FROM (SELECT *, max(shift) OVER (PARTITION BY k, start) AS m FROM lloyd) l LEFT JOIN (
+      SELECT k, start, c, [{mean}] AS n FROM (
+        SELECT k, start, e, any_value(pt) AS pt, arg_min(c, {{'d': d, 'c': c}}) AS c FROM (
+          SELECT l.k, l.start, l.c, x.e, x.p AS pt, {gap("x.p", "l.p")} AS d FROM lloyd l, pts x) y GROUP BY k, start, e) z
+      GROUP BY k, start, c) a ON a.k = l.k AND a.start = l.start AND a.c = l.c
+    WHERE l.m > 100000000 AND l.it < 300) w),
+final AS (SELECT k, start, c, p FROM (SELECT *, max(it) OVER (PARTITION BY k, start) AS last FROM lloyd) x WHERE it = last),
+costs AS (SELECT k, start, sum(d) AS cost FROM (
+  SELECT k, start, e, CAST(min({gap("x.p", "f.p")}) AS HUGEINT) AS d FROM final f, pts x GROUP BY k, start, e) y GROUP BY k, start),
+best AS (SELECT k, arg_min(start, {{'c': cost, 's': CAST(start AS INTEGER)}}) AS start, min(cost) AS cost FROM costs GROUP BY k)
+{select.replace("GAP", gap("x.p", "f.p"))}"""
+
+
+# ---------------------------------------------------------------- pooled least squares by elimination
+_XS = ["prev_pd_kwh", "prev_prev_pd_kwh", "days_passed", "account_id", "avg_kwh"]
+_I = range(len(_XS))
+
+
+def _pooled_fragments() -> None:
+    """Month intercepts and temperature slopes are taken out month by month; what remains of the five
+    other inputs is eliminated step by step."""
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_XS))
+    frag("pl_tr", ("cfeat",), f"SELECT month, CAST(kwh AS DOUBLE) AS y, CAST(tavg_interval_sum AS DOUBLE) AS t, {cols} FROM cfeat WHERE NOT is_eval")
+    frag("pl_dev", ("pl_tr",), "SELECT month, " + ", ".join(
+        f"{c} - avg({c}) OVER (PARTITION BY month) AS {c}" for c in ["y", "t", *[f"x{i}" for i in _I]]) + " FROM pl_tr")
+    frag("pl_own", ("pl_dev",), "SELECT month, sum(t * y) / sum(t * t) AS b, " + ", ".join(
+        f"sum(t * x{i}) / sum(t * t) AS b{i}" for i in _I) + " FROM pl_dev GROUP BY month")
+    frag("pl_res", ("pl_dev", "pl_own"), "SELECT y - b * t AS y, " + ", ".join(f"x{i} - b{i} * t AS x{i}" for i in _I)
+         + " FROM pl_dev JOIN pl_own USING (month)")
+    a = {(i, j): f"a{i}{j}" for i in _I for j in _I if i <= j}
+    frag("pl_e0", ("pl_res",), "SELECT " + ", ".join([f"sum(x{i} * x{j}) AS {v}" for (i, j), v in a.items()]
+                                                    + [f"sum(x{i} * y) AS r{i}" for i in _I]) + " FROM pl_res")
+    for k in list(_I)[:-1]:
+        step = [f"{v} - a{k}{i} * a{k}{j} / a{k}{k} AS {v}" if i > k else v for (i, j), v in a.items()]
+        step += [f"r{i} - a{k}{i} * r{k} / a{k}{k} AS r{i}" if i > k else f"r{i}" for i in _I]
+        frag(f"pl_e{k + 1}", (f"pl_e{k}",), f"SELECT {', '.join(step)} FROM pl_e{k}")
+    last = len(_XS) - 1
+    frag(f"pl_s{last}", (f"pl_e{last}",), f"SELECT *, r{last} / a{last}{last} AS c{last} FROM pl_e{last}")
+    for k in reversed(range(last)):
+        known = " - ".join([f"r{k}"] + [f"a{k}{j} * c{j}" for j in range(k + 1, last + 1)])
+        frag(f"pl_s{k}", (f"pl_s{k + 1}",), f"SELECT *, ({known}) / a{k}{k} AS c{k} FROM pl_s{k + 1}")
+    frag("pl_month", ("pl_tr", "pl_own", "pl_s0"), "SELECT month, slope, my - slope * mt - " + " - ".join(f"c{i} * m{i}" for i in _I) + """ AS level
+FROM (SELECT *, b - """ + " - ".join(f"c{i} * b{i}" for i in _I) + """ AS slope FROM (SELECT month, avg(y) AS my, avg(t) AS mt, """
+         + ", ".join(f"avg(x{i}) AS m{i}" for i in _I) + " FROM pl_tr GROUP BY month) m JOIN pl_own USING (month), pl_s0) x")
+    # of the slots that say the same twice the smallest coefficients: levels around their mean, slopes around theirs
+    frag("pl_mean", ("pl_month",), "SELECT avg(level) AS level0, sum(slope) / (count(*) + 1) AS slope0 FROM pl_month")
+
+
+_pooled_fragments()
+POOLED_LINE = "COALESCE(level, level0) + COALESCE(slope, slope0) * tavg_interval_sum + " + " + ".join(
+    f"c{i} * {c}" for i, c in enumerate(_XS))
+COEFFICIENTS = " UNION ALL ".join(
+    ["SELECT 'intercept' AS feature, level0 AS coefficient FROM pl_mean", "SELECT 'tavg_interval_sum', slope0 FROM pl_mean"]
+    + [f"SELECT '{c}', c{i} FROM pl_s0" for i, c in enumerate(_XS)]
+    + ["SELECT 'month=' || month, level - level0 FROM pl_month, pl_mean",
+       "SELECT 'month=' || month || '*tavg_interval_sum', slope - slope0 FROM pl_month, pl_mean"])
+
+
+# ---------------------------------------------------------------- cross-validation folds of the notebook's train split
+_ROW_KEY = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in ("account_id", "from_dt", "to_dt", "kwh"))
+_BUCKET = "CAST(('0x' || substr(md5('{seed}:' || " + _ROW_KEY + "), 1, 8)) AS BIGINT)"
+frag("cvr", ("clean1",), f"""
+SELECT CAST({_BUCKET.format(seed=30)} % 5 AS INTEGER) AS fold, CAST(COALESCE(tavg_interval_avg, 0) AS DOUBLE) AS x,
+       CAST(COALESCE(avg_kwh_day_over_invoice, 0) AS DOUBLE) AS y
+FROM clean1 WHERE {_BUCKET.format(seed=42)} % 1000 < 666""")

@@ -457,9 +457,19 @@ def q_cluster_labels_complete(spark, sf):
     return lc.labelled_rows(d, lc.account_labels(spark, d, sf, complete_only=True))
 
 
-@query("kmeans_chain")
+_LABELS = """
+SELECT e, CAST(arg_min(c, {'d': GAP, 'c': c}) AS INTEGER) AS cluster
+FROM final f JOIN best b ON b.k = f.k AND b.start = f.start, pts x GROUP BY e"""
+
+
+@query("kmeans_chain", O.kmeans("ashares", "account_id", [cl.KMEANS_K_FINAL], cl.KMEANS_N_INIT, f"""
+SELECT r.account_id, r.from_dt, r.to_dt, r.kwh, COALESCE(r.gender, '-1') AS gender,
+       COALESCE(r.rate_class, '-1') AS rate_class, COALESCE(r.county_fips, -1) AS county_fips,
+       COALESCE(l.cluster, -1) AS load_curve_cluster
+FROM km_rows r LEFT JOIN ({_LABELS}) l ON l.e = r.account_id""",
+                                " AND ".join(f"m_{m}_pct IS NOT NULL" for m in range(1, 13))))
 def q_kmeans_chain(spark, sf):
-    return lc.kmeans_chain(spark, domain(spark, sf))
+    return lc.kmeans_chain(domain(spark, sf))
 
 
 @query("kmeans_k1", O.sql("""
@@ -472,12 +482,15 @@ def q_kmeans_k1(spark, sf):
     return cost.select(F.lit(1).alias("k"), F.col("cost").cast("decimal(20,10)").alias("cost"))
 
 
-@query("kmeans_sweep")
+@query("kmeans_sweep", O.kmeans("lshares", "entity_id", list(range(1, cl.KMEANS_K_MAX + 1)), cl.KMEANS_N_INIT, """
+SELECT k, c AS cost, CAST(-c AS DECIMAL(20,10)) AS score FROM (SELECT k, CAST(CAST((cost + 500000) // 1000000 AS DECIMAL(20,0))
+  * CAST(0.0000000001 AS DECIMAL(10,10)) AS DECIMAL(20,10)) AS c FROM best) x"""))
 def q_kmeans_sweep(spark, sf):
     return cl.kmeans_sweep(spark, lc.supplier_shares(spark, sf), "entity_id")
 
 
-@query("kmeans_final")
+@query("kmeans_final", O.kmeans("lshares", "entity_id", [cl.KMEANS_K_FINAL], cl.KMEANS_N_INIT,
+                                f"SELECT e AS entity_id, cluster FROM ({_LABELS}) l"))
 def q_kmeans_final(spark, sf):
     return cl.kmeans_labels(lc.supplier_shares(spark, sf), "entity_id")
 
@@ -633,9 +646,12 @@ def q_walk_forward_rf(spark, sf):
     return fc.walk_forward_forest(customers.features(domain(spark, sf)))
 
 
-@query("pooled_ols")
+@query("pooled_ols", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, 'ols' AS model, CAST({O.POOLED_LINE} AS DECIMAL(18,3)) AS prediction
+FROM cfeat LEFT JOIN pl_month USING (month), pl_mean, pl_s0 WHERE is_eval""", "cfeat", "pl_month", "pl_mean", "pl_s0"))
 def q_pooled_ols(spark, sf):
-    return models.pooled(customers.features(domain(spark, sf)), ["ols"])
+    return models.pooled(customers.features(domain(spark, sf)), ["ols"]).withColumn(
+        "prediction", F.col("prediction").cast("decimal(18,3)"))
 
 
 @query("pooled_rf")
@@ -696,9 +712,11 @@ def q_temp_ablation_rf(spark, sf):
     return models.temp_ablation_rf(customers.features(domain(spark, sf)))
 
 
-@query("coefficients")
+@query("coefficients", O.sql(f"""
+SELECT feature, CAST(coefficient AS DECIMAL(18,6)) AS coefficient FROM ({O.COEFFICIENTS}) x""", "pl_month", "pl_mean", "pl_s0"))
 def q_coefficients(spark, sf):
-    return models.coefficients(spark, customers.features(domain(spark, sf)))
+    return fc.coefficient_table(customers.features(domain(spark, sf))).withColumn(
+        "coefficient", F.col("coefficient").cast("decimal(18,6)"))
 
 
 @query("temp_ablation")
@@ -716,9 +734,20 @@ def q_rf_tree_compare(spark, sf):
     return fc.tree_count_compare(models.notebook_split(domain(spark, sf)))
 
 
+@query("cv_line", O.sql(f"""
+SELECT fold, CAST(1 - sum((y - i - s * x) * (y - i - s * x)) / sum((y - my) * (y - my)) AS DECIMAL(18,6)) AS r2 FROM (
+  SELECT t.fold, t.x, t.y, avg(t.y) OVER (PARTITION BY t.fold) AS my, m.i, m.s
+  FROM cvr t JOIN (SELECT f.fold, regr_intercept(y, x) AS i, regr_slope(y, x) AS s
+                   FROM cvr, (SELECT DISTINCT fold FROM cvr) f WHERE cvr.fold <> f.fold GROUP BY f.fold) m ON m.fold = t.fold) z
+GROUP BY fold""", "cvr"))
+def q_cv_line(spark, sf):
+    rows = models.notebook_split(domain(spark, sf)).where("split = 'train'")
+    return fc.cross_validated_line(rows, "tavg_interval_avg", fc.NOTEBOOK_TARGET)
+
+
 @query("grid_search")
 def q_grid_search(spark, sf):
-    return fc.grid_search(spark, models.notebook_split(domain(spark, sf)))
+    return fc.grid_search(models.notebook_split(domain(spark, sf)))
 
 
 # ------------------------------------------------------------------ preview

@@ -41,13 +41,13 @@ def get_session(master: str | None = None, app_name: str = "wattflow",
     return spark
 
 
-FIT_PARTITIONS_KEY = "wattflow.fit.partitions"
+FIT_ROWS = 250_000  # rows of a partition that a model fit reads
 
 
-def fit_partitions(spark: SparkSession) -> int:
-    """Partitions of the rows that a model fit reads: a setting of the model like its seed
-    (8 unless set; size it to the data), never taken from the cluster."""
-    return int(spark.conf.get(FIT_PARTITIONS_KEY, "8"))
+def fit_partitions(rows: int) -> int:
+    """Partitions of the rows that a model fit reads: taken from their number, never from the
+    cluster, so that a fit does not depend on where it runs."""
+    return max(8, -(-rows // FIT_ROWS))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
