@@ -75,6 +75,60 @@ def test_copies_teach_once():
         toxicity.fit(iter(texts), {0: 1.0, 1: 1.0}, 10 ** 9).weights)
 
 
+def test_a_toxic_near_copy_of_a_clean_text_teaches():
+    rng = random.Random(8)
+    clean = [". ".join(" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) + str(rng.randrange(40)) for _ in range(6))
+                       for _ in range(8)) for _ in range(200)]
+    toxic = [t + ". you zounds" for t in clean[:100]]
+    for rows in ([(t, 0) for t in clean] + [(t, 1) for t in toxic], [(t, 1) for t in toxic] + [(t, 0) for t in clean]):
+        model = toxicity.fit(iter(rows), {0: 1.0, 1: 1.0}, 10 ** 9)
+        assert model.score("you zounds") > 0.9 and max(model.score(t) for t in clean) < 0.3
+
+
+def test_scores_and_gradient_against_plain_formulas():
+    rng = random.Random(3)
+    model = toxicity.Model({"bad": 3.0, "worse": 5.5, "uglyy*": 2.5}, bias=-4.0, leak=0.02)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def plain(text):
+        clean = 1 - model.leak
+        for sentence in "".join("\n" if c in ".!?" else c for c in text.lower()).split("\n"):
+            words = set(sentence.replace(",", " ").split())
+            z = sum(3.0 * (w == "bad") + 5.5 * (w == "worse") + 2.5 * (w.startswith("uglyy") and len(w) > 5) for w in words)
+            clean *= 1 - max(0.0, (sigmoid(z - 4) - sigmoid(-4)) / (1 - sigmoid(-4)))
+        return 1 - clean
+    texts = ["", "fine", "Bad, bad day. worse!", "uglyyish? Uglyy uglyyest\nbad", "fine. " * 100_000 + "worse"]
+    texts += [" ".join(rng.choice(["bad", "worse", "uglyyone", "ok", "so", "."]) for _ in range(30)) for _ in range(20)]
+    for t in texts:
+        assert abs(model.score(t) - plain(t)) < 1e-9
+    # the fitted point is a stationary one of the penalised likelihood, by finite differences
+    names, s_doc = ["bad", "worse"], np.array([0, 0, 1, 2, 3, 3, 4])
+    entry_s, entry_f = np.array([0, 1, 1, 2, 3, 4, 5, 6]), np.array([0, 0, 1, 1, 0, 1, 0, 1])
+    y, weight = np.array([1.0, 1.0, 0.0, 1.0, 0.0, 0.0, 1.0]), np.ones(7)
+    fitted = toxicity._train(names, s_doc, entry_s, entry_f, y, weight)
+
+    def loss(w, bias, leak):
+        z = bias + np.bincount(entry_s, np.array(w)[entry_f], len(s_doc))
+        clean = np.full(7, np.log1p(-leak))
+        np.add.at(clean, s_doc, np.log(1 - (sigmoid(z) - sigmoid(bias)) / (1 - sigmoid(bias))))
+        p = 1 - np.exp(clean)
+        return -np.sum(weight * np.where(y == 1, np.log(np.maximum(p, 1e-9)), clean)) + toxicity.PENALTY * sum(w) + 0.05 * (bias + 4) ** 2
+    w = [fitted.weights.get(n, 0.0) for n in names]
+    at = loss(w, fitted.bias, fitted.leak)
+    for i in range(2):
+        for move in (-0.05, 0.05):
+            moved = list(w)
+            moved[i] = max(moved[i] + move, 0.0)
+            assert loss(moved, fitted.bias, fitted.leak) > at - 2e-3
+
+
+def test_sample_is_bounded_in_characters_before_texts_move(spark):
+    rows, labels = corpus(400)
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    model = toxicity.train(docs, table, sample=toxicity.Sample(chars=sum(len(t) for _, t, _ in rows) // 3))
+    assert model.weights and all(0 <= r.score <= 1 for r in toxicity.judge(docs, model).collect())
+
+
 def test_pipeline_against_brute_force_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")

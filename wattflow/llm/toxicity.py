@@ -44,7 +44,7 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the training sample: documents of either label (about), and characters of both."""
+    """Bounds of the training sample: documents of either label, and characters of both (about)."""
     positive: int = 4000
     negative: int = 4000
     chars: int = 48_000_000
@@ -110,21 +110,23 @@ class _Bags:
     def __init__(self):
         self.number: dict[str, int] = {}
         self.words, self.sentence_size, self.doc_size, self.labels = array("i"), array("i"), array("i"), []
-        self._met: set[int] = set()
+        self._met: tuple[set[int], set[int]] = (set(), set())
 
-    def add(self, text: str, label: int) -> None:
-        """A text most of whose sentences were met before is a copy and adds nothing."""
+    def add(self, text: str, label: int) -> bool:
+        """A text most of whose sentences were met before under its own label is a copy and adds nothing:
+        else the plain words of a toxic text of many near copies would pass for signs of toxicity."""
         low = fold(text)
         bag = [s for s in (sorted(set(_WORD.findall(part))) for part in _SENTENCE.split(low)) if s]
         marks = [crc32("\n".join(s).encode()) for s in bag]
-        if bag and 2 * sum(m in self._met for m in marks) > len(marks):
-            return
-        self._met.update(marks)
+        if bag and 2 * sum(m in self._met[label] for m in marks) > len(marks):
+            return False
+        self._met[label].update(marks)
         for sentence in bag:
             self.words.extend(self.number.setdefault(w, len(self.number)) for w in sentence)
             self.sentence_size.append(len(sentence))
         self.doc_size.append(len(bag))
         self.labels.append(label)
+        return True
 
     def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers, the sentence of each, the document of each sentence, the labels."""
@@ -136,14 +138,14 @@ class _Bags:
 def fit(rows: Iterator[tuple[str, int]], weight: dict[int, float], chars: int) -> Model:
     """Train on (text, label) rows; ``weight`` undoes the sample's share of each label.
 
-    Reading stops beyond ``chars`` characters, and copies count once.
+    Reading stops beyond ``chars`` characters of texts that teach something; copies count once.
     """
     bags = _Bags()
     for text, label in rows:
         if chars <= 0:
             break
-        chars -= len(text)
-        bags.add(text, label)
+        if bags.add(text, label):
+            chars -= len(text)
     n = {y: bags.labels.count(y) for y in (0, 1)}
     if not n[1]:
         return Model()
@@ -232,8 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled documents that are not held out.
 
     About ``sample.positive`` and ``sample.negative`` rows are chosen by a hash
-    of their id (all, when there are fewer); an id with several labels is toxic
-    if one says so; null ids and labels teach nothing.
+    of their id (all, when there are fewer), and in proportion fewer when they
+    have more than ``sample.chars`` characters; an id with several labels is
+    toxic if one says so; null ids and labels teach nothing.
     """
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
              .filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
@@ -242,7 +245,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     share = {y: min(1.0, most / n[y]) if n.get(y) else 0.0
              for y, most in ((1, sample.positive), (0, sample.negative))}
-    chosen = known.filter(place < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    within = lambda: place < F.when(F.col("y") == 1, share[1]).otherwise(share[0])
+    # of long texts fewer, before any text is moved
+    size = (docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("chars"))
+            .join(F.broadcast(known.filter(within())), "id").agg(F.sum("chars")).first()[0] or 0)
+    share = {y: s * min(1.0, sample.chars / max(size, 1)) for y, s in share.items()}
+    chosen = known.filter(within())
     rows = (docs.select(F.col(id_col).alias("id"), whole_text(F.col(text_col)).alias("text"))
             .join(F.broadcast(chosen), "id")  # at most about sample.positive + sample.negative ids
             .select("id", "text", "y").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "text"))
@@ -289,7 +297,12 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, unchanged."""
+    """The rows of ``docs`` that are not predicted toxic, unchanged.
+
+    A null or empty text has the base rate alone and stays unless that is over
+    the threshold; null ids and repeated rows are judged like any other; an
+    empty table stays empty.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        scores(F.col(text_col), model).alias("score"))
     return rows.filter(F.col("score") < THRESHOLD).select("row.*")
