@@ -173,9 +173,18 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = cut(rows.select("doc_id", "row", fingerprints(F.col("text"), shingle).alias("fp")), "fingerprints")
     _, smallest = _classes(rows, distance)
     kept = smallest.select(F.col("best.doc_id").alias("kept_id"), F.col("best.row").alias("kept_row"))
+    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+    # equal rows need folding; only they are moved a second time
+    repeated = cut(rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                   .select(F.col("doc_id").alias("many_id"), F.col("row").alias("many_row")), "repeated")
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(*columns).alias("hash"), F.struct(*columns).alias("whole"))
-    return (whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_row")), "left_semi")
-            .groupBy("id", "hash").agg(F.first("whole").alias("whole")).select("whole.*"))
+    if repeated.isEmpty():
+        return whole.join(kept, same("id", "kept_id", "hash", "kept_row"), "left_semi").select("whole.*")
+    kept = cut(kept.join(repeated, same("kept_id", "many_id", "kept_row", "many_row"), "left")
+               .select("kept_id", "kept_row", F.col("many_row").isNotNull().alias("many")), "kept")
+    once, more = (whole.join(kept.filter(f), same("id", "kept_id", "hash", "kept_row"), "left_semi") for f in ("not many", "many"))
+    folded = more.groupBy("id", "hash").agg(F.first("whole").alias("whole"))
+    return once.select("whole.*").unionByName(folded.select("whole.*"))
 
 
 def hex_digits(fp: Column) -> Column:
