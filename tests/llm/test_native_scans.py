@@ -1,5 +1,7 @@
 import hashlib
 import re
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ def brute_secrets(text):
 def test_secrets_against_brute_force(spark):
     rows = [(i, t, "x", "y") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x", "y"), (None, TEXTS[3], "x", "y")]
     docs = spark.createDataFrame(rows, DOCS)
-    got = sorted(secret_scan.secrets(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    got = sorted(secret_scan.report(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     assert len(got) == len(rows)
     for r in got:
         want = brute_secrets(TEXTS[3 if r.doc_id is None else r.doc_id])
@@ -46,14 +48,14 @@ def test_secrets_against_brute_force(spark):
             sum(k == kind for _, _, k, _ in want) for kind in ("assign", "access", "hex"))
         assert ",".join(s for s in r.spans.split(",") if s[:3] not in ("jwt", "pem")) == spans
     assert [r.spans for r in got if r.doc_id == 13] == ["jwt:0:32"]
-    assert secret_scan.secrets(docs.limit(0)).count() == 0
+    assert secret_scan.report(docs.limit(0)).count() == 0
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     first = spark.createDataFrame([(1, TEXTS[3], "", ""), (2, TEXTS[7], "", ""), (3, "clean", "", "")], DOCS)
     both = first.unionByName(spark.createDataFrame([(4, TEXTS[8], "", ""), (5, TEXTS[7], "", "")], DOCS))
-    known, ledger = secret_scan.run_ledger(first)
-    assert ledger.count() == 3 * len(secret_scan.RULES)
+    _, ledger = secret_scan.secrets(first)
+    assert ledger.count() == 3 and all(len(r.versions) == len(secret_scan.RULES) for r in ledger.collect())
     new = secret_scan.unseen(both, "text", ledger)
     assert [r.text for r in new.collect()] == [TEXTS[8]]
     # a new rule version rescans every blob with that rule alone
@@ -61,8 +63,27 @@ def test_ledger_scans_only_unseen_pairs(spark):
     todo = {r.text: r.todo for r in secret_scan.unseen(both, "text", ledger, more).collect()}
     assert todo["clean"] == [more[-1].version] and len(todo[TEXTS[8]]) == len(more)
     key = lambda r: (r.doc_id, r.spans, r.n_hex)
-    assert (sorted(map(key, secret_scan.secrets(both, ledger=ledger, known=known).collect()))
-            == sorted(map(key, secret_scan.secrets(both).collect())))
+    want = sorted(map(key, secret_scan.secrets(both)[0].collect()))
+    assert sorted(map(key, secret_scan.secrets(both, ledger=ledger)[0].collect())) == want
+    found, added = secret_scan.secrets(both, ledger=ledger, rules=more)
+    assert added.count() == 4 and {r.doc_id: r.spans for r in found.collect()}[3] == "more:0:5"
+    # findings belong to the ledger: without them nothing is reported as clean
+    with pytest.raises(ValueError):
+        secret_scan.secrets(both, ledger=ledger.drop("spans"))
+
+
+def test_ledger_folder_grows_by_what_is_new(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    key = lambda r: (r.doc_id, r.spans)
+    docs = [spark.createDataFrame([(i, TEXTS[i], "", "") for i in some], DOCS) for some in ((3, 7, 16), (3, 7, 8, 16), (3, 7, 8, 16))]
+    sizes, before = [], None
+    for d in docs:
+        got = sorted(map(key, secret_scan.scan_into(d, folder).collect()))
+        assert got == sorted(map(key, secret_scan.report(d).collect()))
+        sizes.append(spark.read.parquet(folder).count())
+        before = spark.read.schema(secret_scan.LEDGER_SCHEMA).parquet(folder)
+    assert sizes == [3, 4, 4]
+    assert secret_scan.unseen(docs[2], "text", before).count() == 0  # a second increment scans nothing
 
 
 def test_masked_changes_only_spans(spark):
@@ -172,6 +193,68 @@ def test_every_alias_tag_of_a_page_counts(spark):
     assert v == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow"}
 
 
+class Links(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.base, self.to = None, []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "base" and self.base is None and "href" in a:
+            self.base = a["href"].strip()
+        if tag == "link" and "canonical" in (a.get("rel") or "").lower().split() and a.get("href") is not None:
+            self.to.append(a["href"].strip())
+        if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh" and "url=" in (a.get("content") or "").lower():
+            self.to.append(re.split("url=", a["content"], flags=re.I)[1].strip().strip("'"))
+
+
+def brute_links(url, html):
+    """Node names of a page and its references by the standard library's parser and resolver."""
+    def node(u):
+        p = urlsplit(urljoin(u, urlsplit(u).path or "/") if "/." in u else u)
+        path = urlsplit(urljoin(f"x://h{p.path or '/'}", urlsplit(f"x://h{p.path or '/'}").path)).path
+        return f"{p.netloc.lower()}{path or '/'}" + (f"?{urlsplit(u).query}" if urlsplit(u).query else "")
+    links = Links()
+    links.feed(re.sub(r"(?is)<!--.*?-->|<script\b.*?</script>", "", html))
+    web = lambda u: re.sub("^x://", "http://", u)
+    base = urljoin(web(url), links.base) if links.base is not None else web(url)
+    return {(node(web(url)), node(urljoin(base, t) if t else base)) for t in links.to if "://" in urljoin(base, t)}
+
+
+def test_references_as_the_standard_library_resolves_them(spark):
+    link = '<link rel="{1}" href="{0}">'.format
+    refs = ["evil.html", "../z", "?q=1", "#f", "", "/a/./b/../c", "//O.org/fr/x", "sub/", "./", "..", "../../../up", "http://b.net/x/../y",
+            "a?u=http://n.net/", "mailto:a@b.c", "x/y.html?p=/../q"]
+    urls = ["http://a.com", "http://a.com/", "http://A.com/x/y", "http://a.com/x/y/?k=v", "http://a.com/x/./y/../w#frag", "http://a.com?only=1"]
+    pages = [(u, link(r, "canonical")) for u in urls for r in refs]
+    pages += [("http://a.com/1", link("/2", "alternate canonical")), ("http://a.com/1", link("/3", "Canonical\tnofollow")),
+              ("http://a.com/1", link("/4", "canonicals")), ("http://a.com/1", link("/5", "alternate")),
+              ("http://a.com/1", "<link href=/6 rel=canonical>"), ("http://a.com/1", "<LINK data-rel='canonical' href='/7'>"),
+              ("http://a.com/1", "<base href='/deep/er/'>" + link("x", "canonical") + "<base href='/no/'>"),
+              ("http://a.com/1", "<base href='http://other.org/q'>" + link("x", "canonical") + '<meta http-equiv="refresh" content="0;url=y">'),
+              ("http://a.com/1", "<meta content='3; URL=/8' http-equiv='refresh'>"), ("http://a.com/1", "<meta http-equiv=refresh content='5'>"),
+              ("http://a.com/1", "<p>" * 300_000 + link("/9", "canonical")), ("http://a.com/1", link("/q?a=1&amp;b=2", "canonical"))]
+    for url, html in pages:
+        assert "://" in url
+    df = spark.createDataFrame([(i, u, h, "") for i, (u, h) in enumerate(pages)], PAGES)
+    got = {}
+    for i, (u, h) in enumerate(pages):
+        got[i] = set()
+    rows = df.select("page_id", "url", "html").collect()
+    assert len(rows) == len(pages)
+    edges = {(r.a[3:], r.b[3:]) for r in url_filter.page_links(df).collect()}
+    want = set().union(*[brute_links(u, h) for u, h in pages])
+    assert edges == want
+
+
+def test_a_host_named_by_no_one_decides_nothing(spark):
+    rules = [("a.comevil.html", "/", "block"), ("a.com", "/z", "block")]
+    pages = [(1, "http://a.com", '<link rel=canonical href="evil.html">', ""), (2, "http://a.com/x/y", '<link rel=canonical href="../z">', ""),
+             (3, "http://a.com/q", '<link rel=canonical href="?q=1">', ""), (4, "http://a.com/", None, "")]
+    v = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, PAGES), rules).collect()}
+    assert v == {1: "allow", 2: "block", 3: "allow", 4: "allow"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 300])
 def test_components_of_chains_and_stars(spark, n):
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(n)] + [(5000, 5000), (None, 3)]

@@ -23,7 +23,7 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,25 +163,43 @@ WITH RECURSIVE rules(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.
   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 raw AS (SELECT row_number() OVER () AS r, page_id, url, strpos(url, '://') > 0 AS ok,
     regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script.*?</script>', '', 'g') AS html FROM pages),
-tags AS (SELECT url, ok, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)[^>]*>')) AS tag FROM raw WHERE ok),
-links AS (SELECT url, replace(CASE
-    WHEN regexp_matches(tag, '(?is)^<link.*rel\s*=\s*["'']?canonical')
-      THEN regexp_extract(tag, '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh')
-      THEN regexp_extract(tag, '(?is)content\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>]+)', 1)
-    ELSE '' END, '&amp;', '&') AS dest FROM tags),
-x AS (SELECT url AS a, CASE WHEN strpos(dest, '://') > 0 THEN dest
-    WHEN starts_with(dest, '//') THEN split_part(url, '://', 1) || ':' || dest
-    WHEN starts_with(dest, '/') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*') || dest
-    ELSE regexp_extract(url, '(?s)^.*?://[^/?#]*') ||
-      regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') || dest END AS b
-  FROM links WHERE dest <> ''),
+tags AS (SELECT r, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta|base)\s[^>]*>')) AS tag,
+    unnest(range(len(regexp_extract_all(html, '(?is)<(?:link|meta|base)\s[^>]*>')))) AS i FROM raw WHERE ok),
+att AS (SELECT r, url, i, lower(tag[2:5]) AS kind, regexp_matches(tag, '(?is)\shref\s*=') AS has,
+    trim(replace(concat_ws('', regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1),
+      regexp_extract(tag, '(?is)\shref\s*=\s*''([^'']*)''', 1), regexp_extract(tag, '(?is)\shref\s*=\s*([^\s"''>]+)', 1)), '&amp;', '&')) AS f,
+    lower(concat_ws('', regexp_extract(tag, '(?is)\srel\s*=\s*"([^"]*)"', 1),
+      regexp_extract(tag, '(?is)\srel\s*=\s*''([^'']*)''', 1), regexp_extract(tag, '(?is)\srel\s*=\s*([^\s"''>]+)', 1))) AS rel,
+    lower(regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*["'']?\s*([a-z-]+)', 1)) AS equiv,
+    replace(concat_ws('', regexp_extract(tag, '(?is)\scontent\s*=\s*"([^"]*)"', 1),
+      regexp_extract(tag, '(?is)\scontent\s*=\s*''([^'']*)''', 1), regexp_extract(tag, '(?is)\scontent\s*=\s*([^\s"''>]+)', 1)), '&amp;', '&') AS content
+  FROM tags),
+refs AS (SELECT r, url, i, CASE WHEN kind = 'base' AND has THEN 0
+      WHEN kind = 'link' AND list_contains(string_split_regex(trim(rel), '\s+'), 'canonical') AND has THEN 1
+      WHEN kind = 'meta' AND equiv = 'refresh' AND regexp_matches(content, '(?i)^[^;,]*[;,]\s*url\s*=\s*["'']?[^"'']') THEN 1 END AS use,
+    CASE WHEN kind = 'meta' THEN trim(regexp_extract(content, '(?i)^[^;,]*[;,]\s*url\s*=\s*["'']?([^"'']*)', 1)) ELSE f END AS dest FROM att),
+-- a reference is filled up from the left: scheme, host, folder
+full0 AS (SELECT *, regexp_extract(url, '^(.*?)://', 1) AS s, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS h,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1) AS q FROM refs WHERE use = 0),
+base AS (SELECT r, arg_min(CASE WHEN regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN dest ELSE s || '://' || CASE WHEN dest[1:2] = '//' THEN dest[3:]
+    ELSE h || CASE WHEN dest[1:1] = '/' THEN dest WHEN dest[1:1] = '?' THEN p || dest WHEN dest = '' OR dest[1:1] = '#' THEN p || q
+    ELSE regexp_replace(CASE WHEN p = '' THEN '/' ELSE p END, '[^/]*$', '') || dest END END END, i) AS b FROM full0 GROUP BY r),
+full1 AS (SELECT url, dest, regexp_extract(b, '^(.*?)://', 1) AS s, regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1) AS h,
+    regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(b, '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1) AS q
+  FROM (SELECT refs.url, dest, coalesce(b, refs.url) AS b FROM refs LEFT JOIN base USING (r) WHERE use = 1) z),
+x AS (SELECT a, b FROM (SELECT url AS a, CASE WHEN regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN dest ELSE s || '://' ||
+    CASE WHEN dest[1:2] = '//' THEN dest[3:] ELSE h || CASE WHEN dest[1:1] = '/' THEN dest WHEN dest[1:1] = '?' THEN p || dest
+    WHEN dest = '' OR dest[1:1] = '#' THEN p || q ELSE regexp_replace(CASE WHEN p = '' THEN '/' ELSE p END, '[^/]*$', '') || dest END END END AS b
+  FROM full1) z WHERE strpos(b, '://') > 0),
 urls AS (SELECT url AS u FROM raw WHERE ok UNION SELECT b FROM x),
 parts AS (SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
     regexp_extract(u, '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1) AS query FROM urls),
-node AS (SELECT u, host, path, host || path || query AS k FROM parts),
+steps AS (SELECT *, string_split(path, '/') AS l FROM parts),
+node AS (SELECT u, host, path, place, host || place || query AS k FROM (SELECT *, CASE WHEN path IN ('', '/') THEN '/'
+    ELSE coalesce(nullif(list_reduce(l, lambda a, s: CASE WHEN s = '.' THEN a WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '')
+      ELSE a || '/' || s END) || CASE WHEN l[-1] IN ('.', '..') THEN '/' ELSE '' END, ''), '/') END AS place FROM steps) z),
 fit AS (SELECT u, h || p AS rule, verdict,
     row_number() OVER (PARTITION BY u ORDER BY length(h) + length(p) DESC, verdict) AS pick
   FROM node JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
@@ -189,8 +207,11 @@ own AS (SELECT u, host, path, k, rule, verdict FROM node LEFT JOIN (SELECT * FRO
 e AS (SELECT DISTINCT m.k AS a, n.k AS b FROM x JOIN node m ON m.u = x.a JOIN node n ON n.u = x.b WHERE m.k <> n.k),
 und AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, a FROM und UNION SELECT reach.a, und.b FROM reach JOIN und ON reach.b = und.a),
+places AS (SELECT DISTINCT k, host, place FROM node),
+fit2 AS (SELECT k, verdict, row_number() OVER (PARTITION BY k ORDER BY length(h) + length(p) DESC, verdict) AS pick
+  FROM places JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(place, p)),
 cls AS (SELECT reach.a AS k, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked
-  FROM reach JOIN own ON own.k = reach.b GROUP BY reach.a)
+  FROM reach JOIN fit2 ON fit2.k = reach.b AND pick = 1 GROUP BY reach.a)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
   coalesce(verdict, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' END, 'allow') AS verdict
 FROM raw LEFT JOIN own ON own.u = raw.url LEFT JOIN cls USING (k)""",

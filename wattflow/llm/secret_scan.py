@@ -1,10 +1,11 @@
 """Secret scan over an incremental blob ledger, with DataFrame operations only.
 
-Every text (a version of a path) is addressed by its content.  A ledger of
-(blob, rule version) pairs says what has been scanned; only pairs that are not
-in it are, and the findings of a blob are joined back to all paths that hold
-it.  Copies are therefore scanned once, a second run over the same texts scans
-nothing, and a changed rule rescans with that rule alone.
+Every text (a version of a path) is addressed by its content.  A ledger keeps,
+for every blob, the rule versions it was scanned with and what they found; only
+(blob, rule version) pairs that are not in it are scanned, their rows are added
+to it, and every result is the ledger's findings joined back to all paths that
+hold a blob.  Copies are therefore scanned once, a second run over the same
+texts scans nothing, and a changed rule rescans with that rule alone.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattflow.llm.common import attach, cut, whole_text
+from wattflow.llm.common import attach, cut, remove_at_exit, shared_folder, whole_text
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,8 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 MASK = "[SECRET]"
 
-LEDGER_SCHEMA = "blob string, version string"
+# One row per blob and increment: the versions scanned, and their findings (code points, end exclusive).
+LEDGER_SCHEMA = "blob string, versions array<string>, spans array<struct<version: string, start: int, end: int>>"
 
 
 def _blob(text: Column) -> Column:
@@ -65,8 +67,16 @@ def _matches(text: Column, number: int, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), each)
 
 
+def _checked(ledger: DataFrame) -> DataFrame:
+    """A ledger without findings would hide every secret of the blobs in it."""
+    missing = {"blob", "versions", "spans"} - set(ledger.columns)
+    if missing:
+        raise ValueError(f"the ledger has no {', '.join(sorted(missing))}: its findings belong beside its blobs")
+    return ledger.select("blob", "versions", "spans")
+
+
 def unseen(docs: DataFrame, text_col: str, ledger: DataFrame | None, rules=RULES) -> DataFrame:
-    """(blob, paths, text, todo): one row per blob with the rule versions it still needs.
+    """(blob, text, todo): one row per blob with the rule versions it still needs.
 
     Copies are folded before the shuffle.  Against a ledger the contents are
     first looked up without their texts, and only unseen ones are moved.
@@ -74,54 +84,48 @@ def unseen(docs: DataFrame, text_col: str, ledger: DataFrame | None, rules=RULES
     texts = docs.select(_blob(F.col(text_col)).alias("blob"), whole_text(F.col(text_col)).alias("text"))
     wanted = F.array(*[F.lit(r.version) for r in rules])
     if ledger is None:
-        return (texts.groupBy("blob").agg(F.count(F.lit(1)).alias("paths"), F.first("text").alias("text"))
-                .withColumn("todo", wanted))
-    done = ledger.groupBy("blob").agg(F.collect_set("version").alias("done"))
+        return texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", wanted)
+    done = _checked(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("done"))
     todo = (texts.groupBy("blob").agg(F.count(F.lit(1)).alias("paths"))
             .join(done, "blob", "left")
             .withColumn("todo", F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>"))))
             .filter(F.size("todo") > 0).select("blob", "paths", "todo"))
     moved = attach(texts, todo, "blob", "paths", ["text"]).filter(F.col("todo").isNotNull())
-    return moved.groupBy("blob").agg(F.count(F.lit(1)).alias("paths"), F.first("text").alias("text"),
-                                     F.first("todo").alias("todo"))
+    return moved.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
 
 
 def scan(new: DataFrame, rules=RULES) -> DataFrame:
-    """Findings of unseen blobs: (blob, paths, version, kind, kind_no, base, start, end), code points, end exclusive."""
+    """The ledger rows of unseen blobs, with empty spans where nothing was found."""
     hits = F.flatten(F.filter(F.array(*[
         F.when(F.array_contains("todo", r.version), _matches(F.col("text"), n, r))
         for n, r in enumerate(rules)]), lambda a: a.isNotNull()))
-    rows = (new.select("blob", "paths", hits.alias("hits")).filter(F.size("hits") > 0)
-            .select("blob", "paths", F.inline("hits")))
-    so_far = F.sum(F.col("gap") + F.col("size")).over(
-        Window.partitionBy("blob", "kind_no").orderBy("i"))
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("kind_no") + 1)
-    return rows.withColumn("end", so_far).filter("ok").select(
-        "blob", "paths", pick([r.version for r in rules]).alias("version"),
-        pick([r.kind for r in rules]).alias("kind"), "kind_no", pick([r.base for r in rules]).alias("base"),
-        (F.col("end") - F.col("size")).alias("start"), "end")
+    rows = new.select("blob", F.col("todo").alias("versions"), F.inline_outer(hits))
+    so_far = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "kind_no").orderBy("i"))
+    version = F.element_at(F.array(*[F.lit(r.version) for r in rules]), F.col("kind_no") + 1)
+    span = F.struct(version.alias("version"), (F.col("end") - F.col("size")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    return (rows.withColumn("end", so_far).groupBy("blob")
+            .agg(F.first("versions").alias("versions"), F.collect_list(F.when(F.col("ok"), span)).alias("spans")))
 
 
 def run_ledger(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = None,
-               known: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """One increment: (all findings, new ledger rows), both written to the shared folder.
+               rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """One increment: (findings of the blobs of ``docs``, new ledger rows).
 
-    ``known`` are the findings that earlier runs kept beside the ledger (its
-    ``paths`` counts are taken anew); findings of rule versions no longer in
-    ``rules`` are left out.
+    The new rows are written to the shared folder; the findings come from them
+    and from ``ledger``: (blob, paths, kind, kind_no, base, start, end), with
+    ``paths`` the number of rows that hold the blob.  Findings of rule versions
+    that are not in ``rules`` stay in the ledger and are left out here.
     """
-    new = unseen(docs, text_col, ledger, rules)
-    if ledger is None:
-        findings = cut(scan(new, rules), "findings")
-        return findings, new.select("blob", F.explode("todo").alias("version"))
-    new = cut(new, "unseen")
-    findings = scan(new, rules)
-    if known is not None:
-        held = (docs.select(_blob(F.col(text_col)).alias("blob")).groupBy("blob")
-                .agg(F.count(F.lit(1)).alias("paths")))
-        kept = known.filter(F.col("version").isin([r.version for r in rules])).drop("paths").join(held, "blob")
-        findings = findings.unionByName(kept.select(*findings.columns))
-    return cut(findings, "findings"), new.select("blob", F.explode("todo").alias("version"))
+    new = cut(scan(unseen(docs, text_col, ledger, rules), rules), "ledger")
+    every = new if ledger is None else new.unionByName(_checked(ledger))
+    held = docs.select(_blob(F.col(text_col)).alias("blob")).groupBy("blob").agg(F.count(F.lit(1)).alias("paths"))
+    found = every.filter(F.size("spans") > 0).select("blob", F.inline("spans"))
+    at = F.array_position(F.array(*[F.lit(r.version) for r in rules]), F.col("version")).cast("int")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("kind_no") + 1)
+    findings = (found.withColumn("kind_no", at - 1).filter("kind_no >= 0").join(held, "blob")
+                .select("blob", "paths", pick([r.kind for r in rules]).alias("kind"), "kind_no",
+                        pick([r.base for r in rules]).alias("base"), "start", "end"))
+    return findings, new
 
 
 def by_blob(findings: DataFrame) -> DataFrame:
@@ -147,27 +151,51 @@ def by_blob(findings: DataFrame) -> DataFrame:
                       text(F.col("spans")).alias("spans"), "cuts")
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            ledger: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """The findings of every path: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
-
-    A null text is empty and holds nothing; a null id is kept; repeated rows are
-    reported each; other columns are ignored; an empty table gives no rows.
-    """
-    findings, _ = run_ledger(docs, text_col, ledger, known)
+def _by_path(docs: DataFrame, id_col: str, text_col: str, findings: DataFrame) -> DataFrame:
     paths = docs.select(F.col(id_col).alias("doc_id"), _blob(F.col(text_col)).alias("blob"))
-    joined = attach(paths, by_blob(findings), "blob", "paths", ["doc_id"])
+    joined = attach(paths, cut(by_blob(findings), "findings"), "blob", "paths", ["doc_id"])
     none = F.lit(0).cast("long")
     return joined.select("doc_id", *[F.coalesce(c, none).alias(c) for c in ("n_assign", "n_access", "n_hex")],
                          F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"),
                          F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None,
+            rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """The findings of every path (doc_id, n_assign, n_access, n_hex, base_sha256, spans), and the
+    rows to be added to the ledger.
+
+    A null text is empty and holds nothing; a null id is kept; repeated rows are
+    reported each; other columns are ignored; an empty table gives no rows.  A
+    ledger without findings is refused.
+    """
+    findings, new = run_ledger(docs, text_col, ledger, rules)
+    return _by_path(docs, id_col, text_col, findings), new
+
+
+def scan_into(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """``secrets`` by the ledger kept in ``folder`` (Parquet; made when absent), which gains the new rows."""
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(folder) if there else None
+    found, new = secrets(docs, id_col, text_col, ledger, rules)
+    new.write.mode("append").parquet(folder)
+    return found
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``scan_into`` a ledger of its own, which goes when the application ends."""
+    folder = shared_folder(docs.sparkSession, "wattflow-blobs")
+    remove_at_exit(docs.sparkSession, folder)
+    return scan_into(docs, folder, id_col, text_col)
+
+
 def masked(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mask``; the other
     texts (null included), columns and rows stay as they are."""
     findings, _ = run_ledger(docs, text_col)
-    spans = by_blob(findings).select("blob", "paths", "cuts")
+    spans = cut(by_blob(findings).select("blob", "paths", "cuts"), "findings")
     # whole rows as one struct, so no column of theirs can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        _blob(F.col(text_col)).alias("blob"))

@@ -17,10 +17,7 @@ from wattflow.llm.common import SPREAD, ascii_lower, attach, connected_component
 # (host, path, verdict); a driver-side parameter list that becomes one CASE expression.
 Rules = list[tuple[str, str, str]]
 
-_CANONICAL = (r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)"
-              r"[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)")
-_REFRESH = (r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)"
-            r"[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>]+)")
+_TAGS = r"(?is)<(?:link|meta|base)\s[^>]*>"
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 
@@ -33,10 +30,48 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _SPLIT, 2), F.lit(""))
 
 
+def _plain_path(path: Column) -> Column:
+    """Without "." and ".." segments; an empty path is "/"."""
+    steps = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(steps, none, lambda done, s: F.when(s == ".", done).when(
+        s == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).otherwise(F.array_append(done, s)))
+    last = F.element_at(steps, -1)
+    ended = F.when(last.isin(".", ".."), F.array_append(walked, F.lit(""))).otherwise(walked)
+    plain = F.when(path.contains("/."), F.array_join(ended, "/")).otherwise(path)
+    return F.when(plain == "", F.lit("/")).otherwise(plain)
+
+
 def alias_key(url: Column) -> Column:
-    """What identifies a URL as a node: host, path and query; null without ``://``."""
+    """What identifies a URL as a node: host, plain path and query; null without ``://``."""
     return F.when(F.instr(url, "://") > 0, F.concat(
-        F.lit("://"), host_of(url), path_of(url), F.regexp_extract(url, _SPLIT, 3)))
+        F.lit("://"), host_of(url), _plain_path(path_of(url)), F.regexp_extract(url, _SPLIT, 3)))
+
+
+def resolve(base: Column, to: Column) -> Column:
+    """The address that a reference on a page of address ``base`` names.
+
+    Of a reference without a scheme the scheme is the base's, of one without a
+    host the host, of one without a path (a query or a fragment alone) the path
+    too; other paths are taken from the base's folder.
+    """
+    scheme = F.substring_index(base, "://", 1)
+    authority = F.concat(scheme, F.lit("://"), F.regexp_extract(base, _SPLIT, 1))
+    path, query = path_of(base), F.regexp_extract(base, _SPLIT, 3)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    return (F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+            .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+            .when(to.startswith("/"), F.concat(authority, to))
+            .when(to.startswith("?"), F.concat(authority, path, to))
+            .when((to == "") | to.startswith("#"), F.concat(authority, path, query))
+            .otherwise(F.concat(authority, folder, to)))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value without its quotes; null if the tag has none."""
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return F.when(tag.rlike(pattern), F.trim(F.replace(value, F.lit("&amp;"), F.lit("&"))))
 
 
 def rule_match(host: Column, path: Column, rules: Rules, what: str) -> Column:
@@ -55,22 +90,25 @@ def rule_match(host: Column, path: Column, rules: Rules, what: str) -> Column:
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): alias keys of a page and of every address its HTML redirects or points to.
 
-    Comments and scripts are skipped, ``&amp;`` is undone, and addresses relative
-    to the page are resolved.  The HTML is only parsed where one of the two tags may be.
+    All ``<link>`` whose ``rel`` lists canonical and all refresh ``<meta>``
+    count.  Comments and scripts are skipped, ``&amp;`` is undone, references
+    are resolved against the page's first ``<base href>`` or its own address,
+    and those of other kinds (mailto and the like) are left out.  The HTML is
+    only parsed where one of the tags may be.
     """
-    u, text = F.col("u"), F.regexp_replace(F.col("h"), _HIDDEN, "")
-    links = (pages.select(F.col(url).alias("u"), F.col(html).alias("h"))
-             .filter(F.col("h").rlike(r"(?i)canonical|http-equiv") & (F.instr(u, "://") > 0))
-             .select("u", F.explode(F.concat(F.regexp_extract_all(text, F.lit(_CANONICAL), F.lit(1)),
-                                             F.regexp_extract_all(text, F.lit(_REFRESH), F.lit(1)))).alias("to"))
-             .withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&"))))
-    scheme, to = F.substring_index("u", "://", 1), F.col("to")
-    base = F.concat(scheme, F.lit("://"), host_of(u))
-    full = (F.when(F.instr(to, "://") > 0, to)
-            .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-            .when(to.startswith("/"), F.concat(base, to))
-            .otherwise(F.concat(base, F.regexp_replace(path_of(u), r"[^/]*$", ""), to)))
-    return links.select(alias_key(u).alias("a"), alias_key(full).alias("b"))
+    tag, u = F.col("tag"), F.col("u")
+    tags = (pages.select(F.col(url).alias("u"), F.col(html).alias("h"))
+            .filter(F.col("h").rlike(r"(?i)canonical|http-equiv") & (F.instr(u, "://") > 0))
+            .select("u", F.regexp_extract_all(F.regexp_replace("h", _HIDDEN, ""), F.lit(_TAGS), F.lit(0)).alias("tags")))
+    named = F.filter("tags", lambda t: t.rlike("(?i)^<base") & _attribute(t, "href").isNotNull())
+    based = tags.withColumn("base", F.coalesce(resolve(u, _attribute(F.get(named, 0), "href")), u))
+    canonical = tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = tag.rlike("(?i)^<meta") & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    where = F.regexp_extract(_attribute(tag, "content"), r"""(?is)^[^;,]*[;,]\s*url\s*=\s*["']?([^"']*)""", 1)
+    to = F.when(canonical, _attribute(tag, "href")).when(refresh & (where != ""), F.trim(where))
+    return (based.select("u", "base", F.explode("tags").alias("tag")).withColumn("to", to).filter(F.col("to").isNotNull())
+            .select(alias_key(u).alias("a"), alias_key(resolve(F.col("base"), F.col("to"))).alias("b"))
+            .filter(F.col("b").isNotNull()))
 
 
 def judge(pages: DataFrame, rules: Rules, page_id: str = "page_id", url: str = "url",
