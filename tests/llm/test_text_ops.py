@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -145,14 +146,16 @@ def test_bpe_digests(spark):
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
     df, rows = docs(spark)
-    tok, start, want = Tokenizer.from_file(TOKENIZER), 0, []
-    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    tok, want = Tokenizer.from_file(TOKENIZER), []
+    for i, t, *_ in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     for parts in (1, 4):
-        got = token_files.round_trip(df.repartition(5), TOKENIZER, partitions=parts).collect()
-        assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+        got = sorted(token_files.round_trip(df.repartition(5), TOKENIZER, partitions=parts).collect(), key=lambda r: r.start)
+        assert sorted([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], key=str) == sorted(want, key=str)
+        assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+        order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+        assert order == sorted(order)  # null first; equal ids in any order
     assert token_files.round_trip(df.limit(0), TOKENIZER).count() == 0
 
 
@@ -162,9 +165,22 @@ def test_encoder_chunks_equal_whole(monkeypatch):
     parts = ["a", "bc", "é", "中", "。", " ", " ", " ", "  ", "\n", "\t", "'s", "'", "1", "!", " ", "　", "\x1c", "\x85",
              "<|endoftext|>", "the"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["und, der.", "a,b;c (d) 'tis don't, x,, y!? [z]", "\x02a b\x02 c, \x02", "É, é. ß; ×, 1,000 a_b", "", " ", "x"]
     for at in range(0, len(texts), 100):
-        for t, raw in zip(texts[at:at + 100], e.encode(texts[at:at + 100])):
-            assert np.frombuffer(raw, e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        part = texts[at:at + 100]
+        flat, n = e.encode(pa.array(part), 7)
+        assert n.sum() == len(flat) and len(n) == len(part)
+        for t, ids in zip(part, np.split(flat, np.cumsum(n)[:-1])):
+            assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [7], repr(t)
+
+
+def test_one_id_of_most_rows_is_dealt_out(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    got = token_files.round_trip(df.repartition(6), TOKENIZER, partitions=8)
+    assert got.count() == 4000 and got.select("start").distinct().count() == 4000
+    folder = token_files.shared_folder(spark, "tokens")
+    files = token_files.write(df.repartition(6), folder, TOKENIZER, partitions=8)
+    assert files.count() == 8 and files.agg(F.max("n_docs")).first()[0] < 1500
 
 
 # SimHash
