@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ OWNERS = 4
 BUNDLE_ITEMS = 32
 # A block of documents ends at either of these.
 BLOCK_DOCS = 8192
-BLOCK_POSTINGS = 1 << 20
+BLOCK_POSTINGS = 1 << 19
 # Characters of item terms (with 16 more for each) that one pass over the documents looks for, about.
 PASS_CHARS = 8 << 20
 # 1e9 * tf // (1000 * tf + 20 * m) stays below this.
@@ -59,6 +60,11 @@ def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .filter(F.size("terms") > 0))
 
 
+def _empty_block() -> tuple:
+    """ids, null, sizes of the documents; terms, at, tf of the postings, without an object for each."""
+    return array("q"), array("b"), array("q"), array("i"), array("H"), array("q")
+
+
 def index(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per block of documents: their ids and numbers of terms, and the postings of the
     vocabulary (term number, place in the block, occurrences). Documents without terms are left out."""
@@ -67,10 +73,10 @@ def index(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_c
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         block = TaskContext.get().partitionId() << 32
-        ids, null, sizes, terms, at, tf = [], [], [], [], [], []
+        ids, null, sizes, terms, at, tf = _empty_block()
 
         def done() -> pd.DataFrame:
-            order = np.argsort(np.array(terms, np.int32), kind="stable")
+            order = np.argsort(np.frombuffer(terms, np.int32), kind="stable") if terms else []
             pack = lambda x, kind: np.array(x, kind)[order].tobytes()
             return pd.DataFrame({
                 "block": [block], "n_docs": [len(ids)], "n_terms": [sum(sizes)],
@@ -83,16 +89,16 @@ def index(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_c
                 if not found:
                     continue
                 mine = [(number[t], n) for t, n in Counter(found).items() if t in number]
-                terms += [t for t, _ in mine]
-                tf += [n for _, n in mine]
-                at += [len(ids)] * len(mine)
+                terms.extend([t for t, _ in mine])
+                tf.extend([n for _, n in mine])
+                at.extend([len(ids)] * len(mine))
                 ids.append(i)
                 null.append(missing)
                 sizes.append(len(found))
                 if len(ids) >= BLOCK_DOCS or len(terms) >= BLOCK_POSTINGS:
                     yield done()
                     block += 1
-                    ids, null, sizes, terms, at, tf = [], [], [], [], [], []
+                    ids, null, sizes, terms, at, tf = _empty_block()
         if ids:
             yield done()
 
