@@ -199,14 +199,22 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged."""
+    """The rows of ``docs`` that are not contaminated, unchanged.
+
+    Null and empty texts have no words and stay; null ids and repeated rows are
+    judged like any other; an empty table stays empty, and an empty
+    ``benchmark`` leaves all rows.
+    """
     return (find(docs, benchmark, text_col, **options)
             .filter(~contaminated(F.col("found"))).select("row.*"))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the words of every hit cut out of the text (from the first hit
-    word's start to the last one's end; the characters around stay)."""
+    word's start to the last one's end; the characters around stay).
+
+    Null and empty texts, other columns and all rows (repeated ones too) stay.
+    """
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, found: pd.DataFrame) -> pd.Series:
         return pd.Series([_without(t, h) for t, h in zip(texts, found["hits"])], dtype=object)
