@@ -96,3 +96,56 @@ def test_zero_use_empty_tables_and_large_counts(spark):
                               mean4(F.lit(6 * 10 ** 10), F.lit(2 * 10 ** 10)).alias("b")).first()
     assert r.a is None and r.b == 3
     assert qa.slice_counts(spark.createDataFrame([], "perc_missing decimal(5,4)")).where("share IS NOT NULL").count() == 0
+
+
+def test_chunks_of_one_account_and_day(spark):
+    """All rows have one date: the cuts fall between start dates, kWh and hashes."""
+    from pyspark.sql import functions as F
+
+    from wattflow.operators import prefix
+    n = 100_000
+    rows = spark.range(n).select(
+        F.lit(1).cast("long").alias("account_id"), F.lit(D(2020, 5, 31)).alias("to_dt"),
+        F.date_sub(F.lit(D(2020, 5, 1)), (F.col("id") % 2).cast("int")).alias("from_dt"),
+        F.pmod(F.xxhash64("id"), F.lit(1_000_000)).cast("int").alias("kwh"), F.col("id").alias("other"))
+    rows = rows.checkpoint()
+    order = ["to_dt", "from_dt", "kwh"]
+    chunked = prefix.with_chunks(rows, ["account_id"], order, 32)
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert 24 <= len(sizes) <= 64 and max(sizes) < 3 * n / 32
+    scan = dict(sums={"kwh": F.col("kwh").cast("long")}, lags=["kwh"], firsts=["from_dt"])
+    keep = ["from_dt", "kwh", "_n", "_rn", "_before_kwh", "_lag1_kwh", "_lag2_kwh", "_first_from_dt"]
+    plain, parts = (prefix.ordered_scan(rows, ["account_id"], order, chunked=c, chunks=32, **scan).select(*keep) for c in (False, True))
+    assert plain.exceptAll(parts).count() == 0 and parts.count() == n
+
+
+def test_chunks_of_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    from wattflow.operators import prefix
+    rows = spark.range(4000).select(F.lit(1).alias("k"), F.lit(2).alias("at"), F.lit(5).alias("v"), (F.col("id") % 3).alias("other")).checkpoint()
+    got = prefix.ordered_scan(rows, ["k"], ["at"], sums={"v": F.col("v")}, chunked=True, chunks=8).collect()
+    assert sorted(r._rn for r in got) == list(range(1, 4001)) and all(r._before_v == 5 * (r._rn - 1) for r in got)
+
+
+def test_bins_from_the_data(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from wattflow.operators import quality as qa
+    rng = np.random.default_rng(2)
+    v = rng.normal(10, 3, 500).round(2)
+    df = spark.createDataFrame([(float(x), float(x) * 2) for x in v] + [(None, 1.0)], "x double, y double")
+    got = sorted((r.bin, float(r.from_value), r.n) for r in qa.histogram_auto(df, "x").collect())
+    q1, q3 = np.quantile(v, [0.25, 0.75], method="inverted_cdf")
+    k = min(50, int(np.ceil((v.max() - v.min()) / (2 * (q3 - q1) / np.cbrt(500)))))
+    want = np.histogram(v, k)[0]
+    assert sum(n for _, _, n in got) == 500 and got[0][1] == v.min() and len(want) > got[-1][0]
+    # edges may round a value to the neighbouring bin
+    assert sum(abs(n - want[b]) for b, _, n in got) <= 4
+    assert qa.density_grid_auto(df, "x", "y").agg(F.sum("n")).first()[0] == 500
+    one = spark.createDataFrame([(4.0,)] * 5, "x double")
+    assert [(r.bin, r.n) for r in qa.histogram_auto(one, "x").collect()] == [(0, 5)]
+    tied = spark.createDataFrame([(4.0,)] * 8 + [(5.0,)], "x double")
+    assert [(r.bin, r.n) for r in sorted(qa.histogram_auto(tied, "x").collect())] == [(0, 8), (2, 1)]
+    assert qa.histogram_auto(one.limit(0), "x").collect() == []

@@ -26,3 +26,38 @@ def test_publish_ordered_round_trip(spark):
         t = pq.read_table(f, columns=["account_id", "to_dt"])
         keys += list(zip(t.column("account_id").to_pylist(), t.column("to_dt").to_pylist()))
     assert len(keys) == m.count() and keys == sorted(keys)
+
+
+def test_bucketed_publish_needs_no_exchange_and_rewrites_one_month(spark):
+    import os
+    import uuid
+
+    from conftest import SMALL
+    from wattflow.operators import windows
+    from wattflow.sources.fixtures import domain
+    m = matched.matched_table_1(domain(spark, SMALL)).select("account_id", "from_dt", "to_dt", "kwh", "todt_month")
+    name, path = f"matched_{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="wattflow-bucketed-", dir="/tmp") + "/t"
+    sinks.publish_bucketed(m, name, "account_id", ["account_id", "to_dt"], "todt_month", 4, path)
+    table = spark.table(name)
+    assert table.count() == m.count() and table.select(*m.columns).exceptAll(m).count() == 0
+    w = windows.account_window()
+    seen = table.select("account_id", F.row_number().over(w), F.lag("kwh").over(w))
+    by_account = table.groupBy("account_id").agg(F.sum("kwh"))
+    for plan in (seen, by_account, table.join(by_account, "account_id")):
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in text and ("Window" in text or "Aggregate" in text)
+
+    def files():
+        return {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    sinks.overwrite_partitions(spark, m.where("todt_month = 3").withColumn("kwh", F.col("kwh") + 1), name)
+    after = files()
+    spark.catalog.refreshTable(name)
+    others = lambda fs: {f: t for f, t in fs.items() if "todt_month=3/" not in f}
+    assert others(before) == others(after) and others(after) and before != after
+    moved = spark.table(name).where("todt_month = 3").agg(F.sum("kwh"), F.count("*")).first()
+    was = m.where("todt_month = 3").agg(F.sum("kwh"), F.count("*")).first()
+    assert (moved[0], moved[1]) == (was[0] + was[1], was[1])
+    assert spark.table(name).where("todt_month <> 3").count() == m.where("todt_month <> 3").count()
+    spark.sql(f"DROP TABLE {name}")

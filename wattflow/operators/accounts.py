@@ -93,7 +93,7 @@ def ineligible_accounts(rows: DataFrame, elig: DataFrame) -> DataFrame:
 def _series(kept: DataFrame, chunked: bool, chunks: int = CHUNKS) -> DataFrame:
     """Lags, position, size and days since the first invoice per account."""
     tavg = "tavg_interval_sum"
-    s = ordered_scan(kept, ["account_id"], "to_dt", ORDER, lags=["kwh", tavg], firsts=["to_dt"],
+    s = ordered_scan(kept, ["account_id"], ORDER, lags=["kwh", tavg], firsts=["to_dt"],
                      chunked=chunked, chunks=chunks)
     return s.select(
         *kept.columns, F.datediff("to_dt", F.col("_first_to_dt")).alias("days_passed"),
@@ -178,7 +178,7 @@ def walk_forward_folds(features: DataFrame, share: float = TRAIN_SHARE, chunked:
     """
     init = F.floor(F.col("n_rows") * F.lit(share)).cast("int")
     scan = ordered_scan(features.select("account_id", "from_dt", "to_dt", "kwh", "row_idx", "n_rows"),
-                        ["account_id"], "to_dt", ORDER, lags=["to_dt"], firsts=["to_dt"], chunked=chunked, chunks=chunks)
+                        ["account_id"], ORDER, lags=["to_dt"], firsts=["to_dt"], chunked=chunked, chunks=chunks)
     return (scan.select("account_id", "from_dt", "to_dt", "kwh", "row_idx",
                         F.col("_first_to_dt").alias("train_first_to_dt"),
                         F.col("_lag1_to_dt").alias("train_last_to_dt"), init.alias("_init"))

@@ -31,12 +31,12 @@ def naive_forecasts(features: DataFrame, share: float = 0.8, chunked: bool = Fal
     of_account = {"kwh": F.col("kwh"), "n": n_kwh}
     of_month = {"m_kwh": F.col("kwh"), "m_n": n_kwh}
     if chunked:
-        base = with_chunks(features, ["account_id"], "to_dt")
+        base = with_chunks(features, ["account_id"], ORDER)
         x = chunked_scan(base, ["account_id"], ORDER, of_account).drop("_n", "_rn")
         x = chunked_scan(x, ["account_id", "month"], ORDER, of_month, base=base)
     else:
-        x = ordered_scan(features, ["account_id"], "to_dt", ORDER, of_account).drop("_n", "_rn")
-        x = ordered_scan(x, ["account_id", "month"], "to_dt", ORDER, of_month)
+        x = ordered_scan(features, ["account_id"], ORDER, of_account).drop("_n", "_rn")
+        x = ordered_scan(x, ["account_id", "month"], ORDER, of_month)
 
     def mean(total, count):
         return mean4(F.col(total), F.when(F.col(count) > 0, F.col(count)))

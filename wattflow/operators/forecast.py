@@ -141,7 +141,7 @@ def _fold(share: float) -> F.Column:
 
 
 def _before(features: DataFrame, sums: dict, chunked: bool) -> DataFrame:
-    return ordered_scan(features, ["account_id"], "to_dt", ORDER, sums=sums, chunked=chunked).drop("_n", "_rn")
+    return ordered_scan(features, ["account_id"], ORDER, sums=sums, chunked=chunked).drop("_n", "_rn")
 
 
 def walk_forward_ols1(features: DataFrame, x: str = "tavg_interval_sum", y: str = "kwh",

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CATEGORICAL = "categorical"
@@ -126,3 +126,22 @@ def expand_vector(df: DataFrame, vector_col: str, names: list[str], keep: list[s
     """Plain columns from a vector column (for inspection and SQL checks)."""
     arr = vector_to_array(F.col(vector_col))
     return df.select(*keep, *[arr[i].alias(n) for i, n in enumerate(names)])
+
+
+def level_numbers(train: DataFrame, column: str, number: str) -> DataFrame:
+    """(column, number): the levels met in training, numbered from 0 in their order; a row a level."""
+    levels = train.select(column).where(F.col(column).isNotNull()).distinct()
+    return levels.select(column, (F.row_number().over(Window.orderBy(F.col(column).cast("string"))) - 1).alias(number))
+
+
+def pair_slots(rows: DataFrame, train: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows`` with the one slot of a category x category interaction that is not 0 (I2): ``slot``,
+    counted as levels of a times levels of b, and ``slot_value`` 1.
+
+    A level not met in training has no slot (null).  Neither the plan nor a row
+    grows with the number of levels.
+    """
+    at_a, at_b = level_numbers(train, a, "_a"), level_numbers(train, b, "_b")
+    many = train.agg(F.count_distinct(b).alias("_many"))
+    joined = rows.join(at_a, a, "left").join(at_b, b, "left").join(F.broadcast(many))
+    return joined.withColumns({"slot": F.col("_a").cast("long") * F.col("_many") + F.col("_b"), "slot_value": F.lit(1.0)}).drop("_a", "_b", "_many")

@@ -1,9 +1,10 @@
 """Ordered per-key scans that stay spread when one key holds most rows.
 
 A plain ``Window.partitionBy(key)`` puts each key in one task.  ``chunked_scan``
-cuts each key's ordered rows at quantiles of its dates (equal shares of rows,
-whatever the dates), runs the window inside (key, chunk) groups, and stitches
-the chunks together with a small per-chunk summary:
+cuts each key's ordered rows at quantiles of the whole order key and a hash of
+the row (equal shares of rows, even if all have one date), runs the window
+inside (key, chunk) groups, and stitches the chunks together with a small
+per-chunk summary:
 
 * running position and exclusive running sums = chunk offset + local value,
 * lag 1 / lag 2 across a chunk edge = the previous chunks' last rows,
@@ -11,9 +12,10 @@ the chunks together with a small per-chunk summary:
 
 It is meant for the few keys above a row bound (``plans.by_size``): their
 quantiles and summaries (at most CHUNKS rows a key) are broadcast, so their
-rows are never brought together by key.  Rows sharing a date share a chunk, so
-tie order inside a chunk is the same as in a plain window.  Sums are exact as
-long as their expressions are integers or decimals.
+rows are never brought together by key.  Rows that the order does not tell
+apart may fall into neighbouring chunks, as in a plain window they may stand in
+any order; where they fall is a hash of the row, the same in every scan.  Sums
+are exact as long as their expressions are integers or decimals.
 """
 
 from __future__ import annotations
@@ -22,16 +24,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNKS = 256
+# Rows of a key, about, of which every so many'th is a cut.
+SAMPLED_PER_CUT = 16
 
 
-def with_chunks(df: DataFrame, keys: list[str], date_col: str, chunks: int = CHUNKS) -> DataFrame:
-    """``df`` plus ``_chunk``: how many of the key's date quantiles lie before the row."""
-    day = F.unix_date(date_col)
-    fractions = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(day, fractions, F.lit(10 * chunks)))
-                                 .alias("_cuts"))
-    return (df.join(F.broadcast(cuts), keys)
-            .withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < day))).drop("_cuts"))
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int = CHUNKS) -> DataFrame:
+    """``df`` plus ``_chunk``: how many of the key's cuts lie before the row.
+
+    Cuts are quantiles of (order..., hash of the row), taken from about
+    SAMPLED_PER_CUT * chunks rows of the key that their hashes choose.  They
+    only balance the chunks; no result depends on them.
+    """
+    row = F.xxhash64(*df.columns)
+    place = F.struct(*order, row.alias("_row"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    chosen = F.pmod(F.xxhash64(row, F.lit("cut")), F.lit(1 << 30)) / F.lit(1 << 30) < F.lit(SAMPLED_PER_CUT * chunks) / F.col("_size")
+    sample = (df.join(F.broadcast(sizes), keys).where(chosen).groupBy(*keys)
+              .agg(F.sort_array(F.collect_list(place)).alias("_all")))
+    step = F.greatest(F.lit(1), F.floor(F.size("_all") / F.lit(chunks)).cast("int"))
+    cuts = sample.select(*keys, F.filter("_all", lambda c, i: (i + 1) % step == 0).alias("_cuts"))
+    return (df.join(F.broadcast(cuts), keys, "left")
+            .withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0))).drop("_cuts"))
 
 
 def _summary(base: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
@@ -94,13 +107,13 @@ def chunked_scan(x: DataFrame, keys: list[str], order: list[str], sums: dict[str
         *[F.col(f"_first_{c}") for c in firsts])
 
 
-def ordered_scan(df: DataFrame, keys: list[str], date_col: str, order: list[str],
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str],
                  sums: dict[str, Column] | None = None, lags: list[str] | None = None,
                  firsts: list[str] | None = None, chunked: bool = False, chunks: int = CHUNKS) -> DataFrame:
     """``chunked_scan``'s columns, by plain windows or by chunks."""
     sums, lags, firsts = sums or {}, lags or [], firsts or []
     if chunked:
-        return chunked_scan(with_chunks(df, keys, date_col, chunks), keys, order, sums, lags, firsts).drop("_chunk")
+        return chunked_scan(with_chunks(df, keys, order, chunks), keys, order, sums, lags, firsts).drop("_chunk")
     w = Window.partitionBy(*keys).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

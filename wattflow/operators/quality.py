@@ -77,3 +77,52 @@ def density_grid(df: DataFrame, x: str, y: str, x_width: float, y_width: float)
     by = F.floor(F.col(y) / F.lit(y_width)).cast("int")
     return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
             .groupBy(bx.alias("bin_x"), by.alias("bin_y")).agg(F.count(F.lit(1)).alias("n")))
+
+
+# The usual rule of distribution plots, and its limit of bins.
+MAX_BINS = 50
+SKETCH = 100_000  # accuracy of the quantile sketch: exact up to so many rows, within 1e-5 of the ranks beyond
+
+
+def _bins(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: of each column the lowest value and the width and number of its bins.
+
+    Width 2 * (q3 - q1) / n ** (1 / 3), at most MAX_BINS bins over the whole
+    range, sqrt(n) of them when the quartiles are equal, one when all values are.
+    """
+    stats = df.agg(F.count(F.lit(1)).cast("double").alias("n"), *[e for i, c in enumerate(cols) for e in (
+        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
+        F.percentile_approx(c, [0.25, 0.75], SKETCH).alias(f"q{i}"))])
+
+    def number(i: int) -> F.Column:
+        span, wide = F.col(f"hi{i}") - F.col(f"lo{i}"), F.col(f"q{i}")[1] - F.col(f"q{i}")[0]
+        by_width = F.ceil(span / (2 * wide / F.cbrt("n")))
+        return F.when(span == 0, F.lit(1)).otherwise(F.least(F.lit(MAX_BINS), F.when(
+            wide == 0, F.floor(F.sqrt("n"))).otherwise(by_width)).cast("int"))
+    return stats.select(*[e for i in range(len(cols)) for e in (
+        F.col(f"lo{i}"), number(i).alias(f"k{i}"), ((F.col(f"hi{i}") - F.col(f"lo{i}")) / number(i)).alias(f"w{i}"))])
+
+
+def _place(x: F.Column, i: int) -> F.Column:
+    lo, k, w = (F.col(f"{c}{i}") for c in ("lo", "k", "w"))
+    return F.when(w == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / w).cast("int"), k - 1))
+
+
+def histogram_auto(df: DataFrame, col: str) -> DataFrame:
+    """Counts per bin, with bins chosen from the data (D21): bin, from_value, width, n.
+
+    The bins are one row that the same plan computes and broadcasts.
+    """
+    rows = df.select(F.col(col).cast("double").alias("v0")).where(F.col("v0").isNotNull())
+    placed = rows.join(F.broadcast(_bins(rows, ["v0"]))).withColumn("bin", _place(F.col("v0"), 0))
+    return (placed.groupBy("bin", "lo0", "w0").agg(F.count(F.lit(1)).alias("n"))
+            .select("bin", (F.col("lo0") + F.col("bin") * F.col("w0")).cast("decimal(18,6)").alias("from_value"),
+                    F.col("w0").cast("decimal(18,6)").alias("width"), "n"))
+
+
+def density_grid_auto(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Counts per rectangular bin of two columns, both with bins chosen from the data."""
+    rows = df.select(F.col(x).cast("double").alias("v0"), F.col(y).cast("double").alias("v1")).na.drop()
+    placed = rows.join(F.broadcast(_bins(rows, ["v0", "v1"])))
+    return (placed.groupBy(_place(F.col("v0"), 0).alias("bin_x"), _place(F.col("v1"), 1).alias("bin_y"))
+            .agg(F.count(F.lit(1)).alias("n")))

@@ -78,7 +78,7 @@ def chunked_feature_windows(df: DataFrame, daily_col: str = "avg_kwh_day_over_in
         n = F.col(f"_before_{c}_n")
         return mean4(F.col(f"_before_{c}"), F.when(n > 0, n), scale)
 
-    x = with_chunks(df, ["account_id"], "to_dt", chunks)
+    x = with_chunks(df, ["account_id"], ORDER, chunks)
     a = chunked_scan(x, ["account_id"], ORDER,
                      sums={"kwh": F.col("kwh"), "kwh_n": present("kwh"),
                            "daily": F.col(daily_col), "daily_n": present(daily_col)},

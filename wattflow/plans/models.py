@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,25 +77,13 @@ def model_errors(preds: DataFrame) -> DataFrame:
     return ev.error_frame(preds.withColumn("prediction", F.col("prediction").cast("decimal(18,4)")))
 
 
-PAIR_SPEC = mf.FeatureSpec(numeric=[], interactions=[
-    ("month", "station_id", mf.CATEGORICAL, mf.CATEGORICAL),
-    ("tavg_interval_sum", "days_passed", mf.NUMERICAL, mf.NUMERICAL)])
-
-
 def interaction_pairs(features: DataFrame) -> DataFrame:
     """Category x category and number x number interactions (I2): the one category pair of
     a row (null for a level unseen in training), its value, and the product."""
-    model = mf.fit_encoder(features.where(~F.col("is_eval")), PAIR_SPEC)
-    months, stations = (mf.fitted_levels(model, c) for c in ("month", "station_id"))
-    # the indexer and the encoder each keep a slot for levels they have not seen
-    names = [f"{m}:{s}" for m in [*months, None, None] for s in [*stations, None, None]]
-    names = F.array(*[F.lit(None if "None" in n else n) for n in names])
-    pair = vector_to_array(F.col("month_x_station_id"))
-    rows = model.transform(features.withColumn("days_passed", F.col("days_passed").cast("double")))
-    one = F.array_position(pair, F.lit(1.0)).cast("int")
-    return rows.select(*KEY, F.element_at(names, one).alias("month_station"),
-                       F.aggregate(pair, F.lit(0.0), lambda a, x: a + x).alias("pair_value"),
-                       vector_to_array(F.col("tavg_interval_sum_x_days_passed"))[0].alias("tavg_x_days"))
+    paired = mf.pair_slots(features, features.where(~F.col("is_eval")), "month", "station_id")
+    name = F.when(F.col("slot").isNotNull(), F.concat_ws(":", F.col("month").cast("string"), "station_id"))
+    return paired.select(*KEY, name.alias("month_station"), F.col("slot_value").alias("pair_value"),
+                         (F.col("tavg_interval_sum").cast("double") * F.col("days_passed")).alias("tavg_x_days"))
 
 
 def notebook_split(d: Domain, seed: int = 42) -> DataFrame:

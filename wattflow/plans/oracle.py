@@ -404,48 +404,54 @@ best AS (SELECT k, arg_min(start, {{'c': cost, 's': CAST(start AS INTEGER)}}) AS
 
 
 # ---------------------------------------------------------------- pooled least squares by elimination
-_XS = ["prev_pd_kwh", "prev_prev_pd_kwh", "days_passed", "account_id", "avg_kwh"]
-_I = range(len(_XS))
-
-
-def _pooled_fragments() -> None:
-    """Month intercepts and temperature slopes are taken out month by month; what remains of the five
-    other inputs is eliminated step by step."""
-    cols = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_XS))
-    frag("pl_tr", ("cfeat",), f"SELECT month, CAST(kwh AS DOUBLE) AS y, CAST(tavg_interval_sum AS DOUBLE) AS t, {cols} FROM cfeat WHERE NOT is_eval")
-    frag("pl_dev", ("pl_tr",), "SELECT month, " + ", ".join(
-        f"{c} - avg({c}) OVER (PARTITION BY month) AS {c}" for c in ["y", "t", *[f"x{i}" for i in _I]]) + " FROM pl_tr")
-    frag("pl_own", ("pl_dev",), "SELECT month, sum(t * y) / sum(t * t) AS b, " + ", ".join(
-        f"sum(t * x{i}) / sum(t * t) AS b{i}" for i in _I) + " FROM pl_dev GROUP BY month")
-    frag("pl_res", ("pl_dev", "pl_own"), "SELECT y - b * t AS y, " + ", ".join(f"x{i} - b{i} * t AS x{i}" for i in _I)
-         + " FROM pl_dev JOIN pl_own USING (month)")
-    a = {(i, j): f"a{i}{j}" for i in _I for j in _I if i <= j}
-    frag("pl_e0", ("pl_res",), "SELECT " + ", ".join([f"sum(x{i} * x{j}) AS {v}" for (i, j), v in a.items()]
-                                                    + [f"sum(x{i} * y) AS r{i}" for i in _I]) + " FROM pl_res")
-    for k in list(_I)[:-1]:
+def effects(p: str, level: str, xs: list[str]) -> str:
+    """Fragments <p>_level (intercept and slope of every level), <p>_s0 (c0, c1, ...: the other coefficients).
+
+    Intercepts and temperature slopes are taken out level by level (a level whose
+    temperature never varies has no slope); what remains of the other inputs is
+    eliminated step by step.  Returns the sum of the others' contributions.
+    """
+    n = range(len(xs))
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(xs))
+    frag(f"{p}_tr", ("cfeat",), f"SELECT {level}, CAST(kwh AS DOUBLE) AS y, CAST(tavg_interval_sum AS DOUBLE) AS t, {cols} FROM cfeat WHERE NOT is_eval")
+    frag(f"{p}_dev", (f"{p}_tr",), f"SELECT {level}, " + ", ".join(
+        f"{c} - avg({c}) OVER (PARTITION BY {level}) AS {c}" for c in ["y", "t", *[f"x{i}" for i in n]]) + f" FROM {p}_tr")
+    slope = lambda c: f"CASE WHEN sum(t * t) > 1e-9 THEN sum(t * {c}) / sum(t * t) ELSE 0 END"
+    frag(f"{p}_own", (f"{p}_dev",), f"SELECT {level}, {slope('y')} AS b, " + ", ".join(
+        f"{slope(f'x{i}')} AS b{i}" for i in n) + f" FROM {p}_dev GROUP BY {level}")
+    frag(f"{p}_res", (f"{p}_dev", f"{p}_own"), "SELECT y - b * t AS y, " + ", ".join(f"x{i} - b{i} * t AS x{i}" for i in n)
+         + f" FROM {p}_dev JOIN {p}_own USING ({level})")
+    a = {(i, j): f"a{i}{j}" for i in n for j in n if i <= j}
+    frag(f"{p}_e0", (f"{p}_res",), "SELECT " + ", ".join([f"sum(x{i} * x{j}) AS {v}" for (i, j), v in a.items()]
+                                                        + [f"sum(x{i} * y) AS r{i}" for i in n]) + f" FROM {p}_res")
+    for k in list(n)[:-1]:
         step = [f"{v} - a{k}{i} * a{k}{j} / a{k}{k} AS {v}" if i > k else v for (i, j), v in a.items()]
-        step += [f"r{i} - a{k}{i} * r{k} / a{k}{k} AS r{i}" if i > k else f"r{i}" for i in _I]
-        frag(f"pl_e{k + 1}", (f"pl_e{k}",), f"SELECT {', '.join(step)} FROM pl_e{k}")
-    last = len(_XS) - 1
-    frag(f"pl_s{last}", (f"pl_e{last}",), f"SELECT *, r{last} / a{last}{last} AS c{last} FROM pl_e{last}")
+        step += [f"r{i} - a{k}{i} * r{k} / a{k}{k} AS r{i}" if i > k else f"r{i}" for i in n]
+        frag(f"{p}_e{k + 1}", (f"{p}_e{k}",), f"SELECT {', '.join(step)} FROM {p}_e{k}")
+    last = len(xs) - 1
+    frag(f"{p}_s{last}", (f"{p}_e{last}",), f"SELECT *, r{last} / a{last}{last} AS c{last} FROM {p}_e{last}")
     for k in reversed(range(last)):
         known = " - ".join([f"r{k}"] + [f"a{k}{j} * c{j}" for j in range(k + 1, last + 1)])
-        frag(f"pl_s{k}", (f"pl_s{k + 1}",), f"SELECT *, ({known}) / a{k}{k} AS c{k} FROM pl_s{k + 1}")
-    frag("pl_month", ("pl_tr", "pl_own", "pl_s0"), "SELECT month, slope, my - slope * mt - " + " - ".join(f"c{i} * m{i}" for i in _I) + """ AS level
-FROM (SELECT *, b - """ + " - ".join(f"c{i} * b{i}" for i in _I) + """ AS slope FROM (SELECT month, avg(y) AS my, avg(t) AS mt, """
-         + ", ".join(f"avg(x{i}) AS m{i}" for i in _I) + " FROM pl_tr GROUP BY month) m JOIN pl_own USING (month), pl_s0) x")
-    # of the slots that say the same twice the smallest coefficients: levels around their mean, slopes around theirs
-    frag("pl_mean", ("pl_month",), "SELECT avg(level) AS level0, sum(slope) / (count(*) + 1) AS slope0 FROM pl_month")
+        frag(f"{p}_s{k}", (f"{p}_s{k + 1}",), f"SELECT *, ({known}) / a{k}{k} AS c{k} FROM {p}_s{k + 1}")
+    frag(f"{p}_level", (f"{p}_tr", f"{p}_own", f"{p}_s0"),
+         f"SELECT {level}, slope, my - slope * mt - " + " - ".join(f"c{i} * m{i}" for i in n) + " AS level FROM (SELECT *, b - "
+         + " - ".join(f"c{i} * b{i}" for i in n) + f" AS slope FROM (SELECT {level}, avg(y) AS my, avg(t) AS mt, "
+         + ", ".join(f"avg(x{i}) AS m{i}" for i in n) + f" FROM {p}_tr GROUP BY {level}) m JOIN {p}_own USING ({level}), {p}_s0) x")
+    return " + ".join(f"c{i} * {c}" for i, c in enumerate(xs))
 
 
-_pooled_fragments()
-POOLED_LINE = "COALESCE(level, level0) + COALESCE(slope, slope0) * tavg_interval_sum + " + " + ".join(
-    f"c{i} * {c}" for i, c in enumerate(_XS))
+_XS = ["prev_pd_kwh", "prev_prev_pd_kwh", "days_passed", "account_id", "avg_kwh"]
+_POOLED_REST = effects("pl", "month", _XS)
+# of the slots that say the same twice the smallest coefficients: levels around their mean, slopes around theirs
+frag("pl_mean", ("pl_level",), "SELECT avg(level) AS level0, sum(slope) / (count(*) + 1) AS slope0 FROM pl_level")
+POOLED_LINE = f"COALESCE(level, level0) + COALESCE(slope, slope0) * tavg_interval_sum + {_POOLED_REST}"
 COEFFICIENTS = " UNION ALL ".join(
     ["SELECT 'intercept' AS feature, level0 AS coefficient FROM pl_mean", "SELECT 'tavg_interval_sum', slope0 FROM pl_mean"]
     + [f"SELECT '{c}', c{i} FROM pl_s0" for i, c in enumerate(_XS)]
-    + ["SELECT 'month=' || month, level - level0 FROM pl_month, pl_mean",
-       "SELECT 'month=' || month || '*tavg_interval_sum', slope - slope0 FROM pl_month, pl_mean"])
+    + ["SELECT 'month=' || month, level - level0 FROM pl_level, pl_mean",
+       "SELECT 'month=' || month || '*tavg_interval_sum', slope - slope0 FROM pl_level, pl_mean"])
+ACCOUNT_LINE = "level + slope * tavg_interval_sum + " + effects("ac", "account_id", [
+    "prev_pd_kwh", "prev_prev_pd_kwh", "days_passed", "tavg_interval_sum_sq", "avg_kwh_for_cust_for_current_month"])
 
 
 # ---------------------------------------------------------------- cross-validation folds of the notebook's train split

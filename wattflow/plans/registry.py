@@ -23,6 +23,7 @@ from wattflow.operators import evaluate as ev
 from wattflow.operators import forecast as fc
 from wattflow.operators import quality as qa
 from wattflow.operators import sampling as smp
+from wattflow.operators import windows
 from wattflow.plans import customers
 from wattflow.plans import load_curves as lc
 from wattflow.plans import models
@@ -30,7 +31,7 @@ from wattflow.plans import matched
 from wattflow.plans import oracle as O
 from wattflow.session import ensure_checkpoint_dir
 from wattflow.sources.fixtures import domain
-from wattflow.sources.sinks import publish_ordered
+from wattflow.sources.sinks import publish_bucketed, publish_ordered
 from wattflow.sources.tables import read_catalog_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +148,27 @@ def q_published_table(spark, sf):
     return spark.read.parquet(path)
 
 
+BUCKETS = 16
+
+
+@query("bucketed_sequence", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, CAST(row_number() OVER (PARTITION BY account_id {O.WINDOW_ORDER}) AS INTEGER) AS invoice_num,
+       lag(kwh) OVER (PARTITION BY account_id {O.WINDOW_ORDER}) AS kwh_lag
+FROM matched1""", "matched1"))
+def q_bucketed_sequence(spark, sf):
+    """The bucketed publish (A6) to the catalog, and account windows over the table."""
+    name = f"matched_{uuid.uuid4().hex}"
+    rows = matched.matched_table_1(domain(spark, sf)).select(*KEY, "todt_month")
+    publish_bucketed(rows, name, "account_id", ["account_id", "to_dt"], "todt_month", BUCKETS,
+                     f"{ensure_checkpoint_dir(spark)}/{name}")
+    return sequence_of(spark.table(name))
+
+
+def sequence_of(table):
+    w = windows.account_window()
+    return table.select(*KEY, F.row_number().over(w).cast("int").alias("invoice_num"), F.lag("kwh").over(w).alias("kwh_lag"))
+
+
 def _cols_query(name: str, cols: list[str], src: str, builder):
     text = O.sql(f"SELECT {', '.join(KEY + cols)} FROM {src}", src)
 
@@ -355,6 +377,37 @@ def q_usage_temp_grid(spark, sf):
                            "tavg_interval_avg", 5, 5)
 
 
+def _auto(i: int, c: str) -> str:
+    span, wide = f"(max({c}) - min({c}))", f"(quantile_disc({c}, 0.75) - quantile_disc({c}, 0.25))"
+    k = (f"CASE WHEN {span} = 0 THEN 1 ELSE least(50, CASE WHEN {wide} = 0 THEN floor(sqrt(count(*))) "
+         f"ELSE ceil({span} / (2 * {wide} / cbrt(count(*)))) END) END")
+    return f"min({c}) AS lo{i}, CAST({k} AS INTEGER) AS k{i}, {span} / ({k}) AS w{i}"
+
+
+def _in_bin(i: int, c: str) -> str:
+    return f"CASE WHEN w{i} = 0 THEN 0 ELSE CAST(least(floor(({c} - lo{i}) / w{i}), k{i} - 1) AS INTEGER) END"
+
+
+_V = """SELECT CAST(avg_kwh_day_over_invoice AS DOUBLE) AS v0, CAST(tavg_interval_avg AS DOUBLE) AS v1
+  FROM matched1 WHERE avg_kwh_day_over_invoice IS NOT NULL"""
+
+
+@query("usage_histogram_auto", O.sql(f"""
+SELECT bin, CAST(lo0 + bin * w0 AS DECIMAL(18,6)) AS from_value, CAST(w0 AS DECIMAL(18,6)) AS width, count(*) AS n
+FROM (SELECT {_in_bin(0, 'v0')} AS bin, lo0, w0 FROM ({_V}) v, (SELECT {_auto(0, 'v0')} FROM ({_V}) v) b) x
+GROUP BY bin, lo0, w0""", "matched1"))
+def q_usage_histogram_auto(spark, sf):
+    return qa.histogram_auto(matched.matched_table_1(domain(spark, sf)), "avg_kwh_day_over_invoice")
+
+
+@query("usage_temp_grid_auto", O.sql(f"""
+SELECT {_in_bin(0, 'v0')} AS bin_x, {_in_bin(1, 'v1')} AS bin_y, count(*) AS n
+FROM (SELECT * FROM ({_V}) z WHERE v1 IS NOT NULL) v,
+  (SELECT {_auto(0, 'v0')}, {_auto(1, 'v1')} FROM ({_V}) z WHERE v1 IS NOT NULL) b GROUP BY 1, 2""", "matched1"))
+def q_usage_temp_grid_auto(spark, sf):
+    return qa.density_grid_auto(matched.matched_table_1(domain(spark, sf)), "avg_kwh_day_over_invoice", "tavg_interval_avg")
+
+
 # ------------------------------------------------------------------ sampling and splits
 def _md5_bucket(seed, cols):
     parts = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
@@ -648,7 +701,7 @@ def q_walk_forward_rf(spark, sf):
 
 @query("pooled_ols", O.sql(f"""
 SELECT account_id, from_dt, to_dt, kwh, 'ols' AS model, CAST({O.POOLED_LINE} AS DECIMAL(18,3)) AS prediction
-FROM cfeat LEFT JOIN pl_month USING (month), pl_mean, pl_s0 WHERE is_eval""", "cfeat", "pl_month", "pl_mean", "pl_s0"))
+FROM cfeat LEFT JOIN pl_level USING (month), pl_mean, pl_s0 WHERE is_eval""", "cfeat", "pl_level", "pl_mean", "pl_s0"))
 def q_pooled_ols(spark, sf):
     return models.pooled(customers.features(domain(spark, sf)), ["ols"]).withColumn(
         "prediction", F.col("prediction").cast("decimal(18,3)"))
@@ -702,9 +755,12 @@ def q_interaction_pairs(spark, sf):
     return models.interaction_pairs(customers.features(domain(spark, sf)))
 
 
-@query("account_effects")
+@query("account_effects", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh, 'account_effects' AS model, CAST({O.ACCOUNT_LINE} AS DECIMAL(18,3)) AS prediction
+FROM cfeat JOIN ac_level USING (account_id), ac_s0 WHERE is_eval""", "cfeat", "ac_level", "ac_s0"))
 def q_account_effects(spark, sf):
-    return fc.account_effects(customers.features(domain(spark, sf)))
+    return fc.account_effects(customers.features(domain(spark, sf))).withColumn(
+        "prediction", F.col("prediction").cast("decimal(18,3)"))
 
 
 @query("temp_ablation_rf")
@@ -713,7 +769,7 @@ def q_temp_ablation_rf(spark, sf):
 
 
 @query("coefficients", O.sql(f"""
-SELECT feature, CAST(coefficient AS DECIMAL(18,6)) AS coefficient FROM ({O.COEFFICIENTS}) x""", "pl_month", "pl_mean", "pl_s0"))
+SELECT feature, CAST(coefficient AS DECIMAL(18,6)) AS coefficient FROM ({O.COEFFICIENTS}) x""", "pl_level", "pl_mean", "pl_s0"))
 def q_coefficients(spark, sf):
     return fc.coefficient_table(customers.features(domain(spark, sf))).withColumn(
         "coefficient", F.col("coefficient").cast("decimal(18,6)"))
