@@ -59,6 +59,7 @@ class Forest:
     trees: int = FOREST_TREES
     max_depth: int | None = None
     seed: int = 42
+    bootstrap: bool = True
 
 
 def algorithm_registry(label: str = "kwh", trees: int = FOREST_TREES, max_depth: int | None = None) -> dict:
@@ -122,7 +123,7 @@ def _pooled_forest(train: DataFrame, test: DataFrame, spec: FeatureSpec, est: Fo
         F.lit(0).alias("grp"), F.xxhash64(*TEST_KEY).alias("rid"), vector_to_array("features").alias("fx"),
         F.col(spec.label).alias("y"), *TEST_KEY)
     return forest_predictions(inputs(train).drop(*(set(TEST_KEY) - {"y"})), inputs(test), TEST_KEY, est.trees, est.seed,
-                              max_depth=est.max_depth)
+                              est.bootstrap, est.max_depth)
 
 
 def coefficient_table(features: DataFrame, spec: FeatureSpec = POOLED_SPEC) -> DataFrame:
@@ -268,7 +269,8 @@ def walk_forward_ols(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share:
 
 
 def walk_forward_forest(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share: float = 0.8,
-                        trees: int = FOREST_TREES, max_depth: int | None = None, seed: int = 42) -> DataFrame:
+                        trees: int = FOREST_TREES, max_depth: int | None = None, seed: int = 42,
+                        bootstrap: bool = True) -> DataFrame:
     """Walk-forward forest: for every account and fold one forest on the account's rows before the test row.
 
     A test row that has none before it, or a null input, gets a null
@@ -289,7 +291,7 @@ def walk_forward_forest(features: DataFrame, spec: FeatureSpec = WALK_SPEC, shar
     train = rows.withColumn("fold", F.explode(later)).select(group, F.xxhash64(*TEST_KEY, "fold").alias("rid"), "fx", "y")
     tests = rows.filter(F.col("_at") > F.col("_init")).withColumn("fold", F.col("_at") - F.col("_init") - 1)
     keep = [*TEST_KEY, "fold"]
-    got = forest_predictions(train, tests.select(group, "fx", *keep), keep, trees, seed, max_depth=max_depth)
+    got = forest_predictions(train, tests.select(group, "fx", *keep), keep, trees, seed, bootstrap, max_depth)
     return (tests.select(*keep).join(got.drop("n_trees"), keep, "left")
             .select(*TEST_KEY, "fold", F.lit("rf").alias("model"), "prediction"))
 

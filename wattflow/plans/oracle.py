@@ -461,3 +461,50 @@ frag("cvr", ("clean1",), f"""
 SELECT CAST({_BUCKET.format(seed=30)} % 5 AS INTEGER) AS fold, CAST(COALESCE(tavg_interval_avg, 0) AS DOUBLE) AS x,
        CAST(COALESCE(avg_kwh_day_over_invoice, 0) AS DOUBLE) AS y
 FROM clean1 WHERE {_BUCKET.format(seed=42)} % 1000 < 666""")
+
+
+# ---------------------------------------------------------------- one full regression tree per group
+def trees(rows: str, n_features: int, keep: str, *names: str) -> str:
+    """Leaf mean of every test row: ``rows`` has (g, test, y, x, keep...), x a list of doubles.
+
+    A node is split at the threshold of largest SL * SL / NL + SR * SR / NR, ties to the first
+    feature, then to the smallest threshold; a node of one target or of equal inputs is a leaf.
+    """
+    node = "g, node"
+    return sql("", *names).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+rows_ AS ({rows}),
+tree(it, g, test, y, x, {keep}, node) AS (
+  SELECT 0, g, test, y, x, {keep}, '' FROM rows_
+  UNION ALL
+  SELECT it + 1, t.g, test, y, x, {keep}, t.node || CASE WHEN x[b.b.f] <= b.b.cut THEN '0' ELSE '1' END
+  FROM tree t JOIN (
+    SELECT {node}, arg_min({{'f': f, 'cut': (v + nv) / 2}}, {{'s': -(ly * ly / lw + (sy - ly) * (sy - ly) / (sw - lw)), 'f': f, 'v': v}}) AS b
+    FROM (SELECT {node}, f, v, sum(w) OVER up AS lw, sum(wy) OVER up AS ly, lead(v) OVER up AS nv,
+                 sum(w) OVER (PARTITION BY {node}, f) AS sw, sum(wy) OVER (PARTITION BY {node}, f) AS sy
+          FROM (SELECT {node}, f, x[f] AS v, CAST(count(*) AS DOUBLE) AS w, CAST(sum(y) AS DOUBLE) AS wy
+                FROM tree, (SELECT CAST(range + 1 AS INTEGER) AS f FROM range({n_features})) WHERE NOT test GROUP BY {node}, f, x[f]) c
+          WINDOW up AS (PARTITION BY {node}, f ORDER BY v)) r
+    WHERE nv IS NOT NULL AND (g, node) IN (SELECT (g, node) FROM tree WHERE NOT test GROUP BY {node} HAVING min(y) < max(y))
+    GROUP BY {node}) b ON b.g = t.g AND b.node = t.node),
+leaf AS (SELECT g, node, avg(y) AS mean FROM tree WHERE NOT test GROUP BY g, node)
+SELECT {keep}, CAST(mean AS DECIMAL(18,6)) AS prediction FROM (
+  SELECT *, max(it) OVER (PARTITION BY g, {keep}) AS last FROM tree WHERE test) t JOIN leaf USING (g, node) WHERE it = last"""
+
+
+_WALK_X = "[" + ", ".join([f"CAST({c} AS DOUBLE)" for c in ("tavg_interval_sum", "prev_pd_kwh", "prev_prev_pd_kwh", "days_passed")]
+                         + [f"CAST(month = {m} AS INTEGER)::DOUBLE" for m in range(1, 13)]) + "]"
+WALK_TREE = trees(f"""
+  SELECT a.account_id || ':' || (t.row_idx - t.init) AS g, a.row_idx = t.row_idx AS test, a.kwh AS y, {_WALK_X.replace("CAST(", "CAST(a.").replace("CAST(a.month", "CAST(a.month")} AS x,
+         a.account_id, a.from_dt, a.to_dt, a.kwh, CAST(t.row_idx - t.init - 1 AS INTEGER) AS fold
+  FROM cfeat a JOIN (SELECT account_id, row_idx, CAST(floor(n_rows * 0.8) AS INTEGER) AS init FROM cfeat) t
+    ON a.account_id = t.account_id AND a.row_idx <= t.row_idx AND t.row_idx > t.init""", 16, "account_id, from_dt, to_dt, kwh, fold", "cfeat")
+
+# months in the order of their text, as the encoder numbers its levels
+_LEVELS = sorted(range(1, 13), key=str)
+_SEEN = "(month IN (SELECT month FROM train_months))"
+_POOLED_X = "[" + ", ".join(
+    [f"CAST({c} AS DOUBLE)" for c in ("tavg_interval_sum", "prev_pd_kwh", "prev_prev_pd_kwh", "days_passed", "account_id", "avg_kwh")]
+    + [f"CAST(month = {m} AND {_SEEN} AS INTEGER)::DOUBLE" for m in _LEVELS] + [f"CAST(NOT {_SEEN} AS INTEGER)::DOUBLE"]
+    + [f"CASE WHEN month = {m} AND {_SEEN} THEN CAST(tavg_interval_sum AS DOUBLE) ELSE 0 END" for m in _LEVELS]) + "]"
+POOLED_TREE = trees(f"SELECT 0 AS g, is_eval AS test, kwh AS y, {_POOLED_X} AS x, account_id, from_dt, to_dt, kwh FROM cfeat",
+                    31, "account_id, from_dt, to_dt, kwh", "cfeat", "train_months")

@@ -699,6 +699,21 @@ def q_walk_forward_rf(spark, sf):
     return fc.walk_forward_forest(customers.features(domain(spark, sf)))
 
 
+@query("walk_forward_tree", O.WALK_TREE)
+def q_walk_forward_tree(spark, sf):
+    """One full tree without bootstrap for every account and fold: what each tree of the forest is, with an exact oracle."""
+    got = fc.walk_forward_forest(customers.features(domain(spark, sf)), trees=1, bootstrap=False)
+    return (got.where(F.col("prediction").isNotNull())
+            .select(*KEY, "fold", F.col("prediction").cast("decimal(18,6)").alias("prediction")))
+
+
+@query("pooled_tree", O.POOLED_TREE)
+def q_pooled_tree(spark, sf):
+    """One full tree without bootstrap over all accounts."""
+    got = fc.pooled_forecast(customers.features(domain(spark, sf)), fc.POOLED_SPEC, {"tree": fc.Forest(1, bootstrap=False)})
+    return got.select(*KEY, F.col("prediction").cast("decimal(18,6)").alias("prediction"))
+
+
 @query("pooled_ols", O.sql(f"""
 SELECT account_id, from_dt, to_dt, kwh, 'ols' AS model, CAST({O.POOLED_LINE} AS DECIMAL(18,3)) AS prediction
 FROM cfeat LEFT JOIN pl_level USING (month), pl_mean, pl_s0 WHERE is_eval""", "cfeat", "pl_level", "pl_mean", "pl_s0"))
