@@ -37,9 +37,10 @@ HEADLINE = [
     "errors_pooled",          # naive-forecast error tables
     "load_shares",            # pivot of the largest table
     "nearest_centroid",       # account curves to seeded centroids
-    "pooled_ols",             # pyspark.ml pipeline fit + predict
-    "pooled_rf",              # pooled forest
-    "walk_forward_rf",        # one forest per calendar month
+    "kmeans_sweep",           # ten starts of each k, one scan an iteration
+    "pooled_ols",             # exact sums in one scan + one small solve
+    "pooled_rf",              # 150 full trees over all accounts
+    "walk_forward_rf",        # 150 full trees for every account and fold
 ]
 
 

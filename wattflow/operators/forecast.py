@@ -282,9 +282,9 @@ def walk_forward_forest(features: DataFrame, spec: FeatureSpec = WALK_SPEC, shar
         raise ValueError("walk-forward inputs are numbers and the month category")
     months = [(F.col("month") == m).cast("double") for m in MONTHS] if spec.categorical else []
     init = F.floor(F.col("n_rows") * F.lit(share)).cast("int")
-    rows = features.select(
+    rows = _written(features.select(
         *TEST_KEY, F.array(*[F.col(c).cast("double") for c in spec.numeric], *months).alias("fx"),
-        F.col(spec.label).alias("y"), F.col("row_idx").cast("int").alias("_at"), init.alias("_init"), F.col("n_rows").cast("int").alias("_n"))
+        F.col(spec.label).alias("y"), F.col("row_idx").cast("int").alias("_at"), init.alias("_init"), F.col("n_rows").cast("int").alias("_n")))
     first = F.greatest(F.col("_at") - F.col("_init"), F.lit(0))
     later = F.when(first < F.col("_n") - F.col("_init"), F.sequence(first, F.col("_n") - F.col("_init") - 1))
     group = F.concat_ws(":", "account_id", "fold").alias("grp")
@@ -386,7 +386,7 @@ def notebook_forests(split_rows: DataFrame, counts: list[int], max_depth: int |
 
     One forest of the largest count is grown; a smaller one is its first trees.
     """
-    rows = _notebook_rows(split_rows).withColumn("grp", F.lit(0))
+    rows = _written(_notebook_rows(split_rows)).withColumn("grp", F.lit(0))
     keep = [*TEST_KEY, "actual"]
     got = forest_predictions(rows.where("split = 'train'"), rows.where("split = 'test'"), keep, counts, seed, max_depth=max_depth)
     return got.withColumn("prediction", F.col("prediction") / CENTS)
@@ -415,7 +415,7 @@ def grid_search(split_rows: DataFrame, counts: list[int] = FOREST_GRID, folds: i
 
     One forest per fold, grown without the fold's rows, answers for all sizes.
     """
-    rows = _notebook_rows(split_rows.where("split = 'train'")).withColumn("fold", fold_of(folds, seed))
+    rows = _written(_notebook_rows(split_rows.where("split = 'train'"))).withColumn("fold", fold_of(folds, seed))
     others = F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold"))
     train = rows.withColumn("grp", F.explode(others)).withColumn("rid", F.xxhash64("rid", "grp"))
     keep = [*TEST_KEY, "fold", "actual"]

@@ -42,10 +42,11 @@ from wattflow.session import ensure_checkpoint_dir
 
 SMALL_ROWS = 2_000
 WHOLE_ROWS = 500_000
-TREES_PER_TASK = 10
+TREES_PER_TASK = 5
 # (row, tree) pairs that a task is given of small groups, and grows at a time.
 BUNDLE = 2_000_000
 STRIP = 400_000
+MOST_TASKS = 20_000
 
 _NODE = ["grp", "tree", "node"]
 
@@ -278,6 +279,10 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
     small = marked(train).filter(F.col("n").isNull())
     bundles = max(1, math.ceil(small.count() * total / BUNDLE))
     step = math.gcd(*marks, TREES_PER_TASK)
+    # tasks: four times the units, so that few of the long ones share a task, and never fewer for being small in bytes
+    sums = large.agg(F.count_if(F.col("n") <= whole_rows), F.sum(F.when(F.col("n") > whole_rows, F.col("n")))).first()
+    units = bundles + sums[0] * (total // step) + (sums[1] or 0) * total * 2 // whole_rows
+    tasks = int(min(MOST_TASKS, max(8, 4 * units)))
     batches = F.sequence(F.lit(0), F.lit(total - 1), F.lit(step))
     columns = ["bundle", "unit", "first", "trees"]
     text = lambda *cols: F.concat_ws(":", *[F.col(c).cast("string") for c in cols])
@@ -310,7 +315,7 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
     out = T.StructType([*[f for f in tests.select(*keep).schema.fields], T.StructField("first", T.IntegerType()),
                         T.StructField("total", T.DoubleType())])
     # names of their own, as both sides may come from one table
-    a, b = (side.select(*[F.col(c).alias(c) for c in [*columns, *cs]]) for side, cs in ((a, ["rid", "fx", "y", "w"]), (b, ["fx", *keep])))
+    a, b = (side.select(*[F.col(c).alias(c) for c in [*columns, *cs]]).repartition(tasks, "bundle") for side, cs in ((a, ["rid", "fx", "y", "w"]), (b, ["fx", *keep])))
     parts = (a.groupBy("bundle").cogroup(b.groupBy("bundle"))
              .applyInPandas(_finish(marks, seed, bootstrap, max_depth, keep), out))
     if closed is not None:

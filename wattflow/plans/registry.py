@@ -426,6 +426,14 @@ def q_hash_split(spark, sf):
 SAMPLE_N = 100
 
 
+@query("shuffled_head", O.sql(f"""
+SELECT account_id, from_dt, to_dt, kwh FROM clean1
+ORDER BY md5('7:' || {" || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in KEY)}), account_id, from_dt, to_dt, kwh LIMIT {SAMPLE_N}""", "clean1"))
+def q_shuffled_head(spark, sf):
+    """The first rows of the shuffled table, as the notebook looks at them."""
+    return smp.shuffle_rows(clean_rows_1(domain(spark, sf)).select(*KEY), 7, KEY).limit(SAMPLE_N)
+
+
 @query("sample_accounts", O.sql(f"""
 SELECT account_id FROM (SELECT DISTINCT account_id FROM crows) x
 ORDER BY md5('42:' || CAST(account_id AS VARCHAR)) LIMIT {SAMPLE_N}""", "crows"))
