@@ -11,6 +11,7 @@ texts scans nothing, and a changed rule rescans with that rule alone.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ class Rule:
 
     @property
     def version(self) -> str:
-        return f"{self.kind}/{self.pattern}/{self.group}/{self.least}"
+        """A short name that changes with the rule; every row of the ledger carries it."""
+        return f"{self.kind}-{md5(f'{self.pattern}/{self.group}/{self.least}'.encode()).hexdigest()[:12]}"
 
 
 # Fixed patterns, in the order that breaks ties of start.
