@@ -31,6 +31,8 @@ def table(rng, groups, n, f=4, tests=3):
     for g in range(groups):
         x = rng.integers(0, 9, (n, f)).astype(float)
         x[:, 0] = rng.normal(size=n).round(3)
+        x[:, 2] = np.where(x[:, 2] < 7, 0, x[:, 2] - 8)  # mostly 0, else below it or 0
+        x[:, 3] = np.where(x[:, 3] < 6, 0, x[:, 3])
         y = rng.integers(0, 40, n)
         train += [(g, int(rng.integers(1 << 62)), x[i].tolist(), int(y[i])) for i in range(n)]
         test += [(g, i, rng.integers(0, 9, f).astype(float).tolist()) for i in range(tests)]

@@ -46,6 +46,8 @@ TREES_PER_TASK = 5
 # (row, tree) pairs that a task is given of small groups, and grows at a time.
 BUNDLE = 2_000_000
 STRIP = 400_000
+# A feature with fewer values than this share that are not 0 is scanned by those alone.
+SPARSE = 0.3
 MOST_TASKS = 20_000
 
 _NODE = ["grp", "tree", "node"]
@@ -70,6 +72,26 @@ def bag_weights(rid: np.ndarray, tree: np.ndarray, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, (z >> np.uint64(11)) * 2.0 ** -53, side="right").astype(float)
 
 
+def _entries(x: np.ndarray, o: np.ndarray, sparse: bool, row, node, w, wy, sw, sy):
+    """(node, value, weight, weighted target) of a feature's instances, by node and value in it.
+
+    Of a sparse feature ``o`` has the instances that are not 0; those that are
+    stand in each node as one entry, which has what the others leave of its sums
+    (a node of zeros alone has no entry, as the feature cannot split it).
+    """
+    v, s, ew, ey = x[row[o]], node[o], w[o], wy[o]
+    if sparse and len(s):
+        begin = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1]
+        there = s[begin]
+        zero_w, zero_y = sw[there] - np.add.reduceat(ew, begin), sy[there] - np.add.reduceat(ey, begin)
+        at = begin + np.add.reduceat((v < 0).astype(np.int64), begin)
+        some = zero_w > 0
+        at, there = at[some], there[some]
+        v, s = np.insert(v, at, 0.0), np.insert(s, at, there)
+        ew, ey = np.insert(ew, at, zero_w[some]), np.insert(ey, at, zero_y[some])
+    return s, v, ew, ey
+
+
 def grow(x: np.ndarray, y: np.ndarray, row: np.ndarray, node: np.ndarray, w: np.ndarray,
          tx: np.ndarray, trow: np.ndarray, tnode: np.ndarray, max_depth: int | None = None) -> np.ndarray:
     """The leaf mean of every test instance, after growing all trees a level at a time.
@@ -82,17 +104,22 @@ def grow(x: np.ndarray, y: np.ndarray, row: np.ndarray, node: np.ndarray, w: np.
     names, node = np.unique(node, return_inverse=True)
     at = np.searchsorted(names, tnode).clip(max=max(len(names) - 1, 0))
     test = np.flatnonzero(names[at] == tnode) if len(names) else np.zeros(0, np.int64)
-    tnode = at
+    tnode, node = at, node.astype(np.int32)
     target, wy = y[row], w * y[row]
     live = [j for j in range(x.shape[1]) if len(x) and x[:, j].min() < x[:, j].max()]
+    column = {j: np.ascontiguousarray(x[:, j]) for j in live}
+    sparse = {j for j in live if np.count_nonzero(column[j]) < SPARSE * len(x)}
     # the instances by node, and by value in each node, for every feature that varies
-    orders = {j: np.lexsort((x[row, j], node)) for j in live}
-    some = np.argsort(node, kind="stable")
+    orders = {}
+    for j in live:
+        o = np.flatnonzero(column[j][row]) if j in sparse else np.arange(len(row))
+        orders[j] = o[np.lexsort((column[j][row[o]], node[o]))].astype(np.int32)
+    some = np.argsort(node, kind="stable").astype(np.int32)
+    row = row.astype(np.int32)
     k, depth = len(names), 0
     while k and len(test):
         counts = np.bincount(node[some], minlength=k)
         starts = np.cumsum(counts) - counts
-        seg = np.repeat(np.arange(k), counts)
         sw, sy = np.add.reduceat(w[some], starts), np.add.reduceat(wy[some], starts)
         own = target[some]
         impure = np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts)
@@ -100,15 +127,19 @@ def grow(x: np.ndarray, y: np.ndarray, row: np.ndarray, node: np.ndarray, w: np.
             impure[:] = False
         best, feature, cut = np.full(k, -np.inf), np.full(k, -1), np.zeros(k)
         for j in live if impure.any() else ():
-            o = orders[j]
-            v = x[row[o], j]
-            i = np.flatnonzero((seg[1:] == seg[:-1]) & (v[:-1] < v[1:]) & impure[seg[:-1]])
+            seg, v, ew, ey = _entries(column[j], orders[j], j in sparse, row, node, w, wy, sw, sy)
+            if not len(seg):
+                continue
+            same = seg[1:] == seg[:-1]
+            i = np.flatnonzero(same & (v[:-1] < v[1:]) & impure[seg[:-1]])
             if not len(i):
                 continue
-            cw, cy = np.cumsum(w[o]), np.cumsum(wy[o])
+            cw, cy = np.cumsum(ew), np.cumsum(ey)
+            begin = np.r_[0, np.flatnonzero(~same) + 1]
+            before_w, before_y = np.zeros(k), np.zeros(k)
+            before_w[seg[begin]], before_y[seg[begin]] = cw[begin] - ew[begin], cy[begin] - ey[begin]
             s = seg[i]
-            lw = cw[i] - (cw[starts] - w[o[starts]])[s]
-            ly = cy[i] - (cy[starts] - wy[o[starts]])[s]
+            lw, ly = cw[i] - before_w[s], cy[i] - before_y[s]
             rw, ry = sw[s] - lw, sy[s] - ly
             score = ly * ly / lw + ry * ry / rw
             first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -124,35 +155,34 @@ def grow(x: np.ndarray, y: np.ndarray, row: np.ndarray, node: np.ndarray, w: np.
         done = ~splits[there]
         out[test[done]] = (sy / sw)[there[done]]
         test, there = test[~done], there[~done]
-        number = np.cumsum(splits) - 1
+        number = (np.cumsum(splits) - 1).astype(np.int32)
         tnode[test] = 2 * number[there] + (tx[trow[test], feature[there]] > cut[there])
-        # the two parts of each split node, in the same order as before
-        kept = splits[seg]
-        right = np.zeros(len(row), bool)
-        inst = some[kept]
-        right[inst] = x[row[inst], feature[node[inst]]] > cut[node[inst]]
-        node[inst] = 2 * number[node[inst]] + right[inst]
+        # every feature's instances in the split nodes, and then the two parts of each, in the same order as before
+        orders = {j: o[splits[node[o]]] for j, o in orders.items()}
+        some = some[splits[node[some]]]
+        old = node[some]
+        node[some] = 2 * number[old] + (x[row[some], feature[old]] > cut[old])
         k, depth = 2 * int(splits.sum()), depth + 1
-        sizes = np.bincount(node[inst], minlength=k)
-        begin = np.cumsum(sizes) - sizes
-
-        def parted(o: np.ndarray) -> np.ndarray:
-            o = o[kept]
-            r, n = right[o], node[o]
-            rights = np.cumsum(r)
-            # rank among the rows of the same side of the same split
-            before = np.repeat(np.r_[0, rights][begin[::2]], sizes[::2] + sizes[1::2])
-            since = np.arange(len(o)) - np.repeat(begin[::2], sizes[::2] + sizes[1::2])
-            rank = np.where(r, rights - 1 - before, since - (rights - before))
-            moved = np.empty_like(o)
-            moved[begin[n] + rank] = o
-            return moved
         if k:
-            some = parted(some)
-            orders = {j: parted(o) for j, o in orders.items()}
+            some = _parted(some, node, k)
+            orders = {j: _parted(o, node, k) for j, o in orders.items()}
     return out
 
 
+def _parted(o: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+    """Instances in the order of split nodes, now by part (2n or 2n + 1) of each, otherwise in the same order."""
+    n = node[o]
+    size = np.bincount(n, minlength=k)
+    begin, both = np.cumsum(size) - size, size[::2] + size[1::2]
+    right = (n & 1).astype(bool)
+    rights = np.cumsum(right)
+    before = np.repeat(np.r_[0, rights][begin[::2]], both)
+    since = np.arange(len(o)) - np.repeat(begin[::2], both)
+    moved = np.empty_like(o)
+    moved[begin[n] + np.where(right, rights - 1 - before, since - (rights - before))] = o
+    return moved
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for each range in turn."""
     ends = np.cumsum(size)
