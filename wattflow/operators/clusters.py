@@ -38,6 +38,7 @@ KMEANS_N_INIT = 10
 KMEANS_K_MAX = 5
 KMEANS_K_FINAL = 4
 UNIT = 10 ** 8  # of a curve's shares, in K-means
+POINTS = 200_000  # curves of a task in K-means
 
 
 def load_pivot(points: DataFrame, entity: str, month: str = "month", value: str = "value",
@@ -110,11 +111,13 @@ Sets = dict[tuple[int, int], list[list[int]]]  # centres of every (k, start)
 
 
 def curve_points(shares: DataFrame, entity: str) -> DataFrame:
-    """(entity, p) of the complete curves, in units, written once for all scans of a fit."""
+    """(entity, p) of the complete curves, in units, written once for all scans of a fit; as many
+    partitions as the curves ask for, as each makes a row for every centre and scan."""
     ensure_checkpoint_dir(shares.sparkSession)
-    return (shares.na.drop(subset=SHARE_COLS)
-            .select(F.col(entity).alias("entity"), F.array(*[F.round(F.col(c) * UNIT).cast("long") for c in SHARE_COLS]).alias("p"))
-            .checkpoint(eager=True))
+    points = (shares.na.drop(subset=SHARE_COLS)
+              .select(F.col(entity).alias("entity"), F.array(*[F.round(F.col(c) * UNIT).cast("long") for c in SHARE_COLS]).alias("p"))
+              .checkpoint(eager=True))
+    return points.repartition(max(1, -(-points.count() // POINTS))).checkpoint(eager=True)
 
 
 def _distances(points: np.ndarray, centres: list[list[int]]) -> np.ndarray:
@@ -139,22 +142,25 @@ def seed_sets(points: DataFrame, k: int, n_init: int, seed: int) -> dict[int, li
     entity = points.schema["entity"].dataType.simpleString()
     for step in range(k):
         def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: dict[int, tuple] = {}
             for pdf in batches:
                 if not len(pdf):
                     continue
                 p, h = np.stack(pdf["p"].to_list()), np.stack(pdf["h"].to_list())
-                names, out = pdf["entity"].to_numpy(), []
+                names = pdf["entity"].to_numpy()
                 for s, centres in chosen.items():
                     race = np.full(len(p), np.inf)
                     if centres:
                         d = _distances(p, centres).min(1)
                         race[d > 0] = -np.log((h[d > 0, s] + 0.5) / 2 ** 32) / d[d > 0]
                     i = np.lexsort((names, h[:, s], race) if np.isinf(race).all() else (names, race))[0]
-                    out.append((s, race[i], int(h[i, s]) if np.isinf(race[i]) else 0, names[i], p[i]))
-                yield pd.DataFrame(out, columns=["start", "race", "h", "entity", "p"])
+                    new = (race[i], int(h[i, s]) if np.isinf(race[i]) else 0, names[i], p[i])
+                    if s not in best or new[:3] < best[s][:3]:
+                        best[s] = new
+            yield pd.DataFrame([(s, *b) for s, b in best.items()], columns=["start", "race", "h", "entity", "p"])
         hashes = F.array(*[_hashed(seed, s, step) for s in range(n_init)]).alias("h")
         best = (points.select("entity", "p", hashes)
-                .mapInPandas(draw, f"start int, race double, h long, entity {entity}, p array<long>")
+                .mapInPandas(draw, f"start int, race double, h long, entity {entity}, p array<long>").repartition(1)
                 .groupBy("start").agg(F.min_by("p", F.struct("race", "h", "entity")).alias("p")))
         for r in best.collect():  # one row a start
             chosen[r.start].append(list(r.p))
@@ -162,25 +168,32 @@ def seed_sets(points: DataFrame, k: int, n_init: int, seed: int) -> dict[int, li
 
 
 def _scan(points: DataFrame, sets: Sets, cost: bool) -> list:
-    """One scan for all sets: per (k, start, cluster) the number of curves and their sums, or their cost."""
+    """One scan for all sets: per (k, start, cluster) the number of curves and their sums, or their cost.
+
+    A task gives one row for every centre, so few that one task can add them up.
+    """
     names = list(sets)
     sums = [f"s{m}" for m in MONTHS]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = {(i, c): [0, 0, 0, np.zeros(12, np.int64)] for i, name in enumerate(names) for c in range(len(sets[name]))}
         for pdf in batches:
-            p, out = np.stack(pdf["p"].to_list()) if len(pdf) else np.zeros((0, 12), np.int64), []
+            p = np.stack(pdf["p"].to_list()) if len(pdf) else np.zeros((0, 12), np.int64)
             for i, name in enumerate(names):
                 d = _distances(p, sets[name])
                 label = d.argmin(1)  # ties to the smaller cluster
                 for c in np.unique(label):
-                    mine = label == c
+                    mine, total = label == c, totals[i, int(c)]
                     least = d[mine, c] if cost else np.zeros(1, np.int64)
+                    total[0] += int(mine.sum())
                     # in two parts, as the sum may pass 64 bits
-                    out.append((i, int(c), int(mine.sum()), int((least >> 32).sum()), int((least & 0xFFFFFFFF).sum()),
-                                *p[mine].sum(0).tolist()))
-            yield pd.DataFrame(out, columns=["set", "cluster", "n", "high", "low", *sums])
+                    total[1] += int((least >> 32).sum())
+                    total[2] += int((least & 0xFFFFFFFF).sum())
+                    total[3] += p[mine].sum(0)
+        out = [(*key, n, high, low, *total.tolist()) for key, (n, high, low, total) in totals.items() if n]
+        yield pd.DataFrame(out, columns=["set", "cluster", "n", "high", "low", *sums])
     fields = ", ".join(f"{c} long" for c in ["n", "high", "low", *sums])
-    rows = points.select("p").mapInPandas(partial, f"set int, cluster int, {fields}").groupBy("set", "cluster").agg(
+    rows = points.select("p").mapInPandas(partial, f"set int, cluster int, {fields}").repartition(1).groupBy("set", "cluster").agg(
         *[F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in ["n", "high", "low", *sums]]).collect()
     return [(names[r["set"]], r["cluster"], int(r["n"]), [int(r[c]) for c in sums], (int(r["high"]) << 32) + int(r["low"]))
             for r in rows]
