@@ -55,9 +55,9 @@ def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf("array<string>")
     def different(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted(set(terms_of(t))))
-    rows = items.select(F.col(id_col).alias("item_id"), different(F.col(text_col)).alias("terms"))
-    return (rows.groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
-            .filter(F.size("terms") > 0))
+    # each term once before an item's are brought together, however many rows have its id
+    rows = items.select(F.col(id_col).alias("item_id"), F.explode(different(F.col(text_col))).alias("term")).distinct()
+    return rows.groupBy("item_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 
 def _empty_block() -> tuple:
