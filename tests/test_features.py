@@ -149,3 +149,19 @@ def test_bins_from_the_data(spark):
     tied = spark.createDataFrame([(4.0,)] * 8 + [(5.0,)], "x double")
     assert [(r.bin, r.n) for r in sorted(qa.histogram_auto(tied, "x").collect())] == [(0, 8), (2, 1)]
     assert qa.histogram_auto(one.limit(0), "x").collect() == []
+
+
+def test_chunked_plans_ask_for_no_broadcast(spark):
+    from wattflow.operators import prefix
+    # with many keys above the bound their quantiles and summaries are as large as the rows
+    rows = spark.range(60).select((F.col("id") % 20).alias("k"), F.col("id").alias("at"), F.col("id").alias("v"))
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        scan = prefix.ordered_scan(rows, ["k"], ["at"], sums={"v": F.col("v")}, lags=["v"], firsts=["at"], chunked=True, chunks=4)
+        plan = scan._jdf.queryExecution().toString()
+        got = {(r.k, r.at): (r._rn, r._n, r._before_v, r._lag1_v, r._first_at) for r in scan.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert "roadcast" not in plan
+    assert got == {(i % 20, i): (i // 20 + 1, 3, sum(range(i % 20, i, 20)), i - 20 if i >= 20 else None, i % 20) for i in range(60)}

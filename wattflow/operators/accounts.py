@@ -121,12 +121,12 @@ def account_features(rows: DataFrame, cutoff: dt.date, scope: str = "train", chu
     ``scope="train"`` computes the customer and same-month means over the
     training rows only (all but the last); ``scope="all"`` reproduces the
     older variant that averages over all complete rows (T15, D12).
-    ``chunked`` is for the few accounts above the row bound: their rows are
-    never brought together, and their per-account values are broadcast.
+    ``chunked`` is for the accounts above the row bound: their windows run over
+    chunks, and their per-account values are joined back.
     """
     if scope not in ("train", "all"):
         raise ValueError(f"scope must be 'train' or 'all', not {scope!r}")
-    base = (eligible_rows(rows, F.broadcast(eligibility(rows, cutoff))) if chunked
+    base = (eligible_rows(rows, eligibility(rows, cutoff)) if chunked
             else _eligible_in_place(rows, cutoff))
     tavg = F.col("tavg_interval_sum")
     kwh = F.col("kwh")
@@ -149,12 +149,11 @@ def account_features(rows: DataFrame, cutoff: dt.date, scope: str = "train", chu
         (F.col("_n") - LAG_ROWS).cast("int").alias("n_rows"),
         (F.col("_rn") == F.col("_n")).alias("is_eval"), *[c for c in kept.columns if c in ("avg_kwh", "_m")])
     train_kwh = F.when(~F.col("is_eval"), kwh)
-    if chunked:  # grouped means joined back by broadcast
+    if chunked:  # grouped means joined back
         of_account, of_month, value = (x, x, train_kwh) if scope == "train" else (base, kept, kwh)
         acc_mean = of_account.groupBy("account_id").agg(mean4(F.sum(value), F.count(value)).alias("avg_kwh"))
         mon_mean = of_month.groupBy("account_id", "month").agg(mean4(F.sum(value), F.count(value)).alias("_m"))
-        x = (x.join(F.broadcast(acc_mean), "account_id")
-             .join(F.broadcast(mon_mean), ["account_id", "month"], "left"))
+        x = x.join(acc_mean, "account_id").join(mon_mean, ["account_id", "month"], "left")
     elif scope == "train":
         x = x.select("*", exact_mean4(train_kwh, _whole("account_id")).alias("avg_kwh"),
                      exact_mean4(train_kwh, _whole("account_id", "month")).alias("_m"))

@@ -10,9 +10,12 @@ per-chunk summary:
 * lag 1 / lag 2 across a chunk edge = the previous chunks' last rows,
 * first value of the key = first row of its first chunk.
 
-It is meant for the few keys above a row bound (``plans.by_size``): their
-quantiles and summaries (at most CHUNKS rows a key) are broadcast, so their
-rows are never brought together by key.  Rows that the order does not tell
+It is meant for the keys above a row bound (``plans.by_size``).  Their quantiles
+and summaries (at most CHUNKS rows a key) meet the rows in ordinary joins, so
+that any number of keys may be above the bound: adaptive execution broadcasts
+them where they are small and splits the partition of a very large key where
+they are not.  What follows such a join is dealt anew by (key, chunk), so that
+the windows never run over a whole key.  Rows that the order does not tell
 apart may fall into neighbouring chunks, as in a plain window they may stand in
 any order; where they fall is a hash of the row, the same in every scan.  Sums
 are exact as long as their expressions are integers or decimals.
@@ -39,12 +42,14 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int =
     place = F.struct(*order, row.alias("_row"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     chosen = F.pmod(F.xxhash64(row, F.lit("cut")), F.lit(1 << 30)) / F.lit(1 << 30) < F.lit(SAMPLED_PER_CUT * chunks) / F.col("_size")
-    sample = (df.join(F.broadcast(sizes), keys).where(chosen).groupBy(*keys)
-              .agg(F.sort_array(F.collect_list(place)).alias("_all")))
+    # dealt after the join, so that a very large key is not read by one task for its sample
+    sample = (df.join(sizes, keys).where(chosen).select(*keys, place.alias("_place")).repartition(*keys).groupBy(*keys)
+              .agg(F.sort_array(F.collect_list("_place")).alias("_all")))
     step = F.greatest(F.lit(1), F.floor(F.size("_all") / F.lit(chunks)).cast("int"))
     cuts = sample.select(*keys, F.filter("_all", lambda c, i: (i + 1) % step == 0).alias("_cuts"))
-    return (df.join(F.broadcast(cuts), keys, "left")
-            .withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0))).drop("_cuts"))
+    return (df.join(cuts, keys, "left")
+            .withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0))).drop("_cuts")
+            .repartition(*keys, "_chunk"))
 
 
 def _summary(base: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
@@ -95,7 +100,7 @@ def chunked_scan(x: DataFrame, keys: list[str], order: list[str], sums: dict[str
         *[F.sum(e).over(before).alias(f"_lb_{k}") for k, e in sums.items()],
         *[F.lag(c, 1).over(w).alias(f"_ll1_{c}") for c in lags],
         *[F.lag(c, 2).over(w).alias(f"_ll2_{c}") for c in lags])
-    y = local.join(F.broadcast(_summary(x if base is None else base, keys, order, sums, lags, firsts)), part)
+    y = local.join(_summary(x if base is None else base, keys, order, sums, lags, firsts), part)
     lrn = F.col("_lrn")
     return y.select(
         *x.columns, "_n", (F.col("_on") + lrn).cast("int").alias("_rn"),

@@ -5,9 +5,9 @@ bound are therefore built by the chunked scans of ``operators.prefix``, all
 others by plain windows, and the two parts are put together.  Both give the
 same values.  One job over the narrow invoice keys asks whether there is any
 large account; without one the plan is the plain one alone and stays lazy.
-The list of large accounts has at most (all invoices / bound) rows and is
-broadcast; the rows of large accounts, which several scans read, are written
-to the checkpoint folder once.
+The list of large accounts has at most (all invoices / bound) rows; it and the
+rows of large accounts, which several scans read, are written to the checkpoint
+folder once.
 """
 
 from __future__ import annotations
@@ -39,10 +39,9 @@ def large_accounts(d: Domain, bound: int) -> DataFrame:
 
 def by_size(d: Domain, build: Callable[..., DataFrame], bound: int | None = None) -> DataFrame:
     """``build(domain, chunked)`` over the accounts within the bound and over the larger ones."""
-    large = large_accounts(d, row_bound(d) if bound is None else bound)
+    large = written(large_accounts(d, row_bound(d) if bound is None else bound), True)
     if large.isEmpty():
         return build(d, chunked=False)
-    large = F.broadcast(large)
     small_part = replace(d, accounts=d.accounts.join(large, "account_id", "left_anti"))
     large_part = replace(d, accounts=d.accounts.join(large, "account_id", "left_semi"))
     return build(small_part, chunked=False).unionByName(build(large_part, chunked=True))
