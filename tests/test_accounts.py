@@ -83,3 +83,16 @@ def test_folds_chunked_equal_plain(spark):
     plain = acc.walk_forward_folds(f).collect()
     chunked = acc.walk_forward_folds(f, chunked=True, chunks=7).collect()
     assert sorted(plain) == sorted(chunked) and len(plain) == 6
+
+
+def test_merged_samples_equal_features_of_the_sampled_accounts(spark):
+    from conftest import SMALL
+    from wattflow.plans import customers
+    from wattflow.plans.registry import KEY, MERGE_COLS
+    from wattflow.sources.fixtures import domain
+    d = domain(spark, SMALL)
+    feats = customers.features(d).select(*MERGE_COLS)
+    ids = customers.eligibility(d).where("eligible")
+    want = feats.join(smp.sample_ids(ids, 20, 1).union(smp.sample_ids(ids, 20, 2)).distinct(), "account_id", "left_semi").dropDuplicates(KEY)
+    got = customers.merged_samples(d, 20, (1, 2), MERGE_COLS, KEY).collect()
+    assert sorted(got) == sorted(want.collect()) and len({r.account_id for r in got}) > 20

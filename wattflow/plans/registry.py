@@ -457,12 +457,7 @@ WHERE account_id IN (SELECT account_id FROM celig WHERE eligible ORDER BY md5('1
    OR account_id IN (SELECT account_id FROM celig WHERE eligible ORDER BY md5('2:' || CAST(account_id AS VARCHAR)) LIMIT {SAMPLE_N})""",
                                 "cfeat", "celig"))
 def q_merged_samples(spark, sf):
-    d = domain(spark, sf)
-    feats = customers.features(d).select(*MERGE_COLS)
-    elig = customers.eligibility(d).where("eligible")
-    a = feats.join(smp.sample_ids(elig, SAMPLE_N, 1), "account_id", "left_semi")
-    b = feats.join(smp.sample_ids(elig, SAMPLE_N, 2), "account_id", "left_semi")
-    return smp.merge_slices(a, b, KEY)
+    return customers.merged_samples(domain(spark, sf), SAMPLE_N, (1, 2), MERGE_COLS, KEY)
 
 
 # ------------------------------------------------------------------ load curves and clusters
