@@ -88,8 +88,7 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def _laid_out(df: DataFrame) -> DataFrame:
-    """``df`` by hash of its key in sorted partitions, as many as its rows ask for, cut from its lineage."""
-    df = _written(df)
+    """Written rows by hash of their key in sorted partitions, as many as they ask for, cut from their lineage."""
     return _written(df.repartition(fit_partitions(df.count()), *TEST_KEY)
                     .sortWithinPartitions(*TEST_KEY, *sorted(set(df.columns) - set(TEST_KEY))))
 
@@ -99,7 +98,7 @@ def pooled_forecast(features: DataFrame, spec: FeatureSpec, estimators: dict) ->
 
     Long result: key, model, prediction.
     """
-    rows = _written(features)
+    rows, laid = _written(features), None
     split = lambda data: (data.where(~F.col("is_eval")), data.where(F.col("is_eval")))
     out = None
     for name, est in estimators.items():
@@ -109,7 +108,8 @@ def pooled_forecast(features: DataFrame, spec: FeatureSpec, estimators: dict) ->
         elif isinstance(est, Forest):
             p = _pooled_forest(*split(with_numeric_inputs(rows, spec)), spec, est)
         else:
-            train, test = split(_laid_out(with_numeric_inputs(rows, spec)))
+            laid = laid or _laid_out(with_numeric_inputs(rows, spec))  # one layout for all of these
+            train, test = split(laid)
             p = Pipeline(stages=feature_stages(spec) + [est]).fit(train).transform(test)
         p = p.select(*TEST_KEY, F.lit(name).alias("model"), "prediction")
         out = p if out is None else out.unionByName(p)
@@ -242,7 +242,7 @@ def walk_forward_ols(features: DataFrame, spec: FeatureSpec = WALK_SPEC, share:
         for pdf in batches:
             if not len(pdf):
                 continue
-            wide = lambda c: np.array([[np.nan if v is None else v for v in r] for r in pdf[c]], float).reshape(len(pdf), -1)
+            wide = lambda c: np.array(pdf[c].to_list(), float).reshape(len(pdf), -1)  # noqa: E731 (None becomes NaN)
             x, first_, b, bad = wide("_x"), wide("_first"), wide("_b"), wide("_bad")
             c = np.zeros((len(pdf), p, p))
             i, j = np.array(upper).T
