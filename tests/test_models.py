@@ -300,3 +300,22 @@ def test_truncated_errors_and_shuffle(spark):
     ids = spark.range(50).withColumnRenamed("id", "account_id")
     a, b = ([r.account_id for r in smp.shuffle_rows(d, 1, ["account_id"]).collect()] for d in (ids, ids.repartition(5)))
     assert a == b != sorted(a) and sorted(a) == list(range(50))
+
+
+def test_many_small_solves_equal_single_ones_with_an_orthogonal_basis():
+    import numpy as np
+    from wattflow.operators import least_squares as ls
+    r = np.random.default_rng(3)
+    c, b = np.zeros((60, 7, 7)), np.zeros((60, 7))
+    for i in range(60):
+        n = 2 + i % 9
+        x = np.c_[r.normal(size=(n, 3)) * [500, 3, 1], np.eye(4)[r.integers(0, 4, n)]]
+        x, y = x - x.mean(0), r.integers(0, 90, n).astype(float)
+        c[i], b[i] = x.T @ x, x.T @ (y - y.mean())
+    single = np.array([ls.solve_centred(c[i], b[i]) for i in range(60)])
+    svd, np.linalg.svd = np.linalg.svd, None  # a decomposition that the solves do not need
+    try:
+        many = ls.solve_many(c, b)
+    finally:
+        np.linalg.svd = svd
+    np.testing.assert_allclose(many, single, rtol=1e-6, atol=1e-6)

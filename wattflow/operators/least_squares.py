@@ -58,9 +58,9 @@ def solve_many(c: np.ndarray, b: np.ndarray, singular: float = SINGULAR) -> np.n
     inner = np.where(real, np.einsum("nij,ni->nj", vectors, b / d) / np.where(real, values, 1.0), 0.0)
     beta = np.einsum("nij,nj->ni", vectors, inner) / d
     # smallest norm in the original units: take out what lies in the cut directions
-    cut = vectors * ~real[:, None, :] / d[:, :, None]
-    free, size, _ = np.linalg.svd(cut)
-    free = free * (size > 1e-12 * size[:, :1])[:, None, :]
+    # (eigenvalues ascend, so these come first, and as many columns of q span them)
+    free, _ = np.linalg.qr(vectors * ~real[:, None, :] / d[:, :, None])
+    free = free * ~real[:, None, :]
     return beta - np.einsum("nij,nj->ni", free, np.einsum("nij,ni->nj", free, beta))
 
 
