@@ -130,3 +130,21 @@ def test_poisson_weights():
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     other = trees.bag_weights(np.arange(200_000), np.ones(200_000, int), 1)
     assert abs(np.corrcoef(w, other)[0, 1]) < 0.01
+
+
+def test_a_task_of_small_groups_is_bounded_in_rows(spark):
+    assert trees._bundles(10_000_000, 1) == 10_000_000 // trees.BUNDLE_ROWS
+    assert trees._bundles(10_000_000, 150) == 10_000_000 * 150 // trees.BUNDLE
+    assert trees._bundles(0, 1) == 1
+    import pandas as pd
+    rows = np.arange(15.0).reshape(5, 3)
+    x = trees._matrix(pd.Series(list(rows)), step=2)
+    assert (x == rows).all() and x.flags.f_contiguous
+
+
+def test_bundles_of_few_rows_give_the_same_forest(spark, monkeypatch):
+    train, test = table(np.random.default_rng(8), groups=6, n=20)
+    a, b = frames(spark, train, test)
+    one = got(trees.forest_predictions(a, b, ["grp", "tid"], 3))
+    monkeypatch.setattr(trees, "BUNDLE_ROWS", 7)
+    assert got(trees.forest_predictions(a, b, ["grp", "tid"], 3)) == one

@@ -46,6 +46,8 @@ TREES_PER_TASK = 5
 # (row, tree) pairs that a task is given of small groups, and grows at a time.
 BUNDLE = 2_000_000
 STRIP = 400_000
+# Rows that a task is given of small groups at most, whatever the number of trees.
+BUNDLE_ROWS = 100_000
 # A feature with fewer values than this share that are not 0 is scanned by those alone.
 SPARSE = 0.3
 MOST_TASKS = 20_000
@@ -189,6 +191,19 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - start, size)
 
 
+def _bundles(rows: int, trees: int) -> int:
+    """Bundles that the rows of small groups are dealt to: bounded in (row, tree) pairs, and in rows, which a task holds."""
+    return max(1, math.ceil(rows * trees / BUNDLE), math.ceil(rows / BUNDLE_ROWS))
+
+
+def _matrix(lists: pd.Series, step: int = 10_000) -> np.ndarray:
+    """Rows of numbers as one matrix that is contiguous by column, so that columns need no copies."""
+    x = np.empty((len(lists), len(lists.iloc[0])), order="F")
+    for i in range(0, len(lists), step):
+        x[i:i + step] = lists.iloc[i:i + step].to_list()
+    return x
+
+
 def _finish(marks: list[int], seed: int, bootstrap: bool, max_depth: int | None, keep: list[str]):
     """Grow the rest of all trees of a bundle of units and predict their test rows."""
     edges = np.array([0, *marks])
@@ -200,8 +215,8 @@ def _finish(marks: list[int], seed: int, bootstrap: bool, max_depth: int | None,
             units, begin, size = np.unique(train["unit"].to_numpy(), return_index=True, return_counts=True)
             tunits, tbegin, tsize = np.unique(tests["unit"].to_numpy(), return_index=True, return_counts=True)
             both, a, b = np.intersect1d(units, tunits, return_indices=True)
-            x, y = np.stack(train["fx"].to_list()), train["y"].to_numpy(np.float64)
-            tx, rid, given = np.stack(tests["fx"].to_list()), train["rid"].to_numpy(), train["w"].to_numpy(np.float64)
+            x, y = _matrix(train.pop("fx")), train["y"].to_numpy(np.float64)
+            tx, rid, given = _matrix(tests["fx"]), train["rid"].to_numpy(), train["w"].to_numpy(np.float64)
             first, trees = train["first"].to_numpy()[begin[a]], train["trees"].to_numpy()[begin[a]]
             # roots: the trees of every unit
             u = np.repeat(np.arange(len(both)), trees)
@@ -307,7 +322,7 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
     large = _written(sizes.filter(F.col("n") > small_rows))
     marked = lambda rows: rows.join(F.broadcast(large), "grp", "left")
     small = marked(train).filter(F.col("n").isNull())
-    bundles = max(1, math.ceil(small.count() * total / BUNDLE))
+    bundles = _bundles(small.count(), total)
     step = math.gcd(*marks, TREES_PER_TASK)
     # tasks: four times the units, so that few of the long ones share a task, and never fewer for being small in bytes
     sums = large.agg(F.count_if(F.col("n") <= whole_rows), F.sum(F.when(F.col("n") > whole_rows, F.col("n")))).first()
