@@ -148,3 +148,46 @@ def test_bundles_of_few_rows_give_the_same_forest(spark, monkeypatch):
     one = got(trees.forest_predictions(a, b, ["grp", "tid"], 3))
     monkeypatch.setattr(trees, "BUNDLE_ROWS", 7)
     assert got(trees.forest_predictions(a, b, ["grp", "tid"], 3)) == one
+
+
+def test_inputs_of_large_groups_are_written_once_for_any_number_of_trees(spark, monkeypatch):
+    train, test = table(np.random.default_rng(9), groups=1, n=40)
+    a, b = frames(spark, train, test)
+    written, rows = trees._written, []
+
+    def counted(df):
+        out = written(df)
+        if "fx" in out.columns:
+            rows.append(out.count())
+        return out
+    monkeypatch.setattr(trees, "_written", counted)
+    monkeypatch.setattr(trees, "ROUND_CELLS", 100)  # several rounds
+    have = trees.forest_predictions(a, b, ["grp", "tid"], [2, 4], small_rows=5, whole_rows=12)
+    assert got(have.filter("n_trees = 4")) == pytest.approx(wanted(train, test, 4, True), abs=1e-9)
+    assert got(have.filter("n_trees = 2")) == pytest.approx(wanted(train, test, 2, True), abs=1e-9)
+    assert sum(rows) == len(train) + len(test)
+
+
+def test_a_large_node_keeps_few_bins_and_the_best_split_among_them():
+    rng = np.random.default_rng(10)
+    v, noise = rng.normal(size=20_000).round(4), rng.normal(size=20_000).round(4)
+    y = ((v > 0.3) * 40 + rng.integers(0, 30, len(v))).astype(float)
+    edges = [np.unique(np.r_[0.0, np.quantile(c, np.linspace(0, 1, 127))]) for c in (noise, v)]
+    sizes, x = np.array([2 * len(e) + 1 for e in edges]), np.column_stack([noise, v])
+    bins = trees._bins(x, edges)
+    sums = np.concatenate([np.column_stack([np.bincount(bins[:, j], u, sizes[j]) for u in (np.ones(len(y)), y, y * y)])
+                           for j in range(2)])
+    zero = np.array([2 * np.searchsorted(e, 0.0) + 1 for e in edges])
+    begin = np.cumsum(sizes) - sizes
+    sums[begin + zero] = 0  # entries that are 0 are not sent
+    keep = trees._wanted(sums, sizes, zero, np.array([len(y), y.sum(), (y * y).sum()]))
+    assert len(keep) < sizes.sum() / 10
+    cells = [(1, b, val, 1.0, t) for b, val, t in zip(bins[:, 1], v, y) if ((keep.feature == 1) & (keep.bin == b)).any()]
+    import pandas as pd
+    f, cut = trees._best_split(pd.DataFrame(cells, columns=["feature", "bin", "v", "w", "wy"]), keep[keep.feature == 1], len(y), y.sum())
+    order = np.argsort(v)
+    s, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    score = (s * s / n)[:-1] + (s[-1] - s[:-1]) ** 2 / (len(y) - n[:-1])
+    score[v[order][:-1] == v[order][1:]] = -1
+    i = int(np.argmax(score))
+    assert (f, cut) == (1, (v[order][i] + v[order][i + 1]) / 2)

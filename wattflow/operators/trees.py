@@ -16,29 +16,31 @@ Rows carry (group, tree, node).  Where these go depends on the rows of a group:
 * up to SMALL_ROWS: many groups and all their trees are grown in one task, a
   level of all of them at a time;
 * up to WHOLE_ROWS: a task grows some trees of one group;
-* beyond: nodes are split by Spark, from sums per distinct value of each
-  feature and running totals over them, until they hold at most WHOLE_ROWS
-  rows; the rest of each tree is grown as above.
+* beyond: rows are written once; nodes are split from sums per bin and then per
+  value of the few bins that can hold the best split, until they hold at most
+  WHOLE_ROWS rows; the rest of the trees is grown as above, some trees a round.
 
 A group's bootstrap draws a Poisson(1) weight for every row and tree from a
 hash of the row's id, so it is the same on every path and on every cluster.  A
 tree whose weights are all 0 takes every row once.  Test rows travel with the
 rows of their group and leave with the sums of their leaves' means: no model is
-collected, and the driver sees no tree.
+collected; the driver keeps only the splits of nodes beyond WHOLE_ROWS rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattflow.session import ensure_checkpoint_dir
+from wattflow.session import ensure_checkpoint_dir, fit_partitions
 
 SMALL_ROWS = 2_000
 WHOLE_ROWS = 500_000
@@ -52,8 +54,6 @@ BUNDLE_ROWS = 100_000
 SPARSE = 0.3
 MOST_TASKS = 20_000
 
-_NODE = ["grp", "tree", "node"]
-
 
 def _mixed(z: np.ndarray) -> np.ndarray:
     """64 well mixed bits of each number (splitmix64)."""
@@ -257,48 +257,6 @@ def _written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _split_large(train: DataFrame, tests: DataFrame, keep: list[str], whole_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Split the nodes of more than ``whole_rows`` rows with Spark, one level a round.
-
-    Of (grp, tree, node, fx, y, w) and (grp, tree, node, fx, keep...): the rows
-    in nodes within the bound, the test rows there, and predictions of the test
-    rows in leaves that are larger.  The splits of a level are at most (all
-    rows x trees / bound) and are broadcast.
-    """
-    closed = None
-    while True:
-        sums = train.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"),
-                                         F.sum(F.col("w") * F.col("y")).alias("sy"), F.min("y").alias("lo"), F.max("y").alias("hi"))
-        big = _written(sums.filter(F.col("n") > whole_rows).drop("n"))
-        if big.isEmpty():
-            return train, tests, closed
-        cells = (train.join(F.broadcast(big.filter("lo < hi").select(*_NODE, "sw", "sy")), _NODE)
-                 .select(*_NODE, "sw", "sy", "w", "y", F.posexplode("fx").alias("feature", "v"))
-                 .groupBy(*_NODE, "feature", "v", "sw", "sy")
-                 .agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")))
-        up = Window.partitionBy(*_NODE, "feature").orderBy("v")
-        run = cells.select(*_NODE, "feature", "v", "sw", "sy", F.sum("w").over(up).alias("lw"), F.sum("wy").over(up).alias("ly"),
-                           F.lead("v").over(up).alias("next"))
-        lw, ly, rw, ry = F.col("lw"), F.col("ly"), F.col("sw") - F.col("lw"), F.col("sy") - F.col("ly")
-        score = ly * ly / lw + ry * ry / rw
-        best = (run.filter(F.col("next").isNotNull()).withColumn("score", score).groupBy(*_NODE)
-                .agg(F.min(F.struct((-F.col("score")).alias("s"), "feature", "v", ((F.col("v") + F.col("next")) / 2).alias("cut"))).alias("b"))
-                .select(*_NODE, F.col("b.feature").alias("feature"), F.col("b.cut").alias("cut")))
-        level = F.broadcast(_written(big.join(best, _NODE, "left")
-                                     .select(*_NODE, "feature", "cut", (F.col("sy") / F.col("sw")).alias("mean"))))
-        moved = F.when(F.col("mean").isNull(), F.col("node")).otherwise(F.concat(
-            "node", F.when(F.element_at("fx", F.col("feature") + 1) <= F.col("cut"), "0").otherwise("1")))
-        stays = F.col("mean").isNull() | F.col("feature").isNotNull()
-
-        def routed(rows: DataFrame) -> DataFrame:
-            return rows.join(level, _NODE, "left")
-        leaves = routed(tests).filter(~stays).select(*keep, F.col("tree").alias("first"), F.col("mean").alias("total"))
-        leaves = _written(leaves)
-        closed = leaves if closed is None else closed.unionByName(leaves)
-        train, tests = (_written(routed(rows).filter(stays).withColumn("node", moved).select(*rows.columns))
-                        for rows in (train, tests))
-
-
 def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], trees: int | list[int] = 150,
                        seed: int = 42, bootstrap: bool = True, max_depth: int | None = None,
                        small_rows: int = SMALL_ROWS, whole_rows: int = WHOLE_ROWS) -> DataFrame:
@@ -325,8 +283,7 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
     bundles = _bundles(small.count(), total)
     step = math.gcd(*marks, TREES_PER_TASK)
     # tasks: four times the units, so that few of the long ones share a task, and never fewer for being small in bytes
-    sums = large.agg(F.count_if(F.col("n") <= whole_rows), F.sum(F.when(F.col("n") > whole_rows, F.col("n")))).first()
-    units = bundles + sums[0] * (total // step) + (sums[1] or 0) * total * 2 // whole_rows
+    units = bundles + large.filter(F.col("n") <= whole_rows).count() * (total // step)
     tasks = int(min(MOST_TASKS, max(8, 4 * units)))
     batches = F.sequence(F.lit(0), F.lit(total - 1), F.lit(step))
     columns = ["bundle", "unit", "first", "trees"]
@@ -350,13 +307,7 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
         if max_depth is not None:
             raise ValueError("a depth bound needs groups within whole_rows")
         only = lambda rows: rows.join(F.broadcast(huge.select("grp")), "grp", "left_semi")
-        each = only(tests).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-        rows, left, closed = _split_large(
-            _written(_weighted(only(train), total, seed, bootstrap)), _written(each.withColumn("node", F.lit(""))),
-            keep, whole_rows)
-        as_unit = [F.xxhash64(*_NODE).alias("bundle"), text(*_NODE).alias("unit"), F.col("tree").alias("first"), F.lit(1).alias("trees")]
-        a = a.unionByName(rows.select(*as_unit, F.lit(0).cast("long").alias("rid"), "fx", "y", "w"))
-        b = b.unionByName(left.select(*as_unit, "fx", *keep))
+        closed = _large_predictions(only(train), only(tests), {r.grp: r.n for r in huge.collect()}, marks, seed, bootstrap, keep, whole_rows)
     out = T.StructType([*[f for f in tests.select(*keep).schema.fields], T.StructField("first", T.IntegerType()),
                         T.StructField("total", T.DoubleType())])
     # names of their own, as both sides may come from one table
@@ -372,15 +323,358 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
     return sums.select(*keep, "parts", each).select(*keep, "n_trees", mean.alias("prediction"))
 
 
-def _weighted(rows: DataFrame, trees: int, seed: int, bootstrap: bool) -> DataFrame:
-    """Rows of large groups once for every tree that has drawn them: (grp, tree, node, fx, y, w)."""
-    schema = T.StructType([rows.schema["grp"], T.StructField("tree", T.IntegerType()), T.StructField("node", T.StringType()),
-                           rows.schema["fx"], rows.schema["y"], T.StructField("w", T.DoubleType())])
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for tree in range(trees):
-                w = bag_weights(pdf["rid"].to_numpy(), np.full(len(pdf), tree), seed) if bootstrap else np.ones(len(pdf))
-                yield pdf.loc[w > 0, ["grp", "fx", "y"]].assign(tree=np.int32(tree), node="", w=w[w > 0])[
-                    ["grp", "tree", "node", "fx", "y", "w"]]
-    return rows.mapInPandas(draw, schema)
+# ---------------------------------------------------------------- groups beyond WHOLE_ROWS
+
+# Edges of a feature's bins, rows that they are taken from, and bytes of sums that a task holds of the nodes of a pass.
+EDGES = 127
+EDGE_ROWS = 20_000
+SUM_BYTES = 64_000_000
+# Rows of a block that a task looks at, and of a packet of a node's rows.
+BLOCK = 100_000
+PACKET = 4_000
+# (row, tree) pairs of the last round that are on disk at a time, times their inputs.
+ROUND_CELLS = 1_000_000_000
+SAFE = 1e-9
+
+
+@dataclass
+class _Upper:
+    """The nodes of one tree that Spark has split so far, numbered from 0 in the order of their making."""
+    splits: list[tuple[int, int, float, int]] = field(default_factory=list)  # node, feature, cut, left child (right: next)
+    leaves: dict[int, float] = field(default_factory=dict)
+    open: list[int] = field(default_factory=lambda: [0])
+    closed: list[int] = field(default_factory=list)  # within the bound
+    made: int = 1
+
+    def node(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int32)
+        for at, feature, cut, left in self.splits:
+            here = np.flatnonzero(out == at)
+            out[here] = left + (x[here, feature] > cut)
+        return out
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches' rows in blocks of one group."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= BLOCK:
+            yield from (part for _, part in pd.concat(held).groupby("grp"))
+            held, n = [], 0
+    if n:
+        yield from (part for _, part in pd.concat(held).groupby("grp"))
+
+
+def _bin(v: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """2k + 1 for a value that is edge k, 2k for one between the edges k - 1 and k."""
+    return np.searchsorted(edges, v) + np.searchsorted(edges, v, side="right")
+
+
+def _bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The bins of all inputs, each feature's from 0."""
+    return np.column_stack([_bin(x[:, j], e) for j, e in enumerate(edges)])
+
+
+def _drawn(pdf: pd.DataFrame, x: np.ndarray, names: list[tuple], trees: dict, seed: int, bootstrap: bool):
+    """(name, rows that the tree has drawn, their weights, their nodes) for each named tree of the block's group."""
+    rid, grp = pdf["rid"].to_numpy(), pdf["grp"].iloc[0]
+    for name in names:
+        if name[0] == grp:
+            w = bag_weights(rid, np.full(1, name[1]), seed) if bootstrap else np.ones(len(pdf))
+            some = np.flatnonzero(w)
+            yield name, some, w[some], trees[name].node(x[some])
+
+
+def _wanted(sums: np.ndarray, sizes: np.ndarray, zero: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+    """The bins of a node in which its best split may lie: (feature, bin, lw, ly, next), sums before and the next bin with rows.
+
+    A split between two bins is scored from their sums.  Inside a bin of weight
+    d and squared deviation q, a prefix of weight t has t times the bin's mean and at
+    most sqrt(d * q) / 2 more or less; the score is convex, so its largest
+    value there is at a corner, and a bin stays if that reaches the best score between bins.
+    """
+    begin = np.cumsum(sizes) - sizes
+    sums = sums.copy()
+    sums[begin + zero] += total - np.add.reduceat(sums, begin)
+    feature = np.repeat(np.arange(len(sizes)), sizes)
+    some = np.flatnonzero(sums[:, 0] > 0)
+    feature, at, d = feature[some], (some - begin[feature[some]]), sums[some]
+    run = np.cumsum(d, axis=0) - (np.cumsum(d, axis=0) - d)[np.searchsorted(feature, feature)]
+    lw, ly = run[:, 0] - d[:, 0], run[:, 1] - d[:, 1]
+    sw, sy = total[0], total[1]
+
+    def score(w, s):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left, right = s * s / w, (sy - s) ** 2 / (sw - w)
+        return np.where(w > 0, left, np.where(s == 0, 0, np.inf)) + np.where(w < sw, right, np.where(s == sy, 0, np.inf))
+    last = np.r_[feature[1:] != feature[:-1], True]
+    between = np.where(last, -np.inf, score(run[:, 0], run[:, 1]))
+    best = between.max()
+    most = np.sqrt(np.maximum(d[:, 0] * d[:, 2] - d[:, 1] ** 2, 0) + SAFE * d[:, 0] * d[:, 2]) / 2
+    corner = np.max([score(w, s + e) for w, s in ((lw, ly), (run[:, 0], run[:, 1])) for e in (-most, most)], axis=0)
+    inside = (at % 2 == 0) & ((corner >= best * (1 - SAFE)) | (best == -np.inf))
+    edge = ~last & (between >= best * (1 - SAFE))
+    keep = inside | edge | np.r_[False, edge[:-1]]
+    following = np.where(last, -1, np.r_[at[1:], -1])
+    return pd.DataFrame({"feature": feature, "bin": at, "lw": lw, "ly": ly, "next": following})[keep]
+
+
+def _best_split(cells: pd.DataFrame, wanted: pd.DataFrame, sw: float, sy: float) -> tuple[int, float] | None:
+    """(feature, cut) of a node's best split, from sums per value in the wanted bins."""
+    cells = cells.groupby(["feature", "bin", "v"], as_index=False)[["w", "wy"]].sum()
+    cells = cells.merge(wanted, on=["feature", "bin"]).sort_values(["feature", "bin", "v"])
+    if len(cells) < 2:
+        return None
+    own = cells.groupby(["feature", "bin"])[["w", "wy"]].cumsum()
+    lw, ly = (cells["lw"] + own["w"]).to_numpy(), (cells["ly"] + own["wy"]).to_numpy()
+    f, b, v, following = (cells[c].to_numpy() for c in ("feature", "bin", "v", "next"))
+    ok = np.flatnonzero((f[1:] == f[:-1]) & ((b[1:] == b[:-1]) | (b[1:] == following[:-1])))
+    if not len(ok):
+        return None
+    lw, ly = lw[ok], ly[ok]
+    rw, ry = sw - lw, sy - ly
+    at = ok[np.argmax(ly * ly / lw + ry * ry / rw)]  # the first of equal ones: first feature, smallest threshold
+    return int(f[at]), float((v[at] + v[at + 1]) / 2)
+
+
+def _edges(rows: DataFrame) -> list[np.ndarray]:
+    """Edges of each feature's bins, 0 among them, from a bounded number of rows: they change the cost of a search, not its result."""
+    some = _matrix(rows.select("fx", F.xxhash64("rid").alias("h")).orderBy("h").limit(EDGE_ROWS).toPandas()["fx"])
+    q = np.linspace(0, 1, EDGES)
+    return [np.unique(np.r_[0.0, np.quantile(some[:, j], q, method="nearest")]) for j in range(some.shape[1])]
+
+
+def _split_large(rows: DataFrame, names: list[tuple], seed: int, bootstrap: bool, whole_rows: int) -> dict[tuple, _Upper]:
+    """The upper part of each named tree (group, number): nodes of more than ``whole_rows`` rows are split, a level a round.
+
+    Rows stay where they are written: a tree's draw is hashed anew and its rows
+    are led through the splits made so far.  A round takes sums per node and
+    bin, which leave few bins for its best split, and then sums per value in
+    those.  A tree has at most (rows / bound) nodes a level; they are kept on the driver.
+    """
+    edges = _edges(rows)
+    sizes = np.array([2 * len(e) + 1 for e in edges])
+    begin, wide = np.cumsum(sizes) - sizes, int(sizes.sum())
+    zero = np.array([2 * np.searchsorted(e, 0.0) + 1 for e in edges])
+    trees = {name: _Upper() for name in names}
+
+    def entries(x):
+        """Row and bin (over all features) of every input that is not 0."""
+        r, c = np.nonzero(x)
+        return r, _bins(x, edges)[r, c] + begin[c]
+
+    def numbered(some: list[tuple]) -> dict[tuple, int]:
+        at = np.cumsum([0, *[len(trees[name].open) for name in some]])
+        return dict(zip(some, at.tolist()))
+
+    def summed(some: list[tuple]):
+        first, total = numbered(some), sum(len(trees[n].open) for n in some)
+
+        def run(batches):
+            sums, own, lo, hi = np.zeros((total * wide, 3)), np.zeros((total, 4)), np.full(total, np.inf), np.full(total, -np.inf)
+            for pdf in _blocks(batches):
+                x, y = _matrix(pdf["fx"]), pdf["y"].to_numpy(float)
+                er, eb = entries(x)
+                for name, drawn, w, node in _drawn(pdf, x, some, trees, seed, bootstrap):
+                    opened = np.array(trees[name].open)
+                    at = np.searchsorted(opened, node).clip(max=len(opened) - 1)
+                    there = opened[at] == node
+                    drawn, w, at = drawn[there], w[there], at[there]
+                    k, b = len(opened), first[name]
+                    wy = w * y[drawn]
+                    for c, val in enumerate((w, wy, wy * y[drawn], None)):
+                        own[b:b + k, c] += np.bincount(at, val, k)
+                    np.minimum.at(lo, b + at, y[drawn])
+                    np.maximum.at(hi, b + at, y[drawn])
+                    place, weight = np.full(len(x), -1), np.zeros(len(x))
+                    place[drawn], weight[drawn] = at, w
+                    e = np.flatnonzero(place[er] >= 0)
+                    idx, r = place[er[e]] * wide + eb[e], er[e]
+                    ew, ewy = weight[r], weight[r] * y[r]
+                    for c, val in enumerate((ew, ewy, ewy * y[r])):
+                        sums[b * wide:(b + k) * wide, c] += np.bincount(idx, val, k * wide)
+            sums = sums.reshape(total, wide, 3)
+            for i in np.flatnonzero(own[:, 3]):
+                yield pd.DataFrame({"nid": [np.int32(i)], "own": [own[i].tobytes()], "lo": [lo[i]], "hi": [hi[i]], "sums": [sums[i].tobytes()]})
+
+        def find(pdf):
+            own = np.sum([np.frombuffer(b) for b in pdf["own"]], axis=0)
+            lo, hi = pdf["lo"].min(), pdf["hi"].max()
+            bins = pd.DataFrame()
+            if own[3] > whole_rows and lo < hi:
+                bins = _wanted(np.sum([np.frombuffer(b).reshape(wide, 3) for b in pdf["sums"]], axis=0), sizes, zero, own[:3])
+            lists = {c: [bins[c].to_list() if len(bins) else []] for c in ("feature", "bin", "lw", "ly", "next")}
+            mark = np.zeros(wide, bool)
+            if len(bins):
+                mark[begin[bins["feature"]] + bins["bin"]] = True
+            return pd.DataFrame({"nid": pdf["nid"].iloc[:1], "n": int(own[3]), "sw": own[0], "sy": own[1],
+                                 "mark": [np.packbits(mark).tobytes() if len(bins) else None]}).assign(**lists)
+        parts = rows.mapInPandas(run, "nid int, own binary, lo double, hi double, sums binary")
+        found = _written(parts.groupBy("nid").applyInPandas(
+            find, "nid int, n long, sw double, sy double, mark binary, "
+                  "feature array<int>, bin array<int>, lw array<double>, ly array<double>, next array<int>"))
+        return first, found, {r.nid: r for r in found.select("nid", "n", "sw", "sy", "mark").collect()}
+
+    def refined(some: list[tuple], first: dict, found: DataFrame, nodes: dict):
+        look = {i: np.unpackbits(np.frombuffer(r.mark, np.uint8), count=wide).astype(bool) for i, r in nodes.items() if r.mark}
+
+        def run(batches):
+            held, n = [], 0
+
+            def folded():
+                return pd.concat(held).groupby(["nid", "feature", "bin", "v"], as_index=False)[["w", "wy"]].sum()
+            for pdf in _blocks(batches):
+                x, y = _matrix(pdf["fx"]), pdf["y"].to_numpy(float)
+                bins = _bins(x, edges)
+                for name, drawn, w, node in _drawn(pdf, x, some, trees, seed, bootstrap):
+                    for i, at in enumerate(trees[name].open):
+                        if (mark := look.get(first[name] + i)) is None:
+                            continue
+                        here = np.flatnonzero(node == at)
+                        for j in range(len(edges)):
+                            if mark[begin[j]:begin[j] + sizes[j]].any():
+                                mine = here[mark[begin[j] + bins[drawn[here], j]]]
+                                v, code = np.unique(x[drawn[mine], j], return_inverse=True)
+                                held.append(pd.DataFrame({
+                                    "nid": np.int32(first[name] + i), "feature": np.int32(j),
+                                    "bin": _bin(v, edges[j]).astype(np.int32), "v": v,
+                                    "w": np.bincount(code, w[mine], len(v)), "wy": np.bincount(code, w[mine] * y[drawn[mine]], len(v))}))
+                                n += len(v)
+                    if n > 1_000_000:
+                        yield folded()
+                        held, n = [], 0
+            if n:
+                yield folded()
+
+        def best(cells, bins):
+            got = None
+            if len(cells):
+                r = bins.iloc[0]
+                got = _best_split(cells, pd.DataFrame({c: r[c] for c in ("feature", "bin", "lw", "ly", "next")}), r["sw"], r["sy"])
+            return pd.DataFrame([(bins["nid"].iloc[0], *got)] if got else [], columns=["nid", "feature", "cut"])
+        if not look:
+            return {}
+        cells = rows.mapInPandas(run, "nid int, feature int, bin int, v double, w double, wy double")
+        cuts = cells.groupBy("nid").cogroup(found.groupBy("nid")).applyInPandas(best, "nid int, feature int, cut double")
+        return {r.nid: r for r in cuts.collect()}
+
+    while live := [name for name in names if trees[name].open]:
+        cost = np.cumsum([len(trees[n].open) * wide * 24 for n in live]) // SUM_BYTES
+        for part in np.split(np.arange(len(live)), np.flatnonzero(np.diff(cost)) + 1):
+            some = [live[i] for i in part]
+            first, found, nodes = summed(some)
+            cuts = refined(some, first, found, nodes)
+            for name in some:
+                tree, now = trees[name], trees[name].open
+                tree.open = []
+                for i, at in enumerate(now):
+                    r = nodes.get(first[name] + i)
+                    if r is None or r.n <= whole_rows:
+                        tree.closed.append(at)
+                    elif (cut := cuts.get(first[name] + i)) is None:
+                        tree.leaves[at] = r.sy / r.sw
+                    else:
+                        tree.splits.append((at, cut.feature, cut.cut, tree.made))
+                        tree.open += [tree.made, tree.made + 1]
+                        tree.made += 2
+    return trees
+
+
+@contextmanager
+def _shuffles_freed(spark):
+    """A query's shuffle files are removed when it ends (its result is written by then), so rounds do not add up on disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _rounds(names: list[tuple], marks: list[int], cells: int) -> Iterator[list[tuple]]:
+    """The named trees in rounds of at most ROUND_CELLS inputs of drawn rows; a round lies between two marks."""
+    most = max(1, ROUND_CELLS // max(1, cells))
+    for low, high in zip([0, *marks], marks):
+        for first in range(low, high, most):
+            yield [name for name in names if first <= name[1] < min(first + most, high)]
+
+
+def _large_predictions(train: DataFrame, tests: DataFrame, sizes: dict, marks: list[int], seed: int, bootstrap: bool,
+                       keep: list[str], whole_rows: int) -> DataFrame:
+    """(keep..., first, total) of groups beyond ``whole_rows``.
+
+    Inputs are written once, not once a tree.  The lower parts of the trees are grown in
+    rounds of some trees, so what is on disk of the drawn rows is bounded for any number of them.
+    """
+    rows = _written(train.repartition(fit_partitions(sum(sizes.values())), "rid"))
+    # an id of the test row, of its own even if keys repeat
+    tests = _written(tests.withColumn("_tid", F.monotonically_increasing_id()))
+    names = [(grp, tree) for tree in range(marks[-1]) for grp in sizes]
+    with _shuffles_freed(rows.sparkSession):
+        trees = _split_large(rows, names, seed, bootstrap, whole_rows)
+    features = len(rows.select("fx").first()[0])
+    packet = "unit int, n int, x binary, y binary, w binary"
+    out = None
+    for some in _rounds(names, marks, sum(sizes.values()) * features * 2 // 3):
+        units = {unit: i for i, unit in enumerate((name, node) for name in some for node in trees[name].closed)}
+        leaves = any(trees[name].leaves for name in some)
+
+        def packets(name, node, rows_, x, *columns):
+            order = np.argsort(node, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+                unit = units.get((name, int(node[part[0]]))) if len(part) else None
+                for i in range(0, len(part) if unit is not None else 0, PACKET):
+                    p = part[i:i + PACKET]
+                    yield (unit, len(p), x[rows_[p]].tobytes(order="F"), *[c[p].tobytes() for c in columns])
+
+        def trained(batches):
+            for pdf in _blocks(batches):
+                x, y = _matrix(pdf["fx"]), pdf["y"].to_numpy(float)
+                for name, drawn, w, node in _drawn(pdf, x, some, trees, seed, bootstrap):
+                    yield pd.DataFrame(list(packets(name, node, drawn, x, y[drawn], w)), columns=["unit", "n", "x", "y", "w"])
+
+        def tested(batches):
+            for pdf in _blocks(batches):
+                x, tid, grp = _matrix(pdf["fx"]), pdf["_tid"].to_numpy(np.int64), pdf["grp"].iloc[0]
+                for name in some:
+                    if name[0] == grp:
+                        yield pd.DataFrame(list(packets(name, trees[name].node(x), np.arange(len(x)), x, tid)), columns=["unit", "n", "x", "y"])
+
+        def matrix(pdf):
+            return np.concatenate([np.frombuffer(b).reshape(n, -1, order="F") for b, n in zip(pdf["x"], pdf["n"])])
+
+        number = {i: name[1] for (name, _), i in units.items()}
+
+        def finish(a, b):
+            if not len(a) or not len(b):
+                return pd.DataFrame({"_tid": [], "first": [], "total": []})
+            x, y, w, tx = np.asfortranarray(matrix(a)), np.frombuffer(b"".join(a["y"])), np.frombuffer(b"".join(a["w"])), matrix(b)
+            tid, tree = np.frombuffer(b"".join(b["y"]), np.int64), number[a["unit"].iloc[0]]
+            del a, b
+            mean = grow(x, y, np.arange(len(x)), np.zeros(len(x), np.int64), w, tx, np.arange(len(tx)), np.zeros(len(tx), np.int64))
+            return pd.DataFrame({"_tid": tid, "first": np.int32(tree), "total": mean})
+
+        def closed(batches):
+            for pdf in _blocks(batches):
+                x, grp = _matrix(pdf["fx"]), pdf["grp"].iloc[0]
+                for name in some:
+                    if name[0] == grp and trees[name].leaves:
+                        mean = pd.Series(trees[name].node(x)).map(trees[name].leaves)
+                        yield pd.DataFrame({"_tid": pdf["_tid"].to_numpy(), "first": np.int32(name[1]), "total": mean.to_numpy(float)})[mean.notna().to_numpy()]
+        tasks = max(8, 2 * len(units))
+        a = rows.mapInPandas(trained, packet).repartition(tasks, "unit")
+        b = tests.select("grp", "fx", "_tid").mapInPandas(tested, packet.rsplit(",", 1)[0]).repartition(tasks, "unit")
+        means = a.groupBy("unit").cogroup(b.groupBy("unit")).applyInPandas(finish, "_tid long, first int, total double")
+        if leaves:
+            means = means.unionByName(tests.select("grp", "fx", "_tid").mapInPandas(closed, "_tid long, first int, total double"))
+        # a round's sum of each test row, in the order of its trees
+        parts = F.sort_array(F.collect_list(F.struct("first", "total")))
+        sums = means.groupBy("_tid").agg(parts.alias("p")).select(
+            "_tid", F.element_at("p", 1)["first"].alias("first"), F.aggregate("p", F.lit(0.0), lambda s, p: s + p["total"]).alias("total"))
+        with _shuffles_freed(rows.sparkSession):
+            done = _written(sums)
+        out = done if out is None else out.unionByName(done)
+    return out.join(tests.select("_tid", *keep), "_tid").select(*keep, "first", "total")
