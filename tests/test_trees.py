@@ -191,3 +191,29 @@ def test_a_large_node_keeps_few_bins_and_the_best_split_among_them():
     score[v[order][:-1] == v[order][1:]] = -1
     i = int(np.argmax(score))
     assert (f, cut) == (1, (v[order][i] + v[order][i + 1]) / 2)
+
+
+@pytest.mark.parametrize("depth", [None, 2])
+def test_following_one_test_row_gives_what_whole_trees_give(spark, depth):
+    """Groups of 1 to 40 rows, on both sides of the bound, with ties, zeros and negative values."""
+    rng, train, test = np.random.default_rng(11), [], []
+    for g, n in enumerate([1, 2, 2, 3, 5, 5, 5, 9, 17, 32, 33, 40]):
+        a, b = table(rng, groups=1, n=n, tests=1)
+        train += [(g, *r[1:]) for r in a]
+        test += [(g, *r[1:]) for r in b]
+    both = trees.forest_predictions(*frames(spark, train, test), ["grp", "tid"], [3, 7], max_depth=depth)
+    for n in (3, 7):
+        assert got(both.filter(F.col("n_trees") == n)) == pytest.approx(wanted(train, test, n, True, depth), abs=1e-9)
+
+
+def test_parts_of_trees_without_test_rows_are_not_grown(monkeypatch):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(3_000, 2)), rng.integers(0, 1_000, 3_000).astype(float)
+    seen, entries = [], trees._entries
+    monkeypatch.setattr(trees, "_entries", lambda c, o, *a: seen.append(len(o)) or entries(c, o, *a))
+    row, tx = np.arange(len(x)), rng.normal(size=(1, 2))
+    mean = trees.grow(x, y, row, np.zeros(len(x), int), np.ones(len(x)), tx, np.zeros(1, int), np.zeros(1, int))
+    assert mean[0] == pytest.approx(plain_tree(x, y, np.ones(len(x)), tx[0]))
+    assert sum(n < len(x) for n in seen) > 4 and min(seen) < 100
+    with_all = trees.grow(x, y, row, np.zeros(len(x), int), np.ones(len(x)), x, row, np.zeros(len(x), int))
+    assert (with_all == y).all()

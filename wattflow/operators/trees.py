@@ -9,12 +9,14 @@ values of all features: the one of largest
 (sums of the target and of the weights left and right).  Targets are integers,
 so the sums are exact and a split does not depend on the order of the rows;
 equal scores go to the feature that comes first, then to the smallest
-threshold, which lies midway between the two values.
+threshold, which lies midway between the two values.  A part of a tree that no
+test row comes to is not grown, as nothing is asked of it.
 
 Rows carry (group, tree, node).  Where these go depends on the rows of a group:
 
 * up to SMALL_ROWS: many groups and all their trees are grown in one task, a
-  level of all of them at a time;
+  level of all of them at a time (of PATH_ROWS rows and one test row, only the
+  nodes that this row passes: ``follow``);
 * up to WHOLE_ROWS: a task grows some trees of one group;
 * beyond: rows are written once; nodes are split from sums per bin and then per
   value of the few bins that can hold the best split, until they hold at most
@@ -50,6 +52,9 @@ BUNDLE = 2_000_000
 STRIP = 400_000
 # Rows that a task is given of small groups at most, whatever the number of trees.
 BUNDLE_ROWS = 100_000
+# Units of at most so many rows and one test row follow that row alone; numbers of a block of them.
+PATH_ROWS = 32
+PATH_CELLS = 1_000_000
 # A feature with fewer values than this share that are not 0 is scanned by those alone.
 SPARSE = 0.3
 MOST_TASKS = 20_000
@@ -103,6 +108,8 @@ def grow(x: np.ndarray, y: np.ndarray, row: np.ndarray, node: np.ndarray, w: np.
     (row of ``tx``, root).  A test instance of a root without training gets NaN.
     """
     out = np.full(len(trow), np.nan)
+    asked = np.isin(node, tnode)
+    row, node, w = row[asked], node[asked], w[asked]
     names, node = np.unique(node, return_inverse=True)
     at = np.searchsorted(names, tnode).clip(max=max(len(names) - 1, 0))
     test = np.flatnonzero(names[at] == tnode) if len(names) else np.zeros(0, np.int64)
@@ -115,9 +122,12 @@ def grow(x: np.ndarray, y: np.ndarray, row: np.ndarray, node: np.ndarray, w: np.
     orders = {}
     for j in live:
         o = np.flatnonzero(column[j][row]) if j in sparse else np.arange(len(row))
-        orders[j] = o[np.lexsort((column[j][row[o]], node[o]))].astype(np.int32)
+        # values by their rank, so that node and value are one number; trees of one unit share its ranks
+        rank = np.unique(column[j], return_inverse=True)[1]
+        orders[j] = o[np.argsort(node[o].astype(np.int64) * len(x) + rank[row[o]])].astype(np.int32)
     some = np.argsort(node, kind="stable").astype(np.int32)
     row = row.astype(np.int32)
+    stays = np.zeros(len(row), bool)
     k, depth = len(names), 0
     while k and len(test):
         counts = np.bincount(node[some], minlength=k)
@@ -159,15 +169,22 @@ def grow(x: np.ndarray, y: np.ndarray, row: np.ndarray, node: np.ndarray, w: np.
         test, there = test[~done], there[~done]
         number = (np.cumsum(splits) - 1).astype(np.int32)
         tnode[test] = 2 * number[there] + (tx[trow[test], feature[there]] > cut[there])
-        # every feature's instances in the split nodes, and then the two parts of each, in the same order as before
-        orders = {j: o[splits[node[o]]] for j, o in orders.items()}
+        # every feature's instances in the parts of split nodes that test rows have come to (no other part is
+        # ever asked), by part and in the same order as before
+        stays[some] = False
         some = some[splits[node[some]]]
         old = node[some]
         node[some] = 2 * number[old] + (x[row[some], feature[old]] > cut[old])
         k, depth = 2 * int(splits.sum()), depth + 1
         if k:
+            asked = np.bincount(tnode[test], minlength=k) > 0
+            some = some[asked[node[some]]]
+            stays[some] = True
             some = _parted(some, node, k)
-            orders = {j: _parted(o, node, k) for j, o in orders.items()}
+            orders = {j: _parted(o[stays[o]], node, k) for j, o in orders.items()}
+            number = (np.cumsum(asked) - 1).astype(np.int32)
+            node[some], tnode[test] = number[node[some]], number[tnode[test]]
+            k = int(asked.sum())
     return out
 
 
@@ -185,6 +202,66 @@ def _parted(o: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
     return moved
 
 
+def follow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tx: np.ndarray, max_depth: int | None = None) -> np.ndarray:
+    """The leaf mean (unit, tree) of one test row a unit, for units of few and equally many rows.
+
+    Of a tree only the nodes that the test row passes are made.  ``x`` is (unit,
+    row, feature), ``w`` the weights (unit, tree, row).  The splits of a unit are the
+    same for all its trees: one product of their weights with the rows that each
+    split has left gives the sums of all.  A split that parts a node's rows like an earlier one of its
+    feature scores the same, so the first of the best is the one that ``grow`` takes.
+    """
+    units, n, features = x.shape
+    out = np.full(w.shape[:2], np.nan)
+    v = np.sort(x, axis=1)
+    apart = (v[:, :-1] < v[:, 1:]).transpose(0, 2, 1).reshape(units, -1)
+    first = np.argsort(~apart, axis=1, kind="stable")[:, :max(1, int(apart.sum(1).max(initial=0)))]
+    if n < 2:
+        apart, first = np.zeros((units, 1), bool), np.zeros((units, 1), np.int64)
+    feature = first // max(n - 1, 1)
+    cut = np.take_along_axis(v.transpose(0, 2, 1).reshape(units, -1), feature * n + first % max(n - 1, 1), 1)
+    left = np.take_along_axis(x, feature[:, None], 2) <= cut[:, None]
+    left = (left & np.take_along_axis(apart, first, 1)[:, None]).astype(float)
+    tree, depth = np.broadcast_to(np.arange(w.shape[1]), w.shape[:2]), 0
+    own = np.arange(units)  # the units still under way
+    while len(own):
+        wy = w * y[own][:, None]
+        sw, sy = w.sum(2), wy.sum(2)
+        there = w > 0
+        target = np.broadcast_to(y[own][:, None], w.shape)
+        live = np.where(there, target, np.inf).min(2) < np.where(there, target, -np.inf).max(2)
+        if max_depth is not None and depth >= max_depth:
+            live[:] = False
+        lw, ly = w @ left[own], wy @ left[own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rw, ry = sw[:, :, None] - lw, sy[:, :, None] - ly
+            score = ly * ly / lw + ry * ry / rw
+            score[(lw == 0) | (rw == 0)] = -np.inf
+            best = score.argmax(2)
+            live &= np.take_along_axis(score, best[:, :, None], 2)[:, :, 0] > -np.inf
+            i, t = np.nonzero(~live & (sw > 0))
+            out[own[i], tree[i, t]] = sy[i, t] / sw[i, t]
+        # the trees under way, at the front of each unit
+        most = live.sum(1)
+        go = np.flatnonzero(most)
+        if not len(go):
+            break
+        front = np.argsort(~live[go], axis=1, kind="stable")[:, :most.max()]
+        pick = lambda a: np.take_along_axis(a[go], front.reshape(*front.shape, *[1] * (a.ndim - 2)), 1)
+        w, best, tree, live = pick(w) * pick(live)[:, :, None], pick(best), pick(tree), pick(live)
+        own = own[go]
+        j = np.take_along_axis(feature[own], best, 1)
+        values = np.take_along_axis(x[own].transpose(0, 2, 1), j[:, :, None], 1)
+        low = values <= np.take_along_axis(cut[own], best, 1)[:, :, None]
+        there = w > 0  # both sides have some, but for trees that have ended
+        with np.errstate(invalid="ignore"):
+            middle = (np.where(low & there, values, -np.inf).max(2) + np.where(~low & there, values, np.inf).min(2)) / 2
+        asks_low = np.take_along_axis(tx[own], j, 1) <= middle
+        w = w * (low == asks_low[:, :, None])
+        depth += 1
+    return out
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for each range in turn."""
     ends = np.cumsum(size)
@@ -216,23 +293,34 @@ def _finish(marks: list[int], seed: int, bootstrap: bool, max_depth: int | None,
             tunits, tbegin, tsize = np.unique(tests["unit"].to_numpy(), return_index=True, return_counts=True)
             both, a, b = np.intersect1d(units, tunits, return_indices=True)
             x, y = _matrix(train.pop("fx")), train["y"].to_numpy(np.float64)
-            tx, rid, given = _matrix(tests["fx"]), train["rid"].to_numpy(), train["w"].to_numpy(np.float64)
+            tx, rid = _matrix(tests["fx"]), train["rid"].to_numpy()
             first, trees = train["first"].to_numpy()[begin[a]], train["trees"].to_numpy()[begin[a]]
-            # roots: the trees of every unit
-            u = np.repeat(np.arange(len(both)), trees)
-            tree = _ranges(first, trees)
-            load = np.cumsum(size[a][u])
             total = np.zeros((len(tests), len(marks)))
-            for strip in np.split(np.arange(len(u)), np.flatnonzero(np.diff(load // STRIP)) + 1):
+            lone = (size[a] <= PATH_ROWS) & (tsize[b] == 1) & (first == 0) & (trees == marks[-1])
+            for n in np.unique(size[a][lone]):
+                alike = np.flatnonzero(lone & (size[a] == n))
+                each = max(1, PATH_CELLS // (marks[-1] * int(n) * x.shape[1]))
+                for some in (alike[i:i + each] for i in range(0, len(alike), each)):
+                    rows, asks = begin[a][some][:, None] + np.arange(n), tbegin[b][some]
+                    w = np.ones((len(some), marks[-1], n))
+                    if bootstrap:
+                        w = bag_weights(rid[rows][:, None], np.arange(marks[-1])[None, :, None], seed)
+                        w[w.sum(2) == 0] = 1
+                    mean = follow(x[rows], y[rows], w, tx[asks], max_depth)
+                    for i, (low, high) in enumerate(zip(edges, marks)):
+                        total[asks, i] = np.cumsum(mean[:, low:high], axis=1)[:, -1]  # in the order of the trees
+            # roots: the trees of every other unit
+            u = np.repeat(np.flatnonzero(~lone), trees[~lone])
+            tree = _ranges(first[~lone], trees[~lone])
+            load = np.cumsum(size[a][u])
+            for strip in np.split(np.arange(len(u)), np.flatnonzero(np.diff(load // STRIP)) + 1) if len(u) else ():
                 su, st = u[strip], tree[strip]
                 n = size[a][su]
                 row, node = _ranges(begin[a][su], n), np.repeat(np.arange(len(strip)), n)
-                w = given[row]
-                if np.isnan(w).any():
-                    w = bag_weights(rid[row], st[node], seed) if bootstrap else np.ones(len(row))
-                    none = np.bincount(node, w, len(strip)) == 0
-                    w[none[node]] = 1
-                    row, node, w = row[w > 0], node[w > 0], w[w > 0]
+                w = bag_weights(rid[row], st[node], seed) if bootstrap else np.ones(len(row))
+                none = np.bincount(node, w, len(strip)) == 0
+                w[none[node]] = 1
+                row, node, w = row[w > 0], node[w > 0], w[w > 0]
                 m = tsize[b][su]
                 trow, tnode = _ranges(tbegin[b][su], m), np.repeat(np.arange(len(strip)), m)
                 mean = grow(x, y, row, node, w, tx, trow, tnode, max_depth)
@@ -299,8 +387,7 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
                         F.lit(step).alias("trees"), *cols))
         return one.unionByName(some)
 
-    weight = F.lit(None).cast("double").alias("w")
-    a, b = dealt(train, "rid", "fx", "y", weight), dealt(tests, "fx", *keep)
+    a, b = dealt(train, "rid", "fx", "y"), dealt(tests, "fx", *keep)
     huge = large.filter(F.col("n") > whole_rows)
     closed = None
     if not huge.isEmpty():
@@ -311,7 +398,7 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
     out = T.StructType([*[f for f in tests.select(*keep).schema.fields], T.StructField("first", T.IntegerType()),
                         T.StructField("total", T.DoubleType())])
     # names of their own, as both sides may come from one table
-    a, b = (side.select(*[F.col(c).alias(c) for c in [*columns, *cs]]).repartition(tasks, "bundle") for side, cs in ((a, ["rid", "fx", "y", "w"]), (b, ["fx", *keep])))
+    a, b = (side.select(*[F.col(c).alias(c) for c in [*columns, *cs]]).repartition(tasks, "bundle") for side, cs in ((a, ["rid", "fx", "y"]), (b, ["fx", *keep])))
     parts = (a.groupBy("bundle").cogroup(b.groupBy("bundle"))
              .applyInPandas(_finish(marks, seed, bootstrap, max_depth, keep), out))
     if closed is not None:
