@@ -217,3 +217,27 @@ def test_parts_of_trees_without_test_rows_are_not_grown(monkeypatch):
     assert sum(n < len(x) for n in seen) > 4 and min(seen) < 100
     with_all = trees.grow(x, y, row, np.zeros(len(x), int), np.ones(len(x)), x, row, np.zeros(len(x), int))
     assert (with_all == y).all()
+
+
+def test_large_groups_need_no_python_growth_and_equal_it(spark, monkeypatch):
+    """Beyond the bound rows go through the compiled functions alone: 0 and negative values, floats and doubles, several rounds."""
+    rng = np.random.default_rng(13)
+    train, test = table(rng, groups=2, n=120, tests=5)
+    train = [(g, i, [v if j != 1 else v / 3 for j, v in enumerate(x)], y) for g, i, x, y in train]
+    a, b = frames(spark, train, test)
+    whole = got(trees.forest_predictions(a, b, ["grp", "tid"], 6, small_rows=5))
+    monkeypatch.setattr(trees, "ROUND_CELLS", 1_000)
+    monkeypatch.setattr(trees, "PAIRS", 100)  # blocks are read some rows at a time
+    ran = []
+    monkeypatch.setattr(trees, "_of_groups", lambda *args, f=trees._of_groups: ran.append(args[2]) or f(*args))
+    monkeypatch.setattr(trees, "grow", None)
+    assert got(trees.forest_predictions(a, b, ["grp", "tid"], 6, small_rows=5, whole_rows=40)) == pytest.approx(whole, abs=1e-9)
+    assert {"finish", "total"} <= set(ran)
+
+
+def test_inputs_as_bytes_come_back():
+    from wattflow.operators import kernel
+    x = np.random.default_rng(14).integers(-1, 2, (50, 7)) / 3
+    x[3] = 0
+    begin, entries = kernel.packed(x)
+    assert (kernel.unpacked(begin, entries, 7) == x).all() and len(entries) == np.count_nonzero(x)

@@ -20,7 +20,8 @@ Rows carry (group, tree, node).  Where these go depends on the rows of a group:
 * up to WHOLE_ROWS: a task grows some trees of one group;
 * beyond: rows are written once; nodes are split from sums per bin and then per
   value of the few bins that can hold the best split, until they hold at most
-  WHOLE_ROWS rows; the rest of the trees is grown as above, some trees a round.
+  WHOLE_ROWS rows; the rest of the trees is grown some trees a round.  The loops
+  over (row, tree) pairs run in the JVMs (``kernel``), by the same rule.
 
 A group's bootstrap draws a Poisson(1) weight for every row and tree from a
 hash of the row's id, so it is the same on every path and on every cluster.  A
@@ -38,10 +39,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattflow.operators import kernel
 from wattflow.session import ensure_checkpoint_dir, fit_partitions
 
 SMALL_ROWS = 2_000
@@ -364,11 +368,11 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
     train = train.filter(whole("fx") & F.col("y").isNotNull()).select("grp", "rid", "fx", F.col("y").cast("double").alias("y"))
     tests = tests.filter(whole("fx")).select("grp", "fx", *keep)
     sizes = train.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = _written(sizes)
     # groups beyond the small bound are at most all rows / bound
-    large = _written(sizes.filter(F.col("n") > small_rows))
+    large = sizes.filter(F.col("n") > small_rows)
     marked = lambda rows: rows.join(F.broadcast(large), "grp", "left")
-    small = marked(train).filter(F.col("n").isNull())
-    bundles = _bundles(small.count(), total)
+    bundles = _bundles(sizes.filter(F.col("n") <= small_rows).agg(F.sum("n")).first()[0] or 0, total)
     step = math.gcd(*marks, TREES_PER_TASK)
     # tasks: four times the units, so that few of the long ones share a task, and never fewer for being small in bytes
     units = bundles + large.filter(F.col("n") <= whole_rows).count() * (total // step)
@@ -416,10 +420,11 @@ def forest_predictions(train: DataFrame, tests: DataFrame, keep: list[str], tree
 EDGES = 127
 EDGE_ROWS = 20_000
 SUM_BYTES = 64_000_000
-# Rows of a block that a task looks at, and of a packet of a node's rows.
-BLOCK = 100_000
-PACKET = 4_000
-# (row, tree) pairs of the last round that are on disk at a time, times their inputs.
+# Rows of a block, and inputs of them; (row, tree) pairs that a task looks at before rows or values of them leave it.
+BLOCK = 300_000
+BLOCK_CELLS = 50_000_000
+PAIRS = 1_000_000
+# Inputs that are not 0, of (row, tree) pairs of the last round, that are on disk at a time.
 ROUND_CELLS = 1_000_000_000
 SAFE = 1e-9
 
@@ -440,18 +445,79 @@ class _Upper:
             out[here] = left + (x[here, feature] > cut)
         return out
 
+    def table(self, number: int, places: dict[int, int]) -> tuple:
+        """The tree as ``kernel.routed`` takes it; ``places`` are those of the nodes where rows end."""
+        left, feature, place, cut = np.full(self.made, -1), np.zeros(self.made, int), np.full(self.made, -1), np.zeros(self.made)
+        for at, j, c, child in self.splits:
+            left[at], feature[at], cut[at] = child, j, c
+        for at, i in places.items():
+            place[at] = i
+        return number, left, feature, place, cut
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their inputs as bytes of those that are not 0."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("fx").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                begin, entries = kernel.packed(x)
+                at = pa.py_buffer((begin * entries.itemsize).astype(np.int32))
+                fx = pa.Array.from_buffers(pa.binary(), len(x), [None, at, pa.py_buffer(entries)])
+                yield batch.set_column(batch.schema.get_field_index("fx"), "fx", fx)
+    return rows.mapInArrow(run, T.StructType([T.StructField("fx", T.BinaryType()) if f.name == "fx" else f for f in rows.schema.fields]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    """(group, its rows, where the inputs of each begin, the inputs) of packed rows, some ``most`` rows at a time."""
+    def each(held):
+        rows = pa.Table.from_batches(held)
+        groups = pc.unique(rows["grp"])
+        for grp in groups:
+            part = rows if len(groups) == 1 else rows.filter(pc.equal(rows["grp"], grp))
+            fx = pa.concat_arrays([c.cast(pa.large_binary()) for c in part["fx"].chunks])
+            _, at, data = fx.buffers()
+            at = np.frombuffer(at, np.int64)[fx.offset:fx.offset + len(fx) + 1]
+            data = np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]].view(kernel.ENTRY)
+            yield grp.as_py(), part, (at - at[0]) // kernel.ENTRY.itemsize, data
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The batches' rows in blocks of one group."""
     held, n = [], 0
-    for pdf in batches:
-        held.append(pdf)
-        n += len(pdf)
-        if n >= BLOCK:
-            yield from (part for _, part in pd.concat(held).groupby("grp"))
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield from each(held)
             held, n = [], 0
     if n:
-        yield from (part for _, part in pd.concat(held).groupby("grp"))
+        yield from each(held)
+
+
+def _gathered(rows: DataFrame, features: int) -> DataFrame:
+    """(grp, n, block): packed rows as the blocks that ``kernel`` reads, written, as all scans read them."""
+    ids = "rid" if "rid" in rows.columns else "_tid"
+
+    def run(batches):
+        for grp, part, begin, entries in _blocks(batches, max(1, min(BLOCK, BLOCK_CELLS // features))):
+            y = part["y"].to_numpy() if ids == "rid" else None
+            block = kernel.block(features, part[ids].to_numpy(), y, begin, entries)
+            yield pa.RecordBatch.from_arrays([part["grp"].chunk(0)[:1], pa.array([part.num_rows], pa.int32()), pa.array([block], pa.binary())],
+                                             ["grp", "n", "block"])
+    return _written(rows.mapInArrow(run, T.StructType([rows.schema["grp"], T.StructField("n", T.IntegerType()), T.StructField("block", T.BinaryType())])))
+
+
+def _through(op: str, blocks: DataFrame, states: dict, most: int) -> DataFrame:
+    """What a function of ``kernel`` makes of the blocks, ``most`` rows at a time, and of their group's state."""
+    each = T.StructType([blocks.schema["grp"], T.StructField("trees", T.BinaryType())])
+    trees = blocks.sparkSession.createDataFrame([(grp, bytearray(state)) for grp, state in states.items()], each)
+    parts = blocks.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(most)))).join(F.broadcast(trees), "grp")
+    got = F.call_function(f"wattflow_{op}", F.lit(op), "block", "trees", F.col("from"), F.col("from") + F.lit(most))
+    return parts.select(F.explode(got).alias("r")).select("r.*")
+
+
+def _of_groups(packets: DataFrame, by: str, op: str, more: F.Column) -> DataFrame:
+    """What a function of ``kernel`` makes of the packets of each group."""
+    got = F.call_function(f"wattflow_{op}", F.lit(op), "p", more, F.lit(0), F.lit(0))
+    return packets.groupBy(by).agg(F.collect_list("packet").alias("p")).select(F.explode(got).alias("r")).select("r.*")
 
 
 def _bin(v: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -464,16 +530,6 @@ def _bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([_bin(x[:, j], e) for j, e in enumerate(edges)])
 
 
-def _drawn(pdf: pd.DataFrame, x: np.ndarray, names: list[tuple], trees: dict, seed: int, bootstrap: bool):
-    """(name, rows that the tree has drawn, their weights, their nodes) for each named tree of the block's group."""
-    rid, grp = pdf["rid"].to_numpy(), pdf["grp"].iloc[0]
-    for name in names:
-        if name[0] == grp:
-            w = bag_weights(rid, np.full(1, name[1]), seed) if bootstrap else np.ones(len(pdf))
-            some = np.flatnonzero(w)
-            yield name, some, w[some], trees[name].node(x[some])
-
-
 def _wanted(sums: np.ndarray, sizes: np.ndarray, zero: np.ndarray, total: np.ndarray) -> pd.DataFrame:
     """The bins of a node in which its best split may lie: (feature, bin, lw, ly, next), sums before and the next bin with rows.
 
@@ -526,14 +582,25 @@ def _best_split(cells: pd.DataFrame, wanted: pd.DataFrame, sw: float, sy: float)
     return int(f[at]), float((v[at] + v[at + 1]) / 2)
 
 
-def _edges(rows: DataFrame) -> list[np.ndarray]:
+def _edges(rows: DataFrame, features: int) -> list[np.ndarray]:
     """Edges of each feature's bins, 0 among them, from a bounded number of rows: they change the cost of a search, not its result."""
-    some = _matrix(rows.select("fx", F.xxhash64("rid").alias("h")).orderBy("h").limit(EDGE_ROWS).toPandas()["fx"])
+    some = rows.select("fx", F.xxhash64("rid").alias("h")).orderBy("h").limit(EDGE_ROWS).toPandas()["fx"]
+    begin = np.r_[0, np.cumsum(some.map(len))] // kernel.ENTRY.itemsize
+    x = kernel.unpacked(begin, np.frombuffer(b"".join(some), kernel.ENTRY), features)
     q = np.linspace(0, 1, EDGES)
-    return [np.unique(np.r_[0.0, np.quantile(some[:, j], q, method="nearest")]) for j in range(some.shape[1])]
+    return [np.unique(np.r_[0.0, np.quantile(x[:, j], q, method="nearest")]) for j in range(features)]
+
+
+def _states(trees: dict[tuple, _Upper], places: dict[tuple, dict[int, int]], many: int, seed: int, bootstrap: bool, more: bytes) -> dict:
+    """For each group its trees that have places, as ``kernel`` takes them, and what an operation needs ``more``."""
+    out = {}
+    for grp in {name[0] for name in places}:
+        some = [trees[name].table(name[1], at) for name, at in places.items() if name[0] == grp and at]
+        out[grp] = kernel.routed(some, many, _POISSON if bootstrap else None, seed) + more
+    return out
 
 
-def _split_large(rows: DataFrame, names: list[tuple], seed: int, bootstrap: bool, whole_rows: int) -> dict[tuple, _Upper]:
+def _split_large(rows: DataFrame, blocks: DataFrame, features: int, names: list[tuple], seed: int, bootstrap: bool, whole_rows: int) -> dict[tuple, _Upper]:
     """The upper part of each named tree (group, number): nodes of more than ``whole_rows`` rows are split, a level a round.
 
     Rows stay where they are written: a tree's draw is hashed anew and its rows
@@ -541,51 +608,14 @@ def _split_large(rows: DataFrame, names: list[tuple], seed: int, bootstrap: bool
     bin, which leave few bins for its best split, and then sums per value in
     those.  A tree has at most (rows / bound) nodes a level; they are kept on the driver.
     """
-    edges = _edges(rows)
+    edges = _edges(rows, features)
     sizes = np.array([2 * len(e) + 1 for e in edges])
     begin, wide = np.cumsum(sizes) - sizes, int(sizes.sum())
     zero = np.array([2 * np.searchsorted(e, 0.0) + 1 for e in edges])
     trees = {name: _Upper() for name in names}
+    binned = b"".join([np.array([len(e) for e in edges], "<i4").tobytes(), *[e.astype("<f8").tobytes() for e in edges]])
 
-    def entries(x):
-        """Row and bin (over all features) of every input that is not 0."""
-        r, c = np.nonzero(x)
-        return r, _bins(x, edges)[r, c] + begin[c]
-
-    def numbered(some: list[tuple]) -> dict[tuple, int]:
-        at = np.cumsum([0, *[len(trees[name].open) for name in some]])
-        return dict(zip(some, at.tolist()))
-
-    def summed(some: list[tuple]):
-        first, total = numbered(some), sum(len(trees[n].open) for n in some)
-
-        def run(batches):
-            sums, own, lo, hi = np.zeros((total * wide, 3)), np.zeros((total, 4)), np.full(total, np.inf), np.full(total, -np.inf)
-            for pdf in _blocks(batches):
-                x, y = _matrix(pdf["fx"]), pdf["y"].to_numpy(float)
-                er, eb = entries(x)
-                for name, drawn, w, node in _drawn(pdf, x, some, trees, seed, bootstrap):
-                    opened = np.array(trees[name].open)
-                    at = np.searchsorted(opened, node).clip(max=len(opened) - 1)
-                    there = opened[at] == node
-                    drawn, w, at = drawn[there], w[there], at[there]
-                    k, b = len(opened), first[name]
-                    wy = w * y[drawn]
-                    for c, val in enumerate((w, wy, wy * y[drawn], None)):
-                        own[b:b + k, c] += np.bincount(at, val, k)
-                    np.minimum.at(lo, b + at, y[drawn])
-                    np.maximum.at(hi, b + at, y[drawn])
-                    place, weight = np.full(len(x), -1), np.zeros(len(x))
-                    place[drawn], weight[drawn] = at, w
-                    e = np.flatnonzero(place[er] >= 0)
-                    idx, r = place[er[e]] * wide + eb[e], er[e]
-                    ew, ewy = weight[r], weight[r] * y[r]
-                    for c, val in enumerate((ew, ewy, ewy * y[r])):
-                        sums[b * wide:(b + k) * wide, c] += np.bincount(idx, val, k * wide)
-            sums = sums.reshape(total, wide, 3)
-            for i in np.flatnonzero(own[:, 3]):
-                yield pd.DataFrame({"nid": [np.int32(i)], "own": [own[i].tobytes()], "lo": [lo[i]], "hi": [hi[i]], "sums": [sums[i].tobytes()]})
-
+    def summed(places: dict, many: int) -> DataFrame:
         def find(pdf):
             own = np.sum([np.frombuffer(b) for b in pdf["own"]], axis=0)
             lo, hi = pdf["lo"].min(), pdf["hi"].max()
@@ -598,69 +628,52 @@ def _split_large(rows: DataFrame, names: list[tuple], seed: int, bootstrap: bool
                 mark[begin[bins["feature"]] + bins["bin"]] = True
             return pd.DataFrame({"nid": pdf["nid"].iloc[:1], "n": int(own[3]), "sw": own[0], "sy": own[1],
                                  "mark": [np.packbits(mark).tobytes() if len(bins) else None]}).assign(**lists)
-        parts = rows.mapInPandas(run, "nid int, own binary, lo double, hi double, sums binary")
-        found = _written(parts.groupBy("nid").applyInPandas(
+        parts = _through("sums", blocks, _states(trees, places, many, seed, bootstrap, binned), 2 * BLOCK)
+        return _written(parts.groupBy("nid").applyInPandas(
             find, "nid int, n long, sw double, sy double, mark binary, "
                   "feature array<int>, bin array<int>, lw array<double>, ly array<double>, next array<int>"))
-        return first, found, {r.nid: r for r in found.select("nid", "n", "sw", "sy", "mark").collect()}
-
-    def refined(some: list[tuple], first: dict, found: DataFrame, nodes: dict):
-        look = {i: np.unpackbits(np.frombuffer(r.mark, np.uint8), count=wide).astype(bool) for i, r in nodes.items() if r.mark}
-
-        def run(batches):
-            held, n = [], 0
 
-            def folded():
-                return pd.concat(held).groupby(["nid", "feature", "bin", "v"], as_index=False)[["w", "wy"]].sum()
-            for pdf in _blocks(batches):
-                x, y = _matrix(pdf["fx"]), pdf["y"].to_numpy(float)
-                bins = _bins(x, edges)
-                for name, drawn, w, node in _drawn(pdf, x, some, trees, seed, bootstrap):
-                    for i, at in enumerate(trees[name].open):
-                        if (mark := look.get(first[name] + i)) is None:
-                            continue
-                        here = np.flatnonzero(node == at)
-                        for j in range(len(edges)):
-                            if mark[begin[j]:begin[j] + sizes[j]].any():
-                                mine = here[mark[begin[j] + bins[drawn[here], j]]]
-                                v, code = np.unique(x[drawn[mine], j], return_inverse=True)
-                                held.append(pd.DataFrame({
-                                    "nid": np.int32(first[name] + i), "feature": np.int32(j),
-                                    "bin": _bin(v, edges[j]).astype(np.int32), "v": v,
-                                    "w": np.bincount(code, w[mine], len(v)), "wy": np.bincount(code, w[mine] * y[drawn[mine]], len(v))}))
-                                n += len(v)
-                    if n > 1_000_000:
-                        yield folded()
-                        held, n = [], 0
-            if n:
-                yield folded()
+    def refined(places: dict, many: int, found: DataFrame, nodes: dict) -> dict:
+        marks = np.zeros((many, wide), np.uint8)
+        for i, r in nodes.items():
+            if r.mark:
+                marks[i] = np.unpackbits(np.frombuffer(r.mark, np.uint8), count=wide)
+        some = {name: {at: i for at, i in own.items() if marks[i].any()} for name, own in places.items()}
+        drawn = sum(bool(own) for own in some.values())
+        if not drawn:
+            return {}
 
         def best(cells, bins):
             got = None
             if len(cells):
+                code, v, w, wy = np.concatenate([np.frombuffer(b).reshape(4, -1) for b in cells["cells"]], axis=1)
+                feature = np.searchsorted(begin, code, side="right") - 1
                 r = bins.iloc[0]
-                got = _best_split(cells, pd.DataFrame({c: r[c] for c in ("feature", "bin", "lw", "ly", "next")}), r["sw"], r["sy"])
+                got = _best_split(pd.DataFrame({"feature": feature, "bin": code.astype(int) - begin[feature], "v": v, "w": w, "wy": wy}),
+                                  pd.DataFrame({c: r[c] for c in ("feature", "bin", "lw", "ly", "next")}), r["sw"], r["sy"])
             return pd.DataFrame([(bins["nid"].iloc[0], *got)] if got else [], columns=["nid", "feature", "cut"])
-        if not look:
-            return {}
-        cells = rows.mapInPandas(run, "nid int, feature int, bin int, v double, w double, wy double")
+        cells = _through("cells", blocks, _states(trees, some, many, seed, bootstrap, binned + marks.tobytes()), max(1, PAIRS // drawn))
         cuts = cells.groupBy("nid").cogroup(found.groupBy("nid")).applyInPandas(best, "nid int, feature int, cut double")
         return {r.nid: r for r in cuts.collect()}
 
     while live := [name for name in names if trees[name].open]:
         cost = np.cumsum([len(trees[n].open) * wide * 24 for n in live]) // SUM_BYTES
         for part in np.split(np.arange(len(live)), np.flatnonzero(np.diff(cost)) + 1):
-            some = [live[i] for i in part]
-            first, found, nodes = summed(some)
-            cuts = refined(some, first, found, nodes)
-            for name in some:
-                tree, now = trees[name], trees[name].open
+            places, many = {}, 0
+            for name in (live[i] for i in part):
+                places[name] = {at: many + i for i, at in enumerate(trees[name].open)}
+                many += len(places[name])
+            found = summed(places, many)
+            nodes = {r.nid: r for r in found.select("nid", "n", "sw", "sy", "mark").collect()}
+            cuts = refined(places, many, found, nodes)
+            for name, own in places.items():
+                tree = trees[name]
                 tree.open = []
-                for i, at in enumerate(now):
-                    r = nodes.get(first[name] + i)
+                for at, i in own.items():
+                    r = nodes.get(i)
                     if r is None or r.n <= whole_rows:
                         tree.closed.append(at)
-                    elif (cut := cuts.get(first[name] + i)) is None:
+                    elif (cut := cuts.get(i)) is None:
                         tree.leaves[at] = r.sy / r.sw
                     else:
                         tree.splits.append((at, cut.feature, cut.cut, tree.made))
@@ -682,7 +695,7 @@ def _shuffles_freed(spark):
 
 
 def _rounds(names: list[tuple], marks: list[int], cells: int) -> Iterator[list[tuple]]:
-    """The named trees in rounds of at most ROUND_CELLS inputs of drawn rows; a round lies between two marks."""
+    """The named trees in rounds of at most ROUND_CELLS cells, a tree having ``cells``; a round lies between two marks."""
     most = max(1, ROUND_CELLS // max(1, cells))
     for low, high in zip([0, *marks], marks):
         for first in range(low, high, most):
@@ -693,75 +706,48 @@ def _large_predictions(train: DataFrame, tests: DataFrame, sizes: dict, marks: l
                        keep: list[str], whole_rows: int) -> DataFrame:
     """(keep..., first, total) of groups beyond ``whole_rows``.
 
-    Inputs are written once, not once a tree.  The lower parts of the trees are grown in
+    Inputs are written once (as rows, and from these as blocks), not once a tree.  The lower parts of the trees are grown in
     rounds of some trees, so what is on disk of the drawn rows is bounded for any number of them.
     """
-    rows = _written(train.repartition(fit_partitions(sum(sizes.values())), "rid"))
+    spark = train.sparkSession
+    kernel.registered(spark)
+    features = train.select(F.size("fx")).first()[0]
+    rows = _written(_packed(train.repartition(fit_partitions(sum(sizes.values())), "rid")))
     # an id of the test row, of its own even if keys repeat
-    tests = _written(tests.withColumn("_tid", F.monotonically_increasing_id()))
+    tests = _written(_packed(tests.withColumn("_tid", F.monotonically_increasing_id())))
+    asked = tests.select("grp", "fx", "_tid")
+    blocks, test_blocks = _gathered(rows, features), _gathered(asked, features)
     names = [(grp, tree) for tree in range(marks[-1]) for grp in sizes]
-    with _shuffles_freed(rows.sparkSession):
-        trees = _split_large(rows, names, seed, bootstrap, whole_rows)
-    features = len(rows.select("fx").first()[0])
-    packet = "unit int, n int, x binary, y binary, w binary"
+    with _shuffles_freed(spark):
+        trees = _split_large(rows, blocks, features, names, seed, bootstrap, whole_rows)
+    inputs = rows.select(F.sum(F.length("fx"))).first()[0] // kernel.ENTRY.itemsize
     out = None
-    for some in _rounds(names, marks, sum(sizes.values()) * features * 2 // 3):
-        units = {unit: i for i, unit in enumerate((name, node) for name in some for node in trees[name].closed)}
-        leaves = any(trees[name].leaves for name in some)
-
-        def packets(name, node, rows_, x, *columns):
-            order = np.argsort(node, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
-                unit = units.get((name, int(node[part[0]]))) if len(part) else None
-                for i in range(0, len(part) if unit is not None else 0, PACKET):
-                    p = part[i:i + PACKET]
-                    yield (unit, len(p), x[rows_[p]].tobytes(order="F"), *[c[p].tobytes() for c in columns])
-
-        def trained(batches):
-            for pdf in _blocks(batches):
-                x, y = _matrix(pdf["fx"]), pdf["y"].to_numpy(float)
-                for name, drawn, w, node in _drawn(pdf, x, some, trees, seed, bootstrap):
-                    yield pd.DataFrame(list(packets(name, node, drawn, x, y[drawn], w)), columns=["unit", "n", "x", "y", "w"])
-
-        def tested(batches):
-            for pdf in _blocks(batches):
-                x, tid, grp = _matrix(pdf["fx"]), pdf["_tid"].to_numpy(np.int64), pdf["grp"].iloc[0]
-                for name in some:
-                    if name[0] == grp:
-                        yield pd.DataFrame(list(packets(name, trees[name].node(x), np.arange(len(x)), x, tid)), columns=["unit", "n", "x", "y"])
-
-        def matrix(pdf):
-            return np.concatenate([np.frombuffer(b).reshape(n, -1, order="F") for b, n in zip(pdf["x"], pdf["n"])])
-
-        number = {i: name[1] for (name, _), i in units.items()}
-
-        def finish(a, b):
-            if not len(a) or not len(b):
-                return pd.DataFrame({"_tid": [], "first": [], "total": []})
-            x, y, w, tx = np.asfortranarray(matrix(a)), np.frombuffer(b"".join(a["y"])), np.frombuffer(b"".join(a["w"])), matrix(b)
-            tid, tree = np.frombuffer(b"".join(b["y"]), np.int64), number[a["unit"].iloc[0]]
-            del a, b
-            mean = grow(x, y, np.arange(len(x)), np.zeros(len(x), np.int64), w, tx, np.arange(len(tx)), np.zeros(len(tx), np.int64))
-            return pd.DataFrame({"_tid": tid, "first": np.int32(tree), "total": mean})
+    for some in _rounds(names, marks, inputs * 2 // 3):
+        units, many = {}, 0
+        for name in some:
+            units[name] = {at: many + i for i, at in enumerate(trees[name].closed)}
+            many += len(units[name])
+        leaves = {name: trees[name].leaves for name in some if trees[name].leaves}
 
         def closed(batches):
-            for pdf in _blocks(batches):
-                x, grp = _matrix(pdf["fx"]), pdf["grp"].iloc[0]
-                for name in some:
-                    if name[0] == grp and trees[name].leaves:
-                        mean = pd.Series(trees[name].node(x)).map(trees[name].leaves)
-                        yield pd.DataFrame({"_tid": pdf["_tid"].to_numpy(), "first": np.int32(name[1]), "total": mean.to_numpy(float)})[mean.notna().to_numpy()]
-        tasks = max(8, 2 * len(units))
-        a = rows.mapInPandas(trained, packet).repartition(tasks, "unit")
-        b = tests.select("grp", "fx", "_tid").mapInPandas(tested, packet.rsplit(",", 1)[0]).repartition(tasks, "unit")
-        means = a.groupBy("unit").cogroup(b.groupBy("unit")).applyInPandas(finish, "_tid long, first int, total double")
-        if leaves:
-            means = means.unionByName(tests.select("grp", "fx", "_tid").mapInPandas(closed, "_tid long, first int, total double"))
-        # a round's sum of each test row, in the order of its trees
-        parts = F.sort_array(F.collect_list(F.struct("first", "total")))
-        sums = means.groupBy("_tid").agg(parts.alias("p")).select(
-            "_tid", F.element_at("p", 1)["first"].alias("first"), F.aggregate("p", F.lit(0.0), lambda s, p: s + p["total"]).alias("total"))
-        with _shuffles_freed(rows.sparkSession):
+            for grp, part, begin, entries in _blocks(batches, BLOCK):
+                x, tid = kernel.unpacked(begin, entries, features), part["_tid"].to_numpy()
+                for name in leaves:
+                    if name[0] == grp:
+                        mean = pd.Series(trees[name].node(x)).map(leaves[name])
+                        here = mean.notna().to_numpy()
+                        parts, packets = kernel.means(name[1], tid[here], mean.to_numpy(float)[here])
+                        yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int64()), "packet": pa.array(packets, pa.binary())})
+        with _shuffles_freed(spark):
+            most = max(1, PAIRS // len(some))
+            kind = lambda test: np.array([test], "<i4").tobytes()
+            a = _through("rows", blocks, _states(trees, units, many, seed, bootstrap, kind(0)), most)
+            b = _through("rows", test_blocks, _states(trees, units, many, seed, False, kind(1)), most)
+            means = _of_groups(a.unionByName(b).repartition(max(8, 2 * many), "unit"), "unit", "finish", F.lit(SPARSE))
+            if leaves:
+                means = means.unionByName(asked.mapInArrow(closed, "part long, packet binary"))
+            # a round's sum of each test row, in the order of its trees
+            sums = _of_groups(means, "part", "total", F.col("part"))
             done = _written(sums)
         out = done if out is None else out.unionByName(done)
     return out.join(tests.select("_tid", *keep), "_tid").select(*keep, "first", "total")
